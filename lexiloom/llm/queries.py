@@ -5,8 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, sharding
-from .common import table
+from . import line_dedup, sharding, toxicity
+from .common import crc_of_id, table
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(crc_of_id("doc_id") % 5 != 0)
+    model = toxicity.train(docs.join(labels, "doc_id"))
+    return toxicity.toxicity(docs, model).select("_row.doc_id", (crc_of_id("_row.doc_id") % 5 == 0).alias("held_out"), "score", "predicted")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,5 +26,5 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op7_line_dedup": op7_line_dedup, "op8_sharding": op8_sharding}
+QUERIES = {"op1_toxicity": op1_toxicity, "op7_line_dedup": op7_line_dedup, "op8_sharding": op8_sharding}
 SQL = {"op7_line_dedup": line_dedup.SQL}
