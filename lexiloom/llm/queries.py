@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, sharding, toxicity
+from . import bpe, line_dedup, sharding, toxicity
 from .common import crc_of_id, table
 
 
@@ -16,6 +16,19 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, model).select("_row.doc_id", (crc_of_id("_row.doc_id") % 5 == 0).alias("held_out"), "score", "predicted")
 
 
+def word_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    ids = docs.select("doc_id", "text")
+    out = bpe.bpe(ids, word_vocabulary())
+    return out.select("_row.doc_id", F.expr("length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("_row.doc_id", "kept_text", "n_lines", "n_removed")
@@ -26,5 +39,5 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op7_line_dedup": op7_line_dedup, "op8_sharding": op8_sharding}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_bpe": op2_bpe, "op7_line_dedup": op7_line_dedup, "op8_sharding": op8_sharding}
 SQL = {"op7_line_dedup": line_dedup.SQL}
