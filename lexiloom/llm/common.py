@@ -42,3 +42,12 @@ def packed(df: DataFrame, name: str = "_row") -> Column:
 
 def unpacked(df: DataFrame, columns: list[str], name: str = "_row", **changed: Column) -> list[Column]:
     return [changed[c].alias(c) if c in changed else F.col(f"{name}.`{c}`").alias(c) for c in columns]
+
+
+#: A join side of at most so many ids is broadcast after they have been counted; beyond it the join shuffles.
+BROADCAST_IDS = 500_000
+
+
+def sized(ids: DataFrame) -> DataFrame:
+    """A table of ids, already written, hinted for broadcast if its counted size allows."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids

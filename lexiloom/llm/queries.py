@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, sharding, toxicity
+from . import bpe, line_dedup, near_dup, sharding, toxicity
 from .common import crc_of_id, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(crc_of_id("doc_id") % 5 != 0)
-    model = toxicity.train(docs.join(labels, "doc_id"))
+    model = toxicity.train(docs, labels)
     return toxicity.toxicity(docs, model).select("_row.doc_id", (crc_of_id("_row.doc_id") % 5 == 0).alias("held_out"), "score", "predicted")
 
 
@@ -29,6 +29,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("_row.doc_id", F.expr("length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("_row.doc_id", "kept_text", "n_lines", "n_removed")
@@ -39,5 +43,5 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_bpe": op2_bpe, "op7_line_dedup": op7_line_dedup, "op8_sharding": op8_sharding}
-SQL = {"op7_line_dedup": line_dedup.SQL}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_bpe": op2_bpe, "op5_near_dup": op5_near_dup, "op7_line_dedup": op7_line_dedup, "op8_sharding": op8_sharding}
+SQL = {"op5_near_dup": near_dup.SQL, "op7_line_dedup": line_dedup.SQL}
