@@ -142,26 +142,35 @@ def scores(texts: list[str | None], model: Model, tools) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(features(saved) @ model.weights, -30, 30)))
 
 
-def sample(labelled: DataFrame, toxic: int, rows: int, text_col: str = "text", label_col: str = "toxic") -> list[str]:
-    """At most ``rows`` whole texts of one class and half of MAX_SAMPLE_BYTES, smallest hashes first."""
-    picked = (
-        labelled.where((F.col(label_col) == toxic) & F.col(text_col).isNotNull())
-        .select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("order"))
-        .where(F.octet_length("text") <= MAX_SAMPLE_BYTES // 8)
-        .orderBy("order", "text")
-        .limit(rows)
-    )
-    out, size = [], 0
-    for row in picked.toLocalIterator():
-        size += len(row.text.encode("utf-8", "replace"))
-        if size > MAX_SAMPLE_BYTES // 2:
-            break
-        out.append(row.text)
-    return out
-
-
-def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -> Model:
-    return fit(sample(labelled, 1, MAX_TOXIC_ROWS, text_col, label_col), sample(labelled, 0, MAX_ORDINARY_ROWS, text_col, label_col))
+def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict[int, list[str]]:
+    """Whole texts of each class: at most MAX_*_ROWS labels, smallest id hashes first, up to half of MAX_SAMPLE_BYTES.
+
+    The labels are cut to the row bound before any text is read, so what is broadcast is bounded and texts are never shuffled.
+    """
+    ids = labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").alias("_label"), F.xxhash64(f"`{id_col}`").alias("_order")).where(F.col("_id").isNotNull())
+    bounds = {1: MAX_TOXIC_ROWS, 0: MAX_ORDINARY_ROWS}
+    first = lambda c: ids.where(F.col("_label") == c).orderBy("_order", "_id").limit(bounds[c])
+    picked = [(r._id, r._label, r._order) for c in bounds for r in first(c).collect()]
+    if not picked:
+        return {0: [], 1: []}
+    spark, kind = docs.sparkSession, ids.schema.simpleString()[7:-1].replace(":", " ")
+    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")).where(F.col("_text").isNotNull())
+    sizes = texts.join(F.broadcast(spark.createDataFrame(picked, kind)), "_id").select("_id", "_label", "_order", F.octet_length("_text").alias("_size")).collect()
+    keep, total = [], {0: 0, 1: 0}
+    for r in sorted(sizes, key=lambda r: (r._order, r._id, r._size)):
+        if total[r._label] + r._size <= MAX_SAMPLE_BYTES // 2:
+            total[r._label] += r._size
+            keep.append((r._id, r._label, r._order))
+    out: dict[int, list] = {0: [], 1: []}
+    if keep:
+        for r in texts.join(F.broadcast(spark.createDataFrame(sorted(set(keep)), kind)), "_id").collect():
+            out[r._label].append((r._order, r._text))
+    return {c: [t for _, t in sorted(out[c])] for c in out}
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    found = sample(docs, labels, id_col, text_col, label_col)
+    return fit(found[1], found[0])
 
 
 def toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
