@@ -35,13 +35,9 @@ def crc_of_id(column: str | Column) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary") if isinstance(column, str) else column.cast("string").cast("binary"))
 
 
-def packed(df: DataFrame, name: str = "_row") -> Column:
-    """All columns of ``df`` as one struct, so that no name can clash with an operator's own."""
-    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
-
-
-def unpacked(df: DataFrame, columns: list[str], name: str = "_row", **changed: Column) -> list[Column]:
-    return [changed[c].alias(c) if c in changed else F.col(f"{name}.`{c}`").alias(c) for c in columns]
+def packed(df: DataFrame, name: str = "_row", keep: list[str] | None = None) -> Column:
+    """The columns to carry (all by default) as one struct, so that no name can clash with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in (df.columns if keep is None else keep)]).alias(name)
 
 
 #: A join side of at most so many ids is broadcast after they have been counted; beyond it the join shuffles.

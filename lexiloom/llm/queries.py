@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, near_dup, sharding, toxicity
+from . import bpe, decontam, line_dedup, near_dup, sharding, toxicity
 from .common import crc_of_id, table
 
 
@@ -33,6 +33,13 @@ def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark").select("item_id", *decontam.question_answer())
+    out = decontam.decontaminate(table(spark, sf_dir, "documents"), items, keep=["doc_id"])
+    rounded = [F.round(c, 6).alias(c) for c in ("score", "question_overlap", "answer_overlap")]
+    return out.select("_row.doc_id", "item_id", *rounded)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("_row.doc_id", "kept_text", "n_lines", "n_removed")
@@ -43,5 +50,5 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_bpe": op2_bpe, "op5_near_dup": op5_near_dup, "op7_line_dedup": op7_line_dedup, "op8_sharding": op8_sharding}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_bpe": op2_bpe, "op5_near_dup": op5_near_dup, "op6_decontamination": op6_decontamination, "op7_line_dedup": op7_line_dedup, "op8_sharding": op8_sharding}
 SQL = {"op5_near_dup": near_dup.SQL, "op7_line_dedup": line_dedup.SQL}
