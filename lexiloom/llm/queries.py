@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, line_dedup, near_dup, sharding, toxicity
+from . import bpe, ctw, decontam, line_dedup, near_dup, sharding, toxicity
 from .common import crc_of_id, table
 
 
@@ -29,6 +29,13 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("_row.doc_id", F.expr("length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ctw.train(docs.where(crc_of_id("doc_id") % 10 != 0))
+    out = ctw.score(docs, model, keep=["doc_id"])
+    return out.select("_row.doc_id", (crc_of_id("_row.doc_id") % 10 == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -50,5 +57,5 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_bpe": op2_bpe, "op5_near_dup": op5_near_dup, "op6_decontamination": op6_decontamination, "op7_line_dedup": op7_line_dedup, "op8_sharding": op8_sharding}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_bpe": op2_bpe, "op4_ctw": op4_ctw, "op5_near_dup": op5_near_dup, "op6_decontamination": op6_decontamination, "op7_line_dedup": op7_line_dedup, "op8_sharding": op8_sharding}
 SQL = {"op5_near_dup": near_dup.SQL, "op7_line_dedup": line_dedup.SQL}
