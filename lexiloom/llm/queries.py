@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, decontam, line_dedup, near_dup, sharding, toxicity
+from . import bpe, ctw, decontam, knn, line_dedup, near_dup, sharding, toxicity
 from .common import crc_of_id, table
 
 
@@ -13,7 +13,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(crc_of_id("doc_id") % 5 != 0)
     model = toxicity.train(docs, labels)
-    return toxicity.toxicity(docs, model).select("_row.doc_id", (crc_of_id("_row.doc_id") % 5 == 0).alias("held_out"), "score", "predicted")
+    return toxicity.toxicity(docs, model, keep=["doc_id"]).select("_row.doc_id", (crc_of_id("_row.doc_id") % 5 == 0).alias("held_out"), "score", "predicted")
 
 
 def word_vocabulary() -> str:
@@ -24,11 +24,14 @@ def word_vocabulary() -> str:
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    ids = docs.select("doc_id", "text")
-    out = bpe.bpe(ids, word_vocabulary())
+    out = bpe.bpe(docs, word_vocabulary(), keep=["doc_id"])
     return out.select("_row.doc_id", F.expr("length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = ctw.train(docs.where(crc_of_id("doc_id") % 10 != 0))
@@ -57,5 +60,5 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_bpe": op2_bpe, "op4_ctw": op4_ctw, "op5_near_dup": op5_near_dup, "op6_decontamination": op6_decontamination, "op7_line_dedup": op7_line_dedup, "op8_sharding": op8_sharding}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_bpe": op2_bpe, "op3_nearest": op3_nearest, "op4_ctw": op4_ctw, "op5_near_dup": op5_near_dup, "op6_decontamination": op6_decontamination, "op7_line_dedup": op7_line_dedup, "op8_sharding": op8_sharding}
 SQL = {"op5_near_dup": near_dup.SQL, "op7_line_dedup": line_dedup.SQL}
