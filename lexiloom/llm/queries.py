@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, decontam, knn, line_dedup, near_dup, sharding, toxicity
+from . import bpe, ctw, decontam, knn, line_dedup, near_dup, pii, sharding, toxicity
 from .common import crc_of_id, table
 
 
@@ -60,5 +60,13 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_bpe": op2_bpe, "op3_nearest": op3_nearest, "op4_ctw": op4_ctw, "op5_near_dup": op5_near_dup, "op6_decontamination": op6_decontamination, "op7_line_dedup": op7_line_dedup, "op8_sharding": op8_sharding}
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.personal_data(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
+    names = F.array(*[F.lit(k) for k in pii.KINDS])
+    said = lambda c: F.concat_ws(",", F.transform(c, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))))
+    return out.select("_row.doc_id", *[count(k) for k in range(4)], F.sha2(said("base"), 256).alias("base_sha256"), said("spans").alias("spans"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_bpe": op2_bpe, "op3_nearest": op3_nearest, "op4_ctw": op4_ctw, "op5_near_dup": op5_near_dup, "op6_decontamination": op6_decontamination, "op7_line_dedup": op7_line_dedup, "op8_sharding": op8_sharding, "op9_personal_data": op9_personal_data}
 SQL = {"op5_near_dup": near_dup.SQL, "op7_line_dedup": line_dedup.SQL}
