@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, decontam, knn, line_dedup, near_dup, pii, sharding, toxicity
+from . import bpe, ctw, decontam, knn, line_dedup, near_dup, pii, sharding, substring_dedup, toxicity
 from .common import crc_of_id, table
 
 
@@ -68,5 +68,10 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("_row.doc_id", *[count(k) for k in range(4)], F.sha2(said("base"), 256).alias("base_sha256"), said("spans").alias("spans"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_bpe": op2_bpe, "op3_nearest": op3_nearest, "op4_ctw": op4_ctw, "op5_near_dup": op5_near_dup, "op6_decontamination": op6_decontamination, "op7_line_dedup": op7_line_dedup, "op8_sharding": op8_sharding, "op9_personal_data": op9_personal_data}
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return out.select("_row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_bpe": op2_bpe, "op3_nearest": op3_nearest, "op4_ctw": op4_ctw, "op5_near_dup": op5_near_dup, "op6_decontamination": op6_decontamination, "op7_line_dedup": op7_line_dedup, "op8_sharding": op8_sharding, "op9_personal_data": op9_personal_data, "op10_substrings": op10_substrings}
 SQL = {"op5_near_dup": near_dup.SQL, "op7_line_dedup": line_dedup.SQL}
