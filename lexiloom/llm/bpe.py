@@ -30,9 +30,9 @@ from tokenizers import Tokenizer
 from .common import packed
 
 LEAF_CHARS = 32_768
-CACHED_RUN, CACHED_RUNS = 64, 400_000
+CACHED_RUN, CACHED_RUNS = 64, 150_000
 WINDOW, AGREE = 32, 2
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 500_000
 
 #: ASCII separators that str.split() also cuts at although the vocabulary's white space leaves them in.
 _ODD = re.compile(r"[\x1c-\x1f]")
@@ -40,7 +40,7 @@ _RUN = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 
 
 class Codec:
-    """One worker's tokenizer with the runs that it has seen; the memory is cleared when full."""
+    """One worker's tokenizer with the runs that it has seen; two generations of bounded size."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
@@ -48,23 +48,41 @@ class Codec:
         self.tokenizer.no_padding()
         self.tokens = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
         self.seen: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
 
     def decode(self, ids) -> str:
         return " ".join([self.tokens[i] for i in ids])
 
     def runs(self, runs: list[str]) -> dict[str, tuple[bytes, str]]:
         """Every run's ids (little-endian unsigned 32-bit) and decoding."""
-        seen = self.seen
-        if len(seen) > CACHED_RUNS:
-            seen.clear()
-        fresh = list({r for r in runs if r not in seen})
-        out = {}
+        if len(self.seen) > CACHED_RUNS:
+            self.older, self.seen = self.seen, {}
+        seen, older, long = self.seen, self.older, {}
+        cores = {}
+        for r in {r for r in runs if r not in seen}:
+            if r in older:
+                seen[r] = older[r]
+            else:
+                # Letters before a mark are a token row of their own; in ASCII their case is dropped first.
+                end = r[-1] if r[-1] in ".," and r[:-1].isalpha() else ""
+                core = r[: len(r) - len(end)]
+                cores[r] = (core.lower() if core.isascii() and core.isalpha() else core, end)
+        fresh = []
+        for x in {x for c in cores.values() for x in c if x and x not in seen}:
+            if x in older:
+                seen[x] = older[x]
+            else:
+                fresh.append(x)
         for i in range(0, len(fresh), 20_000):
             part = fresh[i : i + 20_000]
             for r, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                found = (np.array(e.ids, "<u4").tobytes(), self.decode(e.ids))
-                (seen if len(r) <= CACHED_RUN else out)[r] = found
-        return seen if not out else {r: seen[r] if len(r) <= CACHED_RUN else out[r] for r in set(runs)}
+                (seen if len(r) <= CACHED_RUN else long)[r] = (np.array(e.ids, "<u4").tobytes(), self.decode(e.ids))
+        for r, (core, end) in cores.items():
+            found = long[core] if core in long else seen[core]
+            if end:
+                found = (found[0] + seen[end][0], f"{found[1]} {seen[end][1]}")
+            (seen if len(r) <= CACHED_RUN else long)[r] = found
+        return {r: long[r] if r in long else seen[r] for r in set(runs)} if long else seen
 
     def texts(self, texts: list[str]) -> list[tuple[bytes, str]]:
         split = [t.split() if not _ODD.search(t) else _RUN.findall(t) for t in texts]
@@ -168,14 +186,24 @@ class Codec:
         return pack(head) + (b"" if middle is None else middle + pack(tail))
 
 
-def bpe(docs: DataFrame, path: str, text_col: str = "text", leaf_chars: int = LEAF_CHARS) -> DataFrame:
-    """Returns ``_row`` (the input row), ``ids`` (little-endian unsigned 32-bit) and ``decoded`` for each row."""
+_codecs: dict[str, Codec] = {}
+
+
+def codec_of(path: str) -> Codec:
+    """A Python worker's tokenizer and runs last from task to task."""
+    if path not in _codecs:
+        _codecs[path] = Codec(path)
+    return _codecs[path]
+
+
+def bpe(docs: DataFrame, path: str, keep: list[str] | None = None, text_col: str = "text", leaf_chars: int = LEAF_CHARS) -> DataFrame:
+    """Returns ``_row`` (the columns to keep), ``ids`` (little-endian unsigned 32-bit) and ``decoded`` for each row."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = docs.select(packed(docs), text.alias("_text"))
+    rows = docs.select(packed(docs, keep=keep), text.alias("_text"))
     kind = rows.schema["_row"].dataType.simpleString()
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = codec_of(path)
         for b in batches:
             texts, begin = b.column("_text").to_pylist(), 0
             while begin < len(texts):
@@ -194,13 +222,13 @@ def bpe(docs: DataFrame, path: str, text_col: str = "text", leaf_chars: int = LE
                 yield pa.RecordBatch.from_arrays([pa.array([key] * len(leaves)), pa.array(range(len(leaves)), pa.int32()), pa.array(leaves)], names=["_key", "_at", "_leaf"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = codec_of(path)
         for b in batches:
             nodes = [zstandard.compress(pickle.dumps(codec.leaf(t)), 1) for t in b.column("_leaf").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("_key"), b.column("_at"), pa.array(nodes, pa.binary())], names=["_key", "_at", "_node"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = codec_of(path)
         for b in batches:
             for key, nodes in zip(b.column("_key").to_pylist(), b.column("_nodes").to_pylist()):
                 ids = codec.together([pickle.loads(zstandard.decompress(n["_node"])) for n in nodes])

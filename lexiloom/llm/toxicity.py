@@ -173,9 +173,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(found[1], found[0])
 
 
-def toxicity(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+def toxicity(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
     """Adds ``score`` (0 to 1) and ``predicted`` (1 from 0.5) to each row, given as ``_row``; one narrow pass."""
-    framed = docs.select(packed(docs), F.col(f"`{text_col}`").alias("_text"))
+    framed = docs.select(packed(docs, keep=keep), F.col(f"`{text_col}`").alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of some KB and eight weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
