@@ -1,0 +1,134 @@
+"""Chunks of documents: structure-aware, by sentences, and recursive."""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+CHUNK, OVERLAP, SHORT = 384, 96, 80
+STRUCTURE_OVERLAP = max(32, int(CHUNK * 0.12))
+# Fixed separators of the recursive splitter, coarsest first.
+SEPARATORS = ("\n\n", "\n", "。", "！", "？", "；", "，", " ", "")
+_CLAUSE = re.compile(r"(?=第[一二三四五六七八九十百零〇\d]+条)")
+_SENTENCE = re.compile(r"(?<=[。！？；\n])")
+
+
+def sentence_windows(text: str, most: int, overlap: int) -> list[str]:
+    """Sentences packed to at most ``most`` characters; each next chunk starts with the last one's end."""
+    out, held = [], ""
+    for piece in (p for p in _SENTENCE.split(text) if p.strip()):
+        if held and len(held) + len(piece) > most:
+            out.append(held.strip())
+            held = out[-1][-overlap:] + piece if overlap else piece
+        else:
+            held += piece
+        while len(held) > most:
+            out.append(held[:most])
+            held = held[most - overlap :]
+    if held.strip():
+        out.append(held.strip())
+    return out
+
+
+def merged_short(parts: list[str], budget: int, short: int = SHORT) -> list[str]:
+    """Neighbours joined while they fit; a short part joins in any case."""
+    out: list[str] = []
+    for p in parts:
+        if out and (len(out[-1]) + len(p) <= budget or len(p) < short or len(out[-1]) < short):
+            out[-1] += p
+        else:
+            out.append(p)
+    return out
+
+
+def table_windows(table: str, most: int) -> list[str]:
+    """A long table as windows of rows that repeat its two head lines."""
+    lines = table.split("\n")
+    head, out, held = "\n".join(lines[:2]), [], []
+    for row in lines[2:]:
+        if held and len(head) + sum(len(x) + 1 for x in held) + len(row) + 1 > most:
+            out.append("\n".join([head, *held]))
+            held = []
+        held.append(row)
+    if held:
+        out.append("\n".join([head, *held]))
+    return out or [table]
+
+
+def structure_chunks(title: str, blocks: list[dict], most: int = CHUNK, overlap: int = STRUCTURE_OVERLAP) -> list[str]:
+    out = []
+    for b in blocks:
+        text = (b["text"] or "").strip()
+        if b["type"] in ("heading", "header", "footer") or not text:
+            continue
+        head = f"[文档] {title}\n" + (f"[章节] {b['section']}\n" if b["section"] else "") + "\n"
+        if b["type"] == "table":
+            out += [head + text] if len(head) + len(text) <= 2 * most else [head + t for t in table_windows(text, most)]
+        elif len(head) + len(text) <= most:
+            out.append(head + text)
+        else:
+            for part in merged_short([p for p in _CLAUSE.split(text) if p], most - len(head) - 4):
+                out += [head + part] if len(head) + len(part) <= most else sentence_windows(head + part, most, overlap)
+    return out
+
+
+def recursive_chunks(text: str, most: int = CHUNK, overlap: int = OVERLAP, separators=SEPARATORS) -> list[str]:
+    """Split at the coarsest separator that occurs; what is still too long goes on with finer ones."""
+    sep = next((s for s in separators if s == "" or s in text), "")
+    finer = separators[separators.index(sep) + 1 :]
+    pieces = list(text) if sep == "" else [p + (sep if k < text.count(sep) else "") for k, p in enumerate(text.split(sep))]
+    out, held, size = [], [], 0
+
+    def flush():
+        nonlocal held, size
+        if s := "".join(held).strip():
+            out.append(s)
+        while held and size > overlap:
+            size -= len(held.pop(0))
+
+    for p in pieces:
+        if len(p) > most and finer:
+            if held:
+                flush()
+                held, size = [], 0
+            out += recursive_chunks(p, most, overlap, finer)
+            continue
+        if size + len(p) > most:
+            flush()
+            while held and size + len(p) > most:
+                size -= len(held.pop(0))
+        held.append(p)
+        size += len(p)
+    if s := "".join(held).strip():
+        out.append(s)
+    return out
+
+
+def structured(blocks: DataFrame, key: str = "doc_id", title: str = "title") -> DataFrame:
+    """Chunks 1..n of each document from its blocks (block_index, type, section, text), one Arrow row a document."""
+
+    @F.pandas_udf("array<string>")
+    def cut(titles: pd.Series, parts: pd.Series) -> pd.Series:
+        return pd.Series([structure_chunks(t, list(b)) for t, b in zip(titles, parts)], dtype="object")
+
+    whole = blocks.groupBy(key, title).agg(F.array_sort(F.collect_list(F.struct("block_index", "type", "section", "text"))).alias("blocks"))
+    rows = whole.select(key, F.posexplode(cut(title, "blocks")).alias("n", "chunk"))
+    return rows.select(key, (F.col("n") + 1).alias("chunk_id"), "chunk")
+
+
+def recursive(text: Column) -> Column:
+    """Chunks of each text, numbered from 0 by their places."""
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: recursive_chunks(t or ""))
+
+    return cut(text)
+
+
+def clauses(text) -> Column:
+    """Split before each numbered clause."""
+    return F.filter(F.split(text, r"(?=第[一二三四五六七八九十百零〇\d]+条)", -1), lambda p: p != "")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import base, retrieval, rules
+from . import base, evaluate, retrieval, rules, state, structure
 
 
 def flagship(spark, sf_dir):
