@@ -97,21 +97,22 @@ class _Table(HTMLParser):
             self.cell.append(data)
 
 
-@F.pandas_udf(GRID)
-def _html_grid(texts: pd.Series) -> pd.Series:
-    def one(t):
-        p = _Table()
-        p.feed(t or "")
-        rows = [r for r in p.rows if r]
-        width = max(map(len, rows), default=0)
-        return [r + [""] * (width - len(r)) for r in rows] if len(rows) >= 2 else None
-
-    return texts.map(one)
+def _read_grid(text: str | None):
+    p = _Table()
+    p.feed(text or "")
+    rows = [r for r in p.rows if r]
+    width = max(map(len, rows), default=0)
+    return [r + [""] * (width - len(r)) for r in rows] if len(rows) >= 2 else None
 
 
 def html_grid(c) -> Column:
     """Cells of an HTML table; only texts that hold one go through Python."""
-    return F.when(has_html_table(c), _html_grid(F.when(has_html_table(c), col(c))))
+
+    @F.pandas_udf(GRID)
+    def read(texts: pd.Series) -> pd.Series:
+        return texts.map(_read_grid)
+
+    return F.when(has_html_table(c), read(F.when(has_html_table(c), col(c))))
 
 
 def normalized_grid(html_col, markdown_col, text_col) -> Column:
