@@ -1,10 +1,12 @@
 """Benchmark decontamination: a BM25 index of test items, queried by every passage with block-max WAND.
 
 Items are tokenised (lower-cased runs of letters and digits) into an inverted index whose postings
-hold BM25 impacts relative to the item's own full score, in blocks with their largest impact. Every
+hold BM25 impacts relative to the item's own full score, in blocks of items with their largest impact. Every
 text is cut into half-overlapping passages at least twice as long as the longest item, so each item
 that a text holds lies whole in some passage. A passage is a query: block-max WAND retrieves every
-item that scores at least ``MIN_SCORE`` of its own full score, and a retrieved item counts if the
+item that scores at least ``MIN_SCORE`` of its own full score. The block maxima of a passage's terms
+are added up for many passages at once, blocks that cannot reach the score are passed over, and in the
+others WAND moves its cursors from pivot to pivot. A retrieved item counts if the
 passage also holds at least ``MIN_OVERLAP`` of the three-word shingles of its question and of its
 answer.
 
@@ -32,7 +34,8 @@ from .common import packed, written
 K1, B = 1.2, 0.75
 MIN_SCORE, MIN_OVERLAP = 0.5, 0.5
 PASSAGE, SHINGLE = 128, 3
-BLOCK = 16
+BLOCK = 4
+CELLS, SLICE_CHARS = 2_000_000, 1_000_000
 SHARD_ITEMS = 20_000
 _SPACES = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 
@@ -64,19 +67,46 @@ class Index:
         by_term: dict[bytes, list] = {}
         for term, item, impact in postings:
             by_term.setdefault(term, []).append((item, impact))
-        self.lists, self.top = {}, {}
-        for term, found in by_term.items():
+        self.number = {t: k for k, t in enumerate(by_term)}
+        self.lists = []
+        first, block, high = [0], [], []
+        for found in by_term.values():
             found.sort()
-            docs, weights = [d for d, _ in found], [w for _, w in found]
-            lasts = [docs[min(k + BLOCK, len(docs)) - 1] for k in range(0, len(docs), BLOCK)]
-            highs = [max(weights[k : k + BLOCK]) for k in range(0, len(docs), BLOCK)]
-            self.lists[term] = (docs, weights, lasts, highs)
-            self.top[term] = max(weights)
-
-    def search(self, terms: list[bytes], least: float) -> list[tuple[int, float]]:
-        """Every item whose score is at least ``least``, by block-max WAND over the terms' postings."""
+            tops: dict[int, float] = {}
+            for item, impact in found:
+                tops[item // BLOCK] = max(tops.get(item // BLOCK, 0.0), impact)
+            self.lists.append(([d for d, _ in found], [w for _, w in found], tops))
+            block += tops
+            high += tops.values()
+            first.append(len(block))
+        # The same block maxima of all terms, end to end.
+        self.first, self.block, self.high = np.array(first), np.array(block, np.int64), np.array(high)
+        self.blocks = -(-len(items) // BLOCK)
+
+    def hopeful(self, terms: np.ndarray, passage: np.ndarray, least: float) -> list[tuple[int, int]]:
+        """(passage, block) pairs whose block maxima add up to ``least``; terms are distinct within a passage."""
+        out = []
+        step = max(1, CELLS // self.blocks)
+        for low in range(0, int(passage[-1]) + 1 if len(passage) else 0, step):
+            a, b = np.searchsorted(passage, [low, low + step])
+            t = terms[a:b]
+            n = self.first[t + 1] - self.first[t]
+            at = np.repeat(self.first[t] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            cell = np.repeat(passage[a:b] - low, n) * self.blocks + self.block[at]
+            bound = np.bincount(cell, self.high[at])
+            out += [(low + int(c) // self.blocks, int(c) % self.blocks) for c in np.flatnonzero(bound >= least - 1e-6)]
+        return out
+
+    def search(self, terms: list[int], block: int, least: float) -> list[tuple[int, float]]:
+        """The block's items that score at least ``least``, by WAND with the block's maxima as bounds."""
         least -= 1e-9
-        cursors = [[self.lists[t][0][0], 0, self.top[t], self.lists[t]] for t in terms]
+        begin, end = block * BLOCK, (block + 1) * BLOCK
+        cursors = []
+        for t in terms:
+            docs, _, tops = self.lists[t]
+            if block in tops:
+                k = bisect_left(docs, begin)
+                cursors.append([docs[k], k, tops[block], t])
         out = []
         while cursors:
             cursors.sort(key=lambda c: c[0])
@@ -91,71 +121,62 @@ class Index:
             item = cursors[pivot][0]
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
                 pivot += 1
-            # The blocks that hold the pivot bound its score more tightly than the lists do.
-            bound, end = 0.0, None
-            for c in cursors[: pivot + 1]:
-                k = bisect_left(c[3][2], item)
-                if k < len(c[3][2]):
-                    bound += c[3][3][k]
-                    end = c[3][2][k] if end is None else min(end, c[3][2][k])
-            if bound < least:
-                after = (end if end is not None else item) + 1
-                if pivot + 1 < len(cursors):
-                    after = min(after, cursors[pivot + 1][0])
-                self._seek(cursors, pivot + 1, max(after, item + 1))
-            elif cursors[0][0] == item:
-                score = sum(c[3][1][c[1]] for c in cursors[: pivot + 1])
+            if cursors[0][0] == item:
+                score = sum(self.lists[c[3]][1][c[1]] for c in cursors[: pivot + 1])
                 if score >= least:
                     out.append((item, score))
-                self._seek(cursors, pivot + 1, item + 1)
-            else:
-                self._seek(cursors, pivot + 1, item)
+                item += 1
+            for c in cursors[: pivot + 1]:
+                docs = self.lists[c[3]][0]
+                c[1] = bisect_left(docs, item, c[1])
+                c[0] = docs[c[1]] if c[1] < len(docs) and docs[c[1]] < end else end
+            cursors = [c for c in cursors if c[0] < end]
         return out
 
-    @staticmethod
-    def _seek(cursors: list, n: int, item: int) -> None:
-        """Moves the first n cursors to their first posting from ``item`` on; ended ones go."""
-        gone = False
-        for c in cursors[:n]:
-            if c[0] < item:
-                c[1] = bisect_left(c[3][0], item, c[1])
-                gone = gone or c[1] == len(c[3][0])
-                c[0] = c[3][0][c[1]] if c[1] < len(c[3][0]) else None
-        if gone:
-            cursors[:] = [c for c in cursors if c[0] is not None]
-
-    def matches(self, text: str | None, least: float, overlap: float) -> dict[int, list[float]]:
-        """For each item that some passage holds: largest score, question and answer overlap."""
-        found = tokens(text)
+    def matches(self, texts: list[str | None], least: float, overlap: float) -> list[dict[int, list[float]]]:
+        """For each text and each item that some passage holds: largest score, question and answer overlap."""
         size = max(PASSAGE, 2 * self.longest)
         step = size // 2
-        get = self.top.get
-        bounds = np.fromiter((get(t, 0.0) for t in found), np.float64, len(found))
-        sums = np.concatenate([[0.0], np.cumsum(bounds)])
-        starts = np.arange(0, max(1, len(found) - step), step)
-        # The bound of all lists together, copies of a term included: below it nothing can be retrieved.
-        hopeful = starts[sums[np.minimum(starts + size, len(found))] - sums[starts] >= least - 1e-6]
-        out: dict[int, list[float]] = {}
-        for s in hopeful:
-            passage = found[s : s + size]
-            hits = self.search([t for t in dict.fromkeys(passage) if t in self.top], least)
+        found = [tokens(t) for t in texts]
+        get = self.number.get
+        term = np.fromiter((get(t, -1) for f in found for t in f), np.int64)
+        lengths = np.array([len(f) for f in found], np.int64)
+        # Passage p of a text starts at its word p * step; a word lies in its own step's passage and the one before.
+        counts = np.maximum(1, -(-(lengths - step) // step))
+        offset = np.cumsum(counts) - counts
+        text = np.repeat(np.arange(len(found)), lengths)
+        own = (np.arange(len(term)) - np.repeat(np.cumsum(lengths) - lengths, lengths)) // step
+        passage, words = [], []
+        for back in (0, 1):
+            p = own - back
+            ok = (term >= 0) & (p >= 0) & (p < counts[text])
+            passage.append(offset[text[ok]] + p[ok])
+            words.append(term[ok])
+        key = np.unique(np.concatenate(passage) * len(self.number) + np.concatenate(words)) if self.number else np.zeros(0, np.int64)
+        passage, words = key // max(1, len(self.number)), key % max(1, len(self.number))
+        out: list[dict[int, list[float]]] = [{} for _ in texts]
+        for p, block in self.hopeful(words, passage, least):
+            a, b = np.searchsorted(passage, [p, p + 1])
+            hits = self.search(words[a:b].tolist(), block, least)
             if not hits:
                 continue
-            own = shingles(passage)
-            short = {t for t in passage}
+            k = int(np.searchsorted(offset, p, "right")) - 1
+            start = (p - int(offset[k])) * step
+            piece = found[k][start : start + size]
+            held = shingles(piece)
             for item, score in hits:
-                q, a = (self._share(p, own, short, passage) for p in self.parts[item])
+                q, a = (self._share(x, held, piece) for x in self.parts[item])
                 if q >= overlap and a >= overlap:
-                    best = out.setdefault(item, [0.0, 0.0, 0.0])
-                    out[item] = [max(x, y) for x, y in zip(best, (score, q, a))]
+                    best = out[k].get(item, [0.0, 0.0, 0.0])
+                    out[k][item] = [max(x, y) for x, y in zip(best, (score, q, a))]
         return out
 
     @staticmethod
-    def _share(part: set, own: set, short: set, passage: list[bytes]) -> float:
+    def _share(part: set, own: set, passage: list[bytes]) -> float:
         if not part:
             return 0.0
         if len(part) == 1 and len(one := next(iter(part))) < SHINGLE:
-            return float(set(one) <= short and any(tuple(passage[k : k + len(one)]) == one for k in range(len(passage))))
+            return float(any(tuple(passage[k : k + len(one)]) == one for k in range(len(passage))))
         return len(part & own) / len(part)
 
 
@@ -210,10 +231,17 @@ def decontaminate(docs: DataFrame, items: DataFrame, keep: list[str] | None = No
             own = shared.value
             for b in batches:
                 at, rows = [], []
-                for k, text in enumerate(b.column("_text").to_pylist()):
-                    for item, best in sorted(own.matches(text, MIN_SCORE, MIN_OVERLAP).items()):
-                        at.append(k)
-                        rows.append((own.ids[item], *best))
+                texts, begin = b.column("_text").to_pylist(), 0
+                while begin < len(texts):
+                    end, size = begin, 0
+                    while end < len(texts) and (size < SLICE_CHARS or end == begin):
+                        size += len(texts[end] or "")
+                        end += 1
+                    for k, found in enumerate(own.matches(texts[begin:end], MIN_SCORE, MIN_OVERLAP), begin):
+                        for item, best in sorted(found.items()):
+                            at.append(k)
+                            rows.append((own.ids[item], *best))
+                    begin = end
                 columns = list(zip(*rows)) if rows else [[]] * 4
                 yield pa.RecordBatch.from_arrays([b.column("_row").take(pa.array(at, pa.int32())), pa.array(columns[0], pa.int64()), *(pa.array(c, pa.float64()) for c in columns[1:])], names=["_row", "item_id", "score", "question_overlap", "answer_overlap"])
 

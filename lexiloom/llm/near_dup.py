@@ -4,7 +4,7 @@ A document's set holds the hashes of its distinct five-word shingles. Documents
 together first; of each, the smallest doc_id stands for all. A representative has BANDS x ROWS
 MinHash samples. Bands give candidates; the samples folded into a parity bitmap (the odd sketch) give
 the similarity of a candidate pair from the bits that differ, most precisely where similarity is high.
-Pairs that the sketch leaves above ``SKETCH_FLOOR`` (over four standard errors below the threshold)
+Pairs that the sketch leaves above ``SKETCH_FLOOR`` (almost four standard errors below the threshold)
 are confirmed on the full sets.
 
 Nothing pairs all members of a band's bucket. Each member meets the bucket's smallest first, and what
@@ -32,9 +32,10 @@ from .graph import components
 from .shingles import WORDS, mixed, shingle_set
 
 BANDS, ROWS = 40, 5
-SKETCH_BITS = 512
+SKETCH_BITS = 1024
 SHARE, OF = 75, 100
-SKETCH_FLOOR = 0.55
+SKETCH_FLOOR = 0.62
+STEPS = (0.8, SKETCH_FLOOR)
 
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -124,6 +125,35 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, t
     return written(both.where(shared * OF >= (F.size("set_a") + F.size("set_b") - shared) * SHARE).select("a", "b"))
 
 
+def _across(placed: DataFrame, reps: DataFrame, least: float) -> DataFrame:
+    """Pairs of a bucket's members in different components, one at least outside its first's component.
+
+    Sizes and sketches are compared within the join, which gives a pair once, in the first band that it
+    shares, and only if its sketches come to ``least``.
+    """
+    mixed = placed.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.count(F.when(F.col("component") != F.col("head"), 1)).alias("strangers")).where("held > 2 AND strangers > 0")
+    rows = placed.join(mixed.select("key"), "key").join(reps, "id").withColumns({"stranger": F.col("component") != F.col("head"), "first": F.col("id") == F.col("pivot")})
+    side = lambda df, x: df.select(F.col("key").alias(f"key_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "n", "sketch", "bands", "stranger")])
+    shared = F.coalesce(*[F.when(F.col("bands_x")[i] == F.col("bands_y")[i], F.col("bands_x")[i]) for i in range(BANDS)])
+    near = (
+        (F.col("key_x") == F.col("key_y"))
+        & (F.col("component_x") != F.col("component_y"))
+        & (~F.col("stranger_y") | (F.col("id_x") < F.col("id_y")))
+        & (F.least("n_x", "n_y") * OF >= F.greatest("n_x", "n_y") * SHARE)
+        & (sketch_similarity(F.col("sketch_x"), F.col("sketch_y")) >= least)
+        & (shared == F.col("key_x"))
+    )
+    pairs = side(rows.where("stranger"), "x").join(side(rows.where("NOT first"), "y"), near)
+    return pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
+
+
+def _placed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Bucket members with their components and their first's."""
+    own = members.join(found.withColumnsRenamed({"node": "id"}), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    heads = found.select(F.col("node").alias("pivot"), F.col("component").alias("head"))
+    return written(own.join(heads, "pivot", "left").withColumn("head", F.coalesce("head", "pivot")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns id, n_shingles, component_id and kept for each row."""
     found = written(features(docs, id_col, text_col))
@@ -134,15 +164,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = banded.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("key", "pivot")
     members = written(banded.join(shared, "key"))
     links = confirmed(members.where("id > pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), reps, docs, id_col, text_col)
-    first = written(components(links))
-    placed = members.join(first.withColumnsRenamed({"node": "id"}), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    heads = first.select(F.col("node").alias("pivot"), F.col("component").alias("head"))
-    placed = written(placed.join(heads, "pivot", "left").withColumn("head", F.coalesce("head", "pivot")))
-    outside = placed.where("component <> head").select("key", F.col("id").alias("x"), F.col("component").alias("cx"))
-    others = placed.where("id <> pivot").select("key", F.col("id").alias("y"), F.col("component").alias("cy"))
-    open_pairs = outside.join(others, "key").where("cx <> cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = confirmed(open_pairs, reps, docs, id_col, text_col)
-    joined = components(links.unionByName(more)) if more.limit(1).count() else first
+    joined = written(components(links))
+    for least in STEPS:
+        # The most similar first: what they join needs no further comparison.
+        more = confirmed(_across(_placed(members, joined), reps, least), reps, docs, id_col, text_col)
+        if more.limit(1).count():
+            links = written(links.unionByName(more))
+            joined = written(components(links))
     by_class = classes.join(joined.withColumnsRenamed({"node": "rep"}), "rep", "left").select("digest", F.coalesce("component", "rep").alias("by_text"))
     by_row = found.select("id", "n", "digest").join(by_class, "digest", "left")
     # A doc_id with several texts is one node: all its rows take the smallest component.
