@@ -5,7 +5,9 @@ together first; of each, the smallest doc_id stands for all. A representative ha
 MinHash samples. Bands give candidates; the samples folded into a parity bitmap (the odd sketch) give
 the similarity of a candidate pair from the bits that differ, most precisely where similarity is high.
 Pairs that the sketch leaves above ``SKETCH_FLOOR`` (almost four standard errors below the threshold)
-are confirmed on the full sets.
+go on. A second bitmap holds the parities of the whole set: bits that differ never exceed the elements
+that differ, so more of them than the threshold allows rule a pair out without any loss. The rest are
+confirmed on the full sets.
 
 Nothing pairs all members of a band's bucket. Each member meets the bucket's smallest first, and what
 that links is joined into components. Only members outside the component of the bucket's first then
@@ -62,6 +64,12 @@ def folded(found: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """The set's own odd sketch: every element flips one of SKETCH_BITS bits."""
+    odd = np.bincount(((hashes >> np.uint64(13)) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def band_keys(found: np.ndarray) -> np.ndarray:
     key = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for k in range(ROWS):
@@ -70,11 +78,11 @@ def band_keys(found: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, n, digest of the set, band keys and sketch of every row; one narrow pass."""
+    """id, n, digest of the set, band keys, sketch and parities of every row; one narrow pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, digest, bands, sketch = [], [], [], []
+            n, digest, bands, sketch, parity = [], [], [], [], []
             for t in b.column("text").to_pylist():
                 s = shingle_set(t)
                 n.append(len(s))
@@ -83,12 +91,14 @@ def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     digest.append(xxh3_128_digest(s.tobytes()))
                     bands.append(band_keys(m))
                     sketch.append(folded(m))
+                    parity.append(parities(s))
                 else:
-                    digest.append(None), bands.append(None), sketch.append(None)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))], names=["id", "n", "digest", "bands", "sketch"])
+                    digest.append(None), bands.append(None), sketch.append(None), parity.append(None)
+            longs = [pa.array(x, pa.list_(pa.int64())) for x in (bands, sketch, parity)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), *longs], names=["id", "n", "digest", "bands", "sketch", "parity"])
 
     framed = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return framed.mapInArrow(run, "id long, n long, digest binary, bands array<long>, sketch array<long>")
+    return framed.mapInArrow(run, "id long, n long, digest binary, bands array<long>, sketch array<long>, parity array<long>")
 
 
 def sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -103,20 +113,30 @@ def sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFra
     return framed.join(sized(ids), "id", "left_semi").mapInArrow(run, "id long, set array<long>")
 
 
+def differing(x: Column, y: Column) -> Column:
+    return sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(1, SKETCH_BITS // 64)), F.bit_count(x[0].bitwiseXOR(y[0])))
+
+
+def possible(a: str, b: str) -> Column:
+    """Whether sizes and parities leave the threshold within reach; never false for a pair that reaches it."""
+    n, m = F.col(f"n{a}"), F.col(f"n{b}")
+    return (F.least(n, m) * OF >= F.greatest(n, m) * SHARE) & (differing(F.col(f"parity{a}"), F.col(f"parity{b}")) * (OF + SHARE) <= (n + m) * (OF - SHARE))
+
+
 def sketch_similarity(x: Column, y: Column) -> Column:
     """Jaccard similarity from two odd sketches; 0 where too many bits differ to tell."""
-    differ = sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(1, SKETCH_BITS // 64)), F.bit_count(x[0].bitwiseXOR(y[0])))
+    differ = differing(x, y)
     return F.when(differ * 2 >= SKETCH_BITS, 0.0).otherwise(1 + SKETCH_BITS / (4.0 * BANDS * ROWS) * F.log(1 - 2.0 * differ / SKETCH_BITS))
 
 
 def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) whose sketches are near and whose full sets are similar enough."""
-    side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    side = lambda x: reps.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "sketch", "parity")])
     near = written(
         pairs.join(side("a"), "a")
         .join(side("b"), "b")
-        .where((F.least("na", "nb") * OF >= F.greatest("na", "nb") * SHARE) & (sketch_similarity(F.col("sa"), F.col("sb")) >= SKETCH_FLOOR))
-        .select("a", "b", "na", "nb")
+        .where(possible("_a", "_b") & (sketch_similarity(F.col("sketch_a"), F.col("sketch_b")) >= SKETCH_FLOOR))
+        .select("a", "b")
     )
     ids = written(near.select(F.col("a").alias("id")).union(near.select("b")).distinct())
     full = written(sets(docs, ids, id_col, text_col).dropDuplicates(["id"]))
@@ -133,13 +153,13 @@ def _across(placed: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     """
     mixed = placed.groupBy("key").agg(F.count(F.lit(1)).alias("held"), F.count(F.when(F.col("component") != F.col("head"), 1)).alias("strangers")).where("held > 2 AND strangers > 0")
     rows = placed.join(mixed.select("key"), "key").join(reps, "id").withColumns({"stranger": F.col("component") != F.col("head"), "first": F.col("id") == F.col("pivot")})
-    side = lambda df, x: df.select(F.col("key").alias(f"key_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "n", "sketch", "bands", "stranger")])
+    side = lambda df, x: df.select(F.col("key").alias(f"key_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "n", "sketch", "parity", "bands", "stranger")])
     shared = F.coalesce(*[F.when(F.col("bands_x")[i] == F.col("bands_y")[i], F.col("bands_x")[i]) for i in range(BANDS)])
     near = (
         (F.col("key_x") == F.col("key_y"))
         & (F.col("component_x") != F.col("component_y"))
         & (~F.col("stranger_y") | (F.col("id_x") < F.col("id_y")))
-        & (F.least("n_x", "n_y") * OF >= F.greatest("n_x", "n_y") * SHARE)
+        & possible("_x", "_y")
         & (sketch_similarity(F.col("sketch_x"), F.col("sketch_y")) >= least)
         & (shared == F.col("key_x"))
     )
@@ -159,7 +179,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = written(features(docs, id_col, text_col))
     usable = found.where("digest IS NOT NULL AND id IS NOT NULL")
     classes = written(usable.groupBy("digest").agg(F.min("id").alias("rep")))
-    reps = written(usable.join(classes, "digest").where("id = rep").select("id", "n", "bands", "sketch").dropDuplicates(["id"]))
+    reps = written(usable.join(classes, "digest").where("id = rep").select("id", "n", "bands", "sketch", "parity").dropDuplicates(["id"]))
     banded = reps.select(F.explode("bands").alias("key"), "id")
     shared = banded.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("key", "pivot")
     members = written(banded.join(shared, "key"))
