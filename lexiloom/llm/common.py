@@ -40,10 +40,12 @@ def packed(df: DataFrame, name: str = "_row", keep: list[str] | None = None) ->
     return F.struct(*[F.col(f"`{c}`") for c in (df.columns if keep is None else keep)]).alias(name)
 
 
-#: A join side of at most so many ids is broadcast after they have been counted; beyond it the join shuffles.
-BROADCAST_IDS = 500_000
+#: A join side of at most so many rows, and so many array elements in them, is broadcast after both have been counted; beyond that the join shuffles.
+BROADCAST_IDS, BROADCAST_CELLS = 500_000, 4_000_000
 
 
-def sized(ids: DataFrame) -> DataFrame:
-    """A table of ids, already written, hinted for broadcast if its counted size allows."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def sized(rows: DataFrame, *arrays: str) -> DataFrame:
+    """A table already written, of fixed-size columns and the named arrays of such, hinted for broadcast if its counted size allows."""
+    cells = sum((F.coalesce(F.sum(F.greatest(F.size(a), F.lit(0)).cast("long")), F.lit(0)) for a in arrays), F.lit(0))
+    held = rows.agg(F.count(F.lit(1)).alias("rows"), cells.alias("cells")).first()
+    return F.broadcast(rows) if held.rows <= BROADCAST_IDS and held.cells <= BROADCAST_CELLS else rows

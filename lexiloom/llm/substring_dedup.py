@@ -7,12 +7,14 @@ open, and every step before it is exact (up to 112-bit hashes of equal position)
 1. Copies of a whole text, but the first, go by the text's digest.
 2. Every LENGTH-byte string holds anchors: positions whose GRAM-byte hash is the least among those inside
    it. Equal strings hold equal anchors, so only anchors found in two documents can matter (one exchange
-   of packed arrays; about one position in sixteen).
+   of packed arrays; about one position in sixteen). A gram with more than HOT surroundings in one task's
+   slice stays there, all its places open, and only its smallest and largest owner are exchanged, so a
+   passage that a third of the documents share is no hot group.
 3. An anchor whose whole surrounding - all LENGTH-byte strings that hold it - also stands in a smaller
    document covers that surrounding. What stays open is near the ends of repeated passages.
 4. The LENGTH-byte prefixes of the suffixes that start at open places are sorted within each task into
-   a run of distinct strings with their owners, front-coded against their predecessors, and exchanged
-   by ranges. Each range merges its runs with a loser tree: a candidate's common prefix with the last
+   a run of distinct strings with their smallest owner (others lose the string at once), front-coded
+   against their predecessors, and exchanged by ranges, as many as the open places ask for. Each range merges its runs with a loser tree: a candidate's common prefix with the last
    string given out decides most comparisons, and no byte known to be equal is compared again.
    Each distinct string's smallest owner then tells which other owners lose it.
 
@@ -24,7 +26,6 @@ and a row that repeats id and text gets the same result; an empty table gives no
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -40,7 +41,9 @@ from .shingles import mixed
 LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM  # a string that holds an anchor starts up to so many bytes before it
 SLICE_BYTES = 2_000_000
-SPLIT_DOCS, SPLIT_RANGES = 2000, 64
+HOT = 16
+RUN_STRINGS = 400_000
+RANGE_PLACES, SPLIT_DOCS = 2000, 2000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -129,6 +132,16 @@ MARKS = "id long, crc long, place long, kind int"
 COVERED, OPEN = 0, 1
 
 
+def _crowded(gram: np.ndarray, ids: np.ndarray, new: np.ndarray, done: np.ndarray) -> np.ndarray:
+    """Flags the anchors of grams with more than HOT surroundings, but for their smallest and largest ids, which stand for all."""
+    new_gram = np.concatenate([[True], gram[1:] != gram[:-1]])
+    starts, group = np.flatnonzero(new_gram), np.cumsum(new_gram) - 1
+    lead = ~done
+    low = np.minimum.reduceat(np.where(lead, ids, np.iinfo(np.int64).max), starts)[group]
+    high = np.maximum.reduceat(np.where(lead, ids, np.iinfo(np.int64).min), starts)[group]
+    return lead & (np.add.reduceat(new.astype(np.int64), starts)[group] > HOT) & (ids != low) & (ids != high)
+
+
 def packed_anchors(buckets: int):
     """Tasks' anchors, dealt to buckets by gram hash, as packed arrays sorted by hash."""
 
@@ -145,11 +158,15 @@ def packed_anchors(buckets: int):
                 new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (around[1:] != around[:-1])])
                 first = ids[text[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]]
                 done = ids[text] > first
+                stays = _crowded(gram, ids[text], new, done)
                 bucket = (gram % np.uint64(buckets)).astype(np.int64)
-                bucket[done] = place[done] % buckets
+                bucket[done | stays] = place[done | stays] % buckets
+                small = "<u2" if len(ids) < 65536 else "<u4"
                 for k in np.unique(bucket):
-                    main, rest = np.flatnonzero((bucket == k) & ~done), np.flatnonzero((bucket == k) & done)
-                    blob = _pack(ids, crcs, gram[main], (around[main] >> np.uint64(32)).astype("<u4"), (around[main] >> np.uint64(16)).astype("<u2"), text[main].astype("<u2") if len(ids) < 65536 else text[main].astype("<u4"), place[main].astype("<u4"), text[rest].astype("<u4"), place[rest].astype("<u4"))
+                    own = bucket == k
+                    main, rest, opened = np.flatnonzero(own & ~done & ~stays), np.flatnonzero(own & done), np.flatnonzero(own & stays)
+                    known = [x[at].astype("<u4") for at in (rest, opened) for x in (text, place)]
+                    blob = _pack(ids, crcs, gram[main], (around[main] >> np.uint64(32)).astype("<u4"), (around[main] >> np.uint64(16)).astype("<u2"), text[main].astype(small), place[main].astype("<u4"), *known)
                     yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([blob], pa.binary()), pa.array([len(ids) < 65536])], names=["bucket", "blob", "narrow"])
 
     return run
@@ -159,10 +176,11 @@ def judge_anchors(table: pa.Table) -> pa.Table:
     """Marks of one bucket: covered surroundings, and open places of anchors that only share their gram."""
     out, parts = [], []
     for blob, narrow in zip(table.column("blob").to_pylist(), table.column("narrow").to_pylist()):
-        ids, crcs, gram, high, low, text, place, text2, place2 = _unpack(blob, "<i8", "<i8", "<u8", "<u4", "<u2", "<u2" if narrow else "<u4", "<u4", "<u4", "<u4")
+        ids, crcs, gram, high, low, text, place, text2, place2, text3, place3 = _unpack(blob, "<i8", "<i8", "<u8", "<u4", "<u2", "<u2" if narrow else "<u4", *["<u4"] * 5)
         parts.append((gram, high.astype(np.uint64) << np.uint64(16) | low, ids[text], crcs[text], place))
-        if len(text2):
-            out.append(_marks(ids[text2], crcs[text2], place2, np.full(len(text2), COVERED)))
+        for number, at, kind in ((text2, place2, COVERED), (text3, place3, OPEN)):
+            if len(number):
+                out.append(_marks(ids[number], crcs[number], at, np.full(len(number), kind)))
     gram, around, ids, crcs, place = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((ids, around, gram))
     gram, around, ids, crcs, place = (x[order] for x in (gram, around, ids, crcs, place))
@@ -209,10 +227,14 @@ class Run:
         return slice(self.bounds[self.k], self.bounds[self.k + 1])
 
 
+def in_order(strings: np.ndarray, *owners: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Strings (rows of LENGTH bytes) and owners (ids first) sorted by string, then id."""
+    order = np.lexsort((owners[0], strings.view(f"S{LENGTH}").ravel()))
+    return strings[order], *(x[order] for x in owners)
+
+
 def front_coded(strings: np.ndarray, ids, crcs, places) -> bytes:
-    """A run from strings in any order (rows of LENGTH bytes) and their owners."""
-    order = np.lexsort((ids, strings.view(f"S{LENGTH}").ravel()))
-    strings, ids, crcs, places = strings[order], ids[order], crcs[order], places[order]
+    """A run from strings in order and their owners."""
     same = np.concatenate([[0], np.where((d := strings[1:] != strings[:-1]).any(1), d.argmax(1), LENGTH)])
     new = np.flatnonzero(same < LENGTH)
     shared = same[new].astype("<u1")
@@ -277,8 +299,14 @@ def merged(runs: list[Run]) -> Iterator[list[tuple[Run, slice]]]:
 
 def judge_runs(table: pa.Table) -> pa.Table:
     """Strings of one range whose owners are not the smallest: covered places."""
-    ids, crcs, places = [], [], []
-    for holders in merged([Run(x) for x in table.column("blob").to_pylist()]):
+    ids, crcs, places, runs, out = [], [], [], [], []
+    for blob, known in zip(table.column("blob").to_pylist(), table.column("known").to_pylist()):
+        if known:
+            lost = _unpack(blob, "<i8", "<i8", "<i8")
+            out.append(_marks(*lost, np.full(len(lost[0]), OPEN)))
+        else:
+            runs.append(Run(blob))
+    for holders in merged(runs):
         if len(holders) == 1 and holders[0][1].stop - holders[0][1].start == 1:
             continue
         smallest = min(int(run.ids[at.start]) for run, at in holders)
@@ -286,7 +314,7 @@ def judge_runs(table: pa.Table) -> pa.Table:
             for k in range(at.start, at.stop):
                 if run.ids[k] > smallest:
                     ids.append(int(run.ids[k])), crcs.append(int(run.crcs[k])), places.append(int(run.places[k]))
-    return pa.Table.from_batches([_marks(ids, crcs, places, np.full(len(ids), OPEN))])
+    return pa.Table.from_batches([*out, _marks(ids, crcs, places, np.full(len(ids), OPEN))])
 
 
 def open_strings(bodies: list[bytes], places: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -301,19 +329,29 @@ def open_strings(bodies: list[bytes], places: list) -> Iterator[tuple[int, np.nd
 
 
 def sorted_runs(splitters: list[bytes]):
-    """Tasks' open strings as one front-coded run for each range and slice."""
+    """Tasks' open strings as one front-coded run of smallest owners for each range and slice; ``known`` rows hold the other owners' places."""
     edges = np.array(splitters, f"S{LENGTH}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush():
-            strings, ids, crcs, places = (np.concatenate(x) for x in zip(*held))
-            to = np.searchsorted(edges, np.ascontiguousarray(strings).view(f"S{LENGTH}").ravel(), "right")
-            for r in np.unique(to):
-                w = np.flatnonzero(to == r)
-                blob = front_coded(np.ascontiguousarray(strings[w]), ids[w], crcs[w], places[w])
-                yield pa.RecordBatch.from_arrays([pa.array([int(r)], pa.int32()), pa.array([blob], pa.binary())], names=["part", "blob"])
+            strings, *owners = in_order(*(np.concatenate(x) for x in zip(*held)))
+            strings = np.ascontiguousarray(strings)
+            ids = owners[0]
+            new = np.concatenate([[True], (strings[1:] != strings[:-1]).any(1)])
+            first = ids == ids[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+            if not first.all():
+                lost = [x[~first].astype("<i8") for x in owners]
+                yield row(int(lost[2][0]) % (len(edges) + 1), _pack(*lost), True)
+                strings, owners = np.ascontiguousarray(strings[first]), [x[first] for x in owners]
+            cuts = np.searchsorted(strings.view(f"S{LENGTH}").ravel(), edges, "left").tolist()
+            for r, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(strings)])):
+                if a < b:
+                    yield row(r, front_coded(strings[a:b], *(x[a:b] for x in owners)), False)
+
+        def row(part: int, blob: bytes, known: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([blob], pa.binary()), pa.array([known])], names=["part", "blob", "known"])
 
         for b in batches:
             ids, crcs = b.column("id").to_pylist(), b.column("crc").to_pylist()
@@ -321,7 +359,7 @@ def sorted_runs(splitters: list[bytes]):
             for k, starts, strings in open_strings(bodies, b.column("places").to_pylist()):
                 held.append((strings.copy(), np.full(len(starts), ids[k]), np.full(len(starts), crcs[k]), starts))
                 size += len(starts)
-                if size >= 400_000:
+                if size >= RUN_STRINGS:
                     yield from flush()
                     held, size = [], 0
         if held:
@@ -359,17 +397,18 @@ def substring_dedup(docs: DataFrame, keep: list[str] | None = None, id_col: str
     marks = written(dealt.groupBy("bucket").applyInArrow(judge_anchors, MARKS))
     by_doc = lambda df, name: df.groupBy("id", "crc").agg(F.collect_set("place").alias(name))
     opened = written(by_doc(marks.where(F.col("kind") == OPEN), "places"))
-    sought = fresh.join(sized(opened), ["id", "crc"])
-    # Range borders come from the open strings of SPLIT_DOCS documents at most.
-    probe = opened.orderBy(F.xxhash64("id", "crc"), "id").limit(SPLIT_DOCS).select("id", "crc")
+    sought = fresh.join(sized(opened, "places"), ["id", "crc"])
+    # Range borders come from the open strings of a sample of documents that grows with the number of ranges, as Spark's own range partitioning does it.
+    ranges = 1 + (opened.agg(F.sum(F.size("places"))).first()[0] or 0) // RANGE_PLACES
+    probe = opened.orderBy(F.xxhash64("id", "crc"), "id").limit(SPLIT_DOCS + 4 * ranges).select("id", "crc", F.slice("places", 1, 20).alias("places"))
     seen = []
-    for r in fresh.join(F.broadcast(probe), ["id", "crc"]).join(sized(opened), ["id", "crc"]).select(F.col("text"), F.slice("places", 1, 20).alias("places")).toLocalIterator():
+    for r in fresh.join(sized(written(probe), "places"), ["id", "crc"]).select("text", "places").toLocalIterator():
         for _, _, strings in open_strings([r.text.encode("utf-8", "surrogatepass")], [r.places]):
             seen += [bytes(x) for x in strings[::16]]
     seen.sort()
-    ranges = min(SPLIT_RANGES, max(1, len(seen) // 8))
+    ranges = min(ranges, max(1, len(seen) // 8))
     splitters = sorted({seen[len(seen) * k // ranges] for k in range(1, ranges)})
-    runs = sought.select("id", "crc", "text", "places").mapInArrow(sorted_runs(splitters), "part int, blob binary")
+    runs = sought.select("id", "crc", "text", "places").mapInArrow(sorted_runs(splitters), "part int, blob binary, known boolean")
     judged = runs.groupBy("part").applyInArrow(judge_runs, MARKS)
     found = written(
         by_doc(marks.where(F.col("kind") == COVERED), "around")
@@ -378,7 +417,7 @@ def substring_dedup(docs: DataFrame, keep: list[str] | None = None, id_col: str
         .withColumnsRenamed({"id": "_id", "crc": "_crc"})
     )
     framed = docs.select(packed(docs, keep=keep), F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text")).withColumn("crc", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    both = framed.join(sized(found), (F.col("id") == F.col("_id")) & (F.col("crc") == F.col("_crc")), "left").select("_row", "text", "around", "strings", F.coalesce("copy", F.lit(False)).alias("copy"))
+    both = framed.join(sized(found, "around", "strings"), (F.col("id") == F.col("_id")) & (F.col("crc") == F.col("_crc")), "left").select("_row", "text", "around", "strings", F.coalesce("copy", F.lit(False)).alias("copy"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -394,5 +433,18 @@ def substring_dedup(docs: DataFrame, keep: list[str] | None = None, id_col: str
     return both.mapInArrow(cut, f"_row {framed.schema['_row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def digest(kept: bytes) -> str:
-    return hashlib.sha256(kept).hexdigest()
+#: In hexadecimal digits, as byte strings cannot be cut in SQL; windows are cut from pieces of 1,024 bytes.
+SQL = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+k AS (SELECT doc_id, c, substring(h, 2 * c + 1, 2146) AS part FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49, 1024)) AS c FROM b)),
+s AS (SELECT doc_id, c + i AS p, substring(part, 2 * i + 1, 100) AS g FROM (SELECT doc_id, c, part, unnest(range(0, least(1024, length(part) // 2 - 49))) AS i FROM k)),
+f AS (SELECT g, min(doc_id) AS f FROM s GROUP BY g HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT DISTINCT doc_id, p FROM s JOIN f USING (g) WHERE doc_id > f),
+i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM c)),
+r AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS e FROM i GROUP BY doc_id, k),
+g AS (SELECT doc_id, a, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) AS z FROM r),
+t AS (SELECT g.doc_id, sum(e - a)::BIGINT AS gone, count(*) AS spans, string_agg(substring(h, (2 * z + 1)::INT, (2 * (a - z))::INT), '' ORDER BY a) AS kept, max(e) AS last FROM g JOIN b ON b.doc_id = g.doc_id GROUP BY g.doc_id)
+SELECT b.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN t.doc_id IS NULL THEN h ELSE kept || substring(h, (2 * last + 1)::INT) END)) AS kept_sha256
+FROM b LEFT JOIN t ON t.doc_id = b.doc_id
+"""

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from lexiloom.llm import substring_dedup as S
 
 
@@ -37,8 +39,12 @@ def corpus(rng, n=60):
     return rows
 
 
-def test_equals_brute_force(spark):
-    for seed in range(3):
+@pytest.mark.parametrize("hot", [0, 2, 16])
+def test_equals_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(S, "HOT", hot)
+    monkeypatch.setattr(S, "RUN_STRINGS", 300)
+    monkeypatch.setattr(S, "RANGE_PLACES", 20)
+    for seed in (range(2) if hot else range(2, 3)):
         rows = corpus(random.Random(seed))
         df = spark.createDataFrame(rows, "doc_id long, text string")
         got = [(r._row.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in S.substring_dedup(df, keep=["doc_id"]).collect()]
@@ -58,6 +64,6 @@ def test_merge_gives_every_string_once_in_order():
                 want.setdefault(s, []).append((r * 100 + n))
             a = np.frombuffer(b"".join(strings), np.uint8).reshape(-1, S.LENGTH)
             ids = np.array([r * 100 + n for n in range(len(strings))])
-            runs.append(S.Run(S.front_coded(a, ids, ids, ids)))
+            runs.append(S.Run(S.front_coded(*S.in_order(a, ids, ids, ids))))
         got = [sorted(int(i) for run, at in holders for i in run.ids[at]) for holders in S.merged(runs)]
         assert got == [sorted(want[s]) for s in sorted(want)]
