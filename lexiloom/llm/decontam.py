@@ -37,6 +37,7 @@ PASSAGE, SHINGLE = 128, 3
 BLOCK = 4
 CELLS, SLICE_CHARS = 2_000_000, 1_000_000
 SHARD_ITEMS = 20_000
+LAST_SENTENCE = r"(?s)^(.*[.!?\n])\s*([^.!?\n]+[.!?]*)\z"
 _SPACES = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 
 
@@ -52,8 +53,7 @@ def shingles(found: list[bytes]) -> set:
 def question_answer(text_col: str = "text") -> list:
     """An item's last sentence or line as the answer, all before as the question; one sentence is both."""
     text = F.trim(F.col(f"`{text_col}`"))
-    rule = r"(?s)^(.*[.!?\n])\s*([^.!?\n]+[.!?]*)$"
-    part = lambda k: F.when(text.rlike(rule), F.regexp_extract(text, rule, k)).otherwise(text)
+    part = lambda k: F.when(text.rlike(LAST_SENTENCE), F.regexp_extract(text, LAST_SENTENCE, k)).otherwise(text)
     return [part(1).alias("question"), part(2).alias("answer")]
 
 
@@ -180,8 +180,8 @@ class Index:
         return len(part & own) / len(part)
 
 
-def indexes(items: DataFrame, id_col: str, question_col: str, answer_col: str) -> list[Index]:
-    """The items' inverted indexes, a shard at a time; statistics are over all items."""
+def indexes(items: DataFrame, id_col: str, question_col: str, answer_col: str) -> Iterator[Index]:
+    """The items' inverted indexes, a shard at a time, so the driver holds one; statistics are over all items."""
     rows = written(
         items.select(F.col(f"`{id_col}`").cast("long").alias("item"), F.coalesce(F.col(f"`{question_col}`"), F.lit("")).alias("q"), F.coalesce(F.col(f"`{answer_col}`"), F.lit("")).alias("a")).distinct()
     )
@@ -197,16 +197,15 @@ def indexes(items: DataFrame, id_col: str, question_col: str, answer_col: str) -
     terms = rows.mapInArrow(split, "item long, q string, a string, term binary, tf long, len long")
     whole = rows.count()
     if not whole:
-        return []
+        return
     size = terms.select("item", "q", "a", "len").distinct().agg(F.avg("len").alias("mean")).first().mean
     if not size:
-        return []
+        return
     frequent = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.lit(float(whole)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     impact = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(float(size))))
     shards = -(-whole // SHARD_ITEMS)
     weighed = written(terms.join(frequent, "term").select("item", "q", "a", "term", impact.alias("impact"), F.pmod(F.xxhash64("item", "q", "a"), F.lit(shards)).alias("shard")))
-    out = []
     for k in range(shards):
         found = weighed.where(F.col("shard") == k).collect()
         own = sorted({(r.item is not None, r.item or 0, r.q, r.a) for r in found})
@@ -215,8 +214,7 @@ def indexes(items: DataFrame, id_col: str, question_col: str, answer_col: str) -
         full: Counter = Counter()
         for r in sorted(found, key=lambda r: r.term):
             full[key(r)] += r.impact
-        out.append(Index([(bytes(r.term), at[key(r)], r.impact / full[key(r)]) for r in found], [(i if has else None, q, a) for has, i, q, a in own]))
-    return out
+        yield Index([(bytes(r.term), at[key(r)], r.impact / full[key(r)]) for r in found], [(i if has else None, q, a) for has, i, q, a in own])
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, keep: list[str] | None = None, text_col: str = "text", item_col: str = "item_id", question_col: str = "question", answer_col: str = "answer") -> DataFrame:
@@ -248,3 +246,39 @@ def decontaminate(docs: DataFrame, items: DataFrame, keep: list[str] | None = No
         part = framed.mapInArrow(run, schema)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else docs.sparkSession.createDataFrame([], framed.select("_row").schema.add("item_id", "long").add("score", "double").add("question_overlap", "double").add("answer_overlap", "double"))
+
+
+def _sql() -> str:
+    """The same results in plain SQL: every passage against every item by its terms, without index or bounds."""
+    words = lambda c: rf"regexp_extract_all(lower(coalesce({c}, '')), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    threes = lambda c: (
+        f"list_distinct(CASE WHEN len({c}) >= 3 THEN list_transform(range(1, len({c}) - 1), lambda i: {c}[i] || ' ' || {c}[i + 1] || ' ' || {c}[i + 2])"
+        f" WHEN len({c}) > 0 THEN [array_to_string({c}, ' ')] ELSE []::VARCHAR[] END)"
+    )
+    share = lambda c, own: (
+        f"CASE WHEN len({c}) = 0 THEN 0.0 WHEN len({c}) < 3 THEN contains(said, ' ' || {own}[1] || ' ')::INT ELSE len(list_intersect({own}, held)) / len({own}) END"
+    )
+    part = lambda k: f"CASE WHEN regexp_matches(t, '{LAST_SENTENCE}') THEN regexp_extract(t, '{LAST_SENTENCE}', {k}) ELSE t END"
+    return f"""
+WITH qa AS (SELECT item_id, {part(1)} AS q, {part(2)} AS a FROM (SELECT item_id, trim(text) AS t FROM benchmark)),
+items AS (SELECT DISTINCT item_id, coalesce(q, '') AS q, coalesce(a, '') AS a FROM qa),
+two AS (SELECT *, {words("q")} AS tq, {words("a")} AS ta FROM items),
+al AS (SELECT *, CASE WHEN a <> q THEN tq || ta ELSE tq END AS tt FROM two),
+tf AS (SELECT item_id, q, a, len(tt) AS n, t, count(*) AS tf FROM (SELECT item_id, q, a, tt, unnest(tt) AS t FROM al) GROUP BY ALL),
+st AS (SELECT (SELECT count(*) FROM items) AS items, (SELECT avg(len(tt)) FROM al WHERE len(tt) > 0) AS mean, (SELECT greatest({PASSAGE}, 2 * max(len(tq) + len(ta))) FROM al) AS size),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+im AS (SELECT item_id, q, a, t, ln(1 + (items - df + 0.5) / (df + 0.5)) * tf * {K1 + 1} / (tf + {K1} * ({1 - B} + {B} * n / mean)) AS w FROM tf JOIN df USING (t), st),
+re AS (SELECT *, w / sum(w) OVER (PARTITION BY item_id, q, a) AS part FROM im),
+sh AS (SELECT item_id, q, a, tq, ta, {threes("tq")} AS sq, {threes("ta")} AS sa FROM al),
+w AS (SELECT doc_id, {words("text")} AS ws FROM documents),
+pa AS (SELECT doc_id, p, list_slice(ws, p * step + 1, p * step + size) AS piece FROM (
+  SELECT doc_id, ws, size, step, unnest(range(0, greatest(1, ceil((len(ws) - step) / step)::BIGINT))) AS p FROM w, (SELECT size, size // 2 AS step FROM st))),
+sc AS (SELECT doc_id, p, item_id, q, a, sum(part) AS score FROM (SELECT doc_id, p, unnest(list_distinct(piece)) AS t FROM pa) JOIN re USING (t) GROUP BY ALL HAVING sum(part) >= {MIN_SCORE} - 1e-9),
+hi AS (SELECT sc.*, piece, tq, ta, sq, sa, {threes("piece")} AS held, ' ' || array_to_string(piece, ' ') || ' ' AS said FROM sc JOIN pa USING (doc_id, p) JOIN sh USING (item_id, q, a)),
+ov AS (SELECT doc_id, item_id, score, {share("tq", "sq")} AS oq, {share("ta", "sa")} AS oa FROM hi)
+SELECT doc_id, item_id, round(max(score), 6) AS score, round(max(oq), 6) AS question_overlap, round(max(oa), 6) AS answer_overlap
+FROM ov WHERE oq >= {MIN_OVERLAP} AND oa >= {MIN_OVERLAP} GROUP BY doc_id, item_id
+"""
+
+
+SQL = _sql()

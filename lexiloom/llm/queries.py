@@ -74,4 +74,4 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_bpe": op2_bpe, "op3_nearest": op3_nearest, "op4_ctw": op4_ctw, "op5_near_dup": op5_near_dup, "op6_decontamination": op6_decontamination, "op7_line_dedup": op7_line_dedup, "op8_sharding": op8_sharding, "op9_personal_data": op9_personal_data, "op10_substrings": op10_substrings}
-SQL = {"op5_near_dup": near_dup.SQL, "op7_line_dedup": line_dedup.SQL}
+SQL = {"op5_near_dup": near_dup.SQL, "op6_decontamination": decontam.SQL, "op7_line_dedup": line_dedup.SQL, "op10_substrings": substring_dedup.SQL}
