@@ -7,11 +7,12 @@ open, and every step before it is exact (up to 112-bit hashes of equal position)
 1. Copies of a whole text, but the first, go by the text's digest.
 2. Every LENGTH-byte string holds anchors: positions whose GRAM-byte hash is the least among those inside
    it. Equal strings hold equal anchors, so only anchors found in two documents can matter (one exchange
-   of packed arrays; about one position in sixteen). A gram with more than HOT surroundings in one task's
-   slice stays there, all its places open, and only its smallest and largest owner are exchanged, so a
-   passage that a third of the documents share is no hot group.
+   of packed arrays; about one position in sixteen). Of a gram with more than HOT surroundings in one task
+   only the smallest and largest owner of a slice are exchanged and all places stay open, so a passage
+   that a third of the documents share is no hot group.
 3. An anchor whose whole surrounding - all LENGTH-byte strings that hold it - also stands in a smaller
-   document covers that surrounding. What stays open is near the ends of repeated passages.
+   document covers that surrounding. Of the others, those stay open that share the HALF bytes before or
+   after the gram as well, as every common string asks for: mostly the ends of repeated passages.
 4. The LENGTH-byte prefixes of the suffixes that start at open places are sorted within each task into
    a run of distinct strings with their smallest owner (others lose the string at once), front-coded
    against their predecessors, and exchanged by ranges, as many as the open places ask for. Each range merges its runs with a loser tree: a candidate's common prefix with the last
@@ -40,10 +41,11 @@ from .shingles import mixed
 
 LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM  # a string that holds an anchor starts up to so many bytes before it
+HALF = (REACH + 1) // 2  # and holds so many bytes before it or as many behind it
 SLICE_BYTES = 2_000_000
-HOT = 16
+HOT, HOT_CELLS = 128, 1 << 20
 RUN_STRINGS = 400_000
-RANGE_PLACES, SPLIT_DOCS = 2000, 2000
+RANGE_PLACES, SPLIT_DOCS = 8000, 2000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -72,12 +74,12 @@ def _slide(x: np.ndarray, width: int, f, fill) -> np.ndarray:
 
 
 def anchors(bodies: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Text number, position, gram hash and surrounding's hash of every anchor."""
+    """Text number, position, hashes of gram and surrounding, and of the HALF bytes with it on either side (0: not there) of every anchor."""
     sizes = np.array([len(x) for x in bodies], np.int64)
     a = np.frombuffer(b"".join(bodies), np.uint8)
     n = len(a)
     if n < LENGTH:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64, np.uint16, np.uint16))
     ends = np.repeat(np.cumsum(sizes), sizes)
     begins = np.repeat(np.cumsum(sizes) - sizes, sizes)
     power, inverse = _powers(n)
@@ -96,7 +98,14 @@ def anchors(bodies: list[bytes]) -> tuple[np.ndarray, ...]:
     found = np.flatnonzero((gram == held) & fits)
     lo, hi = np.maximum(begins[found], found - REACH), np.minimum(ends[found], found + LENGTH)
     around = mixed((sums[hi] - sums[lo]) * inverse[lo] + (found - lo).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + (hi - found).astype(np.uint64) * np.uint64(0x165667B19E3779F9))
-    return np.searchsorted(np.cumsum(sizes), found, "right"), found - begins[found], gram[found], around
+
+    def side(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        there = (lo >= begins[found]) & (hi <= ends[found])
+        lo, hi = np.maximum(lo, 0), np.minimum(hi, n)
+        return np.where(there, np.maximum(1, mixed(mixed((sums[hi] - sums[lo]) * inverse[lo])) >> np.uint64(48)), 0).astype(np.uint16)
+
+    left, right = side(found - HALF, found + GRAM), side(found, found + GRAM + HALF)
+    return np.searchsorted(np.cumsum(sizes), found, "right"), found - begins[found], gram[found], around, left, right
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -129,77 +138,90 @@ def _marks(ids, crcs, places, kinds) -> pa.RecordBatch:
 
 
 MARKS = "id long, crc long, place long, kind int"
-COVERED, OPEN = 0, 1
-
-
-def _crowded(gram: np.ndarray, ids: np.ndarray, new: np.ndarray, done: np.ndarray) -> np.ndarray:
-    """Flags the anchors of grams with more than HOT surroundings, but for their smallest and largest ids, which stand for all."""
-    new_gram = np.concatenate([[True], gram[1:] != gram[:-1]])
-    starts, group = np.flatnonzero(new_gram), np.cumsum(new_gram) - 1
-    lead = ~done
-    low = np.minimum.reduceat(np.where(lead, ids, np.iinfo(np.int64).max), starts)[group]
-    high = np.maximum.reduceat(np.where(lead, ids, np.iinfo(np.int64).min), starts)[group]
-    return lead & (np.add.reduceat(new.astype(np.int64), starts)[group] > HOT) & (ids != low) & (ids != high)
+COVERED, BEFORE, BEHIND = 0, 1, 2  # open with as much before the gram as HALF bytes, behind it, or (their sum) both
 
 
 def packed_anchors(buckets: int):
     """Tasks' anchors, dealt to buckets by gram hash, as packed arrays sorted by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = np.zeros(HOT_CELLS, np.int64)  # surroundings of each gram so far; grams that share a cell are only taken for hot sooner
         for b in batches:
             for ids, bodies in _slices(b.column("id").to_pylist(), b.column("text").to_pylist()):
-                text, place, gram, around = anchors(bodies)
+                text, place, gram, around, left, right = anchors(bodies)
                 if not len(text):
                     continue
                 ids, crcs = np.array(ids, np.int64), np.array([zlib.crc32(x) for x in bodies], np.int64)
                 order = np.lexsort((ids[text], around, gram))
-                text, place, gram, around = text[order], place[order], gram[order], around[order]
+                text, place, gram, around, left, right = (x[order] for x in (text, place, gram, around, left, right))
+                owner = ids[text]
                 # Of equal surroundings in this slice the smallest id goes on; larger ids are covered already.
-                new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (around[1:] != around[:-1])])
-                first = ids[text[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]]
-                done = ids[text] > first
-                stays = _crowded(gram, ids[text], new, done)
+                new_gram = np.concatenate([[True], gram[1:] != gram[:-1]])
+                new = new_gram | np.concatenate([[True], around[1:] != around[:-1]])
+                done = owner > owner[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+                starts, group = np.flatnonzero(new_gram), np.cumsum(new_gram) - 1
+                cell = ((gram[starts] >> np.uint64(7)) % np.uint64(HOT_CELLS)).astype(np.int64)
+                np.add.at(sent, cell, np.add.reduceat(new.astype(np.int64), starts))
+                hot = (sent[cell] > HOT)[group]
+                low = np.minimum.reduceat(np.where(done, np.iinfo(np.int64).max, owner), starts)[group]
+                high = np.maximum.reduceat(np.where(done, np.iinfo(np.int64).min, owner), starts)[group]
+                stays = hot & ~done & (owner != low) & (owner != high)
                 bucket = (gram % np.uint64(buckets)).astype(np.int64)
                 bucket[done | stays] = place[done | stays] % buckets
                 small = "<u2" if len(ids) < 65536 else "<u4"
-                for k in np.unique(bucket):
-                    own = bucket == k
-                    main, rest, opened = np.flatnonzero(own & ~done & ~stays), np.flatnonzero(own & done), np.flatnonzero(own & stays)
+                by_bucket = np.argsort(bucket, kind="stable")
+                for own in np.split(by_bucket, np.flatnonzero(np.diff(bucket[by_bucket])) + 1):
+                    main, rest, opened = own[~(done | stays)[own]], own[done[own]], own[stays[own]]
                     known = [x[at].astype("<u4") for at in (rest, opened) for x in (text, place)]
-                    blob = _pack(ids, crcs, gram[main], (around[main] >> np.uint64(32)).astype("<u4"), (around[main] >> np.uint64(16)).astype("<u2"), text[main].astype(small), place[main].astype("<u4"), *known)
-                    yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int32()), pa.array([blob], pa.binary()), pa.array([len(ids) < 65536])], names=["bucket", "blob", "narrow"])
+                    hashes = gram[main], (around[main] >> np.uint64(32)).astype("<u4"), (around[main] >> np.uint64(16)).astype("<u2"), left[main], right[main], hot[main].astype("u1")
+                    blob = _pack(ids, crcs, *hashes, text[main].astype(small), place[main].astype("<u4"), *known)
+                    yield pa.RecordBatch.from_arrays([pa.array([int(bucket[own[0]])], pa.int32()), pa.array([blob], pa.binary()), pa.array([len(ids) < 65536])], names=["bucket", "blob", "narrow"])
 
     return run
 
 
+def _spread(group: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Flags the rows whose group holds two ids."""
+    if not len(group):
+        return np.zeros(0, bool)
+    order = np.argsort(group, kind="stable")
+    new = np.concatenate([[True], np.diff(group[order]) != 0])
+    starts, at = np.flatnonzero(new), np.cumsum(new) - 1
+    out = np.empty(len(group), bool)
+    out[order] = (np.minimum.reduceat(ids[order], starts) < np.maximum.reduceat(ids[order], starts))[at]
+    return out
+
+
 def judge_anchors(table: pa.Table) -> pa.Table:
-    """Marks of one bucket: covered surroundings, and open places of anchors that only share their gram."""
+    """Marks of one bucket: covered surroundings, and open places of anchors that share more than their gram."""
     out, parts = [], []
     for blob, narrow in zip(table.column("blob").to_pylist(), table.column("narrow").to_pylist()):
-        ids, crcs, gram, high, low, text, place, text2, place2, text3, place3 = _unpack(blob, "<i8", "<i8", "<u8", "<u4", "<u2", "<u2" if narrow else "<u4", *["<u4"] * 5)
-        parts.append((gram, high.astype(np.uint64) << np.uint64(16) | low, ids[text], crcs[text], place))
-        for number, at, kind in ((text2, place2, COVERED), (text3, place3, OPEN)):
+        ids, crcs, gram, high, low, left, right, hot, text, place, text2, place2, text3, place3 = _unpack(blob, "<i8", "<i8", "<u8", "<u4", "<u2", "<u2", "<u2", "u1", "<u2" if narrow else "<u4", *["<u4"] * 5)
+        parts.append((gram, high.astype(np.uint64) << np.uint64(16) | low, left, right, hot, ids[text], crcs[text], place))
+        for number, at, kind in ((text2, place2, COVERED), (text3, place3, BEFORE + BEHIND)):
             if len(number):
                 out.append(_marks(ids[number], crcs[number], at, np.full(len(number), kind)))
-    gram, around, ids, crcs, place = (np.concatenate(x) for x in zip(*parts))
+    gram, around, left, right, hot, ids, crcs, place = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((ids, around, gram))
-    gram, around, ids, crcs, place = (x[order] for x in (gram, around, ids, crcs, place))
+    gram, around, left, right, hot, ids, crcs, place = (x[order] for x in (gram, around, left, right, hot, ids, crcs, place))
     n = len(gram)
     if n:
-        at = np.arange(n)
         new_gram = np.concatenate([[True], gram[1:] != gram[:-1]])
         new_around = new_gram | np.concatenate([[True], around[1:] != around[:-1]])
-        group = np.cumsum(new_gram) - 1
-        starts = np.flatnonzero(new_gram)
+        group, starts = np.cumsum(new_gram) - 1, np.flatnonzero(new_gram)
         smallest, largest = np.minimum.reduceat(ids, starts)[group], np.maximum.reduceat(ids, starts)[group]
-        first = ids[np.maximum.accumulate(np.where(new_around, at, 0))]
-        covered = ids > first
-        leader = ids == first
-        opened = leader & (ids > smallest)  # no equal surrounding in a smaller document, but an equal gram
-        sought = np.maximum.reduceat(np.where(opened, ids, np.iinfo(np.int64).min), starts)[group]
-        source = leader & new_around & (ids < sought) & (smallest < largest)
-        for where, kind in ((covered, COVERED), (opened | source, OPEN)):
-            out.append(_marks(ids[where], crcs[where], place[where].astype(np.int64), np.full(int(where.sum()), kind)))
+        leader = ids == ids[np.maximum.accumulate(np.where(new_around, np.arange(n), 0))]
+        hot = np.maximum.reduceat(hot, starts)[group].astype(bool)
+        # No equal surrounding in a smaller document, but an equal gram and as much beside it.
+        opened = np.where(leader & hot & (ids > smallest), BEFORE + BEHIND, 0)
+        for kind, beside in ((BEFORE, left), (BEHIND, right)):
+            rows = np.flatnonzero(leader & ~hot & (smallest < largest) & (beside != 0))
+            opened[rows] |= kind * _spread(group[rows] << 16 | beside[rows], ids[rows])
+        # Of a hot gram some owners are not here: whatever is smaller than an open one stays open with it.
+        sought = np.maximum.reduceat(np.where(opened > 0, ids, np.iinfo(np.int64).min), starts)[group]
+        opened[leader & hot & (ids < sought)] = BEFORE + BEHIND
+        for where, kind in ((~leader, np.zeros(n, np.int64)), (opened > 0, opened)):
+            out.append(_marks(ids[where], crcs[where], place[where].astype(np.int64), kind[where]))
     return pa.Table.from_batches(out, _marks([], [], [], []).schema)
 
 
@@ -303,7 +325,7 @@ def judge_runs(table: pa.Table) -> pa.Table:
     for blob, known in zip(table.column("blob").to_pylist(), table.column("known").to_pylist()):
         if known:
             lost = _unpack(blob, "<i8", "<i8", "<i8")
-            out.append(_marks(*lost, np.full(len(lost[0]), OPEN)))
+            out.append(_marks(*lost, np.zeros(len(lost[0]))))
         else:
             runs.append(Run(blob))
     for holders in merged(runs):
@@ -314,14 +336,18 @@ def judge_runs(table: pa.Table) -> pa.Table:
             for k in range(at.start, at.stop):
                 if run.ids[k] > smallest:
                     ids.append(int(run.ids[k])), crcs.append(int(run.crcs[k])), places.append(int(run.places[k]))
-    return pa.Table.from_batches([*out, _marks(ids, crcs, places, np.full(len(ids), OPEN))])
+    return pa.Table.from_batches([*out, _marks(ids, crcs, places, np.zeros(len(ids)))])
 
 
 def open_strings(bodies: list[bytes], places: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each text, the starts of the strings that hold its open anchors, and the strings."""
+    """For each text, the starts of the strings that its open anchors (place * 4 + kind) leave to be compared, and the strings.
+
+    Where only the bytes before the gram are shared, fewer than HALF behind it can be, and the other way round.
+    """
     for k, (body, own) in enumerate(zip(bodies, places)):
-        own = np.asarray(own, np.int64)
-        starts = np.unique((own[:, None] - np.arange(REACH + 1)[None, :]).ravel())
+        at, kind = np.asarray(own, np.int64) >> 2, np.asarray(own, np.int64) & 3
+        spans = ((BEFORE, REACH, REACH - HALF + 1), (BEHIND, HALF - 1, 0), (BEFORE + BEHIND, REACH, 0))
+        starts = np.unique(np.concatenate([(at[kind == x][:, None] - np.arange(least, most + 1)[None, :]).ravel() for x, most, least in spans]))
         starts = starts[(starts >= 0) & (starts + LENGTH <= len(body))]
         if len(starts):
             a = np.frombuffer(body, np.uint8)
@@ -395,8 +421,8 @@ def substring_dedup(docs: DataFrame, keep: list[str] | None = None, id_col: str
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = fresh.select("id", "text").mapInArrow(packed_anchors(buckets), "bucket int, blob binary, narrow boolean")
     marks = written(dealt.groupBy("bucket").applyInArrow(judge_anchors, MARKS))
-    by_doc = lambda df, name: df.groupBy("id", "crc").agg(F.collect_set("place").alias(name))
-    opened = written(by_doc(marks.where(F.col("kind") == OPEN), "places"))
+    by_doc = lambda df, name, c="place": df.groupBy("id", "crc").agg(F.collect_set(c).alias(name))
+    opened = written(by_doc(marks.where(F.col("kind") > COVERED), "places", F.col("place") * 4 + F.col("kind")))
     sought = fresh.join(sized(opened, "places"), ["id", "crc"])
     # Range borders come from the open strings of a sample of documents that grows with the number of ranges, as Spark's own range partitioning does it.
     ranges = 1 + (opened.agg(F.sum(F.size("places"))).first()[0] or 0) // RANGE_PLACES

@@ -42,6 +42,7 @@ def corpus(rng, n=60):
 @pytest.mark.parametrize("hot", [0, 2, 16])
 def test_equals_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(S, "HOT", hot)
+    monkeypatch.setattr(S, "HOT_CELLS", 1 << 12)
     monkeypatch.setattr(S, "RUN_STRINGS", 300)
     monkeypatch.setattr(S, "RANGE_PLACES", 20)
     for seed in (range(2) if hot else range(2, 3)):
