@@ -47,3 +47,19 @@ def within(inner: Column, outer: Column, slack: float = 0.2) -> Column:
     """Whether a box lies in another that is widened by a share of its sides."""
     dx, dy = (outer["x1"] - outer["x0"]) * slack, (outer["y1"] - outer["y0"]) * slack
     return (inner["x0"] >= outer["x0"] - dx) & (inner["x1"] <= outer["x1"] + dx) & (inner["y0"] >= outer["y0"] - dy) & (inner["y1"] <= outer["y1"] + dy)
+
+
+def anchor(text: Column, quote: Column, line_box: Column, span_box: Column, block_box: Column) -> Column:
+    """Where a quote stands, from the best source there is: its part of a text line, a layout span, its block (degraded), or nowhere."""
+    at = F.position(quote, text)
+    exact = F.when((at > 0) & line_box.isNotNull(), sub_rect(line_box, at - 1, at - 1 + F.length(quote), F.length(text)))
+    precision = F.when(exact.isNotNull(), "exact").when(span_box.isNotNull(), "span").when(block_box.isNotNull(), "block").otherwise("unlocated")
+    return F.struct(precision.alias("precision"), F.coalesce(exact, span_box, block_box).alias("rect"))
+
+
+def shown_rects(rects: Column, page: Column, precision: Column) -> Column:
+    """Rectangles to draw with their page; one whole-page placeholder if there are none or only the page is known."""
+    number = F.coalesce(page, F.lit(1))
+    whole = F.struct(number.alias("page"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(SPAN).alias("x1"), F.lit(SPAN).alias("y1"))
+    drawn = F.transform(rects, lambda r: F.struct(number.alias("page"), *[r[c].alias(c) for c in ("x0", "y0", "x1", "y1")]))
+    return F.when((F.size(rects) <= 0) | (precision == "page"), F.array(whole)).otherwise(drawn)

@@ -122,3 +122,17 @@ def normalized_grid(html_col, markdown_col, text_col) -> Column:
 
 def unescaped(text: str) -> str:
     return html.unescape(text)
+
+
+def plain_html_markdown(c) -> Column:
+    """An HTML table as Markdown by patterns alone, without a parser: simple tables stay JVM-side."""
+    rows = F.regexp_extract_all(col(c), F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1)
+    cells = lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), 1), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, r"<[^>]+>", " "), r"\s+", " ")))
+    return grid_markdown(F.transform(rows, cells))
+
+
+def appendix(tables) -> Column:
+    """A Markdown appendix of tables (filename, section, markdown) with their sources; empty without tables."""
+    source = lambda t: F.concat(t["filename"], F.when(t["section"] != "", F.concat(F.lit(" · "), t["section"])).otherwise(""))
+    part = lambda t: F.concat(F.lit("\n> 来源："), source(t), F.lit("\n\n"), F.trim(t["markdown"]), F.lit("\n"))
+    return F.when(F.size(col(tables)) > 0, F.concat(F.lit("\n\n---\n\n## 原文表格\n"), F.array_join(F.transform(col(tables), part), ""))).otherwise("")

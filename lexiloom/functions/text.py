@@ -116,3 +116,69 @@ def heading_level(c) -> Column:
 
 def is_complex(c) -> Column:
     return (F.length(col(c)) > 20) | col(c).rlike("比较|对比|区别|分析|总结|为什么|如何")
+
+
+# Fixed pattern: how a numbered heading begins.
+HEADING = r"^(第[一二三四五六七八九十百零0-9]+[章节条款]|[一二三四五六七八九十]+[、.．]|（[一二三四五六七八九十]）|\d+[.、])"
+
+
+def is_heading(c, longest: int = 40) -> Column:
+    """A short text that begins with a heading number."""
+    t = F.trim(col(c))
+    return (F.length(t) <= longest) & t.rlike(HEADING)
+
+
+def first_present(*columns) -> Column:
+    """The first text that is not blank, trimmed; empty if none."""
+    return F.coalesce(*[F.nullif(F.trim(col(c)), F.lit("")) for c in columns], F.lit(""))
+
+
+def common_prefix(a, b) -> Column:
+    """Length of the longest common prefix."""
+    a, b = col(a), col(b)
+    n = F.least(F.length(a), F.length(b))
+    grown = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    return F.size(F.filter(grown, lambda i: F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i)))
+
+
+def flattened(c) -> Column:
+    """The text of a plain string, of a JSON list of {text} or of a JSON object with text."""
+    c = col(c)
+    parts = F.transform(F.from_json(c, "array<struct<text: string>>"), lambda x: x["text"])
+    return F.when(c.startswith("["), F.array_join(F.array_compact(parts), "")).when(c.startswith("{"), F.coalesce(F.get_json_object(c, "$.text"), F.lit(""))).otherwise(c)
+
+
+def partial_answer(c) -> Column:
+    """The answer so far in JSON that may still be arriving; null before it begins or while it ends inside an escape."""
+    c = col(c)
+    closed = F.regexp_extract_all(c, F.lit(r'"answer"\s*:\s*"((?:[^"\\]|\\.)*)"'), 1)
+    opened = F.regexp_replace(F.regexp_extract(c, r'(?s)"answer"\s*:\s*"(.*)$', 1), r"\\$", "")
+    body = F.when(F.size(closed) > 0, F.element_at(closed, -1)).when(opened != "", opened)
+    return F.get_json_object(F.concat(F.lit('{"a":"'), body, F.lit('"}')), "$.a")
+
+
+def route_label(decision) -> Column:
+    """local if the decision says so or is missing, else web."""
+    d = F.lower(col(decision))
+    return F.when(d.isNull() | F.contains(d, F.lit("local")), "local").otherwise("web")
+
+
+def hashed_vector(c, dims: int = 16) -> Column:
+    """Token counts by the first hexadecimal digit of their hash: a stand-in where no embedding service is at hand."""
+    digits = F.transform(tokens(c), lambda t: F.conv(F.left(F.md5(t.cast("binary")), F.lit(1)), 16, 10).cast("int") % dims)
+    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda k: F.size(F.filter(digits, lambda x: x == k)).cast("double"))
+
+
+def parsed_time(c, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    """A timestamp, or null for what is none."""
+    return F.try_to_timestamp(col(c), F.lit(pattern))
+
+
+def threshold(c) -> Column:
+    """A decimal from text with thousands separators; null if it is none, which leaves a rule indeterminate."""
+    return F.regexp_replace(col(c), "[,，]", "").try_cast("decimal(38,6)")
+
+
+def model_items(c, schema: str) -> Column:
+    """The items of the first {...} in a model's answer; null if it does not parse."""
+    return F.from_json(F.regexp_extract(col(c), r"(?s)\{.*\}", 0), f"items array<{schema}>")["items"]

@@ -10,16 +10,39 @@ from lexiloom.functions import grids as G
 
 def markdown_blocks(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
     """heading, table and paragraph blocks: neighbouring lines of one kind are an island, headings stand alone."""
-    lines = docs.select(key, F.posexplode(F.split(text_col, "\n", -1)).alias("line", "text"))
     trimmed = F.trim("text")
     kind = F.when(trimmed == "", "blank").when(trimmed.startswith("#"), "heading").when(trimmed.startswith("|"), "table").otherwise("paragraph")
+    return _islands(_lines(docs, key, text_col).withColumn("type", kind), key, r"^\s*(#+)")
+
+
+def strict_markdown_blocks(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As above, but a heading needs one to six marks and a blank, a table a separator below its first line; a paragraph's lines are joined by blanks."""
+    order = Window.partitionBy(key).orderBy("line")
+    piped = F.contains(F.col("text"), F.lit("|"))
+    lines = _lines(docs, key, text_col).withColumn("piped", piped)
+    after = F.lead("text").over(order)
+    lines = lines.withColumn("start", F.col("piped") & F.coalesce(F.contains(after, F.lit("|")) & G.is_separator(F.trim(after)), F.lit(False)))
+    run = F.sum((~F.col("piped")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    begun = F.max("start").over(Window.partitionBy(key, "run").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
+    lines = lines.withColumn("run", run).withColumn("in_table", F.col("piped") & begun)
+    kind = F.when(F.col("in_table"), "table").when(F.trim("text") == "", "blank").when(F.col("text").rlike(r"^#{1,6}\s+"), "heading").otherwise("paragraph")
+    out = _islands(lines.withColumn("type", kind).select(key, "line", "text", "type"), key, r"^(#{1,6})\s")
+    return out.withColumn("text", F.when(F.col("type") == "paragraph", F.regexp_replace("text", "\n", " ")).otherwise(F.col("text")))
+
+
+def _lines(docs: DataFrame, key: str, text_col: str) -> DataFrame:
+    return docs.select(key, F.posexplode(F.split(text_col, "\n", -1)).alias("line", "text"))
+
+
+def _islands(lines: DataFrame, key: str, marks: str) -> DataFrame:
+    """Neighbouring lines of one type as one block; headings stand alone and lose their marks."""
     order = Window.partitionBy(key).orderBy("line")
-    marked = lines.withColumn("type", kind).withColumn("new", ((F.col("type") == "heading") | ~F.col("type").eqNullSafe(F.lag("type").over(order))).cast("int"))
+    marked = lines.withColumn("new", ((F.col("type") == "heading") | ~F.col("type").eqNullSafe(F.lag("type").over(order))).cast("int"))
     island = F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))
     grouped = marked.withColumn("island", island).where("type <> 'blank'").groupBy(key, "island", "type").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("l"))
     blocks = grouped.select(key, "type", F.array_join("l.text", "\n").alias("raw"), F.get("l", F.lit(0))["line"].alias("line"))
     text = F.when(F.col("type") == "heading", F.trim(F.regexp_replace("raw", r"^\s*#+", ""))).otherwise(F.col("raw"))
-    level = F.when(F.col("type") == "heading", F.length(F.regexp_extract("raw", r"^\s*(#+)", 1)))
+    level = F.when(F.col("type") == "heading", F.length(F.regexp_extract("raw", marks, 1)))
     return blocks.select(key, "line", "type", level.alias("level"), text.alias("text"))
 
 

@@ -129,6 +129,26 @@ def recursive(text: Column) -> Column:
     return cut(text)
 
 
+def sentence_chunks(text: Column, most: int = CHUNK, overlap: int = STRUCTURE_OVERLAP) -> Column:
+    """Sentence windows of each text."""
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: sentence_windows(t or "", most, overlap))
+
+    return cut(text)
+
+
+def table_chunks(text: Column, most: int = CHUNK) -> Column:
+    """Row windows of each Markdown table, every one with the table's head."""
+
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: table_windows(t or "", most))
+
+    return cut(text)
+
+
 def clauses(text) -> Column:
     """Split before each numbered clause."""
     return F.filter(F.split(text, r"(?=第[一二三四五六七八九十百零〇\d]+条)", -1), lambda p: p != "")

@@ -66,6 +66,12 @@ def amounts(text) -> Column:
     return find(T.col(text))
 
 
+def canonical_unit(unit) -> Column:
+    """A unit by its canonical name; others lower-cased."""
+    low = F.lower(F.trim(T.col(unit)))
+    return F.coalesce(F.create_map(*[F.lit(x) for pair in UNITS.items() for x in pair])[low], low)
+
+
 def compared(value: Column, how: str, threshold: Column) -> Column:
     return {"gt": value > threshold, "gte": value >= threshold, "lt": value < threshold, "lte": value <= threshold, "eq": value == threshold}[how]
 

@@ -98,6 +98,29 @@ def admissions(requests: DataFrame, governor: str, time: str, limit: int, second
     return wide.groupBy(governor).applyInPandas(admit, f"{_ddl(wide)}, admitted boolean")
 
 
+def upserted(base: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` win over ``base`` by key."""
+    return base.join(rows.select(key), key, "left_anti").select(base.columns).unionByName(rows.select(base.columns))
+
+
+def inserted_if_absent(base: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    return upserted(rows, base, key)
+
+
+def merged_maps(base, over) -> Column:
+    """Two maps as one; the right one wins."""
+    return F.map_zip_with(base, over, lambda _, a, b: F.coalesce(b, a))
+
+
+def decoded_events(streams: DataFrame, key: str, text_col: str) -> DataFrame:
+    """Events of a server-sent text: blocks between blank lines, the incomplete last one left out, nothing after a terminal event."""
+    blocks = F.split(text_col, "\n\n", -1)
+    rows = streams.select(key, F.posexplode(F.slice(blocks, 1, F.size(blocks) - 1)).alias("n", "block"))
+    event = F.coalesce(F.nullif(F.trim(F.regexp_extract("block", r"(?m)^event:(.*)$", 1)), F.lit("")), F.lit("message"))
+    rows = rows.select(key, "n", event.alias("event"), F.trim(F.regexp_extract("block", r"(?m)^data:(.*)$", 1)).alias("data"))
+    return until_terminal(rows, key, ["n"], F.col("event").isin("done", "error"))
+
+
 def visible(chunks: DataFrame, active: DataFrame, legacy: DataFrame, tombstones: DataFrame) -> DataFrame:
     """Chunks of an active (doc, version), or without version of a legacy document; never of a tombstoned one."""
     alive = chunks.join(tombstones.select("doc_id").distinct(), "doc_id", "left_anti")

@@ -22,7 +22,7 @@ def duck():
 
 
 def plain(v):
-    if v is None or v != v or str(v) == "<NA>":
+    if str(v) in ("None", "nan", "NaT", "<NA>"):
         return "None"
     if isinstance(v, float) and not math.isinf(v):
         return f"{v:.5f}".rstrip("0").rstrip(".")
