@@ -136,8 +136,8 @@ class Block:
                 rows = lo + np.flatnonzero((((self.points[part] - point) ** 2).sum(1) <= LIMIT * kth * kth) & (self.ids[part] != query_id))
                 exact = np.sqrt(((self.vectors[rows] - vector) ** 2).sum(1))
                 best += [(float(d), int(i)) for d, i in zip(exact, self.ids[rows]) if d <= kth]
-                if len(best) > k:
-                    best = heapq.nsmallest(k, best)
+                if len(best) >= k:
+                    best = heapq.nsmallest(k, best)  # in order of distance at exactly k too: best[k - 1] is read as the k-th
                 kth = min(bound, best[k - 1][0]) if len(best) >= k else bound
         return sorted(best)[:k]
 

@@ -41,3 +41,20 @@ def test_few_and_none(spark):
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 2.5])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in knn.nearest(few, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 0.5)]
     assert knn.nearest(few.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+def test_kth_distance_is_the_largest_of_exactly_k(monkeypatch):
+    monkeypatch.setattr(knn, "BUCKET", 2)
+    ids, distance, point = np.arange(4), np.array([[5.0], [1.0], [3.0], [9.0]]), np.array([[0.1], [0.2], [0.3], [9.0]])
+    block = knn.Block(ids, distance, point)
+    assert block.search(-1, np.zeros(1), np.zeros(1), 2, 6.0) == [(1.0, 1), (3.0, 2)]  # 5 and 1 come first, in that order
+
+
+def test_bounded_search_finds_what_full_scan_finds(monkeypatch):
+    monkeypatch.setattr(knn, "BUCKET", 4)
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(400, 3))
+    block = knn.Block(np.arange(400), vectors, vectors)  # points are the vectors: the stopping test loses nothing
+    for q in rng.normal(size=(100, 3)):
+        scan = sorted((float(d), i) for i, d in enumerate(np.sqrt(((vectors - q) ** 2).sum(1))))[:10]
+        assert [i for _, i in block.search(-1, q, q, 10, scan[-1][0] * 1.3)] == [i for _, i in scan]
