@@ -6,12 +6,14 @@ binary decisions; each has a context tree over the bytes before it, up to DEPTH.
 with a Krichevsky-Trofimov estimate and is mixed with what lies below it, half and half a priori, so
 the prediction weighs all depths by how well they coded the training texts.
 
-Training counts every byte of every training text: tasks pre-aggregate (context, byte) strings, Spark
-adds them up, and a context becomes a node if it holds at least SHARE of all bytes. That rule does not
-depend on the corpus's size and leaves at most 1/SHARE nodes a depth, whatever the corpus; bytes whose
-longer context is no node count in their node's one further child. The tree's probabilities are then
-a table of nodes times 256 bytes. Words with at least WORD_SHARE of all tokens (at most 1/WORD_SHARE)
-are looked up in the scoring pass; all others, which cannot be hot, go through a shuffled join.
+Training counts every byte of every training text: tasks pre-aggregate (context, byte) strings and Spark
+adds them up. Every context that occurs is a node, so the model grows with the corpus. Contexts that
+share their CUT nearest bytes make up one subtree; subtrees are dealt to buckets, which run the
+recursion of their depths and hand their sums to the depths above. Those, at most 256^(CUT-1) contexts
+whatever the corpus, are mixed on the driver. Scoring tasks pre-aggregate what their texts ask, slice by
+slice; each bucket answers all slices' questions from its part of the table, and no task or driver
+holds the table. Words with at least WORD_SHARE of all tokens (at most 1/WORD_SHARE) are looked up in
+the scoring pass; all others, which cannot be hot, go through a shuffled join.
 
 Defined results: null and empty texts are the end token alone; repeated rows score alike; with no
 training text every bit has probability 1/2 and every token 1; an empty table gives no rows; other
@@ -27,14 +29,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import packed, written
 from .shingles import words
 
-DEPTH = 5
-SHARE, WORD_SHARE = 2.0**-16, 2.0**-20
+DEPTH, CUT = 5, 3
+WORD_SHARE = 2.0**-20
 SLICE_BYTES = 6_000_000
 HELD_GRAMS, HELD_WORDS = 3_000_000, 1_000_000
 END = b"\n"
@@ -51,8 +55,8 @@ def _buffer(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return a, np.cumsum(sizes + DEPTH) - sizes, sizes
 
 
-def gram_counts(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (byte, DEPTH bytes before it) strings as integers - the byte lowest, then the nearest - and their counts."""
+def positions(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every byte's (byte, DEPTH bytes before it) string as an integer - the byte lowest, then the nearest; where each body's bytes start, and how many it has."""
     a, starts, sizes = _buffer(bodies)
     code = np.zeros(len(a), np.uint64)
     for k in range(DEPTH + 1):
@@ -60,7 +64,12 @@ def gram_counts(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     inside = np.ones(len(a), bool)
     for k in range(1, DEPTH + 1):
         inside[starts - k] = False
-    return np.unique(code[inside], return_counts=True)
+    return code[inside].astype(np.int64), np.cumsum(sizes) - sizes, sizes
+
+
+def gram_counts(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct strings of ``positions`` and their counts."""
+    return np.unique(positions(bodies)[0], return_counts=True)
 
 
 def counts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -115,8 +124,8 @@ def counts(docs: DataFrame, text_col: str) -> DataFrame:
 
 @dataclass
 class Model:
-    child: np.ndarray  # nodes x 256: the node one byte further back, or -1
-    logp: np.ndarray  # nodes x 256: log10 probability of a byte where no longer context is a node
+    grams: DataFrame  # (gram, n): every context and byte of the training texts
+    top: list  # depths below CUT, each a list of eight levels' (entries, gathered, left)
     words: dict  # log10(c + 0.1) of frequent words
     end: float
     known_end: bool
@@ -159,7 +168,7 @@ def _bytes(ones: np.ndarray) -> np.ndarray:
 
 
 def weighted(depth: np.ndarray, context: np.ndarray, byte: np.ndarray, n: np.ndarray, chunk: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-    """``child`` and ``logp`` from the nodes' byte counts; works through the nodes in chunks of bounded size."""
+    """``child`` and ``logp`` of a small tree held in one place, from the nodes' byte counts, which add up; in chunks of bounded size."""
     key = depth.astype(np.int64) << 48 | context
     keys = np.unique(np.concatenate([key, [0]]))  # by depth, so that parents come before children
     node = np.searchsorted(keys, key)
@@ -171,7 +180,7 @@ def weighted(depth: np.ndarray, context: np.ndarray, byte: np.ndarray, n: np.nda
     child = np.full((size, 256), -1, np.int32)
     child[parent[1:], oldest[1:]] = np.arange(1, size)
     cells = np.zeros((size, 256), np.float32 if n.max(initial=0) < 1 << 24 else np.float64)
-    cells[node, byte] = n
+    np.add.at(cells, (node, byte), n)
     rest = cells.copy()
     for lo in range(1, size, chunk):
         np.subtract.at(rest, parent[lo : lo + chunk], cells[lo : lo + chunk])
@@ -205,22 +214,170 @@ def weighted(depth: np.ndarray, context: np.ndarray, byte: np.ndarray, n: np.nda
     return child, logp
 
 
+_HALVES, _WHOLES = (np.concatenate([[np.log(np.pi) / 2 if at == 0.5 else 0.0], _lgamma(np.arange(1, 4096) + at)]) for at in (0.5, 1.0))
+
+
+def _log_kt_counts(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """``_log_kt`` of whole counts: small ones from tables."""
+    both = zeros + ones
+    low = np.minimum(both, 4095)
+    out = _HALVES[np.minimum(zeros, 4095)] + _HALVES[np.minimum(ones, 4095)] - _WHOLES[low] - np.log(np.pi)
+    large = np.flatnonzero(both > 4095)
+    out[large] = _log_kt(zeros[large].astype(np.float64), ones[large].astype(np.float64))
+    return out
+
+
+def trie(gram: np.ndarray) -> np.ndarray:
+    """Grams with the nearest byte highest, then those before it, and the coded byte lowest: a context's grams are neighbours."""
+    gram = gram.astype(np.int64)
+    out = gram & 255
+    for k in range(1, DEPTH + 1):
+        out |= ((gram >> (8 * k)) & 255) << (8 * (DEPTH + 1 - k))
+    return out
+
+
+def _near() -> int:
+    return (1 << (8 * min(CUT, DEPTH))) - 1
+
+
+def bucket_of(gram: np.ndarray, buckets: int) -> np.ndarray:
+    """By the CUT nearest bytes; the same as ``bucket_column``."""
+    return (((gram.astype(np.int64) >> 8) & _near()) * 2654435761 >> 16) % buckets
+
+
+def bucket_column(gram: Column, buckets: int) -> Column:
+    return F.pmod(F.shiftright(F.shiftright(gram, 8).bitwiseAND(_near()) * F.lit(2654435761), 16), F.lit(buckets)).cast("int")
+
+
+def _buckets(spark: SparkSession) -> int:
+    return max(16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _entry(code: np.ndarray, depth: int, level: int) -> np.ndarray:
+    """A node's decision: its context of so many bytes, and the ``level`` highest bits of the coded byte."""
+    return (code >> (8 * (DEPTH + 1 - depth))) << level | (code & 255) >> (8 - level)
+
+
+def _parent(entry: np.ndarray, level: int) -> np.ndarray:
+    return (entry >> (level + 8)) << level | entry & ((1 << level) - 1)
+
+
+def _summed(keys: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+    distinct, at = np.unique(keys, return_inverse=True)
+    return [distinct, *(np.bincount(at, c, len(distinct)).astype(c.dtype) for c in columns)]
+
+
+def _mixed(depth: int, entry: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A depth's log probabilities, and the weights of the nodes' own estimates against what lies below."""
+    estimate = _log_kt_counts(zeros, ones)
+    if depth == DEPTH:
+        return estimate, np.ones(len(entry))
+    mixed = np.logaddexp(estimate, below) - np.log(2)
+    return mixed, np.exp(estimate - np.log(2) - mixed)
+
+
+def subtrees(code: np.ndarray, n: np.ndarray) -> tuple[dict, list]:
+    """From whole subtrees' grams: (depth, level) -> (entries, zeros, ones, weights) from CUT down, and what each level hands to the depth above (entries, zeros, ones, log probabilities below)."""
+    held, above = {}, []
+    cut = min(CUT, DEPTH)
+    for level in range(8):
+        bit = (code >> (7 - level)) & 1
+        entry, zeros, ones = _summed(_entry(code, DEPTH, level), n * (1 - bit), n * bit)
+        below = np.zeros(len(entry))
+        for depth in range(DEPTH, cut - 1, -1):
+            mixed, weight = _mixed(depth, entry, zeros, ones, below)
+            held[depth, level] = entry, zeros, ones, weight
+            entry, zeros, ones, below = _summed(_parent(entry, level), zeros, ones, mixed)
+        above.append((entry, zeros, ones, below))
+    return held, above
+
+
+def _downward(depth: int, level: int, entry, zeros, ones, weight, before) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries, the probability of a one gathered down to each, and the share left to what lies below it."""
+    gathered, left = 0.0, 1.0
+    if before is not None:
+        at = np.searchsorted(before[0], _parent(entry, level))
+        gathered, left = before[1][at], before[2][at]
+    return entry, gathered + left * weight * (ones + 0.5) / (zeros + ones + 1), left * (1 - weight)
+
+
+def top_depths(grams: DataFrame) -> list:
+    """The depths above CUT of the whole tree."""
+
+    def run(part: pa.Table) -> pa.Table:
+        _, above = subtrees(trie(part.column("gram").to_numpy()), part.column("n").to_numpy())
+        columns = [np.concatenate(x) for x in zip(*((np.full(len(a[0]), level), *a) for level, a in enumerate(above)))]
+        return pa.table(dict(zip(("level", "entry", "zeros", "ones", "below"), columns)))
+
+    dealt = grams.select("gram", "n", bucket_column(F.col("gram"), _buckets(grams.sparkSession)).alias("bucket"))
+    parts = dealt.groupBy("bucket").applyInArrow(run, "level long, entry long, zeros long, ones long, below double")
+    sums = parts.groupBy("level", "entry").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).toArrow()  # at most 256^(CUT - 1) contexts, whatever the corpus
+    columns = {c: sums.column(c).to_numpy() for c in sums.column_names}
+    depths = [[None] * 8 for _ in range(min(CUT, DEPTH))]
+    for level in range(8):
+        own = np.flatnonzero(columns["level"] == level)
+        own = own[np.argsort(columns["entry"][own])]
+        entry, zeros, ones, below = (columns[c][own] for c in ("entry", "zeros", "ones", "below"))
+        up = []
+        for depth in range(len(depths) - 1, -1, -1):
+            mixed, weight = _mixed(depth, entry, zeros, ones, below)
+            up.append((depth, entry, zeros, ones, weight))
+            entry, zeros, ones, below = _summed(_parent(entry, level), zeros, ones, mixed)
+        before = None
+        for depth, *node in reversed(up):
+            before = depths[depth][level] = _downward(depth, level, *node, before)
+    return depths
+
+
+def answers(code: np.ndarray, n: np.ndarray, asked: np.ndarray, top: list) -> np.ndarray:
+    """log10 probabilities of the asked (context, byte) strings, whose subtrees' grams are all given."""
+    held, _ = subtrees(code, n)
+    out = np.zeros(len(asked))
+    for level in range(8):
+        gathered, left, alive = np.zeros(len(asked)), np.ones(len(asked)), np.ones(len(asked), bool)
+        before = None
+        for depth in range(DEPTH + 1):
+            before = top[depth][level] if depth < len(top) else _downward(depth, level, *held[depth, level], before)
+            if not len(before[0]):
+                break
+            entry = _entry(asked, depth, level)
+            at = np.minimum(np.searchsorted(before[0], entry), len(before[0]) - 1)
+            alive &= before[0][at] == entry
+            gathered, left = np.where(alive, before[1][at], gathered), np.where(alive, before[2][at], left)
+        p = np.clip(gathered + left / 2, 1e-12, 1 - 1e-12)  # a decision that no text has come to is even
+        out += np.log10(np.where((asked >> (7 - level)) & 1, p, 1 - p))
+    return out
+
+
+def _packed_codes(code: np.ndarray) -> bytes:
+    steps = np.diff(code, prepend=0)
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _unpacked_codes(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).ravel())
+
+
+def _slice_grams(bodies: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """A slice's distinct grams in the order of their buckets, then of the trie; and their buckets."""
+    gram, _ = gram_counts(bodies)
+    own = bucket_of(gram, buckets)
+    order = np.lexsort((trie(gram), own))
+    return gram[order].astype(np.int64), own[order]
+
+
 def train(docs: DataFrame, text_col: str = "text") -> Model:
     found = written(counts(docs, text_col))
     grams = found.where("gram IS NOT NULL")
     tokens = found.where("gram IS NULL")
     totals = tokens.agg(F.sum("n").alias("total"), F.count(F.when(F.col("n") > 0, 1)).alias("distinct"), F.sum(F.when(F.col("word").isNull(), F.col("n"))).alias("ends")).first()
     total, ends = totals.total or 0, totals.ends or 0
-    size = grams.agg(F.sum("n")).first()[0] or 0
-    levels = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), F.shiftright("gram", 8).bitwiseAND((1 << (8 * d)) - 1).alias("context")) for d in range(DEPTH + 1)]))
-    cells = grams.select(levels.alias("at"), F.col("gram").bitwiseAND(255).alias("byte"), "n").groupBy("at.depth", "at.context", "byte").agg(F.sum("n").alias("n"))
-    nodes = written(cells.groupBy("depth", "context").agg(F.sum("n").alias("held")).where(F.col("held") >= size * SHARE).select("depth", "context"))
-    rows = cells.join(F.broadcast(nodes), ["depth", "context"]).toArrow()  # at most (DEPTH + 1) / SHARE nodes
-    child, logp = weighted(*(rows.column(c).to_numpy().astype(np.int64) for c in ("depth", "context", "byte", "n")))
+    top = top_depths(grams)
     words_only = tokens.where("word IS NOT NULL")
     frequent = words_only.where(F.col("n") >= total * WORD_SHARE).select("word", "n").toArrow()  # at most 1 / WORD_SHARE words
     known = dict(zip(frequent.column("word").to_pylist(), np.log10(frequent.column("n").to_numpy() + 0.1).tolist()))
-    return Model(child, logp, known, float(np.log10(ends + 0.1)), ends > 0, int(total), int(totals.distinct or 0), words_only.where(F.col("n") < total * WORD_SHARE).select("word", "n"))
+    return Model(grams.select("gram", "n"), top, known, float(np.log10(ends + 0.1)), ends > 0, int(total), int(totals.distinct or 0), words_only.where(F.col("n") < total * WORD_SHARE).select("word", "n"))
 
 
 def text_scores(bodies: list[bytes], child: np.ndarray, logp: np.ndarray) -> np.ndarray:
@@ -242,16 +399,18 @@ def text_scores(bodies: list[bytes], child: np.ndarray, logp: np.ndarray) -> np.
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns ``_row``, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte for each row."""
     framed = docs.select(packed(docs, keep=keep), F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
-    shared = docs.sparkSession.sparkContext.broadcast((model.child, model.logp, model.words, model.end, model.known_end))
+    spark = docs.sparkSession
+    shared, top, buckets = spark.sparkContext.broadcast((model.words, model.end, model.known_end)), spark.sparkContext.broadcast(model.top), _buckets(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        child, logp, known, end, known_end = shared.value
+        known, end, known_end = shared.value
+        number = TaskContext.get().partitionId() << 32
         for b in batches:
             texts, begin = b.column("_text").to_pylist(), 0
             while begin < len(texts):
                 bodies, size, first = [], 0, begin
                 crc, tokens, hits, base, light = [], [], [], [], []
-                while begin < len(texts) and size < SLICE_BYTES // 3:
+                while begin < len(texts) and size < SLICE_BYTES:
                     found = words(texts[begin])
                     bodies.append(coded(found))
                     size += len(bodies[-1])
@@ -268,13 +427,51 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, id_col:
                     light.append([*rare, (None, 1)] if rare else [])
                     begin += 1
                 arrays = [b.column("_row").slice(first, begin - first), b.column("_id").slice(first, begin - first), pa.array(crc, pa.int64()), pa.array(tokens, pa.int64()), pa.array(hits, pa.int64()), pa.array(base, pa.float64())]
-                arrays += [pa.array(text_scores(bodies, child, logp)), pa.array([len(x) for x in bodies], pa.int64())]
+                sizes = np.array([len(x) for x in bodies], np.int64)
+                grams, own = _slice_grams(bodies, buckets)
+                edges = np.flatnonzero(np.diff(own, prepend=-1))
+                asks = [{"bucket": int(own[i]), "codes": _packed_codes(trie(grams[i:j]))} for i, j in zip(edges, [*edges[1:], len(own)])]
+                body = zstandard.ZstdCompressor(1).compress(np.int64(len(sizes)).tobytes() + sizes.tobytes() + b"".join(bodies))
+                count = len(bodies)
+                arrays += [pa.array(sizes), pa.array(np.full(count, number)), pa.array(np.arange(count)), pa.array([body] + [None] * (count - 1), pa.binary())]
+                arrays.append(pa.array([asks] + [None] * (count - 1), pa.list_(pa.struct([("bucket", pa.int32()), ("codes", pa.binary())]))))
                 arrays.append(pa.array([[{"word": w, "n": n} for w, n in x] for x in light], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))))
-                yield pa.RecordBatch.from_arrays(arrays, names=["_row", "_id", "_crc", "n_tokens", "_hits", "_base", "score", "_bytes", "_light"])
-
-    schema = f"_row {framed.schema['_row'].dataType.simpleString()}, _id long, _crc long, n_tokens long, _hits long, _base double, score double, _bytes long, _light array<struct<word: binary, n: long>>"
-    scored = written(framed.mapInArrow(run, schema))
-    rare = scored.where(F.size("_light") > 0).select("_id", "_crc", F.explode("_light").alias("w")).select("_id", "_crc", "w.word", F.col("w.n").alias("times"))
+                number += 1
+                yield pa.RecordBatch.from_arrays(arrays, names=["_row", "_id", "_crc", "n_tokens", "_hits", "_base", "_bytes", "_slice", "_at", "_body", "_asks", "_light"])
+
+    def answer(key, own: pa.Table, asking: pa.Table) -> pa.Table:
+        gram, n = own.column("gram").to_numpy(), own.column("n").to_numpy()
+        asked = [_unpacked_codes(x) for x in asking.column("codes").to_pylist()]
+        distinct = np.unique(np.concatenate([np.zeros(0, np.int64), *asked]))
+        logp = answers(trie(gram), n, distinct, top.value).astype(np.float32)
+        found = [logp[np.searchsorted(distinct, x)].tobytes() for x in asked]
+        return pa.table({"_slice": asking.column("_slice"), "bucket": asking.column("bucket"), "logp": pa.array(found, pa.binary())})
+
+    def add_up(key, bodies: pa.Table, found: pa.Table) -> pa.Table:
+        raw = zstandard.ZstdDecompressor().decompress(bodies.column("_body")[0].as_py())
+        count = int(np.frombuffer(raw, np.int64, 1)[0])
+        sizes = np.frombuffer(raw, np.int64, count, 8)
+        ends = 8 * (count + 1) + np.cumsum(sizes)
+        texts = [raw[e - x : e] for x, e in zip(sizes, ends)]
+        grams, _ = _slice_grams(texts, buckets)
+        by = np.argsort(found.column("bucket").to_numpy())
+        logp = np.frombuffer(b"".join(found.column("logp").take(pa.array(by)).to_pylist()), np.float32)
+        order = np.argsort(grams)
+        grams, logp = grams[order], logp[order].astype(np.float64)
+        code, starts, own = positions(texts)
+        p = logp[np.searchsorted(grams, code)]
+        sums = np.concatenate([[0.0], np.cumsum(p)])
+        return pa.table({"_slice": pa.array(np.full(count, key[0].as_py())), "_at": pa.array(np.arange(count)), "score": pa.array(sums[starts + own] - sums[starts])})
+
+    schema = f"_row {framed.schema['_row'].dataType.simpleString()}, _id long, _crc long, n_tokens long, _hits long, _base double, _bytes long, _slice long, _at long, _body binary, _asks array<struct<bucket: int, codes: binary>>, _light array<struct<word: binary, n: long>>"
+    framed = written(framed.mapInArrow(run, schema))
+    asks = framed.where("_asks IS NOT NULL").select("_slice", F.explode("_asks").alias("ask")).select("_slice", "ask.bucket", "ask.codes")
+    dealt = model.grams.select("gram", "n", bucket_column(F.col("gram"), buckets).alias("bucket"))
+    found = dealt.groupBy("bucket").cogroup(asks.groupBy("bucket")).applyInArrow(answer, "_slice long, bucket int, logp binary")
+    bodies = framed.where("_body IS NOT NULL").select("_slice", "_body")
+    scores = bodies.groupBy("_slice").cogroup(found.groupBy("_slice")).applyInArrow(add_up, "_slice long, _at long, score double")
+    scored = framed.drop("_body", "_asks").join(scores, ["_slice", "_at"])
+    rare = framed.where(F.size("_light") > 0).select("_id", "_crc", F.explode("_light").alias("w")).select("_id", "_crc", "w.word", F.col("w.n").alias("times"))
     looked = rare.where("word IS NOT NULL").join(model.light, "word", "left")
     # Rows repeated in (id, checksum) add their rare words together; each has brought one mark to divide by.
     parts = looked.select("_id", "_crc", (F.log10(F.coalesce("n", F.lit(0)) + 0.1) * F.col("times")).alias("add"), F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0).alias("hit"), F.lit(0).alias("mark"))

@@ -209,6 +209,28 @@ def test_language_model_scores(spark, monkeypatch):
     assert all(r.base_score == pytest.approx(0) and r.n_known == 0 for r in ctw.score(df, none).collect())
 
 
+def test_trained_scores_keep_every_context(spark, monkeypatch):
+    """Scores through train() and score() are the recursion's on the whole tree, rare and unseen contexts included, for every way of dealing."""
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choice(["ab", "abc", "b", "ca"]) for _ in range(rng.randint(0, 30)))) for i in range(60)]
+    rows += [(100, "qu"), (101, "quartz vex"), (102, "ab quartz"), (103, None), (104, "zzzz new")]
+    learned = [ctw.coded(words(t)) for i, t in rows if i <= 101]
+    for size in (40, 6_000_000):
+        monkeypatch.setattr(ctw, "SLICE_BYTES", size)
+        model = ctw.train(table(spark, rows).where("doc_id <= 101"))
+        assert model.grams.count() == len(ctw.gram_counts(learned)[0])
+        got = {r._row.doc_id: r.score for r in ctw.score(table(spark, rows), model, keep=["doc_id"]).collect()}
+        assert len(got) == len(rows)
+        for i in (0, 7, 100, 101, 102, 103, 104):
+            assert got[i] == pytest.approx(naive_ctw(learned, ctw.coded(words(dict(rows)[i])), ctw.DEPTH), rel=1e-5)
+
+
+def test_rare_contexts_stay_beside_a_large_text(spark):
+    rows = [(1, "ab abc " * 20_000), (2, "quartz vex")]  # each context of the second is under 1 / 65,536 of all bytes
+    got = {r._row.doc_id: r.score for r in ctw.score(table(spark, rows), ctw.train(table(spark, rows)), keep=["doc_id"]).collect()}
+    assert got[2] == pytest.approx(naive_ctw([ctw.coded(words(t)) for _, t in rows], ctw.coded(words(rows[1][1])), ctw.DEPTH), rel=1e-4)
+
+
 def test_toxicity(spark):
     rng = random.Random(9)
     plain = ["".join(rng.choice(["ra", "to", "mi", "len", "so", "pu"]) for _ in range(rng.randint(1, 4))) for _ in range(3000)]
