@@ -4,8 +4,8 @@ Training takes a bounded sample of labelled rows (``MAX_TOXIC_ROWS``, ``MAX_ORDI
 texts, ``MAX_SAMPLE_BYTES`` bytes; smallest row hashes first, so the sample does not depend on the
 layout) and everything else covers all rows. Half of the sample trains the dictionaries:
 
-* the ordinary dictionary is trained on windows of ordinary texts;
-* the toxic dictionary is trained on the words of toxic texts that far more toxic than ordinary
+* the ordinary dictionary is trained on all windows of the ordinary texts;
+* the toxic dictionary is not trained: it is a list of words of toxic texts that far more toxic than ordinary
   texts hold (log odds times the root of their share of toxic texts, at least ``MIN_WEIGHT``), and stands before the same ordinary content, so
   that what both have in common cancels out and the two lengths differ by toxic segments alone.
 
@@ -121,7 +121,7 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
     odds = {w: np.log((n + 0.5) / (len(learn_t) + 1) * (len(learn_o) + 1) / (in_ordinary[w] + 0.5)) for w, n in in_toxic.items() if n >= max(MIN_SUPPORT, MIN_SHARE * len(learn_t))}
     weight = {w: o * np.sqrt(in_toxic[w] / len(learn_t)) for w, o in odds.items() if o >= MIN_ODDS}
     telling = sorted((w for w in weight if weight[w] >= MIN_WEIGHT), key=lambda w: (weight[w], w))
-    base = _trained([w for t in learn_o for w in windows(t)][:100_000], ORDINARY_DICT)
+    base = _trained([w for t in learn_o for w in windows(t)], ORDINARY_DICT)  # all windows: the sample itself is bounded
     # The most telling stand nearest to the shared content, where offsets are cheapest.
     extra = (b" " + b" ".join(telling) + b" ")[-TOXIC_DICT:]
     model = Model(base, extra + base, flat)

@@ -254,3 +254,11 @@ def test_toxicity(spark):
     none = toxicity.train(df, known.limit(0))
     assert {r.score for r in toxicity.toxicity(df, none).collect()} == {0.5}
     assert toxicity.toxicity(df.limit(0), model).count() == 0
+
+
+def test_ordinary_dictionary_sees_the_whole_sample(monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "_trained", lambda samples, size: seen.append(len(samples)) or b" ".join(samples)[:size])
+    ordinary = [" ".join(f"w{i}x{k}" for k in range(8 * 30_000)) for i in range(8)]
+    toxicity.fit([f"grunkol blastev {i}" for i in range(8)], ordinary)
+    assert seen == [4 * 30_000]
