@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEFAULT_CHECKPOINT_DIR = "/tmp/checkpoints"
+#: Only for a driver that is its own executor, as in tests.
+LOCAL_DIR = "/tmp/checkpoints"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,19 +17,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a default only where none is set (tests)."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_CHECKPOINT_DIR)
-    return sc._jsc.sc().getCheckpointDir().get()
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; on a cluster there is no default."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return LOCAL_DIR
+
+
+class Scratch:
+    """Tables in the shared folder: later reads survive lost executors and recompute nothing. ``clear`` empties them once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/lexiloom-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        for path in self.paths:
+            self.spark.range(0).write.mode("overwrite").parquet(path)
+        self.paths.clear()
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder: later reads survive lost executors and recompute nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexiloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """One such table that stays."""
+    return Scratch(df.sparkSession).written(df)
 
 
 def crc_of_id(column: str | Column) -> Column:

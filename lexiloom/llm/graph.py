@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import Scratch, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,12 +15,15 @@ def components(links: DataFrame) -> DataFrame:
     no hot key) and then the label's own label; rounds are written to the shared folder, which cuts
     lineage and outlives executors.
     """
-    edges = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumn("changed", F.lit(True)))
+    scratch = Scratch(links.sparkSession)
+    edges = scratch.written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = scratch.written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumn("changed", F.lit(True)))
     while labels.where("changed").limit(1).count():
         seen = labels.select("node", F.col("label").alias("was"))
         near = edges.join(seen, edges.b == seen.node).groupBy("a").agg(F.min("was").alias("near"))
         step = seen.join(near, seen.node == near.a).select("node", "was", F.least("was", "near").alias("via"))
         jump = seen.select(F.col("node").alias("via"), F.col("was").alias("beyond"))
-        labels = written(step.join(jump, "via").select("node", F.least("via", "beyond").alias("label"), (F.least("via", "beyond") < F.col("was")).alias("changed")))
-    return labels.select("node", F.col("label").alias("component"))
+        labels = scratch.written(step.join(jump, "via").select("node", F.least("via", "beyond").alias("label"), (F.least("via", "beyond") < F.col("was")).alias("changed")))
+    found = written(labels.select("node", F.col("label").alias("component")))
+    scratch.clear()
+    return found

@@ -1,7 +1,8 @@
 """Near-duplicate documents: MinHash bands, odd sketches, exact confirmation, components.
 
 A document's set holds the hashes of its distinct five-word shingles. Documents with equal sets fall
-together first; of each, the smallest doc_id stands for all. A representative has BANDS x ROWS
+together first; of each, the smallest doc_id stands for all; a doc_id with several texts is one node
+that all of them stand for, linked with the representatives of each. A representative has BANDS x ROWS
 MinHash samples. Bands give candidates; the samples folded into a parity bitmap (the odd sketch) give
 the similarity of a candidate pair from the bits that differ, most precisely where similarity is high.
 Pairs that the sketch leaves above ``SKETCH_FLOOR`` (almost four standard errors below the threshold)
@@ -107,10 +108,11 @@ def sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [shingle_set(t).view(np.int64) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(found, pa.list_(pa.int64()))], names=["id", "set"])
+            digest = pa.array([xxh3_128_digest(x.tobytes()) for x in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("id"), digest, pa.array(found, pa.list_(pa.int64()))], names=["id", "digest", "set"])
 
     framed = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return framed.join(sized(ids), "id", "left_semi").mapInArrow(run, "id long, set array<long>")
+    return framed.join(sized(ids), "id", "left_semi").mapInArrow(run, "id long, digest binary, set array<long>")
 
 
 def differing(x: Column, y: Column) -> Column:
@@ -137,12 +139,13 @@ def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, t
         .join(side("b"), "b")
         .where(possible("_a", "_b") & (sketch_similarity(F.col("sketch_a"), F.col("sketch_b")) >= SKETCH_FLOOR))
         .select("a", "b")
+        .distinct()
     )
     ids = written(near.select(F.col("a").alias("id")).union(near.select("b")).distinct())
-    full = written(sets(docs, ids, id_col, text_col).dropDuplicates(["id"]))
+    full = written(sets(docs, ids, id_col, text_col).dropDuplicates(["id", "digest"]).drop("digest"))  # an id has a set for each of its texts
     both = near.join(full.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(full.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
     shared = F.size(F.array_intersect("set_a", "set_b")).cast("long")
-    return written(both.where(shared * OF >= (F.size("set_a") + F.size("set_b") - shared) * SHARE).select("a", "b"))
+    return written(both.where(shared * OF >= (F.size("set_a") + F.size("set_b") - shared) * SHARE).select("a", "b").distinct())
 
 
 def _across(placed: DataFrame, reps: DataFrame, least: float) -> DataFrame:
@@ -179,23 +182,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = written(features(docs, id_col, text_col))
     usable = found.where("digest IS NOT NULL AND id IS NOT NULL")
     classes = written(usable.groupBy("digest").agg(F.min("id").alias("rep")))
-    reps = written(usable.join(classes, "digest").where("id = rep").select("id", "n", "bands", "sketch", "parity").dropDuplicates(["id"]))
+    reps = written(usable.join(classes, "digest").where("id = rep").dropDuplicates(["id", "digest"]).select("id", "n", "bands", "sketch", "parity"))
     banded = reps.select(F.explode("bands").alias("key"), "id")
     shared = banded.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("key", "pivot")
     members = written(banded.join(shared, "key"))
-    links = confirmed(members.where("id > pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), reps, docs, id_col, text_col)
-    joined = written(components(links))
+    # doc_ids with several texts, of which one may be empty.
+    texts = found.where("id IS NOT NULL").groupBy("id").agg(F.min("digest").alias("least"), F.max("digest").alias("most"), F.max(F.col("digest").isNull()).alias("blank"))
+    several = written(texts.where("least < most OR (least IS NOT NULL AND blank)"))
+    same = usable.join(sized(several.where("least < most").select("id")), "id").join(classes, "digest").where("rep < id").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
+    near = confirmed(members.where("id > pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), reps, docs, id_col, text_col)
+    links = written(near.unionByName(same))
+    joined = components(links)
     for least in STEPS:
         # The most similar first: what they join needs no further comparison.
         more = confirmed(_across(_placed(members, joined), reps, least), reps, docs, id_col, text_col)
         if more.limit(1).count():
             links = written(links.unionByName(more))
-            joined = written(components(links))
-    by_class = classes.join(joined.withColumnsRenamed({"node": "rep"}), "rep", "left").select("digest", F.coalesce("component", "rep").alias("by_text"))
-    by_row = found.select("id", "n", "digest").join(by_class, "digest", "left")
-    # A doc_id with several texts is one node: all its rows take the smallest component.
-    component = F.coalesce("by_text", "id")
-    return by_row.select(F.col("id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+            joined = components(links)
+    # Written, so that the join on the digest has plain exchanges on both sides and Spark can split a hot text; rows without a set stay out of it.
+    by_class = written(classes.join(joined.withColumnsRenamed({"node": "rep"}), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")))
+    by_text = found.where("digest IS NOT NULL").select("id", "n", "digest").join(sized(by_class), "digest", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
+    beside = written(several.where("blank").select("id", F.col("least").alias("digest")).join(by_class, "digest").select("id", "component"))
+    blank = found.where("digest IS NULL").select("id", "n").join(sized(beside), "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    placed = by_text.unionByName(blank)
+    return placed.select(F.col("id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
 SQL = """
