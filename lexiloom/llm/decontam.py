@@ -2,20 +2,21 @@
 
 Items are tokenised (lower-cased runs of letters and digits) into an inverted index whose postings
 hold BM25 impacts relative to the item's own full score, in blocks of items with their largest impact. Every
-text is cut into half-overlapping passages at least twice as long as the longest item, so each item
-that a text holds lies whole in some passage. A passage is a query: block-max WAND retrieves every
+text is cut into half-overlapping passages at least twice as long as an item, so each item that a text
+holds lies whole in some passage; the length depends on the item alone (``passage_words``), and items
+that ask for equal passages are indexed together. A passage is a query: block-max WAND retrieves every
 item that scores at least ``MIN_SCORE`` of its own full score. The block maxima of a passage's terms
 are added up for many passages at once, blocks that cannot reach the score are passed over, and in the
 others WAND moves its cursors from pivot to pivot. A retrieved item counts if the
 passage also holds at least ``MIN_OVERLAP`` of the three-word shingles of its question and of its
 answer.
 
-The index is built in shards of at most ``SHARD_ITEMS`` items with statistics over all items, so what
-a task holds is bounded; each further shard is another pass over the texts.
+Statistics are those of all items. The items are dealt by id to shards of about ``SHARD_BYTES``, so what
+a task holds is bounded; each further shard is another pass over the texts and changes no result.
 
-Defined results: null and empty texts and items match nothing; repeated rows give repeated results,
-items with equal ids are told apart by nothing and the smaller score is not reported twice; a null
-item id is reported as null; an empty table on either side gives no rows; other columns pass through.
+Defined results: null and empty texts and items match nothing; repeated rows give repeated results; of
+items with equal ids (null is one) a text gets one row with the largest values; an empty table on either
+side gives no rows; other columns pass through.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +37,8 @@ K1, B = 1.2, 0.75
 MIN_SCORE, MIN_OVERLAP = 0.5, 0.5
 PASSAGE, SHINGLE = 128, 3
 BLOCK = 4
-CELLS, SLICE_CHARS = 2_000_000, 1_000_000
-SHARD_ITEMS = 20_000
+CELLS, SLICE_BYTES = 2_000_000, 1_000_000
+SHARD_BYTES = 4_000_000
 LAST_SENTENCE = r"(?s)^(.*[.!?\n])\s*([^.!?\n]+[.!?]*)\z"
 _SPACES = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 
@@ -50,6 +52,11 @@ def shingles(found: list[bytes]) -> set:
     return set(zip(*[found[k:] for k in range(SHINGLE)])) if len(found) >= SHINGLE else ({tuple(found)} if found else set())
 
 
+def passage_words(n: int) -> int:
+    """Words in a passage for an item of n words: at least twice as many, a power of two."""
+    return max(PASSAGE, 2 << (n - 1).bit_length()) if n > 0 else PASSAGE
+
+
 def question_answer(text_col: str = "text") -> list:
     """An item's last sentence or line as the answer, all before as the question; one sentence is both."""
     text = F.trim(F.col(f"`{text_col}`"))
@@ -58,20 +65,25 @@ def question_answer(text_col: str = "text") -> list:
 
 
 class Index:
-    """Postings of one shard, ready to be queried."""
+    """Postings of the items that ask for passages of ``size`` words, ready to be queried."""
 
-    def __init__(self, postings: list, items: list):
-        self.ids = [i for i, _, _ in items]
-        self.parts = [(shingles(tokens(q)), shingles(tokens(a))) for _, q, a in items]
-        self.longest = max((len(tokens(q)) + len(tokens(a)) for _, q, a in items), default=0)
+    def __init__(self, items: list[tuple], idf: dict[bytes, float], mean: float, size: int):
+        self.size, self.ids, self.parts = size, [], []
         by_term: dict[bytes, list] = {}
-        for term, item, impact in postings:
-            by_term.setdefault(term, []).append((item, impact))
+        for number, (item, question, answer) in enumerate(items):
+            q, a = tokens(question), tokens(answer)
+            self.ids.append(item)
+            self.parts.append((shingles(q), shingles(a)))
+            found = q + (a if answer != question else [])
+            norm = K1 * (1 - B + B * len(found) / mean)
+            impact = {t: idf[t] * n * (K1 + 1) / (n + norm) for t, n in Counter(found).items()}
+            full = sum(impact.values())
+            for t, w in impact.items():
+                by_term.setdefault(t, []).append((number, w / full))
         self.number = {t: k for k, t in enumerate(by_term)}
         self.lists = []
         first, block, high = [0], [], []
         for found in by_term.values():
-            found.sort()
             tops: dict[int, float] = {}
             for item, impact in found:
                 tops[item // BLOCK] = max(tops.get(item // BLOCK, 0.0), impact)
@@ -133,11 +145,9 @@ class Index:
             cursors = [c for c in cursors if c[0] < end]
         return out
 
-    def matches(self, texts: list[str | None], least: float, overlap: float) -> list[dict[int, list[float]]]:
-        """For each text and each item that some passage holds: largest score, question and answer overlap."""
-        size = max(PASSAGE, 2 * self.longest)
-        step = size // 2
-        found = [tokens(t) for t in texts]
+    def matches(self, found: list[list[bytes]], least: float, overlap: float, out: list[dict]) -> None:
+        """Adds for each text (its tokens) and each item id that some passage holds: largest score, question and answer overlap."""
+        size, step = self.size, self.size // 2
         get = self.number.get
         term = np.fromiter((get(t, -1) for f in found for t in f), np.int64)
         lengths = np.array([len(f) for f in found], np.int64)
@@ -154,7 +164,6 @@ class Index:
             words.append(term[ok])
         key = np.unique(np.concatenate(passage) * len(self.number) + np.concatenate(words)) if self.number else np.zeros(0, np.int64)
         passage, words = key // max(1, len(self.number)), key % max(1, len(self.number))
-        out: list[dict[int, list[float]]] = [{} for _ in texts]
         for p, block in self.hopeful(words, passage, least):
             a, b = np.searchsorted(passage, [p, p + 1])
             hits = self.search(words[a:b].tolist(), block, least)
@@ -167,9 +176,8 @@ class Index:
             for item, score in hits:
                 q, a = (self._share(x, held, piece) for x in self.parts[item])
                 if q >= overlap and a >= overlap:
-                    best = out[k].get(item, [0.0, 0.0, 0.0])
-                    out[k][item] = [max(x, y) for x, y in zip(best, (score, q, a))]
-        return out
+                    best = out[k].get(self.ids[item], (0.0, 0.0, 0.0))
+                    out[k][self.ids[item]] = tuple(map(max, best, (score, q, a)))
 
     @staticmethod
     def _share(part: set, own: set, passage: list[bytes]) -> float:
@@ -180,41 +188,32 @@ class Index:
         return len(part & own) / len(part)
 
 
-def indexes(items: DataFrame, id_col: str, question_col: str, answer_col: str) -> Iterator[Index]:
-    """The items' inverted indexes, a shard at a time, so the driver holds one; statistics are over all items."""
-    rows = written(
-        items.select(F.col(f"`{id_col}`").cast("long").alias("item"), F.coalesce(F.col(f"`{question_col}`"), F.lit("")).alias("q"), F.coalesce(F.col(f"`{answer_col}`"), F.lit("")).alias("a")).distinct()
-    )
+def shards(items: DataFrame, id_col: str, question_col: str, answer_col: str) -> Iterator[list[Index]]:
+    """The items' inverted indexes, a shard at a time, so the driver holds one."""
+    part = lambda c: F.coalesce(F.col(f"`{c}`"), F.lit(""))
+    rows = written(items.select(F.col(f"`{id_col}`").cast("long").alias("item"), part(question_col).alias("q"), part(answer_col).alias("a")).distinct())
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for item, q, a in zip(*(b.column(c).to_pylist() for c in ("item", "q", "a"))):
-                found = tokens(q) + (tokens(a) if a != q else [])
-                out += [(item, q, a, t, n, len(found)) for t, n in Counter(found).items()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out) if out else [[]] * 6, (pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()))], names=["item", "q", "a", "term", "tf", "len"])
-
-    terms = rows.mapInArrow(split, "item long, q string, a string, term binary, tf long, len long")
-    whole = rows.count()
-    if not whole:
-        return
-    size = terms.select("item", "q", "a", "len").distinct().agg(F.avg("len").alias("mean")).first().mean
-    if not size:
+            found = [tokens(q) + (tokens(a) if a != q else []) for q, a in zip(b.column("q").to_pylist(), b.column("a").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("item"), pa.array([list(set(f)) for f in found], pa.list_(pa.binary())), pa.array([len(f) for f in found], pa.int64())], names=["item", "terms", "len"])
+
+    terms = rows.mapInArrow(split, "item long, terms array<binary>, len long")
+    sums = rows.agg(F.count(F.lit(1)).alias("items"), F.sum(F.octet_length("q") + F.octet_length("a")).alias("bytes")).first()
+    mean = terms.where("len > 0").agg(F.avg("len")).first()[0]
+    if not mean:
         return
-    frequent = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.lit(float(whole)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    impact = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(float(size))))
-    shards = -(-whole // SHARD_ITEMS)
-    weighed = written(terms.join(frequent, "term").select("item", "q", "a", "term", impact.alias("impact"), F.pmod(F.xxhash64("item", "q", "a"), F.lit(shards)).alias("shard")))
-    for k in range(shards):
-        found = weighed.where(F.col("shard") == k).collect()
-        own = sorted({(r.item is not None, r.item or 0, r.q, r.a) for r in found})
-        at = {x: n for n, x in enumerate(own)}
-        key = lambda r: (r.item is not None, r.item or 0, r.q, r.a)
-        full: Counter = Counter()
-        for r in sorted(found, key=lambda r: r.term):
-            full[key(r)] += r.impact
-        yield Index([(bytes(r.term), at[key(r)], r.impact / full[key(r)]) for r in found], [(i if has else None, q, a) for has, i, q, a in own])
+    count = -(-sums.bytes // SHARD_BYTES)
+    shard = F.pmod(F.xxhash64("item"), F.lit(count))
+    frequent = written(terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    for k in range(count):
+        own = rows.where(shard == k).collect()
+        known = frequent if count == 1 else frequent.join(terms.where(shard == k).select(F.explode("terms").alias("term")).distinct(), "term")
+        idf = {bytes(r.term): float(np.log(1 + (sums.items - r.df + 0.5) / (r.df + 0.5))) for r in known.collect()}
+        by_size: dict[int, list] = {}
+        for r in sorted(own, key=lambda r: (r.item is not None, r.item or 0, r.q, r.a)):
+            by_size.setdefault(passage_words(len(tokens(r.q)) + len(tokens(r.a))), []).append((r.item, r.q, r.a))
+        yield [Index(found, idf, mean, size) for size, found in by_size.items()]
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, keep: list[str] | None = None, text_col: str = "text", item_col: str = "item_id", question_col: str = "question", answer_col: str = "answer") -> DataFrame:
@@ -222,26 +221,27 @@ def decontaminate(docs: DataFrame, items: DataFrame, keep: list[str] | None = No
     framed = docs.select(packed(docs, keep=keep), F.col(f"`{text_col}`").alias("_text"))
     schema = f"_row {framed.schema['_row'].dataType.simpleString()}, item_id long, score double, question_overlap double, answer_overlap double"
     found = None
-    for index in indexes(items, item_col, question_col, answer_col):
-        shared = docs.sparkSession.sparkContext.broadcast(index)  # SHARD_ITEMS items at most
+    for indexes in shards(items, item_col, question_col, answer_col):
+        shared = docs.sparkSession.sparkContext.broadcast(indexes)  # of about SHARD_BYTES of items
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = shared.value
             for b in batches:
-                at, rows = [], []
-                texts, begin = b.column("_text").to_pylist(), 0
-                while begin < len(texts):
+                text, begin = b.column("_text"), 0
+                lengths = pc.fill_null(pc.binary_length(text), 0).to_pylist()
+                while begin < len(lengths):
                     end, size = begin, 0
-                    while end < len(texts) and (size < SLICE_CHARS or end == begin):
-                        size += len(texts[end] or "")
+                    while end < len(lengths) and (size < SLICE_BYTES or end == begin):
+                        size += lengths[end]
                         end += 1
-                    for k, found in enumerate(own.matches(texts[begin:end], MIN_SCORE, MIN_OVERLAP), begin):
-                        for item, best in sorted(found.items()):
-                            at.append(k)
-                            rows.append((own.ids[item], *best))
+                    own = [tokens(t) for t in text.slice(begin, end - begin).to_pylist()]
+                    best: list[dict] = [{} for _ in own]
+                    for index in shared.value:
+                        index.matches(own, MIN_SCORE, MIN_OVERLAP, best)
+                    rows = [(k, item, *x) for k, x in enumerate(best, begin) for item, x in x.items()]
+                    if rows:
+                        at, item, *values = zip(*rows)
+                        yield pa.RecordBatch.from_arrays([b.column("_row").take(pa.array(at, pa.int32())), pa.array(item, pa.int64()), *(pa.array(c, pa.float64()) for c in values)], names=["_row", "item_id", "score", "question_overlap", "answer_overlap"])
                     begin = end
-                columns = list(zip(*rows)) if rows else [[]] * 4
-                yield pa.RecordBatch.from_arrays([b.column("_row").take(pa.array(at, pa.int32())), pa.array(columns[0], pa.int64()), *(pa.array(c, pa.float64()) for c in columns[1:])], names=["_row", "item_id", "score", "question_overlap", "answer_overlap"])
 
         part = framed.mapInArrow(run, schema)
         found = part if found is None else found.unionByName(part)
@@ -263,18 +263,18 @@ def _sql() -> str:
 WITH qa AS (SELECT item_id, {part(1)} AS q, {part(2)} AS a FROM (SELECT item_id, trim(text) AS t FROM benchmark)),
 items AS (SELECT DISTINCT item_id, coalesce(q, '') AS q, coalesce(a, '') AS a FROM qa),
 two AS (SELECT *, {words("q")} AS tq, {words("a")} AS ta FROM items),
-al AS (SELECT *, CASE WHEN a <> q THEN tq || ta ELSE tq END AS tt FROM two),
-tf AS (SELECT item_id, q, a, len(tt) AS n, t, count(*) AS tf FROM (SELECT item_id, q, a, tt, unnest(tt) AS t FROM al) GROUP BY ALL),
-st AS (SELECT (SELECT count(*) FROM items) AS items, (SELECT avg(len(tt)) FROM al WHERE len(tt) > 0) AS mean, (SELECT greatest({PASSAGE}, 2 * max(len(tq) + len(ta))) FROM al) AS size),
+al AS (SELECT *, CASE WHEN a <> q THEN tq || ta ELSE tq END AS tt, greatest({PASSAGE}, CASE WHEN len(tq) + len(ta) > 1 THEN 2 << length(bin(len(tq) + len(ta) - 1)) ELSE 0 END) AS size FROM two),
+tf AS (SELECT item_id, q, a, size, len(tt) AS n, t, count(*) AS tf FROM (SELECT item_id, q, a, size, tt, unnest(tt) AS t FROM al) GROUP BY ALL),
+st AS (SELECT (SELECT count(*) FROM items) AS items, (SELECT avg(len(tt)) FROM al WHERE len(tt) > 0) AS mean),
 df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
-im AS (SELECT item_id, q, a, t, ln(1 + (items - df + 0.5) / (df + 0.5)) * tf * {K1 + 1} / (tf + {K1} * ({1 - B} + {B} * n / mean)) AS w FROM tf JOIN df USING (t), st),
+im AS (SELECT item_id, q, a, size, t, ln(1 + (items - df + 0.5) / (df + 0.5)) * tf * {K1 + 1} / (tf + {K1} * ({1 - B} + {B} * n / mean)) AS w FROM tf JOIN df USING (t), st),
 re AS (SELECT *, w / sum(w) OVER (PARTITION BY item_id, q, a) AS part FROM im),
 sh AS (SELECT item_id, q, a, tq, ta, {threes("tq")} AS sq, {threes("ta")} AS sa FROM al),
 w AS (SELECT doc_id, {words("text")} AS ws FROM documents),
-pa AS (SELECT doc_id, p, list_slice(ws, p * step + 1, p * step + size) AS piece FROM (
-  SELECT doc_id, ws, size, step, unnest(range(0, greatest(1, ceil((len(ws) - step) / step)::BIGINT))) AS p FROM w, (SELECT size, size // 2 AS step FROM st))),
-sc AS (SELECT doc_id, p, item_id, q, a, sum(part) AS score FROM (SELECT doc_id, p, unnest(list_distinct(piece)) AS t FROM pa) JOIN re USING (t) GROUP BY ALL HAVING sum(part) >= {MIN_SCORE} - 1e-9),
-hi AS (SELECT sc.*, piece, tq, ta, sq, sa, {threes("piece")} AS held, ' ' || array_to_string(piece, ' ') || ' ' AS said FROM sc JOIN pa USING (doc_id, p) JOIN sh USING (item_id, q, a)),
+pa AS (SELECT doc_id, size, p, list_slice(ws, p * step + 1, p * step + size) AS piece FROM (
+  SELECT doc_id, ws, size, step, unnest(range(0, greatest(1, ceil((len(ws) - step) / step)::BIGINT))) AS p FROM w, (SELECT DISTINCT size, size // 2 AS step FROM al))),
+sc AS (SELECT doc_id, size, p, item_id, q, a, sum(part) AS score FROM (SELECT doc_id, size, p, unnest(list_distinct(piece)) AS t FROM pa) JOIN re USING (t, size) GROUP BY ALL HAVING sum(part) >= {MIN_SCORE} - 1e-9),
+hi AS (SELECT sc.*, piece, tq, ta, sq, sa, {threes("piece")} AS held, ' ' || array_to_string(piece, ' ') || ' ' AS said FROM sc JOIN pa USING (doc_id, size, p) JOIN sh USING (item_id, q, a)),
 ov AS (SELECT doc_id, item_id, score, {share("tq", "sq")} AS oq, {share("ta", "sa")} AS oa FROM hi)
 SELECT doc_id, item_id, round(max(score), 6) AS score, round(max(oq), 6) AS question_overlap, round(max(oa), 6) AS answer_overlap
 FROM ov WHERE oq >= {MIN_OVERLAP} AND oa >= {MIN_OVERLAP} GROUP BY doc_id, item_id
