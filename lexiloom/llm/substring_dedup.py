@@ -8,16 +8,19 @@ open, and every step before it is exact (up to 112-bit hashes of equal position)
 2. Every LENGTH-byte string holds anchors: positions whose GRAM-byte hash is the least among those inside
    it. Equal strings hold equal anchors, so only anchors found in two documents can matter (one exchange
    of packed arrays; about one position in sixteen). Of a gram with more than HOT surroundings in one task
-   only the smallest and largest owner of a slice are exchanged and all places stay open, so a passage
-   that a third of the documents share is no hot group.
+   only the smallest and largest owner of a group of slices are exchanged and all places stay open, so a
+   passage that a third of the documents share is no hot group.
 3. An anchor whose whole surrounding - all LENGTH-byte strings that hold it - also stands in a smaller
    document covers that surrounding. Of the others, those stay open that share the HALF bytes before or
    after the gram as well, as every common string asks for: mostly the ends of repeated passages.
-4. The LENGTH-byte prefixes of the suffixes that start at open places are sorted within each task into
-   a run of distinct strings with their smallest owner (others lose the string at once), front-coded
-   against their predecessors, and exchanged by ranges, as many as the open places ask for. Each range merges its runs with a loser tree: a candidate's common prefix with the last
-   string given out decides most comparisons, and no byte known to be equal is compared again.
-   Each distinct string's smallest owner then tells which other owners lose it.
+4. The suffixes that start at open anchors, cut to LENGTH bytes, are sorted within each task into runs,
+   front-coded against their predecessors, and exchanged by ranges, as many as the open places ask for;
+   each brings the REACH bytes before it along. Each range merges its runs with a loser tree: a candidate's
+   common prefix with the last suffix given out decides most comparisons, and no byte known to be equal
+   is compared again. The common prefixes of neighbours tell which suffixes share how many bytes; with the
+   same for the bytes before them, every string around an anchor is a pair of classes, whose smallest
+   owner tells which others lose it. Strings around hot grams are exchanged one by one instead, with
+   their smallest owner in the task only.
 
 Defined results: null and empty texts, and texts shorter than LENGTH bytes, lose nothing; rows with a
 null id lose nothing and take nothing from others; rows that repeat an id never take from each other,
@@ -36,16 +39,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, sized, written
+from .common import Scratch, packed, sized, written
 from .shingles import mixed
 
 LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM  # a string that holds an anchor starts up to so many bytes before it
 HALF = (REACH + 1) // 2  # and holds so many bytes before it or as many behind it
-SLICE_BYTES = 2_000_000
+SLICE_BYTES, DEAL_BYTES, BUCKET_BYTES = 1_000_000, 12_000_000, 8_000_000
 HOT, HOT_CELLS = 128, 1 << 20
-RUN_STRINGS = 400_000
-RANGE_PLACES, SPLIT_DOCS = 8000, 2000
+RUN_ENTRIES, PART_ENTRIES, LEAST_ENTRIES = 150_000, 40_000, 2000
+SPLIT_DOCS, SPLIT_STRINGS, SPLITS = 2000, 32, 4096
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -121,61 +124,83 @@ def _unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
-def _slices(ids: list, texts: list) -> Iterator[tuple[list, list[bytes]]]:
-    begin = 0
-    while begin < len(ids):
-        own, bodies, size = [], [], 0
-        while begin < len(ids) and size < SLICE_BYTES:
-            body = (texts[begin] or "").encode("utf-8", "surrogatepass")
-            own.append(ids[begin]), bodies.append(body)
-            size += len(body)
-            begin += 1
+def _slices(ids: pa.Array, texts: pa.Array) -> Iterator[tuple[list, list[bytes]]]:
+    own, bodies, size = [], [], 0
+    for i, text in zip(ids.to_pylist(), texts.cast(pa.binary())):
+        body = text.as_py() or b""
+        own.append(i), bodies.append(body)
+        size += len(body)
+        if size >= SLICE_BYTES:
+            yield own, bodies
+            own, bodies, size = [], [], 0
+    if own:
         yield own, bodies
 
 
-def _marks(ids, crcs, places, kinds) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(crcs, pa.int64()), pa.array(places, pa.int64()), pa.array(kinds, pa.int32())], names=["id", "crc", "place", "kind"])
+def _marks(ids, crcs, codes, kinds) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(crcs, pa.int64()), pa.array(codes, pa.int64()), pa.array(kinds, pa.int32())], names=["id", "crc", "code", "kind"])
 
 
-MARKS = "id long, crc long, place long, kind int"
-COVERED, BEFORE, BEHIND = 0, 1, 2  # open with as much before the gram as HALF bytes, behind it, or (their sum) both
+#: A covered stretch (kind 0; its start times 128, and its length of up to REACH + LENGTH) or an open place.
+MARKS = "id long, crc long, code long, kind int"
+COVERED, BEFORE, BEHIND, STRINGS = 0, 1, 2, 4  # open with as much before the gram as HALF bytes, behind it, or (their sum) both; open string by string
+
+
+def _around(place: np.ndarray) -> np.ndarray:
+    """Anchors' surroundings as stretches; what lies beyond a text's end is cut off there."""
+    begin = np.maximum(place.astype(np.int64) - REACH, 0)
+    return begin * 128 + (place + LENGTH - begin)
 
 
 def packed_anchors(buckets: int):
-    """Tasks' anchors, dealt to buckets by gram hash, as packed arrays sorted by hash."""
+    """Tasks' anchors, dealt to buckets by gram hash, as packed arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent = np.zeros(HOT_CELLS, np.int64)  # surroundings of each gram so far; grams that share a cell are only taken for hot sooner
+        held, ids, crcs, size = [], [], [], 0
+
+        def deal() -> Iterator[pa.RecordBatch]:
+            text, place, gram, around, left, right = (np.concatenate(x) for x in zip(*held))
+            own_ids, own_crcs = np.array(ids, np.int64), np.array(crcs, np.int64)
+            order = np.lexsort((own_ids[text], around, gram))
+            text, place, gram, around, left, right = (x[order] for x in (text, place, gram, around, left, right))
+            owner = own_ids[text]
+            # Of equal surroundings here the smallest id goes on; larger ids are covered already.
+            new_gram = np.concatenate([[True], gram[1:] != gram[:-1]])
+            new = new_gram | np.concatenate([[True], around[1:] != around[:-1]])
+            done = owner > owner[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+            starts, group = np.flatnonzero(new_gram), np.cumsum(new_gram) - 1
+            cell = ((gram[starts] >> np.uint64(7)) % np.uint64(HOT_CELLS)).astype(np.int64)
+            np.add.at(sent, cell, np.add.reduceat(new.astype(np.int64), starts))
+            hot = (sent[cell] > HOT)[group]
+            low = np.minimum.reduceat(np.where(done, np.iinfo(np.int64).max, owner), starts)[group]
+            high = np.maximum.reduceat(np.where(done, np.iinfo(np.int64).min, owner), starts)[group]
+            stays = hot & ~done & (owner != low) & (owner != high)
+            bucket = (gram % np.uint64(buckets)).astype(np.int64)
+            bucket[done | stays] = place[done | stays] % buckets
+            by_bucket = np.lexsort((place, text, bucket))  # in the order of the text, so that places pack well
+            for own in np.split(by_bucket, np.flatnonzero(np.diff(bucket[by_bucket])) + 1):
+                used, number = np.unique(text[own], return_inverse=True)
+                main, rest, opened = ~(done | stays)[own], done[own], stays[own]
+                known = [x[at].astype("<u4") for at in (rest, opened) for x in (number, place[own])]
+                at = own[main]
+                hashes = gram[at], (around[at] >> np.uint64(32)).astype("<u4"), (around[at] >> np.uint64(16)).astype("<u2"), left[at], right[at], hot[at].astype("u1")
+                blob = _pack(own_ids[used], own_crcs[used].astype("<u4"), *hashes, number[main].astype("<u4"), place[at].astype("<u4"), *known)
+                yield pa.RecordBatch.from_arrays([pa.array([int(bucket[own[0]])], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "blob"])
+
         for b in batches:
-            for ids, bodies in _slices(b.column("id").to_pylist(), b.column("text").to_pylist()):
-                text, place, gram, around, left, right = anchors(bodies)
-                if not len(text):
-                    continue
-                ids, crcs = np.array(ids, np.int64), np.array([zlib.crc32(x) for x in bodies], np.int64)
-                order = np.lexsort((ids[text], around, gram))
-                text, place, gram, around, left, right = (x[order] for x in (text, place, gram, around, left, right))
-                owner = ids[text]
-                # Of equal surroundings in this slice the smallest id goes on; larger ids are covered already.
-                new_gram = np.concatenate([[True], gram[1:] != gram[:-1]])
-                new = new_gram | np.concatenate([[True], around[1:] != around[:-1]])
-                done = owner > owner[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
-                starts, group = np.flatnonzero(new_gram), np.cumsum(new_gram) - 1
-                cell = ((gram[starts] >> np.uint64(7)) % np.uint64(HOT_CELLS)).astype(np.int64)
-                np.add.at(sent, cell, np.add.reduceat(new.astype(np.int64), starts))
-                hot = (sent[cell] > HOT)[group]
-                low = np.minimum.reduceat(np.where(done, np.iinfo(np.int64).max, owner), starts)[group]
-                high = np.maximum.reduceat(np.where(done, np.iinfo(np.int64).min, owner), starts)[group]
-                stays = hot & ~done & (owner != low) & (owner != high)
-                bucket = (gram % np.uint64(buckets)).astype(np.int64)
-                bucket[done | stays] = place[done | stays] % buckets
-                small = "<u2" if len(ids) < 65536 else "<u4"
-                by_bucket = np.argsort(bucket, kind="stable")
-                for own in np.split(by_bucket, np.flatnonzero(np.diff(bucket[by_bucket])) + 1):
-                    main, rest, opened = own[~(done | stays)[own]], own[done[own]], own[stays[own]]
-                    known = [x[at].astype("<u4") for at in (rest, opened) for x in (text, place)]
-                    hashes = gram[main], (around[main] >> np.uint64(32)).astype("<u4"), (around[main] >> np.uint64(16)).astype("<u2"), left[main], right[main], hot[main].astype("u1")
-                    blob = _pack(ids, crcs, *hashes, text[main].astype(small), place[main].astype("<u4"), *known)
-                    yield pa.RecordBatch.from_arrays([pa.array([int(bucket[own[0]])], pa.int32()), pa.array([blob], pa.binary()), pa.array([len(ids) < 65536])], names=["bucket", "blob", "narrow"])
+            for own, bodies in _slices(b.column("id"), b.column("text")):
+                text, *rest = anchors(bodies)
+                if len(text):
+                    held.append((text + len(ids), *rest))
+                ids += own
+                crcs += [zlib.crc32(x) for x in bodies]
+                size += sum(map(len, bodies))
+                if size >= DEAL_BYTES and held:
+                    yield from deal()
+                    held, ids, crcs, size = [], [], [], 0
+        if held:
+            yield from deal()
 
     return run
 
@@ -195,12 +220,14 @@ def _spread(group: np.ndarray, ids: np.ndarray) -> np.ndarray:
 def judge_anchors(table: pa.Table) -> pa.Table:
     """Marks of one bucket: covered surroundings, and open places of anchors that share more than their gram."""
     out, parts = [], []
-    for blob, narrow in zip(table.column("blob").to_pylist(), table.column("narrow").to_pylist()):
-        ids, crcs, gram, high, low, left, right, hot, text, place, text2, place2, text3, place3 = _unpack(blob, "<i8", "<i8", "<u8", "<u4", "<u2", "<u2", "<u2", "u1", "<u2" if narrow else "<u4", *["<u4"] * 5)
-        parts.append((gram, high.astype(np.uint64) << np.uint64(16) | low, left, right, hot, ids[text], crcs[text], place))
-        for number, at, kind in ((text2, place2, COVERED), (text3, place3, BEFORE + BEHIND)):
-            if len(number):
-                out.append(_marks(ids[number], crcs[number], at, np.full(len(number), kind)))
+    for blob in table.column("blob"):
+        ids, crcs, gram, high, low, left, right, hot, text, place, text2, place2, text3, place3 = _unpack(blob.as_py(), "<i8", "<u4", "<u8", "<u4", "<u2", "<u2", "<u2", "u1", *["<u4"] * 6)
+        crcs = crcs.astype(np.int64)
+        parts.append((gram, high.astype(np.uint64) << np.uint64(16) | low, left, right, hot, ids[text], crcs[text], place.astype(np.int64)))
+        if len(text2):
+            out.append(_marks(ids[text2], crcs[text2], _around(place2), np.zeros(len(text2))))
+        if len(text3):
+            out.append(_marks(ids[text3], crcs[text3], place3.astype(np.int64), np.full(len(text3), STRINGS)))
     gram, around, left, right, hot, ids, crcs, place = (np.concatenate(x) for x in zip(*parts))
     order = np.lexsort((ids, around, gram))
     gram, around, left, right, hot, ids, crcs, place = (x[order] for x in (gram, around, left, right, hot, ids, crcs, place))
@@ -213,29 +240,28 @@ def judge_anchors(table: pa.Table) -> pa.Table:
         leader = ids == ids[np.maximum.accumulate(np.where(new_around, np.arange(n), 0))]
         hot = np.maximum.reduceat(hot, starts)[group].astype(bool)
         # No equal surrounding in a smaller document, but an equal gram and as much beside it.
-        opened = np.where(leader & hot & (ids > smallest), BEFORE + BEHIND, 0)
+        opened = np.where(leader & hot & (ids > smallest), STRINGS, 0)
         for kind, beside in ((BEFORE, left), (BEHIND, right)):
             rows = np.flatnonzero(leader & ~hot & (smallest < largest) & (beside != 0))
             opened[rows] |= kind * _spread(group[rows] << 16 | beside[rows], ids[rows])
         # Of a hot gram some owners are not here: whatever is smaller than an open one stays open with it.
         sought = np.maximum.reduceat(np.where(opened > 0, ids, np.iinfo(np.int64).min), starts)[group]
-        opened[leader & hot & (ids < sought)] = BEFORE + BEHIND
-        for where, kind in ((~leader, np.zeros(n, np.int64)), (opened > 0, opened)):
-            out.append(_marks(ids[where], crcs[where], place[where].astype(np.int64), kind[where]))
+        opened[leader & hot & (ids < sought)] = STRINGS
+        out.append(_marks(ids[~leader], crcs[~leader], _around(place[~leader]), np.zeros(n - leader.sum())))
+        out.append(_marks(ids[opened > 0], crcs[opened > 0], place[opened > 0], opened[opened > 0]))
     return pa.Table.from_batches(out, _marks([], [], [], []).schema)
 
 
 class Run:
-    """A sorted run of distinct strings: each knows the prefix it shares with the one before."""
+    """A sorted run of suffixes: each knows the prefix it shares with the one before."""
 
     def __init__(self, blob: bytes):
-        self.shared, self.tails, counts, self.ids, self.crcs, self.places = _unpack(blob, "<u1", "<u1", "<i8", "<i8", "<i8", "<i8")
-        self.shared, self.tails = self.shared.tolist(), self.tails.tobytes()
-        self.bounds = np.concatenate([[0], np.cumsum(counts)]).tolist()
+        shared, tails, self.ids, self.crcs, self.places, self.sizes, self.befores, before = _unpack(blob, "<u1", "<u1", "<i8", "<u4", "<i8", "<u1", "<u1", "<u1")
+        self.shared, self.tails, self.before = shared.tolist(), tails.tobytes(), before.reshape(-1, REACH)
         self.k, self.offset, self.string = -1, 0, b""
 
     def next(self) -> int:
-        """Moves on; gives the prefix shared with the last string, or -1 at the end."""
+        """Moves on; gives the prefix shared with the last suffix, or -1 at the end."""
         self.k += 1
         if self.k >= len(self.shared):
             return -1
@@ -245,23 +271,24 @@ class Run:
         self.offset = end
         return n
 
-    def owners(self) -> slice:
-        return slice(self.bounds[self.k], self.bounds[self.k + 1])
+
+def _common(rows: np.ndarray) -> np.ndarray:
+    """How many bytes each row of a matrix shares with the one before; 0 for the first."""
+    differ = rows[1:] != rows[:-1]
+    return np.concatenate([[0], np.where(differ.any(1), differ.argmax(1), rows.shape[1])]) if len(rows) else np.zeros(0, np.int64)
 
 
-def in_order(strings: np.ndarray, *owners: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Strings (rows of LENGTH bytes) and owners (ids first) sorted by string, then id."""
-    order = np.lexsort((owners[0], strings.view(f"S{LENGTH}").ravel()))
-    return strings[order], *(x[order] for x in owners)
+def in_order(e: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Entries sorted by suffix, then id."""
+    order = np.lexsort((e["ids"], np.ascontiguousarray(e["suffix"]).view(f"S{LENGTH}").ravel()))
+    return {c: x[order] for c, x in e.items()}
 
 
-def front_coded(strings: np.ndarray, ids, crcs, places) -> bytes:
-    """A run from strings in order and their owners."""
-    same = np.concatenate([[0], np.where((d := strings[1:] != strings[:-1]).any(1), d.argmax(1), LENGTH)])
-    new = np.flatnonzero(same < LENGTH)
-    shared = same[new].astype("<u1")
-    tails = strings[new][np.arange(LENGTH)[None, :] >= shared[:, None]]
-    return _pack(shared, tails, np.diff(np.concatenate([new, [len(ids)]])).astype("<i8"), ids.astype("<i8"), crcs.astype("<i8"), places.astype("<i8"))
+def front_coded(e: dict[str, np.ndarray]) -> bytes:
+    """A run from entries in order."""
+    shared = _common(e["suffix"])
+    tails = e["suffix"][np.arange(LENGTH)[None, :] >= shared[:, None]]
+    return _pack(shared.astype("<u1"), tails, e["ids"].astype("<i8"), e["crcs"].astype("<u4"), e["places"].astype("<i8"), e["sizes"].astype("<u1"), e["befores"].astype("<u1"), np.ascontiguousarray(e["before"]).ravel())
 
 
 def _compare(a: bytes, b: bytes, known: int) -> tuple[bool, int]:
@@ -272,8 +299,8 @@ def _compare(a: bytes, b: bytes, known: int) -> tuple[bool, int]:
     return n == LENGTH or a[n] < b[n], n
 
 
-def merged(runs: list[Run]) -> Iterator[list[tuple[Run, slice]]]:
-    """Every distinct string of the runs in order, as the (run, owners) that hold it.
+def merged(runs: list[Run]) -> Iterator[tuple[int, int, int]]:
+    """The runs' suffixes in order: number of the run, place in it, and the prefix shared with the suffix before.
 
     A loser tree whose nodes keep the loser and the prefix that it shares with the winner that passed:
     between two candidates the one sharing more with the last winner is smaller; only if both share
@@ -303,89 +330,124 @@ def merged(runs: list[Run]) -> Iterator[list[tuple[Run, slice]]]:
         return winner
 
     top = build(1) if size > 1 else 0
-    holders: list[tuple[Run, slice]] = []
     while shared[top] >= 0:
-        if holders and shared[top] < LENGTH:
-            yield holders
-            holders = []
-        holders.append((runs[top], runs[top].owners()))
+        yield top, runs[top].k, shared[top]
         shared[top] = runs[top].next()
         node = (top + size) // 2
         while node:
             # All losers on this path lost to the string just given out, so all prefixes are against it.
             top, loser[node] = play(top, loser[node])
             node //= 2
-    if holders:
-        yield holders
+
+
+def covered(ids: np.ndarray, shared: np.ndarray, sizes: np.ndarray, before: np.ndarray, befores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of suffixes in order, those with a string that a smaller owner has, and the most and fewest bytes before them that such strings take in.
+
+    The string with k bytes before the suffix is a pair of classes: suffixes that share LENGTH - k bytes
+    are neighbours, and so are those that share k bytes before, once ordered by these bytes backwards.
+    """
+    n = len(ids)
+    back = np.ascontiguousarray(before[:, ::-1])
+    order = np.argsort(back.view(f"S{REACH}").ravel(), kind="stable") if n else np.zeros(0, np.int64)
+    common, left = _common(back[order]), np.empty(n, np.int64)
+    most, least = np.full(n, -1), np.full(n, LENGTH)
+    for k in range(REACH + 1):
+        right = np.cumsum(shared < LENGTH - k)
+        left[order] = np.cumsum(common < k) if k else 0
+        valid = (sizes >= LENGTH - k) & (befores >= k) & (np.bincount(right, minlength=1)[right] > 1)
+        rows = np.flatnonzero(valid)
+        if not len(rows):
+            continue
+        key = right[rows] * np.int64(n + 1) + left[rows]
+        by = np.lexsort((ids[rows], key))
+        new = np.concatenate([[True], np.diff(key[by]) != 0])
+        first = ids[rows[by]][np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
+        lost = rows[by[ids[rows[by]] > first]]
+        most[lost] = k
+        least[lost] = np.minimum(least[lost], k)
+    found = np.flatnonzero(most >= 0)
+    return found, most[found], least[found]
 
 
 def judge_runs(table: pa.Table) -> pa.Table:
-    """Strings of one range whose owners are not the smallest: covered places."""
-    ids, crcs, places, runs, out = [], [], [], [], []
-    for blob, known in zip(table.column("blob").to_pylist(), table.column("known").to_pylist()):
+    """What one range's suffixes and the bytes before them have in common with smaller owners."""
+    out, runs = [], []
+    for blob, known in zip(table.column("blob"), table.column("known").to_pylist()):
         if known:
-            lost = _unpack(blob, "<i8", "<i8", "<i8")
-            out.append(_marks(*lost, np.zeros(len(lost[0]))))
+            ids, crcs, places = _unpack(blob.as_py(), "<i8", "<u4", "<i8")
+            out.append(_marks(ids, crcs.astype(np.int64), places * 128 + LENGTH, np.zeros(len(ids))))
         else:
-            runs.append(Run(blob))
-    for holders in merged(runs):
-        if len(holders) == 1 and holders[0][1].stop - holders[0][1].start == 1:
-            continue
-        smallest = min(int(run.ids[at.start]) for run, at in holders)
-        for run, at in holders:
-            for k in range(at.start, at.stop):
-                if run.ids[k] > smallest:
-                    ids.append(int(run.ids[k])), crcs.append(int(run.crcs[k])), places.append(int(run.places[k]))
-    return pa.Table.from_batches([*out, _marks(ids, crcs, places, np.zeros(len(ids)))])
+            runs.append(Run(blob.as_py()))
+    given = np.array(list(merged(runs)), np.int64).reshape(-1, 3)
+    if len(given):
+        at = np.cumsum([0, *(len(run.ids) for run in runs)])[given[:, 0]] + given[:, 1]
+        ids, crcs, places, sizes, befores, before = (np.concatenate([getattr(run, c) for run in runs])[at] for c in ("ids", "crcs", "places", "sizes", "befores", "before"))
+        found, most, least = covered(ids, given[:, 2], sizes, before, befores)
+        out.append(_marks(ids[found], crcs[found].astype(np.int64), (places[found] - most) * 128 + LENGTH + most - least, np.zeros(len(found))))
+    return pa.Table.from_batches(out, _marks([], [], [], []).schema)
+
+
+def open_entries(body: bytes, codes: np.ndarray) -> dict[str, np.ndarray]:
+    """The suffixes of one text that its open places (times 8, and kind) leave to be compared; a string by itself takes no bytes before it in."""
+    places, kinds = codes >> 3, codes & 7
+    starts = (places[kinds == STRINGS][:, None] - np.arange(REACH + 1)[None, :]).ravel()
+    starts = np.unique(starts[(starts >= 0) & (starts + LENGTH <= len(body))])
+    anchors_ = np.unique(places[kinds != STRINGS])
+    at = np.concatenate([anchors_, starts])
+    padded = np.frombuffer(bytes(REACH) + body + bytes(LENGTH), np.uint8)
+    rows = np.lib.stride_tricks.sliding_window_view(padded, REACH + LENGTH)[at]
+    single = np.arange(len(at)) >= len(anchors_)
+    befores = np.where(single, 0, np.minimum(at, REACH))
+    before = np.where((np.arange(REACH)[None, :] >= REACH - befores[:, None]), rows[:, :REACH], 0).astype(np.uint8)
+    return {"suffix": rows[:, REACH:], "places": at, "sizes": np.minimum(len(body) - at, LENGTH), "befores": befores, "before": before, "single": single}
 
 
-def open_strings(bodies: list[bytes], places: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each text, the starts of the strings that its open anchors (place * 4 + kind) leave to be compared, and the strings.
+def sorted_runs(splitters: list[bytes], parts: int):
+    """Tasks' entries as one front-coded run for each part; ``known`` rows hold strings that lose to smaller owners in the same task.
 
-    Where only the bytes before the gram are shared, fewer than HALF behind it can be, and the other way round.
+    A part is a range of GRAM-byte prefixes, or of whole strings for entries that are one; where there are
+    more parts than ranges, a range is dealt further by the same bytes.
     """
-    for k, (body, own) in enumerate(zip(bodies, places)):
-        at, kind = np.asarray(own, np.int64) >> 2, np.asarray(own, np.int64) & 3
-        spans = ((BEFORE, REACH, REACH - HALF + 1), (BEHIND, HALF - 1, 0), (BEFORE + BEHIND, REACH, 0))
-        starts = np.unique(np.concatenate([(at[kind == x][:, None] - np.arange(least, most + 1)[None, :]).ravel() for x, most, least in spans]))
-        starts = starts[(starts >= 0) & (starts + LENGTH <= len(body))]
-        if len(starts):
-            a = np.frombuffer(body, np.uint8)
-            yield k, starts, np.lib.stride_tricks.sliding_window_view(a, LENGTH)[starts]
-
-
-def sorted_runs(splitters: list[bytes]):
-    """Tasks' open strings as one front-coded run of smallest owners for each range and slice; ``known`` rows hold the other owners' places."""
     edges = np.array(splitters, f"S{LENGTH}")
+    deep = -(-parts // (len(edges) + 1))
+
+    def parts_of(e: dict[str, np.ndarray]) -> np.ndarray:
+        key = e["suffix"].copy()
+        key[~e["single"], GRAM:] = 0
+        sums = (key.astype(np.uint64) * _powers(LENGTH)[0][:LENGTH]).sum(1)
+        return np.searchsorted(edges, np.ascontiguousarray(key).view(f"S{LENGTH}").ravel(), "right") * deep + (mixed(mixed(sums)) % np.uint64(deep)).astype(np.int64)
+
+    def row(part: int, blob: bytes, known: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([blob], pa.binary()), pa.array([known])], names=["part", "blob", "known"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
-        def flush():
-            strings, *owners = in_order(*(np.concatenate(x) for x in zip(*held)))
-            strings = np.ascontiguousarray(strings)
-            ids = owners[0]
-            new = np.concatenate([[True], (strings[1:] != strings[:-1]).any(1)])
-            first = ids == ids[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
-            if not first.all():
-                lost = [x[~first].astype("<i8") for x in owners]
-                yield row(int(lost[2][0]) % (len(edges) + 1), _pack(*lost), True)
-                strings, owners = np.ascontiguousarray(strings[first]), [x[first] for x in owners]
-            cuts = np.searchsorted(strings.view(f"S{LENGTH}").ravel(), edges, "left").tolist()
-            for r, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(strings)])):
-                if a < b:
-                    yield row(r, front_coded(strings[a:b], *(x[a:b] for x in owners)), False)
-
-        def row(part: int, blob: bytes, known: bool) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([blob], pa.binary()), pa.array([known])], names=["part", "blob", "known"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            e = in_order({c: np.concatenate([x[c] for x in held]) for c in held[0]})
+            alone = np.flatnonzero(e["single"])
+            if len(alone):
+                # Of a string that is an entry only the smallest owner goes on.
+                strings, ids = e["suffix"][alone], e["ids"][alone]
+                new = np.concatenate([[True], (strings[1:] != strings[:-1]).any(1)])
+                lost = alone[ids > ids[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]]
+                if len(lost):
+                    yield row(int(e["places"][lost[0]]) % parts, _pack(e["ids"][lost].astype("<i8"), e["crcs"][lost].astype("<u4"), e["places"][lost].astype("<i8")), True)
+                    e = {c: np.delete(x, lost, 0) for c, x in e.items()}
+            part = parts_of(e)
+            order = np.argsort(part, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+                if len(own):
+                    yield row(int(part[own[0]]), front_coded({c: x[own] for c, x in e.items()}), False)
 
         for b in batches:
-            ids, crcs = b.column("id").to_pylist(), b.column("crc").to_pylist()
-            bodies = [(t or "").encode("utf-8", "surrogatepass") for t in b.column("text").to_pylist()]
-            for k, starts, strings in open_strings(bodies, b.column("places").to_pylist()):
-                held.append((strings.copy(), np.full(len(starts), ids[k]), np.full(len(starts), crcs[k]), starts))
-                size += len(starts)
-                if size >= RUN_STRINGS:
+            for i, crc, text, codes in zip(b.column("id").to_pylist(), b.column("crc").to_pylist(), b.column("text").cast(pa.binary()), b.column("codes")):
+                e = open_entries(text.as_py(), codes.values.to_numpy())
+                n = len(e["places"])
+                if n:
+                    held.append(e | {"ids": np.full(n, i, np.int64), "crcs": np.full(n, crc, np.int64)})
+                    size += n
+                if size >= RUN_ENTRIES:
                     yield from flush()
                     held, size = [], 0
         if held:
@@ -394,66 +456,72 @@ def sorted_runs(splitters: list[bytes]):
     return run
 
 
-def removed(body: bytes, around: list | None, strings: list | None, copy: bool) -> np.ndarray:
-    """A flag for each byte: covered by an anchor's surrounding, by a string, or in a later copy."""
+def split_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """At most SPLIT_STRINGS of each text's keys, evenly spaced."""
+    for b in batches:
+        out = []
+        for text, codes in zip(b.column("text").cast(pa.binary()), b.column("codes")):
+            e = open_entries(text.as_py(), codes.values.to_numpy())
+            for k in range(0, len(e["places"]), 1 + (len(e["places"]) - 1) // SPLIT_STRINGS):
+                out.append(e["suffix"][k, : LENGTH if e["single"][k] else GRAM].tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["key"])
+
+
+def removed(body: bytes, codes: list | None, copy: bool) -> np.ndarray:
+    """A flag for each byte: in a covered stretch, or in a later copy."""
     n = len(body)
     if copy and n >= LENGTH:
         return np.ones(n, bool)
     edge = np.zeros(n + 1, np.int32)
-    for places, before, after in ((around, REACH, LENGTH), (strings, 0, LENGTH)):
-        if places is not None and len(places):
-            p = np.asarray(places, np.int64)
-            np.add.at(edge, np.clip(p - before, 0, n), 1)
-            np.add.at(edge, np.clip(p + after, 0, n), -1)
+    if codes is not None and len(codes):
+        c = np.asarray(codes, np.int64)
+        np.add.at(edge, np.minimum(c >> 7, n), 1)
+        np.add.at(edge, np.minimum((c >> 7) + (c & 127), n), -1)
     return np.cumsum(edge[:n]) > 0
 
 
 def substring_dedup(docs: DataFrame, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns ``_row``, n_bytes, n_removed, n_spans and kept (the remaining bytes) for each row."""
-    spark = docs.sparkSession
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     text = F.col(f"`{text_col}`")
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text")).where(F.col("id").isNotNull() & (F.octet_length("text") >= LENGTH))
     digested = plain.select("id", F.md5(F.col("text").cast("binary")).alias("digest"), F.crc32(F.col("text").cast("binary")).alias("crc"))
-    firsts = digested.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("digest", "first")
-    copies = written(digested.join(firsts, "digest").where("id > first").select("id", "crc").distinct())
-    tagged = plain.withColumn("crc", F.crc32(F.col("text").cast("binary")))
-    fresh = tagged.join(sized(copies), ["id", "crc"], "left_anti")
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = fresh.select("id", "text").mapInArrow(packed_anchors(buckets), "bucket int, blob binary, narrow boolean")
-    marks = written(dealt.groupBy("bucket").applyInArrow(judge_anchors, MARKS))
-    by_doc = lambda df, name, c="place": df.groupBy("id", "crc").agg(F.collect_set(c).alias(name))
-    opened = written(by_doc(marks.where(F.col("kind") > COVERED), "places", F.col("place") * 4 + F.col("kind")))
-    sought = fresh.join(sized(opened, "places"), ["id", "crc"])
-    # Range borders come from the open strings of a sample of documents that grows with the number of ranges, as Spark's own range partitioning does it.
-    ranges = 1 + (opened.agg(F.sum(F.size("places"))).first()[0] or 0) // RANGE_PLACES
-    probe = opened.orderBy(F.xxhash64("id", "crc"), "id").limit(SPLIT_DOCS + 4 * ranges).select("id", "crc", F.slice("places", 1, 20).alias("places"))
-    seen = []
-    for r in fresh.join(sized(written(probe), "places"), ["id", "crc"]).select("text", "places").toLocalIterator():
-        for _, _, strings in open_strings([r.text.encode("utf-8", "surrogatepass")], [r.places]):
-            seen += [bytes(x) for x in strings[::16]]
-    seen.sort()
-    ranges = min(ranges, max(1, len(seen) // 8))
+    # Written, so that the join has plain exchanges on both sides and Spark can split a hot text.
+    firsts = scratch.written(digested.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("digest", "first"))
+    copies = scratch.written(digested.join(sized(firsts), "digest").where("id > first").select("id", "crc").distinct())
+    fresh = plain.withColumn("crc", F.crc32(F.col("text").cast("binary"))).join(sized(copies), ["id", "crc"], "left_anti")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(tasks, -(-(plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES))
+    dealt = fresh.select("id", "text").mapInArrow(packed_anchors(buckets), "bucket int, blob binary")
+    marks = scratch.written(dealt.groupBy("bucket").applyInArrow(judge_anchors, MARKS))
+    by_doc = lambda df, c: df.groupBy("id", "crc").agg(F.collect_set(c).alias("codes"))
+    opened = scratch.written(by_doc(marks.where(F.col("kind") > COVERED), F.col("code") * 8 + F.col("kind")))
+    entries = marks.where(F.col("kind") > COVERED).agg(F.coalesce(F.sum(F.when(F.col("kind") == STRINGS, REACH + 1).otherwise(1)), F.lit(0))).first()[0]
+    parts = max(1 + entries // PART_ENTRIES, min(tasks, 1 + entries // LEAST_ENTRIES))
+    probe = scratch.written(opened.orderBy(F.xxhash64("id", "crc"), "id").limit(SPLIT_DOCS).select("id", "crc", "codes"))
+    seen = sorted(bytes(r.key) for r in fresh.join(sized(probe, "codes"), ["id", "crc"]).select("text", "codes").mapInArrow(split_strings, "key binary").collect())  # SPLIT_DOCS times SPLIT_STRINGS at most
+    ranges = min(parts, SPLITS, 1 + len(seen) // 8)
     splitters = sorted({seen[len(seen) * k // ranges] for k in range(1, ranges)})
-    runs = sought.select("id", "crc", "text", "places").mapInArrow(sorted_runs(splitters), "part int, blob binary, known boolean")
+    runs = fresh.join(sized(opened, "codes"), ["id", "crc"]).select("id", "crc", "text", "codes").mapInArrow(sorted_runs(splitters, parts), "part int, blob binary, known boolean")
     judged = runs.groupBy("part").applyInArrow(judge_runs, MARKS)
     found = written(
-        by_doc(marks.where(F.col("kind") == COVERED), "around")
-        .join(by_doc(judged, "strings"), ["id", "crc"], "full")
+        by_doc(marks.where(F.col("kind") == COVERED).unionByName(judged), "code")
         .join(copies.withColumn("copy", F.lit(True)), ["id", "crc"], "full")
         .withColumnsRenamed({"id": "_id", "crc": "_crc"})
     )
+    scratch.clear()
     framed = docs.select(packed(docs, keep=keep), F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text")).withColumn("crc", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    both = framed.join(sized(found, "around", "strings"), (F.col("id") == F.col("_id")) & (F.col("crc") == F.col("_crc")), "left").select("_row", "text", "around", "strings", F.coalesce("copy", F.lit(False)).alias("copy"))
+    both = framed.join(sized(found, "codes"), (F.col("id") == F.col("_id")) & (F.col("crc") == F.col("_crc")), "left").select("_row", "text", "codes", F.coalesce("copy", F.lit(False)).alias("copy"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lengths, gone, spans, kept = [], [], [], []
-            for t, around, strings, copy in zip(*(b.column(c).to_pylist() for c in ("text", "around", "strings", "copy"))):
-                body = (t or "").encode("utf-8", "surrogatepass")
-                flags = removed(body, around, strings, copy)
+            for t, codes, copy in zip(b.column("text").cast(pa.binary()), b.column("codes"), b.column("copy").to_pylist()):
+                body = t.as_py() or b""
+                flags = removed(body, codes.values.to_numpy() if codes.is_valid else None, copy)
                 lengths.append(len(body)), gone.append(int(flags.sum()))
                 spans.append(int(flags[:1].sum() + (flags[1:] & ~flags[:-1]).sum()))
-                kept.append(np.frombuffer(body, np.uint8)[~flags].tobytes())
+                kept.append(np.frombuffer(body, np.uint8)[~flags].tobytes() if gone[-1] else body)
             yield pa.RecordBatch.from_arrays([b.column("_row"), *(pa.array(x, pa.int64()) for x in (lengths, gone, spans)), pa.array(kept, pa.binary())], names=["_row", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return both.mapInArrow(cut, f"_row {framed.schema['_row'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -47,7 +47,7 @@ def test_sharding(spark):
         slots.setdefault(r.shard, []).append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     largest = max(r.size for r in got)
-    assert max(sizes.values()) - sizes.get(0) <= 2 * largest and set(sizes) <= set(range(24))
+    assert max(sizes.values()) - min(sizes.get(k, 0) for k in range(24)) <= 2 * largest and set(sizes) <= set(range(24))
     order = sorted(got, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.size, r.text_crc32))
     assert [r.shard for r in order] == sorted(r.shard for r in got)
     want = Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in rows)
@@ -85,7 +85,8 @@ def test_near_duplicates(spark):
         for _ in range(rng.randint(0, 9)):
             w[rng.randrange(len(w))] = f"edit{rng.randint(0, 10**6)}"
         rows.append((1000 - i, " ".join(w)))
-    rows += [(i, t) for i, t in ODD if i != 4] + [(4, "a b c d"), (8, "A B\tc  d"), (4, "a b c d"), (9, "a b c e")]
+    rows += ODD + [(4, "a b c d"), (8, "A B\tc  d"), (4, "a b c d"), (9, "a b c e"), (4, None), (10, "other"), (11, ""), (11, "A b c e")]
+    rows += [(2000, rows[0][1]), (2000, rows[1][1]), (2001, rows[1][1])]  # one doc_id joins two groups
     got = near_dup.near_duplicates(table(spark, rows)).collect()
     want = brute_components(rows)
     assert len(got) == len(rows)
@@ -94,41 +95,53 @@ def test_near_duplicates(spark):
     assert near_dup.near_duplicates(table(spark, [])).count() == 0
 
 
-def test_decontamination_equals_brute_force(spark):
+@pytest.mark.parametrize("shard", [4_000_000, 400])
+def test_decontamination_equals_brute_force(spark, monkeypatch, shard):
+    monkeypatch.setattr(decontam, "SHARD_BYTES", shard)
     rng = random.Random(3)
     vocabulary = [f"w{k}" for k in range(400)]
     say = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
-    items = [(k, say(rng.randint(8, 30)) + ".", say(rng.randint(1, 10))) for k in range(120)] + [(500, "", ""), (501, None, "x"), (None, "only me here now", "yes sure fine")]
+    count = 120 if shard > 400 else 14
+    items = [(k, say(rng.randint(8, 30)) + ".", say(rng.randint(1, 10))) for k in range(count)]
+    items += [(500, "", ""), (501, None, "x"), (None, "only me here now", "yes sure fine"), (7, say(12), say(4)), (None, say(9), say(3)), (502, say(200), say(150)), (503, say(64), say(1))]
     rows = []
     for i in range(150):
-        k = rng.randrange(120)
+        _, q, a = rng.choice(items)
+        q, a = q or "", a or ""
         if i % 3 == 0:
-            t = f"{say(rng.randint(0, 300))} {items[k][1]} {items[k][2]} {say(rng.randint(0, 300))}"
+            t = f"{say(rng.randint(0, 300))} {q} {a} {say(rng.randint(0, 300))}"
         elif i % 3 == 1:
-            t = f"{say(100)} {items[k][1]} {say(50)}"
+            t = f"{say(100)} {q} {say(50)}"
         else:
             t = say(200)
         rows.append((i, t))
     rows += ODD + [(900, "ONLY me, here now: yes sure fine")]
-    bench = spark.createDataFrame(items, "item_id long, question string, answer string")
-    got = {(r._row.doc_id, r.item_id): round(r.score, 9) for r in decontam.decontaminate(table(spark, rows), bench, keep=["doc_id"]).collect()}
-    tokens = {k: decontam.tokens(q) + decontam.tokens(a) for k, q, a in items}
+    bench = spark.createDataFrame(items + items[:2], "item_id long, question string, answer string")
+    found = decontam.decontaminate(table(spark, rows), bench, keep=["doc_id"]).collect()
+    got = {(r._row.doc_id, r.item_id): (round(r.score, 9), r.question_overlap, r.answer_overlap) for r in found}
+    assert len(got) == len(found)  # one row for a text and an item id
+    tokens = [decontam.tokens(q) + (decontam.tokens(a) if a != q else []) for _, q, a in items]
     n = len(items)
-    df = Counter(t for v in tokens.values() for t in set(v))
-    mean = np.mean([len(v) for v in tokens.values() if v])
-    size = max(decontam.PASSAGE, 2 * max(map(len, tokens.values())))
+    df = Counter(t for v in tokens for t in set(v))
+    mean = np.mean([len(v) for v in tokens if v])
     want = {}
     for i, t in rows:
         words_ = decontam.tokens(t)
-        for k, q, a in items:
-            impact = {w: np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(tokens[k]) / mean)) for w, c in Counter(tokens[k]).items()}
+        for own, (k, q, a) in zip(tokens, items):
+            length = len(decontam.tokens(q)) + len(decontam.tokens(a))
+            size = 128
+            while size < 2 * length:
+                size *= 2
+            impact = {w: np.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(own) / mean)) for w, c in Counter(own).items()}
             for s in range(0, max(1, len(words_) - size // 2), size // 2):
                 piece = words_[s : s + size]
                 held = decontam.shingles(piece)
                 score = sum(impact[w] for w in set(piece) & impact.keys()) / (sum(impact.values()) or 1)
-                if score >= decontam.MIN_SCORE and all(decontam.Index._share(decontam.shingles(decontam.tokens(x)), held, piece) >= decontam.MIN_OVERLAP for x in (q, a)):
-                    want[(i, k)] = max(want.get((i, k), 0), round(score, 9))
-    assert want and got == pytest.approx(want)
+                shares = [decontam.Index._share(decontam.shingles(decontam.tokens(x)), held, piece) for x in (q, a)]
+                if score >= decontam.MIN_SCORE and min(shares) >= decontam.MIN_OVERLAP:
+                    want[(i, k)] = tuple(map(max, want.get((i, k), (0, 0, 0)), (round(score, 9), *shares)))
+    assert want and got.keys() == want.keys() and all(got[x] == pytest.approx(want[x]) for x in want)
+    assert {502, 503} <= {k for _, k in want}
     assert decontam.decontaminate(table(spark, rows), bench.limit(0)).count() == 0 and decontam.decontaminate(table(spark, []), bench).count() == 0
 
 

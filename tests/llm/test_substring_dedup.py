@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from lexiloom.llm import substring_dedup as S
@@ -43,8 +44,11 @@ def corpus(rng, n=60):
 def test_equals_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(S, "HOT", hot)
     monkeypatch.setattr(S, "HOT_CELLS", 1 << 12)
-    monkeypatch.setattr(S, "RUN_STRINGS", 300)
-    monkeypatch.setattr(S, "RANGE_PLACES", 20)
+    monkeypatch.setattr(S, "RUN_ENTRIES", 300)
+    monkeypatch.setattr(S, "PART_ENTRIES", 20)
+    monkeypatch.setattr(S, "SPLITS", 16)
+    monkeypatch.setattr(S, "DEAL_BYTES", 3000)
+    monkeypatch.setattr(S, "SLICE_BYTES", 1000)
     for seed in (range(2) if hot else range(2, 3)):
         rows = corpus(random.Random(seed))
         df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -53,18 +57,19 @@ def test_equals_brute_force(spark, monkeypatch, hot):
     assert S.substring_dedup(df.limit(0)).count() == 0
 
 
-def test_merge_gives_every_string_once_in_order():
-    import numpy as np
-
+def test_merge_gives_every_suffix_in_order_with_common_prefixes():
     rng = random.Random(4)
     for k in (1, 2, 3, 7):
-        runs, want = [], {}
+        runs, want = [], []
         for r in range(k):
             strings = [bytes(rng.choice(b"ab") for _ in range(S.LENGTH - 6)) + bytes(rng.choice(b"ab") for _ in range(6)) if rng.random() < 0.5 else b"a" * 44 + bytes(rng.choice(b"ab") for _ in range(6)) for _ in range(40)]
-            for n, s in enumerate(strings):
-                want.setdefault(s, []).append((r * 100 + n))
-            a = np.frombuffer(b"".join(strings), np.uint8).reshape(-1, S.LENGTH)
-            ids = np.array([r * 100 + n for n in range(len(strings))])
-            runs.append(S.Run(S.front_coded(*S.in_order(a, ids, ids, ids))))
-        got = [sorted(int(i) for run, at in holders for i in run.ids[at]) for holders in S.merged(runs)]
-        assert got == [sorted(want[s]) for s in sorted(want)]
+            want += strings
+            n = np.arange(40)
+            rows = {"suffix": np.frombuffer(b"".join(strings), np.uint8).reshape(-1, S.LENGTH), "ids": r * 100 + n, "crcs": n, "places": n, "sizes": n, "befores": n, "before": np.zeros((40, S.REACH), np.uint8)}
+            rows = S.in_order(rows)
+            runs.append((S.Run(S.front_coded(rows)), rows))
+        got = list(S.merged([run for run, _ in runs]))
+        strings = [runs[r][1]["suffix"][i].tobytes() for r, i, _ in got]
+        assert strings == sorted(want)
+        for a, b, (_, _, shared) in zip(strings, strings[1:], got[1:]):
+            assert shared == next((i for i in range(S.LENGTH) if a[i] != b[i]), S.LENGTH)
