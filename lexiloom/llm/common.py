@@ -49,6 +49,17 @@ def written(df: DataFrame) -> DataFrame:
     return Scratch(df.sparkSession).written(df)
 
 
+#: Texts that a Python worker holds at once; sessions with smaller batches keep theirs.
+BATCH_ROWS = 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Whole texts in Spark's usual batches of 10,000 rows would take hundreds of MB in each worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def crc_of_id(column: str | Column) -> Column:
     """CRC-32 of an id written as text, the value that folds are dealt by."""
     return F.crc32(F.col(column).cast("string").cast("binary") if isinstance(column, str) else column.cast("string").cast("binary"))
@@ -59,12 +70,10 @@ def packed(df: DataFrame, name: str = "_row", keep: list[str] | None = None) ->
     return F.struct(*[F.col(f"`{c}`") for c in (df.columns if keep is None else keep)]).alias(name)
 
 
-#: A join side of at most so many rows, and so many array elements in them, is broadcast after both have been counted; beyond that the join shuffles.
-BROADCAST_IDS, BROADCAST_CELLS = 500_000, 4_000_000
+#: A join side of at most so many rows is broadcast after they have been counted; beyond that the join shuffles.
+BROADCAST_IDS = 500_000
 
 
-def sized(rows: DataFrame, *arrays: str) -> DataFrame:
-    """A table already written, of fixed-size columns and the named arrays of such, hinted for broadcast if its counted size allows."""
-    cells = sum((F.coalesce(F.sum(F.greatest(F.size(a), F.lit(0)).cast("long")), F.lit(0)) for a in arrays), F.lit(0))
-    held = rows.agg(F.count(F.lit(1)).alias("rows"), cells.alias("cells")).first()
-    return F.broadcast(rows) if held.rows <= BROADCAST_IDS and held.cells <= BROADCAST_CELLS else rows
+def sized(rows: DataFrame) -> DataFrame:
+    """A table already written, of fixed-size columns, hinted for broadcast if its counted rows allow."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows

@@ -4,7 +4,7 @@ A byte goes if a LENGTH-byte string that covers it also starts in a document wit
 every suffix of a corpus would move it many times over, so the sort takes only what plainer facts leave
 open, and every step before it is exact (up to 112-bit hashes of equal position):
 
-1. Copies of a whole text, but the first, go by the text's digest.
+1. Copies of a whole text, but the first, go by the text's digest; a task's own copies take no further part.
 2. Every LENGTH-byte string holds anchors: positions whose GRAM-byte hash is the least among those inside
    it. Equal strings hold equal anchors, so only anchors found in two documents can matter (one exchange
    of packed arrays; about one position in sixteen). Of a gram with more than HOT surroundings in one task
@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, packed, sized, written
+from .common import Scratch, bounded_batches, packed, sized, written
 from .shingles import mixed
 
 LENGTH, GRAM = 50, 20
@@ -48,7 +48,7 @@ HALF = (REACH + 1) // 2  # and holds so many bytes before it or as many behind i
 SLICE_BYTES, DEAL_BYTES, BUCKET_BYTES = 1_000_000, 12_000_000, 8_000_000
 HOT, HOT_CELLS = 128, 1 << 20
 RUN_ENTRIES, PART_ENTRIES, LEAST_ENTRIES = 150_000, 40_000, 2000
-SPLIT_DOCS, SPLIT_STRINGS, SPLITS = 2000, 32, 4096
+SPLIT_DOCS, SPLIT_STRINGS, SPLIT_SEED, SPLITS = 2000, 32, 7, 4096
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -159,6 +159,14 @@ def packed_anchors(buckets: int):
         sent = np.zeros(HOT_CELLS, np.int64)  # surroundings of each gram so far; grams that share a cell are only taken for hot sooner
         held, ids, crcs, size = [], [], [], 0
 
+        def apart(own: list, bodies: list[bytes]) -> tuple[list, list[bytes]]:
+            """Without later copies: their digests tell that all of them goes."""
+            first: dict[bytes, int] = {}
+            for i, body in zip(own, bodies):
+                first[body] = min(i, first.get(body, i))
+            stay = [k for k, (i, body) in enumerate(zip(own, bodies)) if i == first[body]]
+            return [own[k] for k in stay], [bodies[k] for k in stay]
+
         def deal() -> Iterator[pa.RecordBatch]:
             text, place, gram, around, left, right = (np.concatenate(x) for x in zip(*held))
             own_ids, own_crcs = np.array(ids, np.int64), np.array(crcs, np.int64)
@@ -190,6 +198,7 @@ def packed_anchors(buckets: int):
 
         for b in batches:
             for own, bodies in _slices(b.column("id"), b.column("text")):
+                own, bodies = apart(own, bodies)
                 text, *rest = anchors(bodies)
                 if len(text):
                     held.append((text + len(ids), *rest))
@@ -457,12 +466,12 @@ def sorted_runs(splitters: list[bytes], parts: int):
 
 
 def split_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """At most SPLIT_STRINGS of each text's keys, evenly spaced."""
+    """At most twice SPLIT_STRINGS of each text's keys, evenly spaced."""
     for b in batches:
         out = []
         for text, codes in zip(b.column("text").cast(pa.binary()), b.column("codes")):
             e = open_entries(text.as_py(), codes.values.to_numpy())
-            for k in range(0, len(e["places"]), 1 + (len(e["places"]) - 1) // SPLIT_STRINGS):
+            for k in range(0, len(e["places"]), max(1, len(e["places"]) // SPLIT_STRINGS)):
                 out.append(e["suffix"][k, : LENGTH if e["single"][k] else GRAM].tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["key"])
 
@@ -482,27 +491,28 @@ def removed(body: bytes, codes: list | None, copy: bool) -> np.ndarray:
 
 def substring_dedup(docs: DataFrame, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns ``_row``, n_bytes, n_removed, n_spans and kept (the remaining bytes) for each row."""
+    bounded_batches(docs.sparkSession)
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     text = F.col(f"`{text_col}`")
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text")).where(F.col("id").isNotNull() & (F.octet_length("text") >= LENGTH))
     digested = plain.select("id", F.md5(F.col("text").cast("binary")).alias("digest"), F.crc32(F.col("text").cast("binary")).alias("crc"))
     # Written, so that the join has plain exchanges on both sides and Spark can split a hot text.
     firsts = scratch.written(digested.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("digest", "first"))
-    copies = scratch.written(digested.join(sized(firsts), "digest").where("id > first").select("id", "crc").distinct())
-    fresh = plain.withColumn("crc", F.crc32(F.col("text").cast("binary"))).join(sized(copies), ["id", "crc"], "left_anti")
+    copies = digested.join(sized(firsts), "digest").where("id > first").select("id", "crc").distinct()
+    keyed = plain.withColumn("crc", F.crc32(F.col("text").cast("binary")))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(tasks, -(-(plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES))
-    dealt = fresh.select("id", "text").mapInArrow(packed_anchors(buckets), "bucket int, blob binary")
+    dealt = plain.select("id", "text").mapInArrow(packed_anchors(buckets), "bucket int, blob binary")
     marks = scratch.written(dealt.groupBy("bucket").applyInArrow(judge_anchors, MARKS))
     by_doc = lambda df, c: df.groupBy("id", "crc").agg(F.collect_set(c).alias("codes"))
     opened = scratch.written(by_doc(marks.where(F.col("kind") > COVERED), F.col("code") * 8 + F.col("kind")))
     entries = marks.where(F.col("kind") > COVERED).agg(F.coalesce(F.sum(F.when(F.col("kind") == STRINGS, REACH + 1).otherwise(1)), F.lit(0))).first()[0]
     parts = max(1 + entries // PART_ENTRIES, min(tasks, 1 + entries // LEAST_ENTRIES))
-    probe = scratch.written(opened.orderBy(F.xxhash64("id", "crc"), "id").limit(SPLIT_DOCS).select("id", "crc", "codes"))
-    seen = sorted(bytes(r.key) for r in fresh.join(sized(probe, "codes"), ["id", "crc"]).select("text", "codes").mapInArrow(split_strings, "key binary").collect())  # SPLIT_DOCS times SPLIT_STRINGS at most
+    probe = scratch.written(opened.orderBy(F.xxhash64("id", "crc"), "id").limit(SPLIT_DOCS).select("id", "crc", F.slice(F.shuffle("codes", SPLIT_SEED), 1, SPLIT_STRINGS).alias("codes")))
+    seen = sorted(bytes(r.key) for r in keyed.join(F.broadcast(probe), ["id", "crc"]).select("text", "codes").mapInArrow(split_strings, "key binary").collect())  # twice SPLIT_DOCS times SPLIT_STRINGS at most
     ranges = min(parts, SPLITS, 1 + len(seen) // 8)
     splitters = sorted({seen[len(seen) * k // ranges] for k in range(1, ranges)})
-    runs = fresh.join(sized(opened, "codes"), ["id", "crc"]).select("id", "crc", "text", "codes").mapInArrow(sorted_runs(splitters, parts), "part int, blob binary, known boolean")
+    runs = keyed.join(opened, ["id", "crc"]).select("id", "crc", "text", "codes").mapInArrow(sorted_runs(splitters, parts), "part int, blob binary, known boolean")
     judged = runs.groupBy("part").applyInArrow(judge_runs, MARKS)
     found = written(
         by_doc(marks.where(F.col("kind") == COVERED).unionByName(judged), "code")
@@ -511,7 +521,7 @@ def substring_dedup(docs: DataFrame, keep: list[str] | None = None, id_col: str
     )
     scratch.clear()
     framed = docs.select(packed(docs, keep=keep), F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text")).withColumn("crc", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    both = framed.join(sized(found, "codes"), (F.col("id") == F.col("_id")) & (F.col("crc") == F.col("_crc")), "left").select("_row", "text", "codes", F.coalesce("copy", F.lit(False)).alias("copy"))
+    both = framed.join(found, (F.col("id") == F.col("_id")) & (F.col("crc") == F.col("_crc")), "left").select("_row", "text", "codes", F.coalesce("copy", F.lit(False)).alias("copy"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
