@@ -5,9 +5,11 @@ texts, ``MAX_SAMPLE_BYTES`` bytes; smallest row hashes first, so the sample does
 layout) and everything else covers all rows. Half of the sample trains the dictionaries:
 
 * the ordinary dictionary is trained on all windows of the ordinary texts;
-* the toxic dictionary is not trained: it is a list of words of toxic texts that far more toxic than ordinary
-  texts hold (log odds times the root of their share of toxic texts, at least ``MIN_WEIGHT``), and stands before the same ordinary content, so
-  that what both have in common cancels out and the two lengths differ by toxic segments alone.
+* the toxic dictionary is trained on all that the toxic texts say and the ordinary ones do not: the stretches
+  whose every GRAM bytes occur in no ordinary text of the half and in ``MIN_TEXTS`` toxic ones. Trained on whole
+  windows it would hold what both classes share, as most windows of a toxic text are ordinary. For the same
+  reason it stands before the ordinary dictionary's content, so that this cancels out and the two lengths
+  differ by toxic segments alone.
 
 A text is cut into windows of ``WINDOW_WORDS`` lower-cased words. For each, the bytes that the toxic
 dictionary saves against the ordinary one are compared with thresholds that the other half of the
@@ -30,16 +32,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed
+from .common import bounded_batches, packed
 
 MAX_TOXIC_ROWS, MAX_ORDINARY_ROWS, MAX_SAMPLE_BYTES = 2000, 3000, 32_000_000
 WINDOW_WORDS = 8
-MIN_SUPPORT, MIN_SHARE, MIN_ODDS, MIN_WEIGHT = 3, 0.01, 2.0, 0.5
-ORDINARY_DICT, TOXIC_DICT = 8192, 4096
+GRAM, MIN_TEXTS, TRIM = 6, 4, 3
+ORDINARY_DICT, TOXIC_DICT = 8192, 2048
+ORDINARY_SEGMENT, TOXIC_SEGMENT = 64, 12
 LEVEL, MIN_MATCH = 5, 5
 THRESHOLDS = (1, 2, 3, 4, 5)
-LONG_WORD = 64
-PUNCTUATION = b".,;:!?()[]{}<>*#$%&|/\\'\"-_"
 
 
 @dataclass
@@ -80,8 +81,24 @@ def features(saved: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _words(text: str) -> set[bytes]:
-    return {w.strip(PUNCTUATION)[:LONG_WORD] for w in text.lower().encode("utf-8", "replace").split()} - {b""}
+def _grams(text: bytes) -> np.ndarray:
+    """Every GRAM bytes in a row as an integer."""
+    a = np.frombuffer(text, np.uint8).astype(np.int64)
+    n = max(0, len(a) - GRAM + 1)
+    return sum((a[k : k + n] << (8 * (GRAM - 1 - k)) for k in range(GRAM)), np.zeros(n, np.int64))
+
+
+def stretches(toxic: list[str], ordinary: list[str]) -> list[bytes]:
+    """What toxic texts say and ordinary ones do not: runs of telling grams, without TRIM bytes at either end, which belong to the words beside them."""
+    plain = lambda t: b" " + b" ".join(t.lower().encode("utf-8", "replace").split()) + b" "
+    said = [(t := plain(x), _grams(t)) for x in toxic]
+    gram, texts = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.unique(g) for _, g in said)]), return_counts=True)
+    telling = np.setdiff1d(gram[texts >= MIN_TEXTS], np.concatenate([np.zeros(0, np.int64), *(np.unique(_grams(plain(t))) for t in ordinary)]))
+    out = []
+    for text, grams in said:
+        runs = np.flatnonzero(np.diff(np.isin(grams, telling).astype(np.int8), prepend=0, append=0))
+        out += [x for i, j in zip(runs[::2], runs[1::2]) if len(x := text[i + TRIM : j + GRAM - 1 - TRIM]) >= GRAM]
+    return out
 
 
 def _apart(texts: list[str]) -> list[str]:
@@ -97,10 +114,10 @@ def _apart(texts: list[str]) -> list[str]:
     return out
 
 
-def _trained(samples: list[bytes], size: int) -> bytes:
+def _trained(samples: list[bytes], size: int, segment: int) -> bytes:
     """COVER training; where zstandard declines (too few samples) the samples themselves, most frequent last."""
     try:
-        return zstandard.train_dictionary(size, samples, k=64, d=6, level=LEVEL).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=segment, d=6, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
         return b" ".join(w for w, _ in reversed(Counter(samples).most_common()))[-size:]
 
@@ -113,18 +130,8 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
     if min(len(toxic), len(ordinary)) < 4:
         return Model(b"", b"", flat)
     learn_t, learn_o, rest_t, rest_o = toxic[::2], ordinary[::2], toxic[1::2], ordinary[1::2]
-    in_toxic, in_ordinary = Counter(), Counter()
-    for t in learn_t:
-        in_toxic.update(_words(t))
-    for t in learn_o:
-        in_ordinary.update(_words(t))
-    odds = {w: np.log((n + 0.5) / (len(learn_t) + 1) * (len(learn_o) + 1) / (in_ordinary[w] + 0.5)) for w, n in in_toxic.items() if n >= max(MIN_SUPPORT, MIN_SHARE * len(learn_t))}
-    weight = {w: o * np.sqrt(in_toxic[w] / len(learn_t)) for w, o in odds.items() if o >= MIN_ODDS}
-    telling = sorted((w for w in weight if weight[w] >= MIN_WEIGHT), key=lambda w: (weight[w], w))
-    base = _trained([w for t in learn_o for w in windows(t)], ORDINARY_DICT)  # all windows: the sample itself is bounded
-    # The most telling stand nearest to the shared content, where offsets are cheapest.
-    extra = (b" " + b" ".join(telling) + b" ")[-TOXIC_DICT:]
-    model = Model(base, extra + base, flat)
+    base = _trained([w for t in learn_o for w in windows(t)], ORDINARY_DICT, ORDINARY_SEGMENT)  # all windows: the sample itself is bounded
+    model = Model(base, _trained(stretches(learn_t, learn_o), TOXIC_DICT, TOXIC_SEGMENT) + base, flat)
     tools = _compressor(model.ordinary), _compressor(model.toxic)
     x = features(savings(rest_t + rest_o, *tools))
     y = np.r_[np.ones(len(rest_t)), np.zeros(len(rest_o))]
@@ -143,29 +150,34 @@ def scores(texts: list[str | None], model: Model, tools) -> np.ndarray:
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict[int, list[str]]:
-    """Whole texts of each class: at most MAX_*_ROWS labels, smallest id hashes first, up to half of MAX_SAMPLE_BYTES.
+    """Distinct whole texts of each class: at most MAX_*_ROWS, smallest id hashes first, up to half of MAX_SAMPLE_BYTES.
 
-    The labels are cut to the row bound before any text is read, so what is broadcast is bounded and texts are never shuffled.
+    Labels are cut to the row bound before any text is read, then the rows that they meet, then their
+    bytes: what is broadcast and what comes to the driver stay bounded however often an id repeats.
     """
     ids = labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").alias("_label"), F.xxhash64(f"`{id_col}`").alias("_order")).where(F.col("_id").isNotNull())
     bounds = {1: MAX_TOXIC_ROWS, 0: MAX_ORDINARY_ROWS}
     first = lambda c: ids.where(F.col("_label") == c).orderBy("_order", "_id").limit(bounds[c])
-    picked = [(r._id, r._label, r._order) for c in bounds for r in first(c).collect()]
+    picked = [tuple(r) for c in bounds for r in first(c).collect()]
+    out: dict[int, list] = {0: [], 1: []}
     if not picked:
-        return {0: [], 1: []}
+        return out
     spark, kind = docs.sparkSession, ids.schema.simpleString()[7:-1].replace(":", " ")
+    digest = F.md5(F.col("_text").cast("binary")).alias("_digest")
     texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")).where(F.col("_text").isNotNull())
-    sizes = texts.join(F.broadcast(spark.createDataFrame(picked, kind)), "_id").select("_id", "_label", "_order", F.octet_length("_text").alias("_size")).collect()
-    keep, total = [], {0: 0, 1: 0}
-    for r in sorted(sizes, key=lambda r: (r._order, r._id, r._size)):
-        if total[r._label] + r._size <= MAX_SAMPLE_BYTES // 2:
-            total[r._label] += r._size
-            keep.append((r._id, r._label, r._order))
-    out: dict[int, list] = {0: [], 1: []}
+    met = texts.join(F.broadcast(spark.createDataFrame(picked, kind)), "_id").select("_id", "_label", "_order", digest, F.octet_length("_text").alias("_size")).distinct()
+    keep = []
+    for c in bounds:
+        total = 0
+        for r in met.where(F.col("_label") == c).orderBy("_order", "_id", "_digest").limit(bounds[c]).collect():
+            if total + r._size <= MAX_SAMPLE_BYTES // 2:
+                total += r._size
+                keep.append((r._id, r._label, r._order, r._digest))
     if keep:
-        for r in texts.join(F.broadcast(spark.createDataFrame(sorted(set(keep)), kind)), "_id").collect():
-            out[r._label].append((r._order, r._text))
-    return {c: [t for _, t in sorted(out[c])] for c in out}
+        found = texts.select("_id", "_text", digest).join(F.broadcast(spark.createDataFrame(keep, f"{kind}, _digest string")), ["_id", "_digest"])
+        for r in found.groupBy("_id", "_label", "_order", "_digest").agg(F.first("_text").alias("_text")).collect():
+            out[r._label].append((r._order, r._digest, r._text))
+    return {c: [t for _, _, t in sorted(out[c])] for c in out}
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -175,6 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def toxicity(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
     """Adds ``score`` (0 to 1) and ``predicted`` (1 from 0.5) to each row, given as ``_row``; one narrow pass."""
+    bounded_batches(docs.sparkSession)
     framed = docs.select(packed(docs, keep=keep), F.col(f"`{text_col}`").alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of some KB and eight weights
 

@@ -190,17 +190,6 @@ def naive_ctw(train, text, depth):
     return total
 
 
-def test_context_tree_equals_the_recursion(monkeypatch):
-    monkeypatch.setattr(ctw, "DEPTH", 3)
-    rng = random.Random(2)
-    train = [ctw.coded(words(" ".join(rng.choice(["ab", "abc", "b", "ca"]) for _ in range(rng.randint(1, 12))))) for _ in range(6)]
-    gram, n = ctw.gram_counts(train)
-    rows = [(d, (int(g) >> 8) & ((1 << 8 * d) - 1), int(g) & 255, int(c)) for g, c in zip(gram, n) for d in range(4)]
-    child, logp = ctw.weighted(*(np.array(x, np.int64) for x in zip(*rows)), chunk=5)
-    for t in (train[0], b"ab zz\n", b"\n"):
-        assert ctw.text_scores([t], child, logp)[0] == pytest.approx(naive_ctw(train, t, 3), rel=1e-4)
-
-
 def test_language_model_scores(spark, monkeypatch):
     monkeypatch.setattr(ctw, "WORD_SHARE", 0.02)  # so that most words take the joined way
     rng = random.Random(5)
@@ -269,9 +258,36 @@ def test_toxicity(spark):
     assert toxicity.toxicity(df.limit(0), model).count() == 0
 
 
-def test_ordinary_dictionary_sees_the_whole_sample(monkeypatch):
+def test_dictionaries_are_trained_apart_and_on_the_whole_sample(monkeypatch):
     seen = []
-    monkeypatch.setattr(toxicity, "_trained", lambda samples, size: seen.append(len(samples)) or b" ".join(samples)[:size])
-    ordinary = [" ".join(f"w{i}x{k}" for k in range(8 * 30_000)) for i in range(8)]
-    toxicity.fit([f"grunkol blastev {i}" for i in range(8)], ordinary)
-    assert seen == [4 * 30_000]
+    monkeypatch.setattr(toxicity, "_trained", lambda samples, size, segment: seen.append(samples) or b" ".join(samples)[:size])
+    ordinary = [" ".join(f"w{i}x{k}" for k in range(8 * 3_000)) for i in range(8)]
+    toxic = [f"w{i}x1 w{i}x2 grunkol {'q' * i} w{i}x3 w{i}x4" for i in range(0, 16)]
+    toxicity.fit(toxic, ordinary)
+    assert len(seen[0]) == 4 * 3_000
+    assert seen[1] and all(b"grunkol" in x for x in seen[1])
+
+
+def test_savings_are_those_of_the_library():
+    """Each window's saving is the difference of its two compressed lengths."""
+    rng = random.Random(3)
+    say = lambda pool, n: " ".join(rng.choice(pool) for _ in range(n))
+    plain, bad = [f"mi{k}lo" for k in range(300)], ["grunkol", "blastev", "fropzi"]
+    model = toxicity.fit([f"{say(plain, 20)} {rng.choice(bad)} {say(plain, 9)} {rng.choice(bad)} {say(plain, 9)}" for _ in range(60)], [say(plain, 60) for _ in range(60)])
+    tools = toxicity._compressor(model.ordinary), toxicity._compressor(model.toxic)
+    text = f"Grunkol {say(plain, 18)} fropzi"
+    (saved,) = toxicity.savings([text], *tools)
+    pieces = text.lower().split()
+    assert len(saved) == 3
+    for k, x in enumerate(saved):
+        window = f" {' '.join(pieces[8 * k : 8 * k + 8])} ".encode()
+        assert x == len(toxicity._compressor(model.ordinary)(window)) - len(toxicity._compressor(model.toxic)(window))
+    assert saved[0] > 0 >= saved[1]
+
+
+def test_sample_keeps_its_bounds(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_SAMPLE_BYTES", 2000)
+    df = table(spark, [(1, f"{k} " * 50) for k in range(500)] + [(2, "x" * 90)] * 50 + [(k, "y" * 90) for k in range(3, 90)])
+    labels = spark.createDataFrame([(k, int(k == 1)) for k in range(90)], "doc_id long, toxic int")
+    found = toxicity.sample(df, labels)
+    assert all(0 < sum(map(len, found[c])) <= 1000 for c in (0, 1)) and found[0].count("x" * 90) <= 1
