@@ -1,7 +1,8 @@
 """Byte-pair encoding and decoding of whole texts by tree concatenation.
 
-White space always ends a token of the vocabularies used here, so a text is a row of unsplit runs and
-the encoding is the runs' encodings in order. Short texts are encoded in one narrow pass: runs that
+Where white space always ends a token (``splits_at_spaces`` reads that from the vocabulary's file; texts
+of others go to the library whole), a text is a row of unsplit runs and the encoding is the runs'
+encodings in order. Short texts are encoded in one narrow pass: runs that
 came before are looked up, new ones go to the tokenizers library together. A text of more than
 ``LEAF_CHARS`` characters is cut into leaves that are encoded in parallel, wherever the cuts fall, and
 put together pairwise as a tree: around each join that splits a run, windows of the text that double
@@ -15,6 +16,7 @@ equal rows; an empty table gives no rows; other columns pass through in ``_row``
 
 from __future__ import annotations
 
+import json
 import pickle
 import re
 from bisect import bisect_left, bisect_right
@@ -22,23 +24,36 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import packed
+from .common import bounded_batches, packed
 
 LEAF_CHARS = 32_768
-CACHED_RUN, CACHED_RUNS = 64, 150_000
+CACHED_RUN, CACHED_RUNS = 64, 75_000
 WINDOW, AGREE = 32, 2
 SLICE_CHARS = 500_000
+#: The split of the vocabularies that the run-wise way is right for.
+LETTERS_OR_MARKS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 #: ASCII separators that str.split() also cuts at although the vocabulary's white space leaves them in.
 _ODD = re.compile(r"[\x1c-\x1f]")
 _RUN = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 
 
+def splits_at_spaces(tokenizer: Tokenizer) -> bool:
+    """Whether runs between white space are encoded by themselves, lower-cased, letters apart from marks, and tokens are decoded one by one."""
+    said = json.loads(tokenizer.to_str())
+    steps = lambda part, inner: [x["type"] for x in (said[part] or {}).get(inner, [])]
+    if said["decoder"] is not None or steps("normalizer", "normalizers") != ["NFC", "Replace", "Lowercase"] or steps("pre_tokenizer", "pretokenizers") != ["Split", "ByteLevel"]:
+        return False
+    split = said["pre_tokenizer"]["pretokenizers"][0]
+    return split["pattern"] == {"Regex": LETTERS_OR_MARKS} and split["invert"] and split["behavior"] == "Removed" and said["post_processor"] is None
+
+
 class Codec:
     """One worker's tokenizer with the runs that it has seen; two generations of bounded size."""
 
@@ -46,6 +61,7 @@ class Codec:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.by_runs = splits_at_spaces(self.tokenizer)
         self.tokens = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
         self.seen: dict[str, tuple[bytes, str]] = {}
         self.older: dict[str, tuple[bytes, str]] = {}
@@ -85,6 +101,9 @@ class Codec:
         return {r: long[r] if r in long else seen[r] for r in set(runs)} if long else seen
 
     def texts(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        if not self.by_runs:
+            found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+            return [(np.array(e.ids, "<u4").tobytes(), self.tokenizer.decode(e.ids, skip_special_tokens=False)) for e in found]
         split = [t.split() if not _ODD.search(t) else _RUN.findall(t) for t in texts]
         known = self.runs([r for s in split for r in s])
         out = []
@@ -198,6 +217,7 @@ def codec_of(path: str) -> Codec:
 
 def bpe(docs: DataFrame, path: str, keep: list[str] | None = None, text_col: str = "text", leaf_chars: int = LEAF_CHARS) -> DataFrame:
     """Returns ``_row`` (the columns to keep), ``ids`` (little-endian unsigned 32-bit) and ``decoded`` for each row."""
+    bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(packed(docs, keep=keep), text.alias("_text"))
     kind = rows.schema["_row"].dataType.simpleString()
@@ -205,13 +225,14 @@ def bpe(docs: DataFrame, path: str, keep: list[str] | None = None, text_col: str
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(path)
         for b in batches:
-            texts, begin = b.column("_text").to_pylist(), 0
-            while begin < len(texts):
+            text, begin = b.column("_text"), 0
+            lengths = pc.utf8_length(text).to_pylist()
+            while begin < len(lengths):
                 end, size = begin, 0
-                while end < len(texts) and (size < SLICE_CHARS or end == begin):
-                    size += len(texts[end])
+                while end < len(lengths) and (size < SLICE_CHARS or end == begin):
+                    size += lengths[end]
                     end += 1
-                found = codec.texts(texts[begin:end])
+                found = codec.texts(text.slice(begin, end - begin).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column("_row").slice(begin, end - begin), pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.string())], names=["_row", "ids", "decoded"])
                 begin = end
 
@@ -234,7 +255,8 @@ def bpe(docs: DataFrame, path: str, keep: list[str] | None = None, text_col: str
                 ids = codec.together([pickle.loads(zstandard.decompress(n["_node"])) for n in nodes])
                 yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([ids], pa.binary()), pa.array([codec.decode(np.frombuffer(ids, "<u4").tolist())])], names=["_key", "ids", "decoded"])
 
-    is_long = F.length("_text") > leaf_chars
+    # Other vocabularies are left to the library, text by text.
+    is_long = F.length("_text") > leaf_chars if splits_at_spaces(Tokenizer.from_file(path)) else F.lit(False)
     narrow = rows.where(~is_long).mapInArrow(short, f"_row {kind}, ids binary, decoded string")
     long = rows.where(is_long).withColumn("_key", F.sha2("_text", 256))
     # Copies of a long text are cut once; a text's leaves are dealt over tasks one by one.

@@ -45,3 +45,13 @@ def test_operator(spark, leaf):
     want = [(i, t, *expected(t)) for i, t, _ in rows]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
     assert bpe(df.limit(0), PATH).count() == 0
+
+
+def test_other_vocabularies_take_the_plain_way(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    rows = [(i, t) for i, t in enumerate(texts())]
+    got = {r._row.doc_id: (np.frombuffer(r.ids, "<u4").tolist(), r.decoded) for r in bpe(spark.createDataFrame(rows, "doc_id long, text string"), path, leaf_chars=50).collect()}
+    for i, t in rows:
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert got[i] == (ids, library.decode(ids, skip_special_tokens=False))
