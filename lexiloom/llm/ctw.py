@@ -34,12 +34,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import packed, written
+from .common import bounded_batches, packed, written
 from .shingles import words
 
 DEPTH, CUT = 5, 3
+SPREAD = 0x9E3779B1
 WORD_SHARE = 2.0**-20
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 8_000_000
 HELD_GRAMS, HELD_WORDS = 3_000_000, 1_000_000
 END = b"\n"
 
@@ -55,23 +56,44 @@ def _buffer(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return a, np.cumsum(sizes + DEPTH) - sizes, sizes
 
 
+def _bits() -> tuple[int, int]:
+    """Bits of a gram's head (its CUT nearest bytes) and of the rest."""
+    cut = min(CUT, DEPTH)
+    return 8 * cut, 8 * (DEPTH + 1 - cut)
+
+
+def _spread(head: np.ndarray) -> np.ndarray:
+    """Heads dealt evenly over their whole range, one to one, so that buckets are ranges of grams."""
+    return head * SPREAD & ((1 << _bits()[0]) - 1)
+
+
+def _gathered(head: np.ndarray) -> np.ndarray:
+    return head * pow(SPREAD, -1, 1 << _bits()[0]) & ((1 << _bits()[0]) - 1)
+
+
 def positions(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Every byte's (byte, DEPTH bytes before it) string as an integer - the byte lowest, then the nearest; where each body's bytes start, and how many it has."""
+    """Every byte's gram - the DEPTH bytes before it, the nearest highest, its head spread, and the byte itself lowest -; where each body's bytes start, and how many it has."""
     a, starts, sizes = _buffer(bodies)
-    code = np.zeros(len(a), np.uint64)
-    for k in range(DEPTH + 1):
-        code[k:] |= a[: len(a) - k].astype(np.uint64) << np.uint64(8 * k)
+    code = a.astype(np.int64)
+    for k in range(1, DEPTH + 1):
+        code[k:] |= a[: len(a) - k].astype(np.int64) << (8 * (DEPTH + 1 - k))
     inside = np.ones(len(a), bool)
     for k in range(1, DEPTH + 1):
         inside[starts - k] = False
-    return code[inside].astype(np.int64), np.cumsum(sizes) - sizes, sizes
+    code, low = code[inside], _bits()[1]
+    return _spread(code >> low) << low | code & ((1 << low) - 1), np.cumsum(sizes) - sizes, sizes
 
 
 def gram_counts(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct strings of ``positions`` and their counts."""
+    """Distinct grams and their counts."""
     return np.unique(positions(bodies)[0], return_counts=True)
 
 
+def _distinct(gram: np.ndarray) -> np.ndarray:
+    gram = np.sort(gram)
+    return gram[np.concatenate([[True], gram[1:] != gram[:-1]])] if len(gram) else gram
+
+
 def counts(docs: DataFrame, text_col: str) -> DataFrame:
     """(gram, null, n) and (null, word, n) over all texts; the end token is the row where both are null."""
 
@@ -85,12 +107,11 @@ def counts(docs: DataFrame, text_col: str) -> DataFrame:
             )
 
         def merged():
-            code, at = np.unique(np.concatenate([g for g, _ in grams]), return_inverse=True)
-            return code, np.bincount(at, np.concatenate([n for _, n in grams])).astype(np.int64)
+            return _summed(*(np.concatenate(x) for x in zip(*grams)))
 
         def flush_grams():
             code, n = merged()
-            return batch(code.astype(np.int64), n, [], [])
+            return batch(code, n, [], [])
 
         for b in batches:
             texts, begin = b.column("text").to_pylist(), 0
@@ -147,73 +168,6 @@ def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _lgamma(zeros + 0.5) + _lgamma(ones + 0.5) - _lgamma(zeros + ones + 1.0) - np.log(np.pi)
 
 
-def _bits(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of zeros and ones at each of the 255 decisions (heap order) from counts of 256 bytes."""
-    heap = np.zeros((len(cells), 512))
-    heap[:, 256:] = cells
-    for k in range(7, -1, -1):
-        heap[:, 1 << k : 2 << k] = heap[:, 2 << k : 4 << k : 2] + heap[:, (2 << k) + 1 : 4 << k : 2]
-    return heap[:, 2:512:2], heap[:, 3:512:2]
-
-
-def _bytes(ones: np.ndarray) -> np.ndarray:
-    """log10 probabilities of 256 bytes from the probabilities of a one at each decision."""
-    heap = np.zeros((len(ones), 512))
-    up, down = np.log10(ones), np.log10(1 - ones)
-    for i in range(8):
-        k = np.arange(1 << i, 2 << i)
-        heap[:, 2 * k] = heap[:, k] + down[:, k - 1]
-        heap[:, 2 * k + 1] = heap[:, k] + up[:, k - 1]
-    return heap[:, 256:].astype(np.float32)
-
-
-def weighted(depth: np.ndarray, context: np.ndarray, byte: np.ndarray, n: np.ndarray, chunk: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-    """``child`` and ``logp`` of a small tree held in one place, from the nodes' byte counts, which add up; in chunks of bounded size."""
-    key = depth.astype(np.int64) << 48 | context
-    keys = np.unique(np.concatenate([key, [0]]))  # by depth, so that parents come before children
-    node = np.searchsorted(keys, key)
-    depths, contexts = keys >> 48, keys & ((1 << 48) - 1)
-    size = len(keys)
-    oldest = np.where(depths > 0, (contexts >> (8 * np.maximum(depths - 1, 0))) & 255, 0)
-    above = ((depths - 1) << 48) | (contexts & ((1 << (8 * np.maximum(depths - 1, 0))) - 1))
-    parent = np.where(depths > 0, np.searchsorted(keys, np.maximum(above, 0)), -1)
-    child = np.full((size, 256), -1, np.int32)
-    child[parent[1:], oldest[1:]] = np.arange(1, size)
-    cells = np.zeros((size, 256), np.float32 if n.max(initial=0) < 1 << 24 else np.float64)
-    np.add.at(cells, (node, byte), n)
-    rest = cells.copy()
-    for lo in range(1, size, chunk):
-        np.subtract.at(rest, parent[lo : lo + chunk], cells[lo : lo + chunk])
-    inner = depths < DEPTH
-    weight = np.ones((size, 255), np.float32)  # of the node's own estimate against what lies below
-    below = np.zeros((size, 255), np.float32)
-    for d in range(DEPTH, -1, -1):
-        own = np.flatnonzero(depths == d)
-        for part in (own[i : i + chunk] for i in range(0, len(own), chunk)):
-            estimate = _log_kt(*_bits(cells[part]))
-            if d == DEPTH:
-                mixed = estimate
-            else:
-                under = below[part].astype(np.float64) + _log_kt(*_bits(rest[part]))
-                mixed = np.logaddexp(estimate, under) - np.log(2)
-                weight[part] = np.exp(estimate - np.log(2) - mixed)
-            if d:
-                np.add.at(below, parent[part], mixed.astype(np.float32))
-    gathered, left = np.zeros((size, 255), np.float32), np.ones((size, 255), np.float32)
-    logp = np.empty((size, 256), np.float32)
-    for lo in range(0, size, chunk):
-        for d in np.unique(depths[lo : lo + chunk]):
-            part = lo + np.flatnonzero(depths[lo : lo + chunk] == d)
-            zeros, ones = _bits(cells[part])
-            before, share = (gathered[parent[part]], left[parent[part]]) if d else (np.zeros((1, 255)), np.ones((1, 255)))
-            gathered[part] = before + share * weight[part] * (ones + 0.5) / (zeros + ones + 1)
-            left[part] = share * (1 - weight[part])
-            zeros, ones = _bits(rest[part])
-            p = gathered[part].astype(np.float64) + np.where(inner[part][:, None], left[part] * ((ones + 0.5) / (zeros + ones + 1)), 0)
-            logp[part] = _bytes(np.clip(p, 1e-12, 1 - 1e-12))
-    return child, logp
-
-
 _HALVES, _WHOLES = (np.concatenate([[np.log(np.pi) / 2 if at == 0.5 else 0.0], _lgamma(np.arange(1, 4096) + at)]) for at in (0.5, 1.0))
 
 
@@ -227,26 +181,15 @@ def _log_kt_counts(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return out
 
 
-def trie(gram: np.ndarray) -> np.ndarray:
-    """Grams with the nearest byte highest, then those before it, and the coded byte lowest: a context's grams are neighbours."""
-    gram = gram.astype(np.int64)
-    out = gram & 255
-    for k in range(1, DEPTH + 1):
-        out |= ((gram >> (8 * k)) & 255) << (8 * (DEPTH + 1 - k))
-    return out
-
-
-def _near() -> int:
-    return (1 << (8 * min(CUT, DEPTH))) - 1
-
-
 def bucket_of(gram: np.ndarray, buckets: int) -> np.ndarray:
-    """By the CUT nearest bytes; the same as ``bucket_column``."""
-    return (((gram.astype(np.int64) >> 8) & _near()) * 2654435761 >> 16) % buckets
+    """Rising with the gram; the same as ``bucket_column``."""
+    head, low = _bits()
+    return (gram >> low) * buckets >> head
 
 
 def bucket_column(gram: Column, buckets: int) -> Column:
-    return F.pmod(F.shiftright(F.shiftright(gram, 8).bitwiseAND(_near()) * F.lit(2654435761), 16), F.lit(buckets)).cast("int")
+    head, low = _bits()
+    return F.shiftright(F.shiftright(gram, low) * F.lit(buckets), head).cast("int")
 
 
 def _buckets(spark: SparkSession) -> int:
@@ -258,13 +201,20 @@ def _entry(code: np.ndarray, depth: int, level: int) -> np.ndarray:
     return (code >> (8 * (DEPTH + 1 - depth))) << level | (code & 255) >> (8 - level)
 
 
-def _parent(entry: np.ndarray, level: int) -> np.ndarray:
-    return (entry >> (level + 8)) << level | entry & ((1 << level) - 1)
+def _parent(entry: np.ndarray, depth: int, level: int) -> np.ndarray:
+    """The decision of the next shorter context; from CUT up, heads are as they were before they were spread."""
+    context, prefix = entry >> level, entry & ((1 << level) - 1)
+    if depth == min(CUT, DEPTH):
+        context = _gathered(context)
+    return context >> 8 << level | prefix
 
 
 def _summed(keys: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
-    distinct, at = np.unique(keys, return_inverse=True)
-    return [distinct, *(np.bincount(at, c, len(distinct)).astype(c.dtype) for c in columns)]
+    if len(keys) and (keys[1:] < keys[:-1]).any():
+        order = np.argsort(keys)
+        keys, columns = keys[order], [c[order] for c in columns]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return [keys[starts], *(np.add.reduceat(c, starts) if len(starts) else c for c in columns)]
 
 
 def _mixed(depth: int, entry: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -287,7 +237,7 @@ def subtrees(code: np.ndarray, n: np.ndarray) -> tuple[dict, list]:
         for depth in range(DEPTH, cut - 1, -1):
             mixed, weight = _mixed(depth, entry, zeros, ones, below)
             held[depth, level] = entry, zeros, ones, weight
-            entry, zeros, ones, below = _summed(_parent(entry, level), zeros, ones, mixed)
+            entry, zeros, ones, below = _summed(_parent(entry, depth, level), zeros, ones, mixed)
         above.append((entry, zeros, ones, below))
     return held, above
 
@@ -296,16 +246,22 @@ def _downward(depth: int, level: int, entry, zeros, ones, weight, before) -> tup
     """Entries, the probability of a one gathered down to each, and the share left to what lies below it."""
     gathered, left = 0.0, 1.0
     if before is not None:
-        at = np.searchsorted(before[0], _parent(entry, level))
+        at = np.searchsorted(before[0], _parent(entry, depth, level))
         gathered, left = before[1][at], before[2][at]
     return entry, gathered + left * weight * (ones + 0.5) / (zeros + ones + 1), left * (1 - weight)
 
 
+def _ordered(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    gram, n = part.column("gram").to_numpy(), part.column("n").to_numpy()
+    order = np.argsort(gram)
+    return gram[order], n[order]
+
+
 def top_depths(grams: DataFrame) -> list:
     """The depths above CUT of the whole tree."""
 
     def run(part: pa.Table) -> pa.Table:
-        _, above = subtrees(trie(part.column("gram").to_numpy()), part.column("n").to_numpy())
+        _, above = subtrees(*_ordered(part))
         columns = [np.concatenate(x) for x in zip(*((np.full(len(a[0]), level), *a) for level, a in enumerate(above)))]
         return pa.table(dict(zip(("level", "entry", "zeros", "ones", "below"), columns)))
 
@@ -322,7 +278,7 @@ def top_depths(grams: DataFrame) -> list:
         for depth in range(len(depths) - 1, -1, -1):
             mixed, weight = _mixed(depth, entry, zeros, ones, below)
             up.append((depth, entry, zeros, ones, weight))
-            entry, zeros, ones, below = _summed(_parent(entry, level), zeros, ones, mixed)
+            entry, zeros, ones, below = _summed(_parent(entry, depth, level), zeros, ones, mixed)
         before = None
         for depth, *node in reversed(up):
             before = depths[depth][level] = _downward(depth, level, *node, before)
@@ -330,8 +286,10 @@ def top_depths(grams: DataFrame) -> list:
 
 
 def answers(code: np.ndarray, n: np.ndarray, asked: np.ndarray, top: list) -> np.ndarray:
-    """log10 probabilities of the asked (context, byte) strings, whose subtrees' grams are all given."""
+    """log10 probabilities of the asked grams, whose subtrees' grams are all given; both in order."""
     held, _ = subtrees(code, n)
+    low = _bits()[1]
+    plain = _gathered(asked >> low) << low | asked & ((1 << low) - 1)
     out = np.zeros(len(asked))
     for level in range(8):
         gathered, left, alive = np.zeros(len(asked)), np.ones(len(asked)), np.ones(len(asked), bool)
@@ -340,7 +298,7 @@ def answers(code: np.ndarray, n: np.ndarray, asked: np.ndarray, top: list) -> np
             before = top[depth][level] if depth < len(top) else _downward(depth, level, *held[depth, level], before)
             if not len(before[0]):
                 break
-            entry = _entry(asked, depth, level)
+            entry = _entry(plain if depth < len(top) else asked, depth, level)
             at = np.minimum(np.searchsorted(before[0], entry), len(before[0]) - 1)
             alive &= before[0][at] == entry
             gathered, left = np.where(alive, before[1][at], gathered), np.where(alive, before[2][at], left)
@@ -359,15 +317,8 @@ def _unpacked_codes(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.int64).ravel())
 
 
-def _slice_grams(bodies: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """A slice's distinct grams in the order of their buckets, then of the trie; and their buckets."""
-    gram, _ = gram_counts(bodies)
-    own = bucket_of(gram, buckets)
-    order = np.lexsort((trie(gram), own))
-    return gram[order].astype(np.int64), own[order]
-
-
 def train(docs: DataFrame, text_col: str = "text") -> Model:
+    bounded_batches(docs.sparkSession)
     found = written(counts(docs, text_col))
     grams = found.where("gram IS NOT NULL")
     tokens = found.where("gram IS NULL")
@@ -380,26 +331,11 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     return Model(grams.select("gram", "n"), top, known, float(np.log10(ends + 0.1)), ends > 0, int(total), int(totals.distinct or 0), words_only.where(F.col("n") < total * WORD_SHARE).select("word", "n"))
 
 
-def text_scores(bodies: list[bytes], child: np.ndarray, logp: np.ndarray) -> np.ndarray:
-    """log10 probability of each coded text."""
-    a, starts, sizes = _buffer(bodies)
-    state = np.zeros(len(a), np.int32)
-    alive = np.ones(len(a), bool)
-    flat = child.ravel()
-    for k in range(1, DEPTH + 1):
-        step = np.full(len(a), -1, np.int32)
-        step[k:] = flat[state[k:] * 256 + a[:-k]]
-        alive &= step >= 0
-        state = np.where(alive, step, state)
-    p = logp.ravel()[state * 256 + a].astype(np.float64)
-    sums = np.concatenate([[0.0], np.cumsum(p)])
-    return sums[starts + sizes] - sums[starts]
-
-
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns ``_row``, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte for each row."""
     framed = docs.select(packed(docs, keep=keep), F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     spark = docs.sparkSession
+    bounded_batches(spark)
     shared, top, buckets = spark.sparkContext.broadcast((model.words, model.end, model.known_end)), spark.sparkContext.broadcast(model.top), _buckets(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,9 +364,10 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, id_col:
                     begin += 1
                 arrays = [b.column("_row").slice(first, begin - first), b.column("_id").slice(first, begin - first), pa.array(crc, pa.int64()), pa.array(tokens, pa.int64()), pa.array(hits, pa.int64()), pa.array(base, pa.float64())]
                 sizes = np.array([len(x) for x in bodies], np.int64)
-                grams, own = _slice_grams(bodies, buckets)
+                grams = _distinct(positions(bodies)[0])
+                own = bucket_of(grams, buckets)
                 edges = np.flatnonzero(np.diff(own, prepend=-1))
-                asks = [{"bucket": int(own[i]), "codes": _packed_codes(trie(grams[i:j]))} for i, j in zip(edges, [*edges[1:], len(own)])]
+                asks = [{"bucket": int(own[i]), "codes": _packed_codes(grams[i:j])} for i, j in zip(edges, [*edges[1:], len(own)])]
                 body = zstandard.ZstdCompressor(1).compress(np.int64(len(sizes)).tobytes() + sizes.tobytes() + b"".join(bodies))
                 count = len(bodies)
                 arrays += [pa.array(sizes), pa.array(np.full(count, number)), pa.array(np.arange(count)), pa.array([body] + [None] * (count - 1), pa.binary())]
@@ -440,10 +377,9 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, id_col:
                 yield pa.RecordBatch.from_arrays(arrays, names=["_row", "_id", "_crc", "n_tokens", "_hits", "_base", "_bytes", "_slice", "_at", "_body", "_asks", "_light"])
 
     def answer(key, own: pa.Table, asking: pa.Table) -> pa.Table:
-        gram, n = own.column("gram").to_numpy(), own.column("n").to_numpy()
         asked = [_unpacked_codes(x) for x in asking.column("codes").to_pylist()]
-        distinct = np.unique(np.concatenate([np.zeros(0, np.int64), *asked]))
-        logp = answers(trie(gram), n, distinct, top.value).astype(np.float32)
+        distinct = _distinct(np.concatenate([np.zeros(0, np.int64), *asked]))
+        logp = answers(*_ordered(own), distinct, top.value).astype(np.float32)
         found = [logp[np.searchsorted(distinct, x)].tobytes() for x in asked]
         return pa.table({"_slice": asking.column("_slice"), "bucket": asking.column("bucket"), "logp": pa.array(found, pa.binary())})
 
@@ -453,13 +389,13 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, id_col:
         sizes = np.frombuffer(raw, np.int64, count, 8)
         ends = 8 * (count + 1) + np.cumsum(sizes)
         texts = [raw[e - x : e] for x, e in zip(sizes, ends)]
-        grams, _ = _slice_grams(texts, buckets)
         by = np.argsort(found.column("bucket").to_numpy())
-        logp = np.frombuffer(b"".join(found.column("logp").take(pa.array(by)).to_pylist()), np.float32)
-        order = np.argsort(grams)
-        grams, logp = grams[order], logp[order].astype(np.float64)
+        logp = np.frombuffer(b"".join(found.column("logp").take(pa.array(by)).to_pylist()), np.float32)  # of the distinct grams, in order
         code, starts, own = positions(texts)
-        p = logp[np.searchsorted(grams, code)]
+        order = np.argsort(code)
+        code = code[order]
+        p = np.empty(len(code))
+        p[order] = logp[np.cumsum(np.concatenate([[False], code[1:] != code[:-1]]))]
         sums = np.concatenate([[0.0], np.cumsum(p)])
         return pa.table({"_slice": pa.array(np.full(count, key[0].as_py())), "_at": pa.array(np.arange(count)), "score": pa.array(sums[starts + own] - sums[starts])})
 

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, written
+from .common import bounded_batches, packed, written
 
 K1, B = 1.2, 0.75
 MIN_SCORE, MIN_OVERLAP = 0.5, 0.5
@@ -218,6 +218,7 @@ def shards(items: DataFrame, id_col: str, question_col: str, answer_col: str) ->
 
 def decontaminate(docs: DataFrame, items: DataFrame, keep: list[str] | None = None, text_col: str = "text", item_col: str = "item_id", question_col: str = "question", answer_col: str = "answer") -> DataFrame:
     """One row for each text and item that it holds: ``_row``, item_id, score, question_overlap, answer_overlap."""
+    bounded_batches(docs.sparkSession)
     framed = docs.select(packed(docs, keep=keep), F.col(f"`{text_col}`").alias("_text"))
     schema = f"_row {framed.schema['_row'].dataType.simpleString()}, item_id long, score double, question_overlap double, answer_overlap double"
     found = None

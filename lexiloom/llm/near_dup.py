@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .common import sized, written
+from .common import bounded_batches, sized, written
 from .graph import components
 from .shingles import WORDS, mixed, shingle_set
 
@@ -179,6 +179,7 @@ def _placed(members: DataFrame, found: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns id, n_shingles, component_id and kept for each row."""
+    bounded_batches(docs.sparkSession)
     found = written(features(docs, id_col, text_col))
     usable = found.where("digest IS NOT NULL AND id IS NOT NULL")
     classes = written(usable.groupBy("digest").agg(F.min("id").alias("rep")))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, written
+from .common import bounded_batches, packed, written
 
 KINDS = ("email", "ip", "card", "phone")
 MIN_SHARE, MIN_SUPPORT, ROUNDS, SURE = 2.0**-12, 4, 3, 0.5
@@ -208,6 +208,7 @@ def occurrences(docs: DataFrame, patterns: DataFrame, id_col: str, text_col: str
 
 def personal_data(docs: DataFrame, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns ``_row``, ``base`` and ``spans``: arrays of (kind number, start, end) in code points, by kind, then start."""
+    bounded_batches(docs.sparkSession)
     framed = docs.select(packed(docs, keep=keep), F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
