@@ -3,6 +3,10 @@
 Every stage takes (spark, docs, sf_dir) and returns documents: rejected documents go (toxicity, near
 duplicates, contaminated texts), texts lose repeated passages (line dedup; a document that loses all
 of its lines goes, one that was empty before stays) and the last stage returns the encoded corpus.
+
+Toxic and contaminated rows go by id and text, so a clean row that shares its doc_id stays. Rows of one
+doc_id are one document for near duplicates: they stay or go together. Null ids and texts, repeated rows
+and extra columns pass; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -30,13 +34,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays."""
     found = near_dup.near_duplicates(docs.select("doc_id", "text"))
-    return _without(docs, written(found.where("NOT kept").select(F.col("id").alias("doc_id")).distinct()))
+    return docs.join(sized(written(found.where("NOT kept").select(F.col("id").alias("doc_id")).distinct())), "doc_id", "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select("item_id", *decontam.question_answer())
-    found = decontam.decontaminate(docs.select("doc_id", "text"), items, keep=["doc_id"])
-    return _without(docs, written(found.select("_row.doc_id").distinct()))
+    found = decontam.decontaminate(docs.select("doc_id", "text"), items)
+    gone = written(found.select(F.col("_row.doc_id").alias("_gone_id"), F.md5(F.col("_row.text").cast("binary")).alias("_gone_text")).distinct())
+    return docs.join(sized(gone), F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.md5(F.col("text").cast("binary")) == F.col("_gone_text")), "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,10 +49,6 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select("_row.doc_id", F.expr("length(ids) div 4").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(sized(ids), "doc_id", "left_anti")
-
-
 STAGES = [
     ("toxicity", drop_toxic),
     ("line dedup", drop_repeated_lines),
