@@ -20,7 +20,6 @@ smallest); a null id takes no part; ties go to the smaller id; fewer candidates
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 
@@ -31,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-DIMS, CONFIDENCE = 8, 0.98
-SAMPLE, MAX_LEAVES = 16_384, 4096
+DIMS, CONFIDENCE = 16, 0.95
+SAMPLE, MAX_LEAVES = 65_536, 16_384
 BLOCK, QUERIES, BUCKET = 4096, 1024, 64
 
 
@@ -94,52 +93,47 @@ def leaves_within(point: np.ndarray, radius2: float, dims: np.ndarray, values: n
 
 
 class Block:
-    """A kd-tree over one block: rows in bucket order, nodes with their boxes."""
+    """A kd-tree over one block: rows in the order of its buckets, and the buckets' boxes."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, points: np.ndarray):
-        order = np.arange(len(ids))
-        self.nodes = []  # (first, last, low, high, left, right)
-        self._split(points, order, 0, len(ids))
+        parts, todo = [], [np.arange(len(ids))]
+        while todo:
+            own = todo.pop()
+            width = np.ptp(points[own], 0)
+            if len(own) > BUCKET and width.any():
+                by = own[np.argsort(points[own, np.argmax(width)], kind="stable")]
+                todo += [by[len(by) // 2 :], by[: len(by) // 2]]
+            else:
+                parts.append(own)
+        order = np.concatenate(parts)
         self.ids, self.vectors, self.points = ids[order], vectors[order], points[order]
-
-    def _split(self, points, order, first, last) -> int:
-        own = points[order[first:last]]
-        k = len(self.nodes)
-        low, high = own.min(0), own.max(0)
-        self.nodes.append(None)
-        left = right = -1
-        if last - first > BUCKET and (high > low).any():
-            by = np.argsort(own[:, np.argmax(high - low)], kind="stable")
-            order[first:last] = order[first:last][by]
-            mid = (first + last) // 2
-            left, right = self._split(points, order, first, mid), self._split(points, order, mid, last)
-        self.nodes[k] = (first, last, low, high, left, right)
-        return k
+        self.bucket = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+        self.low, self.high = (np.array([f(points[x], 0) for x in parts]) for f in (np.min, np.max))
 
     def search(self, query_id: int, vector: np.ndarray, point: np.ndarray, k: int, bound: float) -> list[tuple[float, int]]:
-        """The k nearest found, where ``bound`` is a k-th distance known already."""
-        best: list[tuple[float, int]] = []
-        away = lambda n: float((np.maximum(0, np.maximum(self.nodes[n][2] - point, point - self.nodes[n][3])) ** 2).sum())
-        heap = [(away(0), 0)]
-        while heap:
-            dist2, n = heapq.heappop(heap)
-            kth = min(bound, best[k - 1][0]) if len(best) >= k else bound
-            if dist2 > LIMIT * kth * kth:
+        """The k nearest found, where ``bound`` is a k-th distance known already: buckets in the order of their distance, a few, then twice as many each time."""
+        away = (np.maximum(0, np.maximum(self.low - point, point - self.high)) ** 2).sum(1)
+        order = np.argsort(away)
+        best, found, kth, at, step = np.zeros(0), np.zeros(0, np.int64), bound, 0, 2
+        while at < len(order):
+            near = order[at : at + step][away[order[at : at + step]] <= LIMIT * kth * kth]
+            if not len(near):
                 break  # the chi-square test stops here: everything left is projected farther away
-            first, last, _, _, left, right = self.nodes[n]
-            if left >= 0:
-                heapq.heappush(heap, (away(left), left))
-                heapq.heappush(heap, (away(right), right))
-                continue
-            for lo in range(first, last, 4 * BUCKET):
-                part = slice(lo, min(last, lo + 4 * BUCKET))
-                rows = lo + np.flatnonzero((((self.points[part] - point) ** 2).sum(1) <= LIMIT * kth * kth) & (self.ids[part] != query_id))
-                exact = np.sqrt(((self.vectors[rows] - vector) ** 2).sum(1))
-                best += [(float(d), int(i)) for d, i in zip(exact, self.ids[rows]) if d <= kth]
-                if len(best) >= k:
-                    best = heapq.nsmallest(k, best)  # in order of distance at exactly k too: best[k - 1] is read as the k-th
-                kth = min(bound, best[k - 1][0]) if len(best) >= k else bound
-        return sorted(best)[:k]
+            at, step = at + step, 2 * step
+            chosen = np.zeros(len(order), bool)
+            chosen[near] = True
+            rows = np.flatnonzero(chosen[self.bucket])
+            rows = rows[(((self.points[rows] - point) ** 2).sum(1) <= LIMIT * kth * kth) & (self.ids[rows] != query_id)]
+            exact = np.sqrt(((self.vectors[rows] - vector) ** 2).sum(1))
+            best, found = np.concatenate([best, exact]), np.concatenate([found, self.ids[rows]])
+            if len(best) > k:
+                kth = min(kth, np.partition(best, k - 1)[k - 1])
+            stay = best <= kth
+            first = np.lexsort((found[stay], best[stay]))[:k]
+            best, found = best[stay][first], found[stay][first]
+            if len(best) == k:
+                kth = min(kth, best[-1])
+        return list(zip(best.tolist(), found.tolist()))
 
 
 def _matrix(column) -> np.ndarray:
@@ -161,7 +155,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     base = written(rows)
     n, to_low = base.count(), projection(usual.size)
     leaves = 1 << max(0, min(int(math.log2(MAX_LEAVES)), math.ceil(math.log2(max(1, n / BLOCK)))))
-    picked = _matrix(base.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow().column("v")) @ to_low
+
+    def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                yield pa.RecordBatch.from_arrays([pa.array(list(_matrix(b.column("v")) @ to_low), pa.list_(pa.float64()))], names=["p"])
+
+    picked = _matrix(base.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").mapInArrow(low, "p array<double>").toArrow().column("p")).reshape(-1, DIMS)
     dims, values = top_tree(picked, leaves)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,10 +170,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf_of(_matrix(b.column("v")) @ to_low, dims, values))], names=["id", "asks", "v", "leaf"])
 
     placed = written(base.mapInArrow(place, "id long, asks boolean, v array<double>, leaf long"))
-    held = {r.leaf: r["count"] for r in placed.groupBy("leaf").count().collect()}  # a row a leaf: MAX_LEAVES at most
-    salts = F.element_at(F.create_map(*[F.lit(x) for leaf, c in held.items() for x in (leaf, -(-c // BLOCK))]), F.col("leaf"))
-    hashed = lambda parts: F.pmod(F.xxhash64("id", F.lit(7)), parts).cast("int")
-    blocks = placed.select("id", "v", "leaf", hashed(salts).alias("salt"))
+    # A row a leaf, MAX_LEAVES at most.
+    sizes = written(placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("salts")))
+    hashed = lambda parts: F.pmod(F.xxhash64("id", F.lit(7)), F.col(parts)).cast("int")
+    blocks = placed.join(F.broadcast(sizes), "leaf").select("id", "v", "leaf", hashed("salts").alias("salt"))
 
     def search(key, left: pa.Table, right: pa.Table) -> pa.Table:
         out = {"query_id": [], "vec_id": [], "score": []}
@@ -189,12 +189,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     def asked_in_blocks(asking: DataFrame) -> DataFrame:
         """``asking`` has id, v, bound and leaf: every query in every block of its leaves, both sides in blocks."""
         asking = written(asking)
-        groups = {r.leaf: -(-r["count"] // QUERIES) for r in asking.groupBy("leaf").count().collect()}
-        if not groups:
-            return spark.createDataFrame([], "query_id long, vec_id long, score double")
-        parts = F.element_at(F.create_map(*[F.lit(x) for leaf, c in groups.items() for x in (leaf, c)]), F.col("leaf"))
-        mine = blocks.where(parts.isNotNull()).select("id", "v", "leaf", "salt", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-        theirs = asking.select("id", "v", "bound", "leaf", hashed(parts).alias("part"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+        groups = written(asking.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("parts")))
+        each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+        mine = blocks.join(F.broadcast(groups), "leaf").select("id", "v", "leaf", "salt", each("parts").alias("part"))
+        theirs = asking.join(F.broadcast(groups.join(sizes, "leaf")), "leaf").select("id", "v", "bound", "leaf", hashed("parts").alias("part"), each("salts").alias("salt"))
         cell = ["leaf", "salt", "part"]
         return mine.groupBy(cell).cogroup(theirs.groupBy(cell)).applyInArrow(search, "query_id long, vec_id long, score double")
 
