@@ -322,15 +322,16 @@ def tbl_appendix(spark, d):
     return _nations(spark, d, t=F.when(F.col("n_nationkey") % 2 == 0, one).otherwise(F.slice(one, 1, 0))).select("n_nationkey", G.appendix("t").alias("appendix"))
 
 
-@query("scr_unit_canonical", "SELECT n_nationkey, ['cny', 'usd', 'day', 'percent', 'widget'][n_nationkey % 5 + 1] AS unit, n_nationkey % 5 = 2 AS is_days FROM nation")
+@query("scr_unit_canonical", "SELECT n_nationkey, ['cny', 'usd', 'day', 'percent', 'widget', 'usd', 'percent', 'month', 'year'][n_nationkey % 9 + 1] AS unit, n_nationkey % 9 = 2 AS is_days FROM nation")
 def scr_unit_canonical(spark, d):
-    return _nations(spark, d, unit=R.canonical_unit(_pick(["元", "USD", "Days", "%", "Widget"]))).select("n_nationkey", "unit", R.unit_fits("days", F.col("unit")).alias("is_days"))
+    return _nations(spark, d, unit=R.canonical_unit(_pick(["元", "USD", "Days", "%", "Widget", "US$", "百分比", " 个月 ", "years"]))).select("n_nationkey", "unit", R.unit_fits("days", F.col("unit")).alias("is_days"))
 
 
-@query("scr_field_near", "SELECT n_nationkey, 4 * n_nationkey + 7 <= 48 AS near FROM nation")
+@query("scr_field_near", "SELECT n_nationkey, 4 * n_nationkey + 11 <= 48 AS near, 4 * n_nationkey + 11 <= 48 AS near_words, true AS elsewhere FROM nation")
 def scr_field_near(spark, d):
-    rows = _nations(spark, d, t=F.concat(F.lit("penalty"), F.expr("repeat('y', 4 * n_nationkey)"), F.lit("500")))
-    return rows.select("n_nationkey", R.field_near(F.col("t"), F.length("t") - 3, F.length("t"), "Penalty").alias("near"))
+    rows = _nations(spark, d, t=F.concat(F.lit("Penalty_sum"), F.expr("repeat('y', 4 * n_nationkey)"), F.lit("500"))).withColumn("w", F.regexp_replace("t", "_", " "))
+    near = lambda c, field: R.field_near(F.col(c), F.length(c) - 3, F.length(c), field)
+    return rows.select("n_nationkey", near("t", "penalty_SUM").alias("near"), near("w", "penalty_sum").alias("near_words"), near("t", "deposit").alias("elsewhere"))
 
 
 @query("scr_threshold", "SELECT n_nationkey, try_cast(replace(['1,234.5', 'abc', NULL][n_nationkey % 3 + 1], ',', '') AS DECIMAL(38,6))::VARCHAR AS value FROM nation")

@@ -125,7 +125,7 @@ p AS (SELECT *, position(hit IN text)::INT AS pos FROM h), r AS (SELECT *, great
 SELECT doc_id, CASE WHEN hit IS NULL THEN left(text, 1800) ELSE (CASE WHEN b > 1 THEN '…' ELSE '' END) || substring(text, b, e - b + 1) || (CASE WHEN e < length(text) THEN '…' ELSE '' END) END AS snippet FROM r""",
 )
 def scr_snippet(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.snippet("text", F.lit(QUESTION)).alias("snippet"))
+    return table(spark, d, "documents").select("doc_id", T.snippet("text", QUESTION).alias("snippet"))
 
 
 @query(

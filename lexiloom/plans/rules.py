@@ -13,7 +13,7 @@ from .base import BLOCKS, query
 RULES = [{"rule_id": "r1", "severity": "high", "keyword": "stupid"}, {"rule_id": "r2", "severity": "medium", "keyword": "eux"}, {"rule_id": "r3", "severity": "low", "keyword": "the and"}]
 _RULES = "r(rule_id, severity, kw) AS (VALUES ('r1', 'high', 'stupid'), ('r2', 'medium', 'eux'), ('r3', 'low', 'the and'))"
 _HITS = f"""{BLOCKS}, {_RULES},
-parts AS (SELECT doc_id, block_index, text, rule_id, severity, kw, string_split(lower(text), kw) AS p FROM blocks, r WHERE contains(lower(text), kw)),
+parts AS (SELECT doc_id, block_index, text, rule_id, severity, kw, regexp_split_to_array(text, '(?i)' || kw) AS p FROM blocks, r WHERE regexp_matches(text, '(?i)' || kw)),
 hits AS (SELECT doc_id, block_index, text, rule_id, severity, kw, unnest(list_transform(range(1, len(p)), lambda i: list_sum(list_transform(p[1:i], lambda x: length(x)))::BIGINT + (i - 1) * length(kw))) AS s FROM parts),
 first AS (SELECT *, substring(text, (s + 1)::INT, length(kw)::INT) AS quote FROM hits QUALIFY row_number() OVER (PARTITION BY doc_id, block_index, rule_id ORDER BY s) = 1),
 capped AS (SELECT * FROM first QUALIFY row_number() OVER (PARTITION BY doc_id, rule_id ORDER BY block_index) <= 5)"""
@@ -117,12 +117,22 @@ def win_section_path(spark, d):
     return out.select("doc_id", "block_index", F.concat_ws(" > ", "section_path").alias("section_path"))
 
 
-_FP = "CASE WHEN trim(text) = '' THEN 'empty' " + " ".join(f"WHEN regexp_matches(trim(text), '{rule}') THEN '{name}'" for name, rule in T.FALSE_POSITIVES) + " END"
+#: Quotes that stand for every reason and for none, with the reason that is expected; the query looks for them beside all blocks.
+QUOTES = [
+    ("", "empty"), ("　 ", "empty"), ("第三条", "sequence_marker"), ("一千、", "sequence_marker"), ("(a)", "sequence_marker"), ("12.", "sequence_marker"), ("②", "sequence_marker"),
+    ("____", "placeholder"), ("_年_月_日", "placeholder"), ("＿ 万元", "placeholder"), ("□ 是", "checkbox_or_option"), ("口 是 口 否", "checkbox_or_option"), ("。，=", "format_marker"),
+    ("甲方：", "standard_contract_label"), ("工资结算(月)", "standard_contract_label"), ("甲方：签名", "standard_contract_label"), ("2026年8月15日", "isolated_date"), ("二〇二零.1.2", "isolated_date"),
+    ("US$ +3,000.5 万", "isolated_numeric_value"), ("30天", "isolated_numeric_value"), ("甲方应当付款", None), ("入口在左", None), ("30 days", None),
+]
+_SPACE_ENDS = "regexp_replace(text, '^[\\s\\x{3000}]+|[\\s\\x{3000}]+$', '', 'g')"
+_FP = f"CASE WHEN text IS NULL OR {_SPACE_ENDS} = '' THEN 'empty' " + " ".join(f"WHEN regexp_matches({_SPACE_ENDS}, '{rule}') THEN '{name}'" for name, rule in T.FALSE_POSITIVES) + " END"
+_EXPECTED = ", ".join("({}, '{}', {})".format(-1 - k, text, "NULL" if reason is None else f"'{reason}'") for k, (text, reason) in enumerate(QUOTES))
 
 
-@query("flt_false_positive", f"WITH {BLOCKS} SELECT doc_id, block_index, {_FP} AS reason FROM blocks")
+@query("flt_false_positive", f"WITH {BLOCKS} SELECT doc_id, block_index, {_FP} AS reason FROM blocks UNION ALL SELECT i, 0, reason FROM (VALUES {_EXPECTED}) v(i, text, reason)")
 def flt_false_positive(spark, d):
-    return _blocks(spark, d).select("doc_id", "block_index", T.false_positive_reason("text").alias("reason"))
+    planted = spark.createDataFrame([(-1 - k, 0, text) for k, (text, _) in enumerate(QUOTES)], "doc_id long, block_index int, text string")
+    return _blocks(spark, d).select("doc_id", "block_index", "text").unionByName(planted).select("doc_id", "block_index", T.false_positive_reason("text").alias("reason"))
 
 
 @query("flt_usable_block", f"WITH {BLOCKS} SELECT doc_id, block_index, regexp_replace(text, '\\s+', '', 'g') AS useful FROM blocks WHERE length(regexp_replace(text, '\\s+', '', 'g')) >= 4")
@@ -167,9 +177,10 @@ def hsh_quote(spark, d):
     return _docs(spark, d).select("doc_id", F.sha2("text", 256).alias("text_hash"))
 
 
-@query("scr_is_complex", "SELECT conv_id, turn, (length(text) > 20 OR regexp_matches(text, '比较|对比|区别|分析|总结|为什么|如何')) AS complex FROM conversations")
+@query("scr_is_complex", "SELECT conv_id, turn, length(text) > 20 AS complex, turn % 8 <> 7 AS short_complex FROM conversations")
 def scr_is_complex(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", T.is_complex("text").alias("complex"))
+    short = F.get(F.array(*[F.lit(x) for x in ("比较甲乙", "有何区别", "各项", "分别是", "所有人", "总结", "请汇总", "对比分析")]), (F.col("turn") % 8).cast("int"))
+    return table(spark, d, "conversations").select("conv_id", "turn", T.is_complex("text").alias("complex"), T.is_complex(short).alias("short_complex"))
 
 
 @query("scr_regex")
@@ -178,8 +189,12 @@ def scr_regex(spark, d):
     return rows.select("doc_id", "block_index", "h.start", "h.end", "h.quote")
 
 
-@query("scr_numeric_extract", "SELECT l_orderkey, l_linenumber, l_extendedprice::DECIMAL(38,6)::VARCHAR AS value, 'usd' AS unit FROM lineitem")
+@query(
+    "scr_numeric_extract",
+    "SELECT l_orderkey, l_linenumber, (l_extendedprice::DECIMAL(20,2) * [1, 1, 10000, 100000000, 1][l_orderkey % 5 + 1])::DECIMAL(38,6)::VARCHAR AS value, ['usd', 'usd', 'cny', 'cny', 'percent'][l_orderkey % 5 + 1] AS unit FROM lineitem",
+)
 def scr_numeric_extract(spark, d):
-    price = F.format_string("price $%s due", F.col("l_extendedprice").cast("decimal(20,2)").cast("string"))
+    forms = [F.format_string(x, F.col("l_extendedprice").cast("decimal(20,2)").cast("string")) for x in ("price $%s due", "price US$%s due", "共 %s 万元整", "人民币 %s亿", "约%s％左右")]
+    price = F.get(F.array(*forms), (F.col("l_orderkey") % 5).cast("int"))
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.explode(R.amounts(price)).alias("a"))
     return rows.select("l_orderkey", "l_linenumber", F.col("a.value").cast("string").alias("value"), "a.unit")

@@ -34,10 +34,14 @@ def test_patterns(spark):
     hits = one(spark, R.pattern_hits("t", r"第\d+条", whole_word=False), "见第3条和第12条")
     assert [(h.start, h.end, h.quote) for h in hits] == [(1, 4, "第3条"), (5, 9, "第12条")]
     assert [h.start for h in one(spark, R.keyword_hits("t", "a.b"), "xA.B a.b axb😀a.b")] == [1, 5, 13]
+    assert [tuple(h) for h in one(spark, R.keyword_hits("t", "eux"), "İİ eux EUX")] == [(3, 6, "eux"), (7, 10, "EUX")]
+    assert [h.start for h in one(spark, R.keyword_hits("t", "eux", whole_word=True), "euxe eux, ёeux")] == [5]
+    assert [h.start for h in one(spark, R.keyword_hits("t", "Eux", case_sensitive=True), "eux Eux")] == [4]
+    assert one(spark, R.keyword_hits("t", "eux"), None) == [] and one(spark, R.keyword_hits("t", "eux"), "") == []
 
 
 def test_false_positives(spark):
-    cases = {"": "empty", "第三条": "sequence", "____": "placeholder", "□ 是": "checkbox", "。，": "format", "甲方：": "label", "2026年8月15日": "date", "3 万元": "number", "甲方应当付款": None}
+    cases = {"": "empty", "第三条": "sequence_marker", "____": "placeholder", "□ 是": "checkbox_or_option", "。，": "format_marker", "甲方：": "standard_contract_label", "2026年8月15日": "isolated_date", "3 万元": "isolated_numeric_value", "甲方应当付款": None}
     rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", T.false_positive_reason("t").alias("r")).collect()
     assert {r.t: r.r for r in rows} == cases
 
