@@ -74,13 +74,13 @@ def _gathered(head: np.ndarray) -> np.ndarray:
 def positions(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Every byte's gram - the DEPTH bytes before it, the nearest highest, its head spread, and the byte itself lowest -; where each body's bytes start, and how many it has."""
     a, starts, sizes = _buffer(bodies)
-    code = a.astype(np.int64)
-    for k in range(1, DEPTH + 1):
-        code[k:] |= a[: len(a) - k].astype(np.int64) << (8 * (DEPTH + 1 - k))
+    # At every place eight bytes as one integer: the DEPTH bytes before a byte, the nearest highest, and the byte above them.
+    rows = np.ndarray(len(a) - DEPTH, "<i8", np.concatenate([a, np.zeros(8, np.uint8)]), 0, (1,))
     inside = np.ones(len(a), bool)
     for k in range(1, DEPTH + 1):
         inside[starts - k] = False
-    code, low = code[inside], _bits()[1]
+    rows, low = rows[inside[DEPTH:]], _bits()[1]
+    code = (rows & ((1 << 8 * DEPTH) - 1)) << 8 | rows >> (8 * DEPTH) & 255
     return _spread(code >> low) << low | code & ((1 << low) - 1), np.cumsum(sizes) - sizes, sizes
 
 
@@ -94,6 +94,19 @@ def _distinct(gram: np.ndarray) -> np.ndarray:
     return gram[np.concatenate([[True], gram[1:] != gram[:-1]])] if len(gram) else gram
 
 
+def _values(code: np.ndarray, distinct: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The value of each gram from those of the distinct ones in order; in pieces whose places fit beside a gram in one integer, so that a plain sort does."""
+    out, bits = np.empty(len(code)), np.uint64(64 - 8 * (DEPTH + 1))
+    step = 1 << int(min(bits, 16))
+    for i in range(0, len(code), step):
+        piece = code[i : i + step].astype(np.uint64)
+        held = np.sort(piece << bits | np.arange(len(piece), dtype=np.uint64))
+        gram = (held >> bits).astype(np.int64)
+        new = np.concatenate([[True], gram[1:] != gram[:-1]])
+        out[i + (held & np.uint64(step - 1)).astype(np.int64)] = values[np.searchsorted(distinct, gram[new])][np.cumsum(new) - 1]
+    return out
+
+
 def counts(docs: DataFrame, text_col: str) -> DataFrame:
     """(gram, null, n) and (null, word, n) over all texts; the end token is the row where both are null."""
 
@@ -345,7 +358,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, id_col:
             texts, begin = b.column("_text").to_pylist(), 0
             while begin < len(texts):
                 bodies, size, first = [], 0, begin
-                crc, tokens, hits, base, light = [], [], [], [], []
+                crc, tokens, hits, base, light, edge = [], [], [], [], [], [0]
                 while begin < len(texts) and size < SLICE_BYTES:
                     found = words(texts[begin])
                     bodies.append(coded(found))
@@ -360,7 +373,8 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, id_col:
                             n_known += n
                     crc.append(zlib.crc32((texts[begin] or "").encode("utf-8", "replace")))
                     tokens.append(len(found) + 1), hits.append(n_known), base.append(total)
-                    light.append([*rare, (None, 1)] if rare else [])
+                    light += [*rare, (None, 1)] if rare else []
+                    edge.append(len(light))
                     begin += 1
                 arrays = [b.column("_row").slice(first, begin - first), b.column("_id").slice(first, begin - first), pa.array(crc, pa.int64()), pa.array(tokens, pa.int64()), pa.array(hits, pa.int64()), pa.array(base, pa.float64())]
                 sizes = np.array([len(x) for x in bodies], np.int64)
@@ -372,7 +386,8 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, id_col:
                 count = len(bodies)
                 arrays += [pa.array(sizes), pa.array(np.full(count, number)), pa.array(np.arange(count)), pa.array([body] + [None] * (count - 1), pa.binary())]
                 arrays.append(pa.array([asks] + [None] * (count - 1), pa.list_(pa.struct([("bucket", pa.int32()), ("codes", pa.binary())]))))
-                arrays.append(pa.array([[{"word": w, "n": n} for w, n in x] for x in light], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))))
+                word, n = zip(*light) if light else ((), ())
+                arrays.append(pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.StructArray.from_arrays([pa.array(word, pa.binary()), pa.array(n, pa.int64())], ["word", "n"])))
                 number += 1
                 yield pa.RecordBatch.from_arrays(arrays, names=["_row", "_id", "_crc", "n_tokens", "_hits", "_base", "_bytes", "_slice", "_at", "_body", "_asks", "_light"])
 
@@ -392,10 +407,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, id_col:
         by = np.argsort(found.column("bucket").to_numpy())
         logp = np.frombuffer(b"".join(found.column("logp").take(pa.array(by)).to_pylist()), np.float32)  # of the distinct grams, in order
         code, starts, own = positions(texts)
-        order = np.argsort(code)
-        code = code[order]
-        p = np.empty(len(code))
-        p[order] = logp[np.cumsum(np.concatenate([[False], code[1:] != code[:-1]]))]
+        p = _values(code, _distinct(code), logp)
         sums = np.concatenate([[0.0], np.cumsum(p)])
         return pa.table({"_slice": pa.array(np.full(count, key[0].as_py())), "_at": pa.array(np.arange(count)), "score": pa.array(sums[starts + own] - sums[starts])})
 

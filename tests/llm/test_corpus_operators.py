@@ -227,6 +227,13 @@ def test_trained_scores_keep_every_context(spark, monkeypatch):
             assert got[i] == pytest.approx(naive_ctw(learned, ctw.coded(words(dict(rows)[i])), ctw.DEPTH), rel=1e-5)
 
 
+def test_values_are_found_for_every_gram():
+    rng = np.random.default_rng(1)
+    code = rng.integers(0, 1 << 48, 3000)[rng.integers(0, 3000, 200_000)]
+    distinct = ctw._distinct(code)
+    assert (ctw._values(code, distinct, np.arange(len(distinct))) == np.searchsorted(distinct, code)).all()
+
+
 def test_rare_contexts_stay_beside_a_large_text(spark):
     rows = [(1, "ab abc " * 20_000), (2, "quartz vex")]  # each context of the second is under 1 / 65,536 of all bytes
     got = {r._row.doc_id: r.score for r in ctw.score(table(spark, rows), ctw.train(table(spark, rows)), keep=["doc_id"]).collect()}
