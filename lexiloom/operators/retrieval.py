@@ -2,45 +2,64 @@
 
 from __future__ import annotations
 
+import math
+import zlib
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
+from lexiloom.sources.scratch import written
 
 K1, B, RRF = 1.2, 0.75, 60
+BOOSTS = {"title": 3.0, "content": 1.0}
 SNIPPET_CHARS = 120
 
 
-def _count(words, term: str):
-    return F.size(F.filter(words, lambda x: x == F.lit(term)))
+#: Directories of an index; a question reads those that its terms are dealt to.
+INDEX_PARTS = 64
 
 
-def bm25(docs: DataFrame, terms: list[str], fields: dict[str, float], key: str = "doc_id") -> DataFrame:
-    """key and score of every document with a query term; the best of the boosted fields counts.
+@dataclass
+class SearchIndex:
+    """An inverted index on disk: postings (part, term, field, key, tf, len), and for each field its texts and their mean length."""
 
-    Term counts are taken per row and statistics in one small aggregate, so nothing is exploded and
-    only one row is broadcast.
-    """
-    tf, stats, scores = {}, [], []
-    for f in fields:
-        tf[f"len_{f}"] = F.size(F.col(f"tok_{f}"))
-        for i, t in enumerate(terms):
-            tf[f"tf_{f}_{i}"] = _count(F.col(f"tok_{f}"), t)
-    counted = docs.select(key, *[T.tokens(f).alias(f"tok_{f}") for f in fields]).select(key, *[c.alias(n) for n, c in tf.items()])
-    for f in fields:
-        stats += [F.avg(f"len_{f}").alias(f"avg_{f}")] + [F.sum(F.when(F.col(f"tf_{f}_{i}") > 0, 1).otherwise(0)).alias(f"df_{f}_{i}") for i in range(len(terms))]
-    both = counted.crossJoin(F.broadcast(counted.agg(F.count(F.lit(1)).alias("n"), *stats)))
-    for f, boost in fields.items():
-        parts = []
-        for i in range(len(terms)):
-            n, d = F.col(f"tf_{f}_{i}"), F.col(f"df_{f}_{i}")
-            idf = F.log(1 + (F.col("n") - d + 0.5) / (d + 0.5))
-            parts.append(F.when(n > 0, idf * n * (K1 + 1) / (n + K1 * (1 - B + B * F.col(f"len_{f}") / F.col(f"avg_{f}")))).otherwise(0.0))
-        scores.append(reduce(lambda a, b: a + b, parts) * boost)
-    best = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    return both.select(key, best.alias("score")).where("score > 0")
+    postings: DataFrame
+    fields: dict[str, tuple[int, float]]
+
+
+def write_search_index(docs: DataFrame, fields: list[str], path: str, key: str = "doc_id", parts: int = INDEX_PARTS) -> SearchIndex:
+    """Tokenises every text once; postings are dealt by term and sorted."""
+    tokens = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), T.tokens(f).alias("words")) for f in fields])).alias("f")
+    rows = docs.select(F.col(key).alias("key"), tokens).select("key", "f.field", F.coalesce("f.words", F.array().cast("array<string>")).alias("words"))
+    part = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(parts)).cast("int").alias("part")
+    words = rows.select("key", "field", F.size("words").alias("len"), F.explode("words").alias("term")).select(part, "term", "field", "key", "len")
+    # Dealt by part before they are counted: the one exchange serves both.
+    counted = words.repartition("part").groupBy("part", "term", "field", "key", "len").agg(F.count(F.lit(1)).alias("tf"))
+    counted.sortWithinPartitions("part", "term", "field").write.partitionBy("part").parquet(f"{path}/postings")
+    rows.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("mean"), F.sum(F.size("words")).alias("words")).coalesce(1).write.parquet(f"{path}/fields")
+    return open_search_index(docs.sparkSession, path)
+
+
+def open_search_index(spark: SparkSession, path: str) -> SearchIndex:
+    fields = spark.read.parquet(f"{path}/fields").collect()  # a row a field
+    return SearchIndex(spark.read.parquet(f"{path}/postings"), {r.field: (r.n, r.mean) for r in fields})
+
+
+def bm25(index: SearchIndex, terms: list[str], boosts: dict[str, float], parts: int = INDEX_PARTS) -> DataFrame:
+    """doc_id and score of every text with a query term; the best of the boosted fields counts. Reads the terms' postings and nothing else."""
+    asked = list(dict.fromkeys(terms))
+    weights = F.create_map(*[F.lit(x) for f, w in boosts.items() for x in (f, float(w))])
+    stat = lambda k: F.create_map(*[F.lit(x) for f in boosts for x in (f, float(index.fields.get(f, (0, 1.0))[k] or 1.0))])[F.col("field")]
+    found = index.postings.where(F.col("part").isin([zlib.crc32(t.encode()) % parts for t in asked]) & F.col("term").isin(asked) & F.col("field").isin(list(boosts)))
+    held = found.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"))  # a row for each term and field
+    idf = F.log(1 + (stat(0) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    repeated = F.create_map(*[F.lit(x) for t in asked for x in (t, terms.count(t))])[F.col("term")]
+    part = repeated * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / stat(1)))
+    scores = found.join(F.broadcast(held), ["term", "field"]).groupBy("key", "field").agg((F.sum(part) * F.first(weights[F.col("field")])).alias("score"))
+    return scores.groupBy(F.col("key").alias("doc_id")).agg(F.max("score").alias("score")).where("score > 0")
 
 
 def cosine(vectors: DataFrame, query_id: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -65,19 +84,16 @@ def fused(lists: list[DataFrame], key: str, k: int) -> DataFrame:
     return parts.orderBy(F.desc("score"), "first.list", "first.rank").limit(k).select(key, "score", F.col("first.list").alias("first_list"), F.col("first.rank").alias("first_rank"))
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame, terms: list[str], query_id: int, k: int = 10) -> DataFrame:
+def hybrid(index: SearchIndex, vectors: DataFrame, terms: list[str], query_id: int, k: int = 10) -> DataFrame:
     """BM25 (2k candidates, title three times content) and cosine (k) lists fused."""
-    titled = docs.select("doc_id", F.col("source").alias("title"), F.col("text").alias("content"))
-    words = ranked(bm25(titled, terms, {"title": 3.0, "content": 1.0}), "doc_id", 2 * k)
+    words = ranked(bm25(index, terms, BOOSTS), "doc_id", 2 * k)
     near = ranked(cosine(vectors, query_id).withColumnRenamed("vec_id", "doc_id"), "doc_id", k)
     return fused([words, near], "doc_id", k)
 
 
-def scoped(docs: DataFrame, vectors: DataFrame, terms: list[str], query_id: int, scope, k: int = 6) -> DataFrame:
-    """Document search: hits outside the scope are dropped after they have taken their ranks."""
-    titled = docs.select("doc_id", F.col("source").alias("title"), F.col("text").alias("content"))
-    inside = docs.where(scope).select("doc_id")
-    words = ranked(bm25(titled, terms, {"title": 3.0, "content": 1.0}), "doc_id", 4 * k).join(inside, "doc_id", "left_semi")
+def scoped(index: SearchIndex, vectors: DataFrame, terms: list[str], query_id: int, inside: DataFrame, k: int = 6) -> DataFrame:
+    """Document search: hits outside the scope (doc_ids in ``inside``) are dropped after they have taken their ranks."""
+    words = ranked(bm25(index, terms, BOOSTS), "doc_id", 4 * k).join(inside, "doc_id", "left_semi")
     near = ranked(cosine(vectors, query_id).withColumnRenamed("vec_id", "doc_id"), "doc_id", 4 * k).join(inside, "doc_id", "left_semi")
     return fused([words, near], "doc_id", k)
 
@@ -89,14 +105,16 @@ def substring_idf(blocks: DataFrame, question: str, k: int, order: list[str]) ->
     block's length within [20, 300] and raised by a fifth for lengths in that range.
     """
     grams = sorted({question[i : i + n].lower() for n in (2, 3, 4) for i in range(len(question) - n + 1) if question[i : i + n].strip()})
-    held = blocks.withColumn("low", F.lower("text"))
-    flags = [F.contains(F.col("low"), F.lit(g)) for g in grams]
-    stats = held.agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(f.cast("int")) for f in flags]).alias("df"))
-    both = held.crossJoin(F.broadcast(stats))
-    total = reduce(lambda a, b: a + b, [F.when(f, len(g) ** 2 * (1 + F.log(F.col("n") / F.greatest(F.lit(1), F.col("df")[i])))).otherwise(0.0) for i, (f, g) in enumerate(zip(flags, grams))])
-    size = F.length("text")
+    low = F.lower("text")
+    # One pass over the texts: which substrings a block holds, 60 to an integer; statistics and scores read that table alone.
+    words = [reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.contains(low, F.lit(g)), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, g in enumerate(grams[at : at + 60])]) for at in range(0, len(grams), 60)]
+    held = written(blocks.select(*order, F.length("text").alias("size"), F.array(*words).alias("held")), "grams")
+    has = lambda i: F.shiftright(F.col("held")[i // 60], i % 60).bitwiseAND(F.lit(1))
+    n, *df = held.agg(F.count(F.lit(1)), *[F.sum(has(i)) for i in range(len(grams))]).first()
+    total = reduce(lambda a, b: a + b, [has(i) * F.lit(len(g) ** 2 * (1 + math.log(n / df[i]))) for i, g in enumerate(grams) if df[i]], F.lit(0.0))
+    size = F.col("size")
     score = total / F.sqrt(F.least(F.greatest(size, F.lit(20)), F.lit(300)).cast("double")) * F.when((size >= 20) & (size <= 300), 1.2).otherwise(1.0)
-    return both.withColumn("score", score).where("score > 0").orderBy(F.desc("score"), *order).limit(k).select(*order, "score")
+    return held.where(F.exists("held", lambda x: x != 0)).withColumn("score", score).where("score > 0").orderBy(F.desc("score"), *order).limit(k).select(*order, "score")
 
 
 def cited(hits: DataFrame, quote_col: str, text_col: str) -> DataFrame:

@@ -18,7 +18,7 @@ from lexiloom.operators.evaluate import text_score
 from lexiloom.sources.tables import line_blocks, table
 
 from .base import BLOCKS, query
-from .retrieval import _BM25, _KNN, TERMS, VECTOR
+from .retrieval import _BM25, _KNN, TERMS, VECTOR, search_index
 from .rules import _HITS, RULES
 
 
@@ -182,8 +182,7 @@ def join_rec_lookup(spark, d):
     f"WITH {_BM25}, {_KNN}, bl AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM bm QUALIFY r <= 20), kl AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM kn QUALIFY r <= 10) SELECT coalesce(bl.doc_id, kl.doc_id) AS doc_id, round(coalesce(1.0::DOUBLE / (60 + bl.r), 0) + coalesce(1.0::DOUBLE / (60 + kl.r), 0), 6) AS score FROM bl FULL JOIN kl ON bl.doc_id = kl.doc_id",
 )
 def join_rrf(spark, d):
-    titled = _docs(spark, d, "doc_id", F.col("source").alias("title"), F.col("text").alias("content"))
-    words = Re.ranked(Re.bm25(titled, TERMS, {"title": 3.0, "content": 1.0}), "doc_id", 20).select("doc_id", F.col("rank").alias("a"))
+    words = Re.ranked(Re.bm25(search_index(spark, d), TERMS, Re.BOOSTS), "doc_id", 20).select("doc_id", F.col("rank").alias("a"))
     near = Re.ranked(Re.cosine(table(spark, d, "embeddings"), VECTOR).withColumnRenamed("vec_id", "doc_id"), "doc_id", 10).select("doc_id", F.col("rank").alias("b"))
     part = lambda c: F.coalesce(1.0 / (Re.RRF + 1 + F.col(c)), F.lit(0.0))
     return words.join(near, "doc_id", "full").select("doc_id", F.round(part("a") + part("b"), 6).alias("score"))

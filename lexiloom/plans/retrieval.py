@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
 from lexiloom.operators import retrieval as R
+from lexiloom.sources.scratch import new_path
 from lexiloom.sources.tables import line_blocks, table
 
 from .base import BLOCKS, query
@@ -37,10 +38,32 @@ u AS (SELECT x.* FROM (SELECT * FROM bl UNION ALL SELECT * FROM kl) x LEFT JOIN
 g AS (SELECT doc_id, sum(1.0::DOUBLE / (61 + r)) AS s, min(l * 1000 + r) AS o FROM u GROUP BY doc_id ORDER BY s DESC, o LIMIT {k})"""
 
 
+_indexes: dict[tuple[str, str], R.SearchIndex] = {}
+
+
+def search_index(spark, d) -> R.SearchIndex:
+    """The index of a folder's documents, written once in a session and read by every question."""
+    at = (spark.conf.get("spark.app.id", ""), d)
+    if at not in _indexes:
+        docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("content"))
+        _indexes[at] = R.write_search_index(docs, list(R.BOOSTS), new_path(spark, "search"))
+    return _indexes[at]
+
+
+@query(
+    "snk_index_bulk",
+    r"""WITH t AS (SELECT doc_id, 'title' AS field, regexp_extract_all(lower(source), '[\p{L}\p{N}]+') AS tk FROM documents UNION ALL SELECT doc_id, 'content', regexp_extract_all(lower(text), '[\p{L}\p{N}]+') FROM documents),
+p AS (SELECT doc_id, field, len(tk) AS n, term, count(*) AS tf FROM (SELECT doc_id, field, tk, unnest(tk) AS term FROM t) GROUP BY ALL)
+SELECT field, term, count(*) AS df, sum(tf)::BIGINT AS tf, min(doc_id) AS first_doc, max(n)::BIGINT AS longest FROM p GROUP BY ALL""",
+)
+def snk_index_bulk(spark, d):
+    rows = search_index(spark, d).postings
+    return rows.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"), F.min("key").alias("first_doc"), F.max("len").cast("long").alias("longest"))
+
+
 @query("topk_bm25", f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, doc_id LIMIT 20")
 def topk_bm25(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("content"))
-    return R.ranked(R.bm25(docs, TERMS, {"title": 3.0, "content": 1.0}), "doc_id", 20).select("doc_id", F.round("score", 6).alias("score"))
+    return R.ranked(R.bm25(search_index(spark, d), TERMS, R.BOOSTS), "doc_id", 20).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("topk_knn", f"WITH {_KNN} SELECT doc_id AS vec_id, round(score, 5) AS score FROM kn ORDER BY kn.score DESC, doc_id LIMIT 10")
@@ -50,7 +73,7 @@ def topk_knn(spark, d):
 
 def _fused(spark, d, k):
     docs = table(spark, d, "documents")
-    best = R.hybrid(docs, table(spark, d, "embeddings"), TERMS, VECTOR, k)
+    best = R.hybrid(search_index(spark, d), table(spark, d, "embeddings"), TERMS, VECTOR, k)
     return best.join(docs.select("doc_id", "lang", "source", F.left("text", F.lit(120)).alias("snippet")), "doc_id", "left").select("doc_id", F.round("score", 6).alias("score"), "lang", "source", "snippet")
 
 
@@ -69,7 +92,8 @@ def topk_parallel(spark, d):
 
 @query("topk_scope", _rrf(6, 24, 24, "d.lang = 'en'") + " SELECT doc_id, round(s, 6) AS score FROM g")
 def topk_scope(spark, d):
-    return R.scoped(table(spark, d, "documents"), table(spark, d, "embeddings"), TERMS, VECTOR, F.col("lang") == "en").select("doc_id", F.round("score", 6).alias("score"))
+    inside = table(spark, d, "documents").where("lang = 'en'").select("doc_id")
+    return R.scoped(search_index(spark, d), table(spark, d, "embeddings"), TERMS, VECTOR, inside).select("doc_id", F.round("score", 6).alias("score"))
 
 
 _GRAMS = sorted({QUESTION[i : i + n] for n in (2, 3, 4) for i in range(len(QUESTION) - n + 1) if QUESTION[i : i + n].strip()})
