@@ -21,6 +21,7 @@ import pickle
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from tokenizers import Tokenizer
 from .common import bounded_batches, packed
 
 LEAF_CHARS = 32_768
-CACHED_RUN, CACHED_RUNS = 64, 75_000
+CACHED_RUN, CACHED_RUNS = 64, 150_000
 WINDOW, AGREE = 32, 2
 SLICE_CHARS = 500_000
 #: The split of the vocabularies that the run-wise way is right for.
@@ -57,47 +58,51 @@ def splits_at_spaces(tokenizer: Tokenizer) -> bool:
 class Codec:
     """One worker's tokenizer with the runs that it has seen; two generations of bounded size."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHED_RUNS):
+        self.cached = cached
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.by_runs = splits_at_spaces(self.tokenizer)
         self.tokens = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
-        self.seen: dict[str, tuple[bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, str]] = {}
+        self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def decode(self, ids) -> str:
-        return " ".join([self.tokens[i] for i in ids])
+        return " ".join(map(self.tokens.__getitem__, ids))
 
-    def runs(self, runs: list[str]) -> dict[str, tuple[bytes, str]]:
-        """Every run's ids (little-endian unsigned 32-bit) and decoding."""
-        if len(self.seen) > CACHED_RUNS:
+    def runs(self, runs: list[str]) -> dict[str, bytes]:
+        """Every run's ids (little-endian unsigned 32-bit)."""
+        if len(self.seen) > self.cached:
             self.older, self.seen = self.seen, {}
-        seen, older, long = self.seen, self.older, {}
-        cores = {}
-        for r in {r for r in runs if r not in seen}:
+        seen, older, long, cores, fresh = self.seen, self.older, {}, {}, set()
+        for r in set(runs).difference(seen):
             if r in older:
                 seen[r] = older[r]
-            else:
-                # Letters before a mark are a token row of their own; in ASCII their case is dropped first.
-                end = r[-1] if r[-1] in ".," and r[:-1].isalpha() else ""
-                core = r[: len(r) - len(end)]
-                cores[r] = (core.lower() if core.isascii() and core.isalpha() else core, end)
-        fresh = []
-        for x in {x for c in cores.values() for x in c if x and x not in seen}:
-            if x in older:
-                seen[x] = older[x]
-            else:
-                fresh.append(x)
+                continue
+            # Letters before a mark are a token row of their own; in ASCII their case is dropped first.
+            end = r[-1] if r[-1] in ".," and r[:-1].isalpha() else ""
+            core = r[:-1] if end else r
+            if core.isascii() and core.isalpha():
+                core = core.lower()
+            cores[r] = core, end
+            for x in (core, end) if end else (core,):
+                if x not in seen:
+                    if x in older:
+                        seen[x] = older[x]
+                    else:
+                        fresh.add(x)
+        fresh = list(fresh)
         for i in range(0, len(fresh), 20_000):
             part = fresh[i : i + 20_000]
-            for r, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                (seen if len(r) <= CACHED_RUN else long)[r] = (np.array(e.ids, "<u4").tobytes(), self.decode(e.ids))
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            flat, at = np.fromiter(chain.from_iterable(found), "<u4").tobytes(), 0
+            for r, ids in zip(part, found):
+                (seen if len(r) <= CACHED_RUN else long)[r] = flat[at : at + 4 * len(ids)]
+                at += 4 * len(ids)
         for r, (core, end) in cores.items():
-            found = long[core] if core in long else seen[core]
-            if end:
-                found = (found[0] + seen[end][0], f"{found[1]} {seen[end][1]}")
-            (seen if len(r) <= CACHED_RUN else long)[r] = found
+            if r != core:
+                (seen if len(r) <= CACHED_RUN else long)[r] = (long[core] if core in long else seen[core]) + (seen[end] if end else b"")
         return {r: long[r] if r in long else seen[r] for r in set(runs)} if long else seen
 
     def texts(self, texts: list[str]) -> list[tuple[bytes, str]]:
@@ -105,11 +110,11 @@ class Codec:
             found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
             return [(np.array(e.ids, "<u4").tobytes(), self.tokenizer.decode(e.ids, skip_special_tokens=False)) for e in found]
         split = [t.split() if not _ODD.search(t) else _RUN.findall(t) for t in texts]
-        known = self.runs([r for s in split for r in s])
+        known = self.runs(list(chain.from_iterable(split)))
         out = []
         for s in split:
-            found = [known[r] for r in s]
-            out.append((b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[1]])))  # other white space alone makes no token
+            ids = b"".join([known[r] for r in s])
+            out.append((ids, self.decode(np.frombuffer(ids, "<u4").tolist())))
         return out
 
     # Pieces of one unsplit run: its text, ids and the tokens' starts.
@@ -183,7 +188,7 @@ class Codec:
         tail = self.piece(text[spans[-1][0] :]) if spans and spans[-1][1] == len(text) else ("", [], [])
         inner = [text[s:e] for s, e in spans if s > 0 and e < len(text)]
         known = self.runs(inner)
-        return head, b"".join([known[r][0] for r in inner]), tail
+        return head, b"".join([known[r] for r in inner]), tail
 
     def together(self, nodes: list):
         """The ids of a text from its leaves, put together pairwise."""
@@ -208,22 +213,26 @@ class Codec:
 _codecs: dict[str, Codec] = {}
 
 
-def codec_of(path: str) -> Codec:
-    """A Python worker's tokenizer and runs last from task to task."""
+def codec_of(path: str, cached: int) -> Codec:
+    """A Python worker's tokenizer and runs last from task to task, within the bound that the last caller set."""
     if path not in _codecs:
         _codecs[path] = Codec(path)
+    _codecs[path].cached = cached
     return _codecs[path]
 
 
-def bpe(docs: DataFrame, path: str, keep: list[str] | None = None, text_col: str = "text", leaf_chars: int = LEAF_CHARS) -> DataFrame:
-    """Returns ``_row`` (the columns to keep), ``ids`` (little-endian unsigned 32-bit) and ``decoded`` for each row."""
+def bpe(docs: DataFrame, path: str, keep: list[str] | None = None, text_col: str = "text", leaf_chars: int = LEAF_CHARS, cached_runs: int = CACHED_RUNS) -> DataFrame:
+    """Returns ``_row`` (the columns to keep), ``ids`` (little-endian unsigned 32-bit) and ``decoded`` for each row.
+
+    A worker keeps at most twice ``cached_runs`` short runs, about 0.4 KB each: fewer take less memory and more time.
+    """
     bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(packed(docs, keep=keep), text.alias("_text"))
     kind = rows.schema["_row"].dataType.simpleString()
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(path)
+        codec = codec_of(path, cached_runs)
         for b in batches:
             text, begin = b.column("_text"), 0
             lengths = pc.utf8_length(text).to_pylist()
@@ -238,21 +247,21 @@ def bpe(docs: DataFrame, path: str, keep: list[str] | None = None, text_col: str
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for key, t in zip(b.column("_key").to_pylist(), b.column("_text").to_pylist()):
+            for key, t in zip(b.column("_key").to_pylist(), map(pa.Scalar.as_py, b.column("_text"))):
                 leaves = [t[i : i + leaf_chars] for i in range(0, len(t), leaf_chars)]
                 yield pa.RecordBatch.from_arrays([pa.array([key] * len(leaves)), pa.array(range(len(leaves)), pa.int32()), pa.array(leaves)], names=["_key", "_at", "_leaf"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(path)
+        codec = codec_of(path, cached_runs)
         for b in batches:
-            nodes = [zstandard.compress(pickle.dumps(codec.leaf(t)), 1) for t in b.column("_leaf").to_pylist()]
+            nodes = [zstandard.compress(pickle.dumps(codec.leaf(t.as_py())), 1) for t in b.column("_leaf")]
             yield pa.RecordBatch.from_arrays([b.column("_key"), b.column("_at"), pa.array(nodes, pa.binary())], names=["_key", "_at", "_node"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(path)
+        codec = codec_of(path, cached_runs)
         for b in batches:
-            for key, nodes in zip(b.column("_key").to_pylist(), b.column("_nodes").to_pylist()):
-                ids = codec.together([pickle.loads(zstandard.decompress(n["_node"])) for n in nodes])
+            for key, nodes in zip(b.column("_key").to_pylist(), b.column("_nodes")):
+                ids = codec.together([pickle.loads(zstandard.decompress(n["_node"])) for n in nodes.as_py()])
                 yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([ids], pa.binary()), pa.array([codec.decode(np.frombuffer(ids, "<u4").tolist())])], names=["_key", "ids", "decoded"])
 
     # Other vocabularies are left to the library, text by text.

@@ -49,15 +49,13 @@ def written(df: DataFrame) -> DataFrame:
     return Scratch(df.sparkSession).written(df)
 
 
-#: Texts that a Python worker holds at once; sessions with smaller batches keep theirs.
-BATCH_ROWS = 2000
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 4_000_000
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Whole texts in Spark's usual batches of 10,000 rows would take hundreds of MB in each worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+def bounded_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
+    """Sets the session's batch size: whole texts in Spark's usual batches of 64 MB take hundreds of MB in each Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def crc_of_id(column: str | Column) -> Column:

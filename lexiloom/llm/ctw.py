@@ -331,7 +331,7 @@ def _unpacked_codes(data: bytes) -> np.ndarray:
 
 
 def train(docs: DataFrame, text_col: str = "text") -> Model:
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, SLICE_BYTES)
     found = written(counts(docs, text_col))
     grams = found.where("gram IS NOT NULL")
     tokens = found.where("gram IS NULL")
@@ -348,7 +348,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, id_col:
     """Returns ``_row``, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte for each row."""
     framed = docs.select(packed(docs, keep=keep), F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, SLICE_BYTES)
     shared, top, buckets = spark.sparkContext.broadcast((model.words, model.end, model.known_end)), spark.sparkContext.broadcast(model.top), _buckets(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
