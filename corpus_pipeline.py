@@ -45,7 +45,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = bpe.bpe(docs.select("doc_id", "text"), word_vocabulary(), keep=["doc_id"])
+    out = bpe.bpe(docs.select("doc_id", "text"), word_vocabulary(), keep=["doc_id"], cached_runs=40_000)  # other stages' workers share the memory
     return out.select("_row.doc_id", F.expr("length(ids) div 4").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
