@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexiloom.functions import text as T
+
 SPAN = 1000.0
 
 
@@ -43,10 +45,50 @@ def sub_rect(box: Column, start: Column, end: Column, length: Column) -> Column:
     return F.struct((box["x0"] + wide * start / length).alias("x0"), box["y0"].alias("y0"), (box["x0"] + wide * end / length).alias("x1"), box["y1"].alias("y1"))
 
 
-def within(inner: Column, outer: Column, slack: float = 0.2) -> Column:
-    """Whether a box lies in another that is widened by a share of its sides."""
-    dx, dy = (outer["x1"] - outer["x0"]) * slack, (outer["y1"] - outer["y0"]) * slack
-    return (inner["x0"] >= outer["x0"] - dx) & (inner["x1"] <= outer["x1"] + dx) & (inner["y0"] >= outer["y0"] - dy) & (inner["y1"] <= outer["y1"] + dy)
+def within(inner: Column, outer: Column, most: float = 0.2, side: float = 0.5) -> Column:
+    """Whether a box lies in another but for a share ``most`` of its area, and for at most ``side`` of either side."""
+    beyond = lambda low, high: F.greatest(F.lit(0.0), outer[low] - inner[low]) + F.greatest(F.lit(0.0), inner[high] - outer[high])
+    wide, high = (F.greatest(F.lit(1e-9), inner[b] - inner[a]) for a, b in (("x0", "x1"), ("y0", "y1")))
+    dx, dy = beyond("x0", "x1"), beyond("y0", "y1")
+    return (dx <= wide * side) & (dy <= high * side) & ((dx * high + dy * wide) / (wide * high) <= most)
+
+
+CHARS = "array<struct<text: string, x0: double, x1: double, top: double, bottom: double>>"
+
+
+def quote_boxes(chars: Column, quote: Column, width: Column, height: Column) -> Column:
+    """Boxes, in thousandths of the page, of every place where a page's characters (CHARS) say the quote on one line; white space does not count."""
+
+    def places(w: Column) -> Column:
+        n = F.length(w["q"])
+        starts = F.when((n >= 2) & (F.size(w["solid"]) >= n) & (width > 0) & (height > 0), F.sequence(F.lit(0), F.size(w["solid"]) - n)).otherwise(F.array().cast("array<int>"))
+        part = lambda v, size: F.least(F.greatest(v / size * SPAN, F.lit(0.0)), F.lit(SPAN))
+        tall = lambda c: F.greatest(F.lit(0.1), c["bottom"] - c["top"])
+        ends = F.transform(F.filter(starts, lambda i: F.substring(w["flat"], i + 1, n) == w["q"]), lambda i: F.struct(F.get(w["solid"], i).alias("a"), F.get(w["solid"], i + n - 1).alias("z")))
+        level = F.filter(ends, lambda e: F.abs((e["z"]["top"] + e["z"]["bottom"]) / 2 - (e["a"]["top"] + e["a"]["bottom"]) / 2) <= (tall(e["a"]) + tall(e["z"])) / 2 + 1)
+        return F.transform(
+            level,
+            lambda e: F.struct(
+                part(e["a"]["x0"], width).alias("x0"), part(F.least(e["a"]["top"], e["z"]["top"]), height).alias("y0"), part(e["z"]["x1"], width).alias("x1"), part(F.greatest(e["a"]["bottom"], e["z"]["bottom"]), height).alias("y1")
+            ),
+        )
+
+    said = F.transform(chars, lambda c: F.struct(T.useful(c["text"]).alias("text"), *[c[k].alias(k) for k in ("x0", "x1", "top", "bottom")]))
+    solid = F.filter(said, lambda c: c["text"] != "")
+    flat = lambda x: F.array_join(F.transform(x, lambda c: c["text"]), "")
+    return T.let(solid, lambda x: T.let(F.struct(x.alias("solid"), flat(x).alias("flat"), T.useful(quote).alias("q")), places))
+
+
+def refined(boxes: Column, span: Column | None = None) -> Column:
+    """Of a quote's boxes the smallest that is not flat and lies in the span, if one is given; the first on ties, else null."""
+    fits = F.filter(boxes, lambda b: (b["x1"] > b["x0"]) & (b["y1"] > b["y0"]) & (F.lit(True) if span is None else span.isNull() | within(b, span)))
+    ranked = F.transform(fits, lambda b, i: F.struct(area(b).alias("area"), i.alias("i"), b.alias("box")))
+    return F.array_min(ranked)["box"]
+
+
+def covers_quote(boxes: Column, box: Column, least: float = 0.3) -> Column:
+    """Whether a box overlaps one of the quote's by ``least`` of their union."""
+    return F.exists(boxes, lambda b: iou(box, b) >= least)
 
 
 def anchor(text: Column, quote: Column, line_box: Column, span_box: Column, block_box: Column) -> Column:

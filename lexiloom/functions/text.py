@@ -13,6 +13,11 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once and used by name, however often."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalized(c) -> Column:
     """White space as single blanks, none at the ends."""
     return F.trim(F.regexp_replace(col(c), _SPACE, " "))
@@ -72,7 +77,7 @@ def snippet(text, query: str, before: int = 600, head: int = 1800, longest: int
         cut = F.concat(F.when(begin > 1, "…").otherwise(""), F.substring(text, begin, end - begin + 1), F.when(end < F.length(text), "…").otherwise(""))
         return F.when(found.isNull(), F.left(text, F.lit(head))).otherwise(cut)
 
-    return F.get(F.transform(F.array(hit), around), F.lit(0))  # the hit is sought once and used by name
+    return let(hit, around)
 
 
 def char_overlap(a, b) -> Column:
@@ -161,8 +166,10 @@ def common_prefix(a, b) -> Column:
     """Length of the longest common prefix."""
     a, b = col(a), col(b)
     n = F.least(F.length(a), F.length(b))
-    grown = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(grown, lambda i: F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i)))
+    # By halves: prefixes of one length are compared as a whole.
+    steps = F.array(*[F.lit(1 << k) for k in range(24, -1, -1)])
+    longer = lambda have, step: F.when((have + step <= n) & (F.substring(a, F.lit(1), have + step) == F.substring(b, F.lit(1), have + step)), have + step).otherwise(have)
+    return F.when(n.isNotNull(), F.aggregate(steps, F.lit(0), longer))
 
 
 def flattened(c) -> Column:

@@ -477,12 +477,3 @@ def scr_sentence_window(spark, d):
 def tbl_split_rows(spark, d):
     rows = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat(F.lit("| "), i.cast("string"), F.lit(" | "), F.col("n_name"), F.lit(" |"))), "\n")
     return _nations(spark, d, t=F.concat(F.lit("| k | v |\n| --- | --- |\n"), rows)).select("n_nationkey", F.posexplode(C.table_chunks(F.col("t"))).alias("n", "part"))
-
-
-@query("join_quote_span", f"WITH {BLOCKS} SELECT doc_id, block_index AS quote_id, min(p) AS span_id FROM (SELECT a.doc_id, a.block_index, b.block_index AS p FROM blocks a JOIN blocks b ON a.doc_id = b.doc_id AND a.text = b.text WHERE length(a.text) >= 8) GROUP BY ALL")
-def join_quote_span(spark, d):
-    blocks = _blocks(spark, d)
-    quotes, spans = blocks.where(F.length("text") >= 8).select("doc_id", F.col("block_index").alias("quote_id"), F.col("text").alias("quote")), blocks.select("doc_id", F.col("block_index").alias("span_id"), F.col("text").alias("span_text"))
-    # Whole-line spans: equality stands for the longest possible prefix, so the join is hashed on the text as well.
-    exact = quotes.join(spans, (quotes.doc_id == spans.doc_id) & (quotes.quote == spans.span_text)).select(quotes.doc_id, "quote_id", "span_id")
-    return exact.groupBy("doc_id", "quote_id").agg(F.min("span_id").alias("span_id"))

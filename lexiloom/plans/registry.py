@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import base, evaluate, files, findings, retrieval, rules, state, structure
+from . import anchors, base, evaluate, files, findings, retrieval, rules, state, structure
 
 
 def flagship(spark, sf_dir):

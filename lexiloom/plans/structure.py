@@ -73,7 +73,7 @@ def geo_norm_rect(spark, d):
 @query(
     "geo_iou",
     f"""WITH {_GEO}, w AS (SELECT *, least(x1, 700) - greatest(x0, 200) AS a, least(y1, 500) - greatest(y0, 100) AS h FROM n WHERE x1 > x0 AND y1 > y0)
-SELECT l_orderkey, l_linenumber, round(CASE WHEN a > 0 AND h > 0 THEN a * h / ((x1 - x0) * (y1 - y0) + 200000 - a * h) ELSE 0 END, 6) AS iou, x0 >= 100 AND x1 <= 800 AND y0 >= 20 AND y1 <= 580 AS inside FROM w""",
+SELECT l_orderkey, l_linenumber, round(CASE WHEN a > 0 AND h > 0 THEN a * h / ((x1 - x0) * (y1 - y0) + 200000 - a * h) ELSE 0 END, 6) AS iou, dx <= (x1 - x0) * 0.5 AND dy <= (y1 - y0) * 0.5 AND (dx * (y1 - y0) + dy * (x1 - x0)) / ((x1 - x0) * (y1 - y0)) <= 0.2 AS inside FROM (SELECT *, greatest(0, 200 - x0) + greatest(0, x1 - 700) AS dx, greatest(0, 100 - y0) + greatest(0, y1 - 500) AS dy FROM w)""",
 )
 def geo_iou(spark, d):
     frame = F.struct(F.lit(200.0).alias("x0"), F.lit(100.0).alias("y0"), F.lit(700.0).alias("x1"), F.lit(500.0).alias("y1"))
