@@ -247,7 +247,7 @@ def bpe(docs: DataFrame, path: str, keep: list[str] | None = None, text_col: str
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for key, t in zip(b.column("_key").to_pylist(), map(pa.Scalar.as_py, b.column("_text"))):
+            for key, t in zip(b.column("_key").to_pylist(), (x.as_py() for x in b.column("_text"))):
                 leaves = [t[i : i + leaf_chars] for i in range(0, len(t), leaf_chars)]
                 yield pa.RecordBatch.from_arrays([pa.array([key] * len(leaves)), pa.array(range(len(leaves)), pa.int32()), pa.array(leaves)], names=["_key", "_at", "_leaf"])
 
