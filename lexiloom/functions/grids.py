@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import html
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import col
+from .text import col, stripped
 
 GRID = "array<array<string>>"
 
@@ -116,12 +115,9 @@ def html_grid(c) -> Column:
 
 
 def normalized_grid(html_col, markdown_col, text_col) -> Column:
-    """The grid of the first form that gives one: HTML, Markdown, plain text."""
-    return F.coalesce(html_grid(html_col), markdown_grid(markdown_col), F.when(has_markdown_table(text_col), markdown_grid(text_col)))
-
-
-def unescaped(text: str) -> str:
-    return html.unescape(text)
+    """The grid of the first form that gives one: HTML, Markdown, plain text; the last two may hold HTML as well."""
+    either = lambda c: F.coalesce(html_grid(c), F.when(~F.coalesce(has_html_table(c), F.lit(False)), markdown_grid(c)))
+    return F.coalesce(html_grid(html_col), either(markdown_col), either(text_col))
 
 
 def plain_html_markdown(c) -> Column:
@@ -136,3 +132,21 @@ def appendix(tables) -> Column:
     source = lambda t: F.concat(t["filename"], F.when(t["section"] != "", F.concat(F.lit(" · "), t["section"])).otherwise(""))
     part = lambda t: F.concat(F.lit("\n> 来源："), source(t), F.lit("\n\n"), F.trim(t["markdown"]), F.lit("\n"))
     return F.when(F.size(col(tables)) > 0, F.concat(F.lit("\n\n---\n\n## 原文表格\n"), F.array_join(F.transform(col(tables), part), ""))).otherwise("")
+
+
+def tables_of_hits(hits: DataFrame, query: str, rank: str, most: int) -> DataFrame:
+    """For each query the first ``most`` distinct tables of its hits (kind, content, markdown), with the rank of the hit that has each first.
+
+    A table hit gives its Markdown, any other what its content holds, as Markdown or HTML, without header
+    lines; what is no grid of two by two is none.
+    """
+    content, markdown = F.coalesce("content", F.lit("")), F.nullif("markdown", F.lit(""))
+    bare = F.trim(F.regexp_replace(content, r"(?m)^\s*\[(文档|章节)\][^\n]*\n?", ""))
+    said = hits.select(query, rank, "kind", content.alias("content"), F.coalesce(markdown, content).alias("given"), bare.alias("bare"))
+    read = said.withColumns({"html": html_grid("content"), "bare_html": html_grid("bare")})
+    of_table = F.when(has_markdown_table("given") | ~has_markdown_table("bare"), F.col("given")).otherwise(F.col("bare"))
+    of_html = F.coalesce(*[F.when(F.col(c).isNotNull(), grid_markdown(c)) for c in ("html", "bare_html")])
+    of_text = F.when(has_markdown_table("content"), F.col("content")).when(has_markdown_table("bare"), F.col("bare")).otherwise(of_html)
+    found = read.select(query, rank, stripped(F.when(F.lower("kind") == "table", of_table).otherwise(of_text)).alias("markdown")).where(is_grid(markdown_grid("markdown")))
+    first = found.groupBy(query, "markdown").agg(F.min(rank).alias(rank))
+    return first.withColumn("_n", F.row_number().over(Window.partitionBy(query).orderBy(rank))).where(F.col("_n") <= most).drop("_n")

@@ -44,6 +44,17 @@ def merged_short(parts: list[str], budget: int, short: int = SHORT) -> list[str]
     return out
 
 
+def merged_short_parts(parts: Column, budget: int, short: int = SHORT) -> Column:
+    """The same of an array, without Python."""
+
+    def step(done: Column, p: Column) -> Column:
+        last = F.element_at(done, F.lit(-1))
+        joins = (F.length(last) + F.length(p) <= budget) | (F.length(p) < short) | (F.length(last) < short)
+        return F.when(F.size(done) == 0, F.array(p)).when(joins, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat(last, p)))).otherwise(F.concat(done, F.array(p)))
+
+    return F.aggregate(parts, F.array().cast("array<string>"), step)
+
+
 def table_windows(table: str, most: int) -> list[str]:
     """A long table as windows of rows that repeat its two head lines."""
     lines = table.split("\n")

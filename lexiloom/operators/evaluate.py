@@ -64,7 +64,7 @@ def associated(gold: DataFrame, predictions: DataFrame, least: float = MIN_SIMIL
     """
 
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        pairs = []
+        pairs, left, right = [], left.sort_values("id"), right.sort_values("id")  # ties go to the smaller ids
         for i, g in enumerate(left.itertuples()):
             for j, p in enumerate(right.itertuples()):
                 if g.issue_id and g.issue_id == p.issue_id:
@@ -80,7 +80,7 @@ def associated(gold: DataFrame, predictions: DataFrame, least: float = MIN_SIMIL
                 out.append((g, p, -s))
         return pd.DataFrame(out, columns=["gold_id", "prediction_id", "score"])
 
-    own = lambda df: df.select(*ASSOCIATION_KEY, "id", "text", "issue_id").orderBy("id")
+    own = lambda df: df.select(*ASSOCIATION_KEY, "id", "text", "issue_id")
     return own(gold).groupBy(ASSOCIATION_KEY).cogroup(own(predictions).groupBy(ASSOCIATION_KEY)).applyInPandas(match, "gold_id long, prediction_id long, score double")
 
 
@@ -109,13 +109,107 @@ def regression_gate(baseline: DataFrame, current: DataFrame, most: float = MAX_D
     return both.withColumn("drop", F.col("before") - F.col("after")).withColumn("blocked", F.col("drop") > most)
 
 
+CITATION = "struct<block_id: string, document_id: string, version_id: string, quote_start: int, quote_end: int, quote: string, locator: string>"
+#: Least (or, for false refusals, most) of each gated rate.
+QA_GATES = {"answer_accuracy": 0.90, "citation_exact_match_rate": 1.0, "citation_location_accuracy": 0.95, "refusal_correct_rate": 0.95, "non_refusal_citation_coverage": 1.0, "sse_unique_terminal_rate": 1.0}
+MOST_FALSE_REFUSALS = 0.05
+
+
 def answer_quality(cases: DataFrame, answers: DataFrame) -> DataFrame:
-    """For each case: one terminal event and it is last, all required facts present, citations exact."""
+    """Each case with what its answer does: terminal event, refusal, facts, citations exact and located, and the failures by name.
+
+    A case has question_id, answerable, document_id, version_id, required_facts and blocks (block_id, text,
+    locator); an answer question_id, refused, answer, citations (CITATION) and events. A missing answer is an empty one.
+    """
+    both = cases.join(answers, "question_id", "left").withColumns(
+        {"refused": F.coalesce("refused", F.lit(False)), "answer": F.coalesce("answer", F.lit("")), "citations": F.coalesce("citations", F.array().cast(f"array<{CITATION}>")), "events": F.coalesce("events", F.array().cast("array<string>"))}
+    )
     terminal = lambda e: F.coalesce(e.isin("done", "error"), F.lit(False))
-    both = cases.join(answers, "question_id", "left")
-    return both.select(
-        "question_id",
-        ((F.size(F.filter("events", terminal)) == 1) & terminal(F.element_at("events", -1))).alias("one_terminal"),
-        F.forall("required_facts", lambda f: F.contains(F.col("answer"), f)).alias("correct"),
-        F.forall("citations", lambda c: F.exists("blocks", lambda b: (b["block_id"] == c["block_id"]) & (F.substring(b["text"], c["quote_start"] + 1, c["quote_end"] - c["quote_start"]) == c["quote"]))).alias("exact"),
+
+    def block(c: Column) -> Column:
+        return F.get(F.filter("blocks", lambda b: b["block_id"] == c["block_id"]), F.lit(0))
+
+    def exact(c: Column) -> Column:
+        own, size = block(c), c["quote_end"] - c["quote_start"]
+        said = F.substring(own["text"], c["quote_start"] + 1, F.greatest(size, F.lit(0)))
+        return F.coalesce((c["document_id"] == F.col("document_id")) & (c["version_id"] == F.col("version_id")) & (c["quote"] == said), F.lit(False))
+
+    located = lambda c: exact(c) & F.coalesce(block(c)["locator"].eqNullSafe(c["locator"]), F.lit(False))
+    count = lambda f: F.size(F.filter("citations", f)).cast("long")
+    checked = both.withColumns(
+        {
+            "one_terminal": (F.size(F.filter("events", terminal)) == 1) & terminal(F.try_element_at("events", F.lit(-1))),
+            "correct": F.forall("required_facts", lambda f: F.contains(F.col("answer"), f)),
+            "cited": F.size("citations").cast("long"),
+            "exact": count(exact),
+            "located": count(located),
+        }
+    )
+    a, r = F.col("answerable"), F.col("refused")
+    names = {
+        "answer_fact_mismatch": a & ~r & ~F.col("correct"),
+        "false_refusal": a & r,
+        "invalid_terminal_count": ~F.col("one_terminal"),
+        "locator_mismatch": F.col("located") < F.col("cited"),
+        "missed_refusal": ~a & ~r,
+        "missing_citation": a & ~r & (F.col("cited") == 0),
+        "quote_mismatch": F.col("exact") < F.col("cited"),
+    }
+    return checked.select("question_id", "answerable", "refused", "one_terminal", "correct", "cited", "exact", "located", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in names.items()])).alias("failures"))
+
+
+def qa_metrics(checked: DataFrame) -> DataFrame:
+    """One row of eight rates, each with its value for no cases, and whether all gates are passed."""
+    a, r = F.col("answerable"), F.col("refused")
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    sums = checked.agg(
+        F.count(F.lit(1)).alias("cases"), n(a).alias("answerable"), n(~a).alias("refusable"), n(a & ~r & F.col("correct")).alias("correct"), n(F.col("cited")).alias("cited"), n(F.col("exact")).alias("exact"),
+        n(F.col("located")).alias("located"), n(r).alias("refused"), n(~a & r).alias("refused_rightly"), n(a & r).alias("refused_wrongly"), n(a & ~r).alias("answered"), n(a & ~r & (F.col("cited") > 0)).alias("grounded"), n(F.col("one_terminal")).alias("ended"),
+    )
+    part = lambda x, y, empty=0.0: rate(F.col(x), F.col(y), empty)
+    out = sums.select(
+        "cases",
+        part("correct", "answerable").alias("answer_accuracy"),
+        part("exact", "cited", 1.0).alias("citation_exact_match_rate"),
+        part("located", "cited", 1.0).alias("citation_location_accuracy"),
+        part("refused", "cases").alias("refusal_rate"),
+        part("refused_rightly", "refusable", 1.0).alias("refusal_correct_rate"),
+        part("refused_wrongly", "answerable").alias("false_refusal_rate"),
+        part("grounded", "answered", 1.0).alias("non_refusal_citation_coverage"),
+        part("ended", "cases").alias("sse_unique_terminal_rate"),
+    )
+    passed = F.col("false_refusal_rate") <= MOST_FALSE_REFUSALS
+    for c, least in QA_GATES.items():
+        passed = passed & (F.col(c) >= least)
+    return out.withColumn("passed", passed)
+
+
+def gated_metrics(confused: DataFrame, strata: int) -> DataFrame:
+    """The four gated metrics (metric, value) of ``confusion`` with so many strata, severity last: precision and recall over all and of high severity."""
+    everything, last = (1 << strata) - 1, (1 << strata) - 2
+    kept = confused.where((F.col("level") == everything) | ((F.col("level") == last) & (F.col("severity") == "high")))
+    named = kept.select(F.when(F.col("level") == everything, "overall").otherwise("by_severity.high").alias("series"), "precision", "recall")
+    return named.unpivot("series", ["precision", "recall"], "kind", "value").select(F.concat_ws(".", "series", "kind").alias("metric"), "value")
+
+
+def gold_rows(documents: DataFrame, text: str = "value") -> dict[str, DataFrame]:
+    """Gold files (one JSON object each) as issues, refusal questions and enabled rules, with their document's id and type."""
+    schema = (
+        "doc_id string, doc_type string, enabled_rules array<string>, issues array<struct<issue_id: string, rule_id: string, severity: string, text: string>>, refusal_questions array<struct<question_id: string, question: string, expected_refusal: boolean>>"
     )
+    doc = documents.select(F.from_json(text, schema).alias("d")).select("d.*").withColumn("doc_type", F.coalesce("doc_type", F.lit("unknown")))
+    return {
+        "issues": doc.select("doc_id", "doc_type", F.explode("issues").alias("x")).select("doc_id", "doc_type", "x.*"),
+        "questions": doc.select("doc_id", "doc_type", F.explode("refusal_questions").alias("x")).select("doc_id", "doc_type", "x.*"),
+        "rules": doc.select("doc_id", F.explode("enabled_rules").alias("rule_id")),
+    }
+
+
+def qa_report(metrics: DataFrame, dataset: str) -> DataFrame:
+    """The metrics row as JSON and as a Markdown table of percentages with its gates."""
+    percent = lambda c: F.format_string("%.2f%%", F.round(F.col(c) * 100, 2))
+    gates = {c: f">={x:.0%}" if x < 1 else "100%" for c, x in QA_GATES.items()} | {"false_refusal_rate": f"<={MOST_FALSE_REFUSALS:.0%}", "refusal_rate": "-"}
+    rates = [c for c in metrics.columns if c in gates]
+    lines = [F.concat(F.lit(f"| {c} | "), percent(c), F.lit(f" | {gates[c]} |")) for c in rates]
+    text = F.concat_ws("\n", F.lit(f"# {dataset}"), F.lit(""), F.lit("| metric | result | gate |"), F.lit("| --- | ---: | ---: |"), *lines, F.lit(""), F.when(F.col("passed"), "passed").otherwise("failed"))
+    return metrics.select(F.to_json(F.struct(*metrics.columns)).alias("report"), text.alias("markdown"))

@@ -100,15 +100,6 @@ def recommended(questions: Column, templates: list[str], least: int = 3, most: i
     return F.when(F.size(own) >= least, own).otherwise(F.slice(F.concat(own, more), 1, least))
 
 
-def quality_gate(checked: DataFrame, least: dict[str, float]) -> DataFrame:
-    """One row: share of cases that pass each check and whether all reach their least."""
-    rates = checked.agg(F.count(F.lit(1)).alias("cases"), *[F.avg(F.col(c).cast("double")).alias(c) for c in least])
-    passed = F.lit(True)
-    for c, x in least.items():
-        passed = passed & (F.coalesce(F.col(c), F.lit(1.0)) >= x)
-    return rates.withColumn("passed", passed)
-
-
 def best_spans(quotes: DataFrame, spans: DataFrame, key: str, least: int = 8) -> DataFrame:
     """For each quote the span with the longest common prefix (at least ``least``), or that it holds; first span on ties."""
     both = quotes.join(spans, key)

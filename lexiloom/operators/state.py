@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections import deque
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -58,19 +60,36 @@ def sequence_gaps(events: DataFrame, job: str, order: list[str], sequence: str)
     return events.withColumn("verdict", F.when(F.col(sequence) <= top, "late").when(F.col(sequence) > top + 1, "gap").otherwise("ok"))
 
 
+def carried(rows: DataFrame, key: str, order: list[str], start, step, added: str) -> DataFrame:
+    """Each key's rows in order, past a state that goes from row to row: ``step(state, row)`` gives the added columns.
+
+    Rows stream through in batches, so a key of any length takes the memory of its state alone.
+    """
+    names = [*rows.columns, *[x.split()[0] for x in added.split(", ")]]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = None, None
+        for part in parts:
+            out = []
+            for r in part.itertuples(index=False):
+                own = getattr(r, key)
+                if state is None or (own != last and not (own != own and last != last)):
+                    last, state = own, start()
+                out.append((*r, *step(state, r)))
+            yield pd.DataFrame(out, columns=names)
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, f"{_ddl(rows)}, {added}")
+
+
 def audit_chain(rows: DataFrame, scope: str) -> DataFrame:
-    """Adds previous_hash and hash: each row's hash covers the one before. Sequential within a scope, so a scope is one task."""
+    """Adds previous_hash and hash: each row's hash covers the one before."""
 
-    def chain(part: pd.DataFrame) -> pd.DataFrame:
-        part, last, hashes, previous = part.sort_values("seq"), "", [], []
-        for r in part.itertuples():
-            previous.append(last)
-            last = hashlib.sha256(json.dumps({"action": r.action, "previous_hash": last, "seq": r.seq}, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
-            hashes.append(last)
-        return part.assign(previous_hash=previous, hash=hashes)
+    def link(state: dict, r) -> tuple:
+        before = state.get("hash", "")
+        state["hash"] = hashlib.sha256(json.dumps({"action": r.action, "previous_hash": before, "seq": r.seq}, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+        return before, state["hash"]
 
-    wide = rows.select(scope, "seq", "action")
-    return wide.groupBy(scope).applyInPandas(chain, f"{_ddl(wide)}, previous_hash string, hash string")
+    return carried(rows.select(scope, "seq", "action"), scope, ["seq"], dict, link, "previous_hash string, hash string")
 
 
 def broken_links(chain: DataFrame, scope: str) -> DataFrame:
@@ -84,18 +103,51 @@ def broken_links(chain: DataFrame, scope: str) -> DataFrame:
 def admissions(requests: DataFrame, governor: str, time: str, limit: int, seconds: float) -> DataFrame:
     """Adds ``admitted``: at most ``limit`` admitted requests in a window, expired ones not counted; refused ones never count."""
 
-    def admit(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([time, "id"])
-        held, out = [], []
-        for t in part[time]:
-            held = [x for x in held if x > t - seconds]
-            out.append(len(held) < limit)
-            if out[-1]:
-                held.append(t)
-        return part.assign(admitted=out)
-
-    wide = requests.select(governor, "id", time)
-    return wide.groupBy(governor).applyInPandas(admit, f"{_ddl(wide)}, admitted boolean")
+    def admit(held: deque, r) -> tuple:
+        now = getattr(r, time)
+        while held and held[0] <= now - seconds:
+            held.popleft()
+        if len(held) < limit:
+            held.append(now)
+            return (True,)
+        return (False,)
+
+    return carried(requests.select(governor, "id", time), governor, [time, "id"], deque, admit, "admitted boolean")
+
+
+def governed(events: DataFrame, governor: str, running: int, queued: int, limit: int, seconds: float) -> DataFrame:
+    """Jobs past a governor with bounded concurrency, queue and rate; ``events`` has id, at, kind (admit or complete) and job.
+
+    Adds ``outcome``: running, queued, rate_limited or queue_full for an admission, the promoted job (or
+    null) in ``promoted`` for a completion. A job that runs or waits is told so and counts no second time.
+    """
+
+    def step(state: dict, r) -> tuple:
+        runs, waits, admitted = state.setdefault("runs", set()), state.setdefault("waits", deque()), state.setdefault("admitted", deque())
+        if r.kind == "complete":
+            runs.discard(r.job)
+            if waits:
+                runs.add(waits[0])
+                return "complete", waits.popleft()
+            return "complete", None
+        while admitted and admitted[0] <= r.at - seconds:
+            admitted.popleft()
+        if len(admitted) >= limit:
+            return "rate_limited", None
+        if r.job in runs:
+            return "running", None
+        if r.job in waits:
+            return "queued", None
+        if len(runs) < running:
+            runs.add(r.job)
+        elif len(waits) < queued:
+            waits.append(r.job)
+        else:
+            return "queue_full", None
+        admitted.append(r.at)
+        return "running" if r.job in runs else "queued", None
+
+    return carried(events.select(governor, "id", "at", "kind", "job"), governor, ["at", "id"], dict, step, "outcome string, promoted string")
 
 
 def upserted(base: DataFrame, rows: DataFrame, key: str) -> DataFrame:
@@ -137,3 +189,38 @@ def merged_journal(index: DataFrame, journal: DataFrame, key: str, generation: s
 def sliding_count(events: DataFrame, key: str, seconds: Column, width: int) -> DataFrame:
     """Adds ``recent``: how many of the key's events lie in the ``width`` seconds up to each."""
     return events.withColumn("recent", F.count(F.lit(1)).over(Window.partitionBy(key).orderBy(seconds).rangeBetween(-width, 0)))
+
+
+# A document's states with their labels and default progress.
+STATUS = {
+    "uploaded": ("已上传", 65),
+    "queued": ("排队中", 65),
+    "parsing": ("解析版面", 70),
+    "normalizing": ("整理结构", 74),
+    "chunking": ("语义分块", 80),
+    "indexing": ("写入检索", 90),
+    "ready": ("已入库", 100),
+    "failed": ("失败", 0),
+    "needs_ocr": ("需 OCR", 70),
+}
+OTHER_PROGRESS = 65
+
+
+def with_status(rows: DataFrame, status: str, progress: str, error: str, old_error: str) -> DataFrame:
+    """Adds stage_label, progress (given or the state's) and the error that stays: a new one, else the old one of failed documents alone."""
+    known = lambda k: F.create_map(*[F.lit(x) for s, v in STATUS.items() for x in (s, v[k])])[F.col(status)]
+    label, least = F.coalesce(known(0), F.col(status)), F.coalesce(known(1), F.lit(OTHER_PROGRESS))
+    kept = F.coalesce(F.col(error), F.when(F.col(status) == "failed", F.col(old_error)))
+    return rows.withColumns({"stage_label": label, "shown_progress": F.coalesce(F.col(progress), least), "shown_error": kept})
+
+
+def migrated_visibility(index: DataFrame, meta: DataFrame, tombstones: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows not migrated yet take the version ids of their document's record where it has them; deleted documents' rows stay; a missing record is an error."""
+    gone = tombstones.select(key).distinct().withColumn("_gone", F.lit(True))
+    own = meta.select(F.col(key), F.nullif("current_version_id", F.lit("")).alias("_current"), F.nullif("indexed_version_id", F.lit("")).alias("_indexed"), F.lit(True).alias("_there"))
+    both = index.join(gone, key, "left").join(own, key, "left")
+    due = F.col("_gone").isNull() & ~F.coalesce("visibility_migrated", F.lit(False))
+    there = F.when(due & F.col("_there").isNull(), F.raise_error(F.concat(F.lit("no visibility record for document "), F.col(key).cast("string")))).otherwise(due)
+    out = both.withColumn("_due", there)
+    moved = {c: F.when(F.col("_due"), F.coalesce(f"_{c.split('_')[0]}", c)).otherwise(F.col(c)) for c in ("current_version_id", "indexed_version_id")}
+    return out.withColumns(moved | {"visibility_migrated": F.col("_due") | F.coalesce("visibility_migrated", F.lit(False))}).select(index.columns)

@@ -75,15 +75,15 @@ def agg_refusal(spark, d):
 
 @query(
     "agg_regression_gate",
-    f"""WITH {_OUT}, m AS (SELECT severity, (sum((outcome = 'tp')::INT) / sum((outcome IN ('tp', 'fp'))::INT))::DOUBLE AS p, (sum((outcome = 'tp')::INT) / sum((outcome IN ('tp', 'fn'))::INT))::DOUBLE AS r FROM o GROUP BY severity),
-u AS (SELECT severity || '_precision' AS metric, p AS v FROM m UNION ALL SELECT severity || '_recall', r FROM m)
-SELECT metric, round(0.5 - v, 6) AS "drop", 0.5 - v > 0.02 AS blocked FROM u""",
+    f"""WITH {_OUT.replace("SELECT source AS rule_id", "SELECT doc_id, source AS rule_id")}, x AS (SELECT *, 'overall' AS series FROM o UNION ALL SELECT *, 'by_severity.high' FROM o WHERE severity = 'high'),
+m AS (SELECT series, k, count(*) FILTER (WHERE outcome = 'tp') AS tp, count(*) FILTER (WHERE outcome = 'fp') AS fp, count(*) FILTER (WHERE outcome = 'fn') AS fn FROM x, (VALUES (0), (1)) v(k) WHERE k = 1 OR doc_id % 2 = 0 GROUP BY ALL),
+u AS (SELECT series || '.precision' AS metric, k, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS v FROM m UNION ALL SELECT series || '.recall', k, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END FROM m)
+SELECT metric, round(b.v - c.v, 6) AS "drop", b.v - c.v > 0.02 AS blocked FROM u b JOIN u c USING (metric) WHERE b.k = 0 AND c.k = 1""",
 )
 def agg_regression_gate(spark, d):
-    ok = F.col("outcome")
-    sums = _outcomes(spark, d).groupBy("severity").agg(F.sum((ok == "tp").cast("int")).alias("tp"), F.sum((ok == "fp").cast("int")).alias("fp"), F.sum((ok == "fn").cast("int")).alias("fn"))
-    now = E.with_scores(sums).unpivot("severity", ["precision", "recall"], "kind", "value").select(F.concat_ws("_", "severity", "kind").alias("metric"), "value")
-    return E.regression_gate(now.select("metric", F.lit(0.5).alias("value")), now).select("metric", F.round("drop", 6).alias("drop"), "blocked")
+    rows = _outcomes(spark, d)
+    metrics = lambda df: E.gated_metrics(E.confusion(df, ["rule_id", "doc_type", "severity"]), 3)
+    return E.regression_gate(metrics(rows.where("doc_id % 2 = 0")), metrics(rows)).select("metric", F.round("drop", 6).alias("drop"), "blocked")
 
 
 @query("anti_fp_fn", f"WITH {_OUT.replace('SELECT source AS rule_id', 'SELECT doc_id, source AS rule_id')} SELECT doc_id, outcome FROM o WHERE outcome IN ('fp', 'fn')")
@@ -105,8 +105,10 @@ def join_doctype(spark, d):
     return table(spark, d, "labels").join(gold, "doc_id", "left").select("doc_id", F.coalesce(F.lower("lang"), F.lit("unknown")).alias("doc_type"), F.when(F.col("quality") == 1, "high").otherwise("unknown").alias("severity"))
 
 
-@query("join_gold_pred")
+@query("join_gold_pred", "SELECT item_id AS gold_id, item_id AS prediction_id, round(greatest(0.8, g / (g + 2)), 6) AS score FROM (SELECT item_id, length(regexp_replace(text, '\\s+', '', 'g')) AS g FROM benchmark)")
 def join_gold_pred(spark, d):
     items = table(spark, d, "benchmark")
-    side = lambda text: items.select(F.lit(1).alias("doc_id"), (F.col("item_id") % 20).cast("string").alias("rule_id"), F.lit("high").alias("severity"), F.lit("x").alias("doc_type"), F.col("item_id").alias("id"), text.alias("text"), F.lit(None).cast("string").alias("issue_id"))
-    return E.associated(side(F.col("text")), side(F.concat(F.lit("so "), F.substring("text", 1, 120))))
+    key = F.floor(F.col("item_id") / 4)
+    side = lambda text: items.select(key.alias("doc_id"), (F.col("item_id") % 2).cast("string").alias("rule_id"), F.lit("high").alias("severity"), F.lit("x").alias("doc_type"), F.col("item_id").alias("id"), text.alias("text"), F.lit(None).cast("string").alias("issue_id"))
+    out = E.associated(side(F.col("text")), side(F.concat(F.lit("so "), "text")))
+    return out.select("gold_id", "prediction_id", F.round("score", 6).alias("score"))

@@ -58,10 +58,11 @@ def set_union_hits(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("win_dedupe_hits", f"WITH {_HITS} SELECT doc_id, block_index, s AS start FROM hits WHERE rule_id = 'r2'")
+@query("win_dedupe_hits", f"WITH {_HITS}, m AS (SELECT DISTINCT doc_id, block_index, s, k FROM hits, (VALUES ('keyword'), ('regex')) v(k) WHERE rule_id = 'r2') SELECT doc_id, block_index, k AS matcher, s AS start FROM m")
 def win_dedupe_hits(spark, d):
-    rows = _blocks(spark, d).select("doc_id", "block_index", F.explode(R.keyword_hits("text", "eux")).alias("h")).select("doc_id", "block_index", "h.start", "h.end", "h.quote")
-    return rows.unionByName(rows).dropDuplicates(["doc_id", "block_index", "start", "end", "quote"]).select("doc_id", "block_index", "start")
+    hits = lambda found, matcher: _blocks(spark, d).select("doc_id", "block_index", F.explode(found).alias("h")).select("doc_id", "block_index", F.lit(matcher).alias("matcher"), "h.start", "h.end", "h.quote")
+    rows = hits(R.keyword_hits("text", "eux"), "keyword").unionByName(hits(R.keyword_hits("text", "EUX"), "keyword")).unionByName(hits(R.pattern_hits("text", "eux"), "regex"))
+    return rows.dropDuplicates(["doc_id", "block_index", "matcher", "start", "end", "quote"]).select("doc_id", "block_index", "matcher", "start")
 
 
 @query("join_rule_block", f"WITH {_HITS} SELECT rule_id, count(*) AS blocks FROM parts GROUP BY rule_id")
@@ -188,17 +189,6 @@ def join_rrf(spark, d):
     return words.join(near, "doc_id", "full").select("doc_id", F.round(part("a") + part("b"), 6).alias("score"))
 
 
-@query(
-    "agg_qa_metrics",
-    "SELECT count(*) AS cases, round(avg((doc_id % 4 <> 0)::INT), 6) AS one_terminal, round(avg((doc_id % 3 <> 0)::INT), 6) AS correct, round(avg((doc_id % 5 <> 0)::INT), 6) AS exact, false AS passed FROM documents",
-)
-def agg_qa_metrics(spark, d):
-    n = F.col("doc_id")
-    checked = _docs(spark, d, (n % 4 != 0).alias("one_terminal"), (n % 3 != 0).alias("correct"), (n % 5 != 0).alias("exact"))
-    out = Fd.quality_gate(checked, {"one_terminal": 1.0, "correct": 0.9, "exact": 1.0})
-    return out.select("cases", *[F.round(c, 6).alias(c) for c in ("one_terminal", "correct", "exact")], "passed")
-
-
 @query("agg_index_count", "SELECT count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents")
 def agg_index_count(spark, d):
     return table(spark, d, "documents").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))

@@ -81,12 +81,19 @@ def win_rate_limit(spark, d):
     return S.sliding_count(ev, "user_id", F.col("second"), 3600).select("event_id", "recent")
 
 
-@query("stm_capacity")
-def stm_capacity(spark, d):
+@query("win_admissions")
+def win_admissions(spark, d):
     ev = _events(spark, d).select("user_id", F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
     return S.admissions(ev, "user_id", "at", 2, 36_000.0).select("id", "admitted")
 
 
+@query("stm_capacity")
+def stm_capacity(spark, d):
+    kind = F.when(F.col("event_type") == "click", "complete").otherwise("admit")
+    ev = _events(spark, d).select("user_id", F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), kind.alias("kind"), (F.col("event_id") % 7).cast("string").alias("job"))
+    return S.governed(ev, "user_id", 2, 2, 4, 86_400.0).select("id", "outcome", "promoted")
+
+
 @query(
     "win_audit_chain",
     "SELECT user_id, count(*) AS length, 0::BIGINT AS broken FROM events GROUP BY user_id",
@@ -107,8 +114,12 @@ SELECT event_id, job_id FROM m WHERE n = 1""",
 def join_parse_window(spark, d):
     ev = _events(spark, d)
     jobs = ev.groupBy(F.col("user_id").alias("job_id")).agg(F.min("ts").alias("a")).withColumn("b", F.expr("a + INTERVAL 1 DAY"))
-    near = (F.col("user_id") % 10 == F.col("job_id") % 10) & F.expr("ts BETWEEN a - INTERVAL 10 MINUTES AND b + INTERVAL 10 MINUTES")
-    best = ev.join(jobs, near).groupBy("event_id").agg(F.max(F.struct("a", (-F.col("job_id")).alias("j"))).alias("m"))
+    # A job is listed under each day that its window touches, so days are keys too and no key holds a tenth of all.
+    day = lambda c: F.unix_date(F.to_date(c))
+    days = F.explode(F.sequence(day(F.expr("a - INTERVAL 10 MINUTES")), day(F.expr("b + INTERVAL 10 MINUTES"))))
+    listed = jobs.select("*", days.alias("day"), (F.col("job_id") % 10).alias("tenth"))
+    at = ev.withColumns({"day": day("ts"), "tenth": F.col("user_id") % 10})
+    best = at.join(listed, ["tenth", "day"]).where("ts BETWEEN a - INTERVAL 10 MINUTES AND b + INTERVAL 10 MINUTES").groupBy("event_id").agg(F.max(F.struct("a", (-F.col("job_id")).alias("j"))).alias("m"))
     return best.select("event_id", (-F.col("m.j")).alias("job_id"))
 
 

@@ -45,10 +45,13 @@ def tbl_html_to_grid(spark, d):
     return rows.select("n_nationkey", F.array_join(F.transform("g", lambda r: F.array_join(r, ",")), ";").alias("grid"), G.grid_html("g").alias("html"))
 
 
-@query("tbl_valid", "SELECT doc_id, count(*) FILTER (WHERE contains(l, '|')) AS piped FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY doc_id")
+@query("tbl_valid", "SELECT c_custkey, c_custkey % 4 >= 2 AND c_custkey // 4 % 4 - (c_custkey % 7 = 0)::INT >= 2 AS valid FROM customer")
 def tbl_valid(spark, d):
-    lines = F.split("text", "\n", -1)
-    return table(spark, d, "documents").select("doc_id", F.size(F.filter(lines, lambda x: F.contains(x, F.lit("|")))).cast("long").alias("piped"))
+    rows, cells = (F.col("c_custkey") % 4).cast("int"), (F.floor(F.col("c_custkey") / 4) % 4).cast("int")
+    short = (F.col("c_custkey") % 7 == 0).cast("int")
+    row = lambda n: F.array_repeat(F.lit("x"), F.greatest(n, F.lit(0)))
+    grid = F.transform(F.array_repeat(F.lit(0), rows), lambda _, i: row(F.when(i == rows - 1, cells - short).otherwise(cells)))
+    return table(spark, d, "customer").select("c_custkey", G.is_grid(grid).alias("valid"))
 
 
 def _box(x, y):

@@ -27,7 +27,7 @@ def line_blocks(docs: DataFrame, text_col: str = "text", heading_chars: int = HE
 def text_folder(spark: SparkSession, path: str) -> DataFrame:
     """Every non-empty text file of a folder: doc_id (file name), title and text."""
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    return spark.read.text(path, wholetext=True).select(F.url_decode(name).alias("doc_id"), F.col("value").alias("text")).where(F.trim("text") != "").withColumn("title", title_of("doc_id"))
+    return spark.read.text(path, wholetext=True).select(F.url_decode(name).alias("doc_id"), F.col("value").alias("text")).where(F.col("text").rlike(r"(?U)\S")).withColumn("title", title_of("doc_id"))
 
 
 def title_of(name: str):

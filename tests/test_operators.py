@@ -98,10 +98,69 @@ def test_association(spark):
 
 
 def test_answers(spark):
-    cases = spark.createDataFrame([("q", ["five"], [("b1", "pay five days")])], "question_id string, required_facts array<string>, blocks array<struct<block_id: string, text: string>>")
-    answers = spark.createDataFrame([("q", "within five days", ["token", "done"], [("b1", "five", 4, 8)])], "question_id string, answer string, events array<string>, citations array<struct<block_id: string, quote: string, quote_start: int, quote_end: int>>")
-    r = E.answer_quality(cases, answers).first()
-    assert r.one_terminal and r.correct and r.exact
+    block = [("b1", "pay five days", "p1")]
+    cases = spark.createDataFrame(
+        [("q", True, "d", "v", ["five"], block), ("r", False, "d", "v", [], block), ("s", True, "d", "v", ["six"], block), ("t", True, "d", "v", [], block)],
+        "question_id string, answerable boolean, document_id string, version_id string, required_facts array<string>, blocks array<struct<block_id: string, text: string, locator: string>>",
+    )
+    cite = lambda *x: [("b1", "d", "v", *x)]
+    answers = spark.createDataFrame(
+        [("q", False, "within five days", cite(4, 8, "five", "p1"), ["token", "done"]), ("r", True, "", [], ["done"]), ("s", False, "none", cite(0, 3, "Pay", "p1") + cite(0, 3, "pay", "p2"), ["done", "error"])],
+        f"question_id string, refused boolean, answer string, citations array<{E.CITATION}>, events array<string>",
+    )
+    checked = E.answer_quality(cases, answers)
+    assert {r.question_id: r.failures for r in checked.collect()} == {
+        "q": [], "r": [], "s": ["answer_fact_mismatch", "invalid_terminal_count", "locator_mismatch", "quote_mismatch"], "t": ["invalid_terminal_count", "missing_citation"],
+    }
+    m = E.qa_metrics(checked).first()
+    assert (m.cases, m.answer_accuracy, m.citation_exact_match_rate, m.refusal_correct_rate, m.sse_unique_terminal_rate, m.passed) == (4, 2 / 3, 2 / 3, 1.0, 0.5, False)
+    none = E.qa_metrics(E.answer_quality(cases.limit(0), answers)).first()
+    assert (none.answer_accuracy, none.citation_exact_match_rate, none.refusal_correct_rate, none.passed) == (0.0, 1.0, 1.0, False)
+
+
+def test_governor(spark):
+    ev = [(1, 0.0, "admit", "a"), (2, 1.0, "admit", "b"), (3, 2.0, "admit", "c"), (4, 3.0, "admit", "d"), (5, 4.0, "admit", "a"), (6, 5.0, "complete", "a"), (7, 6.0, "admit", "d"), (8, 7.0, "admit", "e"), (9, 30.0, "admit", "e"), (10, 31.0, "complete", "x"), (11, 32.0, "complete", "b")]
+    rows = spark.createDataFrame([(g, *r) for g in ("g", "h") for r in ev], "g string, id long, at double, kind string, job string")
+    got = {(r.g, r.id): (r.outcome, r.promoted) for r in S.governed(rows, "g", 2, 1, 4, 10.0).collect()}
+    want = ["running", "running", "queued", "queue_full", "running", "complete", "queued", "rate_limited", "queue_full", "complete", "complete"]
+    promoted = {6: "c", 10: "d"}
+    for g in ("g", "h"):
+        assert [got[g, k][0] for k in range(1, 12)] == want
+        assert {k: got[g, k][1] for k in range(1, 12) if got[g, k][1]} == promoted
+
+
+def test_walk_equals_plain_loop(spark):
+    """The governor over many keys and small batches is the same loop, key by key."""
+    import random
+
+    rng = random.Random(1)
+    ev = [(rng.randint(1, 5), k, float(k // 3), rng.choice(["admit", "admit", "complete"]), f"j{rng.randint(0, 6)}") for k in range(600)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = {r.id: (r.outcome, r.promoted) for r in S.governed(spark.createDataFrame(ev, "g long, id long, at double, kind string, job string"), "g", 1, 2, 3, 20.0).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for g in range(1, 6):
+        runs, waits, times = [], [], []
+        for _, k, at, kind, job in (e for e in ev if e[0] == g):
+            if kind == "complete":
+                runs = [x for x in runs if x != job]
+                up = waits.pop(0) if waits else None
+                runs += [up] if up and up not in runs else []
+                assert got[k] == ("complete", up)
+                continue
+            times = [t for t in times if t > at - 20]
+            if len(times) >= 3:
+                want = "rate_limited"
+            elif job in runs or job in waits:
+                want = "running" if job in runs else "queued"
+            elif not runs or len(waits) < 2:
+                want = "running" if not runs else "queued"
+                (waits if runs else runs).append(job)
+                times.append(at)
+            else:
+                want = "queue_full"
+            assert got[k] == (want, None)
 
 
 def test_audit_chain_breaks(spark):
