@@ -38,7 +38,8 @@ def has_markdown_table(c) -> Column:
 
 def markdown_grid(c) -> Column:
     """Rows of a piped table without separators and blank rows, padded to one width; null below two rows."""
-    rows = F.transform(F.filter(_lines(c), lambda x: F.contains(x, F.lit("|")) & ~is_separator(x)), _cells)
+    rule = lambda x: F.forall(_cells(x), lambda c: c.rlike(r"^:?-{3,}:?$") | (c == ""))
+    rows = F.transform(F.filter(_lines(c), lambda x: F.contains(x, F.lit("|")) & ~rule(x)), _cells)
     rows = F.filter(rows, lambda r: F.exists(r, lambda x: x != ""))
     width = F.array_max(F.transform(rows, lambda r: F.size(r)))
     padded = F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
@@ -48,7 +49,7 @@ def markdown_grid(c) -> Column:
 def grid_markdown(g) -> Column:
     """A piped table with a separator below its first row."""
     g = col(g)
-    row = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, lambda x: F.regexp_replace(F.regexp_replace(x, r"\|", r"\\\\|"), "\n", " ")), " | "), F.lit(" |"))
+    row = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, lambda x: F.regexp_replace(F.replace(x, F.lit("|"), F.lit("\\|")), "\n", " ")), " | "), F.lit(" |"))
     rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.size(F.get(g, F.lit(0)))), " | "), F.lit(" |"))
     return F.array_join(F.concat(F.array(row(F.get(g, F.lit(0))), rule), F.transform(F.slice(g, 2, F.greatest(F.lit(1), F.size(g))), row)), "\n")
 

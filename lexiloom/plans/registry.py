@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import anchors, base, evaluate, files, findings, quality, retrieval, rules, state, structure
+from . import anchors, base, evaluate, files, findings, parts, quality, retrieval, rules, state, structure
 
 
 def flagship(spark, sf_dir):

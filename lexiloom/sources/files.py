@@ -36,13 +36,17 @@ def _read_docx(raw: bytes) -> list[tuple]:
 
 def docx_blocks(spark: SparkSession, path: str) -> DataFrame:
     """Blocks of every .docx file of a folder: doc_id (file name), block_index, locator, type, level and text."""
+    return blocks_of_docx(spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path).select("path", "content"))
+
+
+def blocks_of_docx(files: DataFrame) -> DataFrame:
+    """The same of a table of files (path, content)."""
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = [(name.rsplit("/", 1)[-1], i, f"docx-p-{i:06d}", *b) for name, raw in zip(part.path, part.content) for i, b in enumerate(_read_docx(raw))]
             yield pd.DataFrame(rows, columns=["doc_id", "block_index", "locator", "type", "level", "text"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path).select("path", "content")
     return files.mapInPandas(read, "doc_id string, block_index int, locator string, type string, level int, text string")
 
 
