@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm import bpe, decontam, line_dedup, near_dup, toxicity
-from lexiloom.llm.common import sized, table, written
+from lexiloom.llm.common import packed, sized, table, written
 from lexiloom.llm.queries import word_vocabulary
 
 
@@ -41,7 +41,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     items = table(spark, sf_dir, "benchmark").select("item_id", *decontam.question_answer())
     found = decontam.decontaminate(docs.select("doc_id", "text"), items)
     gone = written(found.select(F.col("_row.doc_id").alias("_gone_id"), F.md5(F.col("_row.text").cast("binary")).alias("_gone_text")).distinct())
-    return docs.join(sized(gone), F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (F.md5(F.col("text").cast("binary")) == F.col("_gone_text")), "left_anti")
+    held = docs.select(packed(docs))  # as one column, so that no other name can clash
+    return held.join(sized(gone), F.col("_row.doc_id").eqNullSafe(F.col("_gone_id")) & (F.md5(F.col("_row.text").cast("binary")) == F.col("_gone_text")), "left_anti").select("_row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

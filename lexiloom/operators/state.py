@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.sources.scratch import written
+
 RETRIES = 2
 TERMINAL = ("complete", "error")
 
@@ -23,6 +25,16 @@ def page(df: DataFrame, number: int, size: int, *order) -> DataFrame:
     return df.orderBy(*order).offset(max(number - 1, 0) * size).limit(size)
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str = "n") -> DataFrame:
+    """Adds each row's number within its key, from 1, for keys of any size: ranges are numbered on their own and start where the ones before end."""
+    placed = written(df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    held = placed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_rows"))  # a row for each key and range
+    offsets = held.select(*keys, "_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
+    return placed.join(offsets, [*keys, "_part"]).withColumn(name, F.col("_offset") + inside).drop("_part", "_offset")
+
+
 def latest(df: DataFrame, keys: list[str], *order) -> DataFrame:
     """The last row of each key in the given order."""
     descending = [F.desc(c) if isinstance(c, str) else c for c in order]

@@ -208,7 +208,7 @@ def agg_history_counts(spark, d):
 
 @query("win_rank0", "SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) - 1 AS rank FROM documents")
 def win_rank0(spark, d):
-    return table(spark, d, "documents").select("doc_id", (F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")) - 1).alias("rank"))
+    return S.numbered(_docs(spark, d, "doc_id", "lang", "n_chars"), ["lang"], [F.desc("n_chars"), F.col("doc_id")]).select("doc_id", (F.col("n") - 1).alias("rank"))
 
 
 @query("win_latest_config", "SELECT o_custkey, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY o_custkey")
@@ -218,8 +218,8 @@ def win_latest_config(spark, d):
 
 @query("win_batch_n", "SELECT source, (n - 1) // 50 AS batch, count(*) AS rows FROM (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) GROUP BY ALL")
 def win_batch_n(spark, d):
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return _docs(spark, d, "source", F.floor((n - 1) / 50).alias("batch")).groupBy("source", "batch").agg(F.count(F.lit(1)).alias("rows"))
+    rows = S.numbered(_docs(spark, d, "doc_id", "source"), ["source"], [F.col("doc_id")])
+    return rows.select("source", F.floor((F.col("n") - 1) / 50).alias("batch")).groupBy("source", "batch").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query(
