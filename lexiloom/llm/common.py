@@ -2,30 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Only for a driver that is its own executor, as in tests.
-LOCAL_DIR = "/tmp/checkpoints"
-
+from lexiloom.sources.scratch import new_path
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; on a cluster there is no default."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return LOCAL_DIR
-
-
 class Scratch:
     """Tables in the shared folder: later reads survive lost executors and recompute nothing. ``clear`` empties them once nothing reads them any more."""
 
@@ -33,7 +19,7 @@ class Scratch:
         self.spark, self.paths = spark, []
 
     def written(self, df: DataFrame) -> DataFrame:
-        path = f"{shared_dir(self.spark)}/lexiloom-{uuid.uuid4().hex}"
+        path = new_path(self.spark, "table")
         df.write.parquet(path)
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)

@@ -57,3 +57,28 @@ def test_stages(spark):
             for r in docs.collect():
                 ids, _ = expected(before[r.doc_id])
                 assert np.frombuffer(r.ids, "<u4").tolist() == ids and r.n_tokens == len(ids)
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_odd_rows(spark):
+    """Nulls, empty and long texts, repeated rows and ids, extra columns with clashing names; every stage keeps what it should."""
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").first().text
+    plain = "\n".join(f"zu{k} la{k} mo{k}" for k in range(9))
+    rows = [(None, None), (None, item), (1, None), (2, ""), (2, "only one line"), (3, plain), (3, plain), (4, plain + " end"), (5, "b " * 40_000), (6, item), (6, "other text of six"), (7, "\n\n\n\n"), (8, f"{plain}\nmore")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _row string, _gone_id long, ids string, kept_text string"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "r", 1, "x", "k") for i, t in rows], schema)
+    kept = {}
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        assert corpus_pipeline.written(stage(spark, docs.limit(0), FOLDER)).count() == 0
+        docs = corpus_pipeline.written(stage(spark, docs, FOLDER))
+        if k < 4:
+            assert docs.columns == [x.split()[0] for x in schema.split(", ")]
+            kept[name] = sorted(((r.doc_id, r.text) for r in docs.collect()), key=repr)
+    assert len(kept["toxicity"]) == len(rows)
+    lines = kept["line dedup"]
+    assert (3, plain) in lines and (None, None) in lines and (2, "") in lines and (8, "more") in lines and (4, "zu8 la8 mo8 end") in lines
+    near = kept["near duplicates"]
+    assert near.count((3, plain)) == 2 and (1, None) in near and (2, "only one line") in near
+    clean = kept["decontamination"]
+    assert (6, "other text of six") in clean and not [1 for _, t in clean if t == item] and len(clean) >= len(near) - 2
+    assert docs.count() == len(clean)
