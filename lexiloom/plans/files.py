@@ -198,7 +198,12 @@ def seq_doc_locator(spark, d):
     return Src.line_blocks(_docs(spark, d, "doc_id", "text")).select("doc_id", "block_index", F.format_string("docx-p-%06d", "block_index").alias("locator"))
 
 
-@query("src_pdf_group_words")
+@query(
+    "src_pdf_group_words",
+    """WITH r AS (SELECT *, l_linenumber - row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS run FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)),
+p AS (SELECT *, (row_number() OVER (PARTITION BY l_orderkey, run ORDER BY l_linenumber) - 1) // 2 AS pair FROM r), n AS (SELECT *, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY run, pair) - 1 AS line FROM p)
+SELECT l_orderkey, line, string_agg(l_returnflag, ' ' ORDER BY l_linenumber, l_quantity, l_returnflag) AS text FROM lineitem JOIN n USING (l_orderkey, l_linenumber) GROUP BY l_orderkey, line""",
+)
 def src_pdf_group_words(spark, d):
     word = F.struct((F.col("l_linenumber") * 1.5).cast("double").alias("top"), F.col("l_quantity").alias("x0"), F.col("l_returnflag").alias("text"))
     pages = Src.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(word).alias("words"))

@@ -463,7 +463,13 @@ def scr_sentence_window(spark, d):
     return _docs(spark, d, "doc_id", F.posexplode(C.sentence_chunks(F.col("text"))).alias("chunk_id", "chunk"))
 
 
-@query("tbl_split_rows")
+@query(
+    "tbl_split_rows",
+    """WITH RECURSIVE r(n_nationkey, i, line) AS (SELECT n_nationkey, i, '| ' || i || ' | ' || n_name || ' |' FROM nation, range(1, 61) t(i)),
+w(n_nationkey, i, n, used) AS (SELECT n_nationkey, 1::BIGINT, 0, length(line) + 1 FROM r WHERE i = 1 UNION ALL
+  SELECT w.n_nationkey, w.i + 1, CASE WHEN 23 + used + length(line) + 1 > 384 THEN n + 1 ELSE n END, CASE WHEN 23 + used + length(line) + 1 > 384 THEN length(line) + 1 ELSE used + length(line) + 1 END FROM w JOIN r ON r.n_nationkey = w.n_nationkey AND r.i = w.i + 1)
+SELECT w.n_nationkey, n, '| k | v |' || chr(10) || '| --- | --- |' || chr(10) || string_agg(line, chr(10) ORDER BY w.i) AS part FROM w JOIN r ON r.n_nationkey = w.n_nationkey AND r.i = w.i GROUP BY w.n_nationkey, n""",
+)
 def tbl_split_rows(spark, d):
     rows = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat(F.lit("| "), i.cast("string"), F.lit(" | "), F.col("n_name"), F.lit(" |"))), "\n")
     return _nations(spark, d, t=F.concat(F.lit("| k | v |\n| --- | --- |\n"), rows)).select("n_nationkey", F.posexplode(C.table_chunks(F.col("t"))).alias("n", "part"))
