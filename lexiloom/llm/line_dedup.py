@@ -32,19 +32,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     each repeated window's first place; the join back is split by AQE when one window is hot; a
     last join on the document brings covered positions to the text.
     """
-    base = docs.select(
-        packed(docs),
-        F.col(f"`{id_col}`").alias("_id"),
-        F.md5(F.col(f"`{text_col}`").cast("binary")).alias("_key"),
-        F.split(F.col(f"`{text_col}`"), "\n", -1).alias("_lines"),
-    )
+    key = [F.col(f"`{id_col}`").alias("_id"), F.md5(F.col(f"`{text_col}`").cast("binary")).alias("_key")]
     line = lambda i, k: F.get("_lines", i + k)
     digest = lambda i: F.when(
         F.length(F.trim(F.concat(line(i, 0), line(i, 1), line(i, 2)))) > 0,
         F.unhex(F.md5(F.concat_ws("\n", line(i, 0), line(i, 1), line(i, 2)).cast("binary"))),
     )
     windows = (
-        base.where(F.size("_lines") >= WINDOW)
+        docs.select(*key, F.split(F.col(f"`{text_col}`"), "\n", -1).alias("_lines"))
+        .where(F.size("_lines") >= WINDOW)
         .select("_id", "_key", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("_lines") - WINDOW), digest)).alias("_pos", "_window"))
         .where(F.col("_window").isNotNull())
     )
@@ -57,7 +53,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .agg(F.collect_set("_pos").alias("_starts"))
         .withColumnsRenamed({"_id": "_cid", "_key": "_ckey"})
     )
-    joined = base.join(covered, F.col("_id").eqNullSafe(F.col("_cid")) & (F.col("_key") == F.col("_ckey")), "left")
+    # The text goes through this join once, in its row, and is cut into lines again behind it.
+    joined = docs.select(packed(docs), *key).join(covered, F.col("_id").eqNullSafe(F.col("_cid")) & (F.col("_key") == F.col("_ckey")), "left")
+    joined = joined.select("_row", "_starts", F.split(F.col("_row").getField(text_col), "\n", -1).alias("_lines"))
     removed = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + (WINDOW - 1)))))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), removed)
     return joined.select(
