@@ -89,3 +89,74 @@ def test_unseen_forms_and_control_characters(spark):
         assert base == plain(text) and set(base) <= set(spans)
         extra = sorted((s, e) for _, s, e in set(spans) - set(base))
         assert all(a[1] <= b[0] for a, b in zip(extra, extra[1:]))
+
+
+def plain_spans(texts):
+    """All spans by the method's definition, in plain loops over whole texts."""
+    from math import exp, log
+
+    base = [pii.base_spans(t) for t in texts]
+    shaped = [[pii.word_form(w) for w in t.split()] for t in texts]
+    n, held, seeds = {}, {}, {}
+    for t, spans in zip(texts, base):
+        for kind, instance, b2, b1, after in pii.contexts(t, spans):
+            seeds[kind] = seeds.get(kind, 0) + 1
+            for p in ((1, b1, ""), (2, b2, b1), (3, b1, after)):
+                if None not in p:
+                    n[p, kind] = n.get((p, kind), 0) + 1
+                    held.setdefault((p, kind), set()).add(instance)
+    kept = {x for x in n if len(held[x]) >= pii.MIN_SUPPORT and n[x] >= seeds[x[1]] * pii.MIN_SHARE}
+    total, links = {}, []
+    for k, (t, s) in enumerate(zip(texts, shaped)):
+        for i in range(len(s)):
+            for p in [(1, s[i], "")] * (i + 1 < len(s)) + [(2, s[i - 1], s[i])] * (0 < i < len(s) - 1) + [(3, s[i - 2], s[i])] * (i > 1):
+                total[p] = total.get(p, 0) + 1
+        words = [m.span() for m in re.finditer(r"\S+", t)]
+        for i, (a, e) in enumerate(words):
+            for kind in range(4) if i and pii._LIKE.search(t[a:e]) else ():
+                span = pii.pointed_at(t, kind, a, e)
+                if span is None or any(x < span[1] and span[0] < y for _, x, y in base[k]):
+                    continue
+                last = max(j for j, w in enumerate(words) if w[0] < span[1]) + 1
+                after = s[last] if last < len(s) else None
+                for p in ((1, s[i - 1], ""), (2, s[i - 2] if i > 1 else None, s[i - 1]), (3, s[i - 1], after)):
+                    if (p, kind) in kept:
+                        links.append((p, kind, t[slice(*span)], k, span))
+    whole = {x: max(total.get(x[0], 0), n[x]) for x in kept}
+    sure = {x: min(1.0, n[x] / whole[x]) for x in kept}
+    for _ in range(pii.ROUNDS):
+        doubt = {}
+        for p, kind, instance in {x[:3] for x in links}:
+            doubt[instance, kind] = doubt.get((instance, kind), 0.0) + log(max(1e-9, 1 - sure[p, kind]))
+        gain = {}
+        for p, kind, instance, *_ in links:
+            gain[p, kind] = gain.get((p, kind), 0.0) + 1 - exp(doubt[instance, kind])
+        sure = {x: min(1.0, (n[x] + gain.get(x, 0.0)) / whole[x]) for x in kept}
+    out = []
+    for k in range(len(texts)):
+        best = {}
+        for p, kind, _, own, span in links:
+            if own == k and sure[p, kind] >= pii.SURE:
+                best[span] = max(best.get(span, (0, -9)), (sure[p, kind], -kind))
+        added, free = [], -1
+        for (a, e), (_, kind) in sorted(best.items(), key=lambda x: (x[0][0], -x[0][1])):
+            if a >= free:
+                added.append((-kind, a, e))
+                free = e
+        out.append(sorted(base[k] + added))
+    return out
+
+
+def test_scores_are_those_of_plain_loops(spark):
+    rng = random.Random(8)
+    lead = ["call", "card no", "mail to", "host", "please call", "number", "ref"]
+    make = [
+        lambda: f"+1 (743) {rng.randint(100, 999)}-{rng.randint(1000, 9999)}", lambda: luhn_fit(rng), lambda: f"u{rng.randint(0, 9)}@x{rng.randint(0, 9)}.org", lambda: f"10.0.{rng.randint(0, 9)}.{rng.randint(0, 9)}",
+        lambda: f"030 {rng.randint(100, 999)} 45 67", lambda: f"me{rng.randint(0, 5)}@intranet", lambda: str(rng.randint(10**12, 10**13)), lambda: f"fe80::{rng.randint(1, 9)}", lambda: str(rng.randint(1, 99)),
+    ]
+    texts = [" ".join(f"{rng.choice(lead)} {rng.choice(make)()} {rng.choice(['now', 'then', 'today,', ''])}" for _ in range(rng.randint(1, 6))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r._row.doc_id: [tuple(s) for s in r.spans] for r in pii.personal_data(df, keep=["doc_id"]).collect()}
+    want = plain_spans(texts)
+    assert [got[i] for i in range(len(texts))] == want
+    assert sum(map(len, want)) > sum(len(pii.base_spans(t)) for t in texts)
