@@ -17,6 +17,7 @@ equal rows; an empty table gives no rows; other columns pass through in ``_row``
 from __future__ import annotations
 
 import json
+import os
 import pickle
 import re
 from bisect import bisect_left, bisect_right
@@ -59,6 +60,7 @@ class Codec:
     """One worker's tokenizer with the runs that it has seen; two generations of bounded size."""
 
     def __init__(self, path: str, cached: int = CACHED_RUNS):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks take the cores already
         self.cached = cached
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
