@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
+
+import regex
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,6 +14,7 @@ from lexiloom.operators import blocks as Bl
 from lexiloom.operators import state as S
 from lexiloom.sources import files as Fi
 from lexiloom.sources import tables as Src
+from lexiloom.sources.scratch import new_path
 
 from .base import BLOCKS, query
 
@@ -138,9 +143,20 @@ def snk_delete_by_query(spark, d):
 
 @query(
     "snk_backup",
-    "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'missing' WHEN doc_id % 5 = 0 THEN 'changed' ELSE 'ok' END AS state FROM documents",
+    "SELECT doc_id, CASE WHEN doc_id % 11 = 0 OR doc_id % 13 = 0 THEN 'unsafe_path' WHEN doc_id % 7 = 0 THEN 'unlisted' WHEN doc_id % 5 = 0 THEN 'changed' ELSE 'ok' END AS state FROM documents",
 )
 def snk_backup(spark, d):
+    i = F.col("doc_id")
+    name = F.concat(F.when(i % 11 == 0, "a/../").when(i % 13 == 0, "/").otherwise("a/"), i.cast("string"))
+    docs, path = _docs(spark, d, "doc_id", "text").withColumn("name", name), new_path(spark, "backup")
+    listed = Fi.back_up(docs, path, "name", "text")
+    number = F.element_at(F.split("name", "/"), -1).cast("long")
+    now = spark.read.parquet(path).withColumn("content", F.when(number % 5 == 0, F.concat("content", F.lit("!").cast("binary"))).otherwise(F.col("content")))
+    return Fi.restorable(now, listed.where(number % 7 != 0)).select(number.alias("doc_id"), "state")
+
+
+@query("snk_manifest_check", "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'missing' WHEN doc_id % 5 = 0 THEN 'changed' ELSE 'ok' END AS state FROM documents")
+def snk_manifest_check(spark, d):
     docs = _docs(spark, d, "doc_id", "text")
     now = docs.where("doc_id % 7 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
     return Fi.verified(Fi.manifest(docs, "doc_id", "text"), Fi.manifest(now, "doc_id", "text"), "doc_id")
@@ -148,12 +164,16 @@ def snk_backup(spark, d):
 
 @query(
     "snk_version_artifacts",
-    "SELECT doc_id, 'old' AS side FROM documents WHERE doc_id % 9 = 0 AND lang <> 'en' UNION ALL SELECT doc_id, 'new' FROM documents WHERE doc_id % 9 = 0 AND lang <> 'en'",
+    "SELECT doc_id, CASE WHEN doc_id % 2 <> 0 THEN 'written' WHEN doc_id % 6 = 0 THEN 'conflict' ELSE 'replayed' END AS verdict, CASE WHEN doc_id % 2 <> 0 THEN 'written' ELSE 'replayed' END AS again FROM documents",
 )
 def snk_version_artifacts(spark, d):
-    old = _docs(spark, d, "doc_id", "lang")
-    new = old.withColumn("lang", F.when(F.col("doc_id") % 9 == 0, "en").otherwise(F.col("lang")))
-    return old.exceptAll(new).select("doc_id", F.lit("old").alias("side")).unionByName(new.exceptAll(old).select("doc_id", F.lit("new").alias("side")))
+    docs, path = _docs(spark, d, "doc_id", F.lit("v1").alias("version"), "text"), new_path(spark, "versions")
+    Fi.publish_versions(docs.where("doc_id % 2 = 0"), path, ["doc_id", "version"], "text")
+    changed = docs.withColumn("text", F.when(F.col("doc_id") % 6 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    second = Fi.publish_versions(changed, path, ["doc_id", "version"], "text")
+    third = Fi.publish_versions(docs, path, ["doc_id", "version"], "text").select("doc_id", F.when(F.col("verdict") == "replayed", "replayed").otherwise("lost").alias("third"))
+    # What was written once is there unchanged the third time.
+    return second.join(third, "doc_id").select("doc_id", "verdict", F.when(F.col("third") != "replayed", F.col("third")).when(F.col("verdict") == "written", "written").otherwise("replayed").alias("again"))
 
 
 _VECTOR = "list_transform(range(0, 16), lambda k: len(list_filter(x, lambda y: y = k)))"
@@ -165,7 +185,14 @@ _VECTOR = "list_transform(range(0, 16), lambda k: len(list_filter(x, lambda y: y
 SELECT doc_id, array_to_string({_VECTOR}, ',') AS vector FROM t""",
 )
 def src_embeddings_api(spark, d):
-    return _docs(spark, d, "doc_id", F.array_join(F.transform(T.hashed_vector("text"), lambda x: x.cast("int").cast("string")), ",").alias("vector"))
+    def service(texts: list[str]) -> list[list[int]]:
+        """Stands in for the outside service: tokens counted by the first digit of their hash."""
+        assert len(texts) <= 100
+        found = [Counter(int(hashlib.md5(t.encode()).hexdigest()[0], 16) for t in regex.findall(r"[\p{L}\p{N}]+", text.lower())) for text in texts]
+        return [[c[k] for k in range(16)] for c in found]
+
+    out = Fi.embedded(_docs(spark, d, "doc_id", "text"), "text", service)
+    return out.select("doc_id", F.array_join(F.transform("vector", lambda x: x.cast("int").cast("string")), ",").alias("vector"))
 
 
 @query("hsh_file", r"SELECT doc_id, sha256(replace(replace(text, chr(10), chr(13) || chr(10)), chr(13) || chr(10), chr(10))) AS digest FROM documents")

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import io
+import time
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiloom.sources.scratch import written
+
 LINE_GAP = 2.0
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 ISSUE = "struct<rule_id: string, severity: string, text: string, doc_id: string, doc_type: string>"
@@ -100,3 +104,61 @@ def write_index(df: DataFrame, path: str, keys: list[str]) -> int:
     if stored != wrote:
         raise RuntimeError(f"{wrote} rows were to be written, {stored} are there")
     return wrote
+
+
+def publish_versions(rows: DataFrame, path: str, keys: list[str], content: str) -> DataFrame:
+    """Writes versions that are not there yet and changes none that is: ``verdict`` is written, replayed (the same content) or conflict (another one).
+
+    Spark's committer makes the new files appear together or not at all.
+    """
+    spark, digest = rows.sparkSession, F.sha2(F.col(content).cast("binary"), 256)
+    try:
+        there = spark.read.parquet(path).select(*keys, digest.alias("_there"))
+    except AnalysisException:  # nothing has been published
+        there = rows.limit(0).select(*keys, digest.alias("_there"))
+    verdict = F.when(F.col("_there").isNull(), "written").when(F.col("_there") == digest, "replayed").otherwise("conflict")
+    judged = written(rows.join(there, keys, "left").withColumn("verdict", verdict).drop("_there"), "verdicts")
+    judged.where("verdict = 'written'").drop("verdict").write.mode("append").parquet(path)
+    return judged.select(*keys, "verdict")
+
+
+def back_up(files: DataFrame, path: str, name: str, content: str) -> DataFrame:
+    """Writes files with their digests as one archive and returns its manifest."""
+    raw = F.col(content).cast("binary")
+    files.select(F.col(name).alias("name"), raw.alias("content"), F.sha2(raw, 256).alias("sha256"), F.octet_length(raw).cast("long").alias("bytes")).write.parquet(path)
+    return files.sparkSession.read.parquet(path).select("name", "sha256", "bytes")
+
+
+def restorable(archive: DataFrame, listed: DataFrame) -> DataFrame:
+    """Each file of an archive (name, content) as ok, unsafe_path, unlisted or changed; nothing but ok files may be restored."""
+    unsafe = F.col("name").rlike(r"^[/\\]|^[A-Za-z]:|(^|[/\\])\.\.([/\\]|\z)") | (F.col("name") == "")
+    both = archive.join(listed.select("name", F.col("sha256").alias("_listed")), "name", "left")
+    state = F.when(unsafe, "unsafe_path").when(F.col("_listed").isNull(), "unlisted").when(F.sha2("content", 256) != F.col("_listed"), "changed").otherwise("ok")
+    return both.select("name", state.alias("state"))
+
+
+def embedded(texts: DataFrame, text: str, embed, batch: int = 100, retries: int = 2, wait: float = 1.0) -> DataFrame:
+    """Adds ``vector`` from a service: ``embed(list of texts)`` gives a vector for each.
+
+    Equal texts are asked for once, ``batch`` at a time; a batch that fails is tried again after ``wait``,
+    then twice as long, ``retries`` times in all, before the task fails.
+    """
+
+    def ask(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for i in range(0, len(part), batch):
+                own = part.iloc[i : i + batch]
+                for attempt in range(retries + 1):
+                    try:
+                        vectors = embed(own["said"].tolist())
+                        break
+                    except Exception:
+                        if attempt == retries:
+                            raise
+                        time.sleep(wait * 2**attempt)
+                yield pd.DataFrame({"key": own["key"], "vector": [[float(x) for x in v] for v in vectors]})
+
+    key = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
+    asked = texts.groupBy(key.alias("key")).agg(F.first(F.coalesce(F.col(text), F.lit(""))).alias("said"))
+    known = written(asked.mapInPandas(ask, "key string, vector array<double>"), "vectors")
+    return texts.withColumn("_key", key).join(known.withColumnRenamed("key", "_key"), "_key", "left").drop("_key")

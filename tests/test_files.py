@@ -44,3 +44,30 @@ def test_best_spans(spark):
     quotes = spark.createDataFrame([(1, 1, "the long common beginning"), (1, 2, "holds four"), (1, 3, "nothing")], "doc_id long, quote_id long, quote string")
     spans = spark.createDataFrame([(1, 1, "the long other"), (1, 2, "the long common end"), (1, 3, "four")], "doc_id long, span_id long, span_text string")
     assert sorted((r.quote_id, r.span_id) for r in Fd.best_spans(quotes, spans, "doc_id").collect()) == [(1, 2), (2, 3)]
+
+
+def test_embedding_batches_retries_and_asks_once(spark, tmp_path):
+    log = str(tmp_path / "log")
+
+    def service(texts):
+        with open(log, "a") as f:
+            f.write(f"{len(texts)}\n")
+        with open(log) as f:
+            if len(f.readlines()) == 1:
+                raise RuntimeError("try again")
+        return [[len(t)] for t in texts]
+
+    rows = spark.createDataFrame([(i, f"text {i % 25}") for i in range(100)] + [(100, None)], "id long, text string").coalesce(1)
+    got = {r.id: r.vector for r in Fi.embedded(rows, "text", service, batch=10, wait=0.01).collect()}
+    assert got == {**{i: [float(len(f"text {i % 25}"))] for i in range(100)}, 100: [0.0]}
+    sizes = [int(x) for x in open(log).read().split()]
+    assert max(sizes) <= 10 and sum(sizes[1:]) == 26  # 25 texts and the empty one, each once; the first call failed
+    with pytest.raises(Exception, match="never"):
+        Fi.embedded(rows, "text", lambda texts: (_ for _ in ()).throw(RuntimeError("never")), retries=1, wait=0.01)
+
+
+def test_unsafe_names_are_not_restored(spark):
+    names = ["a/b.txt", "../a", "a/../b", "/etc/x", "C:/x", "a\\..\\b", "", "a..b/c"]
+    files = spark.createDataFrame([(n, bytearray(b"x")) for n in names], "name string, content binary")
+    listed = files.selectExpr("name", "sha2(content, 256) AS sha256")
+    assert {r.name for r in Fi.restorable(files, listed).collect() if r.state == "ok"} == {"a/b.txt", "a..b/c"}
