@@ -6,7 +6,6 @@ import io
 import zipfile
 
 import pandas as pd
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions import geometry as Geo

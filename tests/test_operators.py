@@ -201,3 +201,17 @@ def test_streams_equal_batches(spark, tmp_path):
     assert got == whole
     first = Ev.drained(Ev.tailed(stream, 3), "tailed").groupBy("user_id").agg(F.collect_list("event_id").alias("e")).collect()
     assert all(len(r.e) == 3 for r in first) and len(first) == 5
+
+
+def test_search_reads_postings_of_its_terms_alone(spark, tmp_path):
+    from lexiloom.operators import retrieval as Re
+
+    docs = spark.createDataFrame([(1, "red fox", "a red fox and a red hen"), (2, "hen", "one hen"), (3, None, "nothing here"), (4, "x", "")], "doc_id long, title string, content string")
+    index = Re.write_search_index(docs, ["title", "content"], str(tmp_path / "index"))
+    assert index.fields["content"][0] == 4 and index.fields["content"][1] == (7 + 2 + 2) / 4
+    found = Re.bm25(index, ["red", "hen"], Re.BOOSTS)
+    scores = {r.doc_id: r.score for r in found.collect()}
+    assert set(scores) == {1, 2} and scores[1] > 0
+    plan = found._jdf.queryExecution().toString()
+    assert "PartitionFilters: [part" in plan and "PushedFilters: [In(term" in plan
+    assert Re.bm25(index, ["absent"], Re.BOOSTS).count() == 0
