@@ -32,7 +32,7 @@ from xxhash import xxh3_128_digest
 
 from .common import bounded_batches, sized, written
 from .graph import components
-from .shingles import WORDS, mixed, shingle_set
+from .shingles import mixed, shingle_set
 
 BANDS, ROWS = 40, 5
 SKETCH_BITS = 1024

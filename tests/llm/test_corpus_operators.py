@@ -7,7 +7,6 @@ from math import log10
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from lexiloom.llm import ctw, decontam, line_dedup, near_dup, sharding, toxicity
 from lexiloom.llm.shingles import shingle_set, words
