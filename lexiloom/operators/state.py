@@ -236,3 +236,16 @@ def migrated_visibility(index: DataFrame, meta: DataFrame, tombstones: DataFrame
     out = both.withColumn("_due", there)
     moved = {c: F.when(F.col("_due"), F.coalesce(f"_{c.split('_')[0]}", c)).otherwise(F.col(c)) for c in ("current_version_id", "indexed_version_id")}
     return out.withColumns(moved | {"visibility_migrated": F.col("_due") | F.coalesce("visibility_migrated", F.lit(False))}).select(index.columns)
+
+
+# A job's progress by its state; documents go from 40 to 95.
+JOB_PROGRESS = {"queued": 5, "parsing": 10, "running": 40, "complete": 100, "complete_degraded": 100}
+FIRST_DOCUMENT, DOCUMENTS = 40, 55
+
+
+def progress_of(kind: Column, index: Column, total: Column) -> Column:
+    """A job's progress after an event: its state's, or for the document that begins its share, halves to even; null for other events."""
+    out = F.when(kind == "document", FIRST_DOCUMENT + F.bround(DOCUMENTS * index / F.greatest(total, F.lit(1)), 0))
+    for state, percent in JOB_PROGRESS.items():
+        out = out.when(kind == state, percent)
+    return out.cast("int")

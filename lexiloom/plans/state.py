@@ -123,9 +123,16 @@ def join_parse_window(spark, d):
     return best.select("event_id", (-F.col("m.j")).alias("job_id"))
 
 
-@query("stm_progress", "SELECT event_id, (40 + round_even(55 * (event_id % 40) / 40.0, 0))::INT AS progress FROM events")
+@query(
+    "stm_progress",
+    """WITH n AS (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, count(*) OVER (PARTITION BY user_id) AS c FROM events)
+SELECT event_id, CASE n WHEN 1 THEN 5 WHEN 2 THEN 10 WHEN 3 THEN 40 WHEN c THEN 100 ELSE 40 + round_even(55 * (n - 4) / greatest(c - 4, 1)::DOUBLE, 0) END::INT AS progress FROM n""",
+)
 def stm_progress(spark, d):
-    return _events(spark, d).select("event_id", (40 + F.bround(55 * (F.col("event_id") % 40) / 40.0, 0)).cast("int").alias("progress"))
+    job = Window.partitionBy("user_id")
+    rows = _events(spark, d).withColumns({"n": F.row_number().over(job.orderBy("ts", "event_id")), "c": F.count(F.lit(1)).over(job)})
+    kind = F.when(F.col("n") == 1, "queued").when(F.col("n") == 2, "parsing").when(F.col("n") == 3, "running").when(F.col("n") == F.col("c"), "complete").otherwise("document")
+    return rows.select("event_id", S.progress_of(kind, F.col("n") - 4, F.col("c") - 4).alias("progress"))
 
 
 @query("stm_drift_scan", "SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN 'queued' ELSE event_type END AS state, event_type IN ('view', 'click') AS drifted FROM events")
