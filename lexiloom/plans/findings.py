@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -334,15 +335,21 @@ def scr_compare(spark, d):
     return table(spark, d, "lineitem").groupBy("l_returnflag").agg(*counts)
 
 
-@query("scr_text_similarity", "SELECT n_nationkey, round(greatest(0.8, length(replace(n_name, ' ', '')) / (length(replace(n_name, ' ', '')) + 3)), 6) AS score FROM nation")
+@query(
+    "scr_text_similarity",
+    """WITH c AS (SELECT c_custkey, length(regexp_replace(c_name, '\\s', '', 'g')) AS n FROM customer)
+SELECT c_custkey, round(CASE c_custkey % 4 WHEN 0 THEN 1 WHEN 1 THEN greatest(0.8, n / (n + c_custkey % 9 + 1)) WHEN 2 THEN 2 * n / (2 * n + 6) ELSE 0 END, 6) AS score FROM c""",
+)
 def scr_text_similarity(spark, d):
     @F.pandas_udf("double")
-    def score(a, b):
-        import pandas as pd
-
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([text_score(x, y) for x, y in zip(a, b)])
 
-    return _nations(spark, d).select("n_nationkey", F.round(score("n_name", F.concat(F.lower("n_name"), F.lit(" xyz"))), 6).alias("score"))
+    i, name = F.col("c_custkey"), F.col("c_name")
+    # Equal but for case and blanks; one in the other; one common block and other letters behind it; nothing to compare.
+    one = F.when(i % 4 == 0, F.concat(F.upper(name), F.lit(" \n"))).when(i % 4 == 1, name).when(i % 4 == 2, F.concat(name, F.lit("xyz")))
+    two = F.when(i % 4 == 0, name).when(i % 4 == 1, F.concat(name, F.expr("repeat('k', CAST(c_custkey % 9 + 1 AS INT))"))).when(i % 4 == 2, F.concat(name, F.lit("kjq"))).otherwise(name)
+    return table(spark, d, "customer").select("c_custkey", F.round(score(one, two), 6).alias("score"))
 
 
 @query("prj_block_text", "SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN lang WHEN doc_id % 2 <> 0 THEN source ELSE n_chars::VARCHAR END AS text FROM documents")
