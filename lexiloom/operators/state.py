@@ -249,3 +249,18 @@ def progress_of(kind: Column, index: Column, total: Column) -> Column:
     for state, percent in JOB_PROGRESS.items():
         out = out.when(kind == state, percent)
     return out.cast("int")
+
+
+def reconciled(meta: DataFrame, index: DataFrame, journal: DataFrame, tombstones: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Records and index rows after publications that were interrupted, and each journal entry's verdict.
+
+    A journal entry (key, generation, ``meta`` and ``row`` as structs with key and generation) was written
+    before either: whatever of the two is missing or old becomes what it says (applied). Entries whose
+    parts disagree are invalid and change nothing; those of deleted documents are refused.
+    """
+    agrees = lambda part: F.coalesce((F.col(f"{part}.{key}") == F.col(key)) & (F.col(f"{part}.generation") == F.col("generation")), F.lit(False))
+    valid = F.col(key).isNotNull() & (F.coalesce(F.col("generation"), F.lit("")) != "") & agrees("meta") & agrees("row")
+    gone = tombstones.select(key).distinct().withColumn("_gone", F.lit(True))
+    judged = journal.join(gone, key, "left").withColumn("verdict", F.when(~valid, "invalid").when(F.col("_gone"), "refused").otherwise("applied")).drop("_gone")
+    applied = judged.where("verdict = 'applied'")
+    return upserted(meta, applied.select("meta.*"), key), upserted(index, applied.select("row.*"), key), judged.select(key, "generation", "verdict")

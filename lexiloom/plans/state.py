@@ -207,8 +207,25 @@ def snk_update_by_query(spark, d):
     return _chunks(spark, d).select("doc_id", F.when(F.col("version").isNotNull(), F.concat_ws(":", F.col("doc_id").cast("string"), "version")).alias("visibility_key"))
 
 
-@query("stm_publication", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 1 END AS generation, CASE WHEN doc_id % 5 = 0 THEN upper(lang) ELSE lang END AS title FROM documents")
+@query(
+    "stm_publication",
+    """SELECT doc_id, CASE WHEN doc_id % 10 = 0 OR (doc_id % 5 = 0 AND doc_id % 15 <> 0 AND doc_id % 25 <> 0) THEN 'g2' ELSE 'g1' END AS meta_generation, CASE WHEN doc_id % 5 = 0 AND doc_id % 15 <> 0 AND doc_id % 25 <> 0 THEN 'g2' ELSE 'g1' END AS index_generation,
+CASE WHEN doc_id % 5 = 0 AND doc_id % 15 <> 0 AND doc_id % 25 <> 0 THEN upper(lang) ELSE lang END AS title, CASE WHEN doc_id % 25 = 0 THEN 'invalid' WHEN doc_id % 15 = 0 THEN 'refused' WHEN doc_id % 5 = 0 THEN 'applied' END AS verdict FROM documents""",
+)
 def stm_publication(spark, d):
+    docs, i = table(spark, d, "documents"), F.col("doc_id")
+    # Every tenth publication had come as far as the record, the other fifths no further than the journal.
+    meta = docs.select("doc_id", F.when(i % 10 == 0, "g2").otherwise("g1").alias("generation"))
+    index = docs.select("doc_id", F.lit("g1").alias("generation"), F.col("lang").alias("title"))
+    said = F.when(i % 25 == 0, "g3").otherwise("g2")
+    journal = docs.where("doc_id % 5 = 0").select("doc_id", F.lit("g2").alias("generation"), F.struct("doc_id", F.lit("g2").alias("generation")).alias("meta"), F.struct("doc_id", said.alias("generation"), F.upper("lang").alias("title")).alias("row"))
+    records, rows, verdicts = S.reconciled(meta, index, journal, docs.where("doc_id % 15 = 0").select("doc_id"))
+    both = records.withColumnRenamed("generation", "meta_generation").join(rows.withColumnRenamed("generation", "index_generation"), "doc_id")
+    return both.join(verdicts.select("doc_id", "verdict"), "doc_id", "left")
+
+
+@query("win_journal_merge", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 1 END AS generation, CASE WHEN doc_id % 5 = 0 THEN upper(lang) ELSE lang END AS title FROM documents")
+def win_journal_merge(spark, d):
     index = table(spark, d, "documents").select("doc_id", F.lit(1).alias("generation"), F.col("lang").alias("title"))
     journal = index.where("doc_id % 5 = 0").select("doc_id", F.lit(2).alias("generation"), F.upper("title").alias("title"))
     return S.merged_journal(index, journal, "doc_id", "generation")
