@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, decontam, knn, line_dedup, near_dup, pii, sharding, substring_dedup, toxicity
+from . import bpe, conversations, ctw, decontam, knn, line_dedup, near_dup, pii, sharding, substring_dedup, toxicity
 from .common import crc_of_id, table
 
 
@@ -73,5 +73,9 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("_row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_bpe": op2_bpe, "op3_nearest": op3_nearest, "op4_ctw": op4_ctw, "op5_near_dup": op5_near_dup, "op6_decontamination": op6_decontamination, "op7_line_dedup": op7_line_dedup, "op8_sharding": op8_sharding, "op9_personal_data": op9_personal_data, "op10_substrings": op10_substrings}
-SQL = {"op5_near_dup": near_dup.SQL, "op6_decontamination": decontam.SQL, "op7_line_dedup": line_dedup.SQL, "op10_substrings": substring_dedup.SQL}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.Repair(conversations.damaged(table(spark, sf_dir, "conversations"))).summary()
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_bpe": op2_bpe, "op3_nearest": op3_nearest, "op4_ctw": op4_ctw, "op5_near_dup": op5_near_dup, "op6_decontamination": op6_decontamination, "op7_line_dedup": op7_line_dedup, "op8_sharding": op8_sharding, "op9_personal_data": op9_personal_data, "op10_substrings": op10_substrings, "op11_conversation_repair": op11_conversation_repair}
+SQL = {"op5_near_dup": near_dup.SQL, "op6_decontamination": decontam.SQL, "op7_line_dedup": line_dedup.SQL, "op10_substrings": substring_dedup.SQL, "op11_conversation_repair": conversations.SQL}
