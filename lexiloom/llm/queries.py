@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, conversations, ctw, decontam, knn, line_dedup, near_dup, pii, sharding, substring_dedup, toxicity
+from . import alignment, bpe, conversations, ctw, decontam, knn, licenses, line_dedup, near_dup, pii, sharding, substring_dedup, toxicity
 from .common import crc_of_id, table
 
 
@@ -77,5 +77,18 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.Repair(conversations.damaged(table(spark, sf_dir, "conversations"))).summary()
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_bpe": op2_bpe, "op3_nearest": op3_nearest, "op4_ctw": op4_ctw, "op5_near_dup": op5_near_dup, "op6_decontamination": op6_decontamination, "op7_line_dedup": op7_line_dedup, "op8_sharding": op8_sharding, "op9_personal_data": op9_personal_data, "op10_substrings": op10_substrings, "op11_conversation_repair": op11_conversation_repair}
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    a, b = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    out = alignment.align(table(spark, sf_dir, "documents"), a, b, keep=["doc_id"])
+    return out.select("_row.doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.license_scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return out.select("_row.doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score", F.col("spans").cast("string").alias("spans"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_bpe": op2_bpe, "op3_nearest": op3_nearest, "op4_ctw": op4_ctw, "op5_near_dup": op5_near_dup, "op6_decontamination": op6_decontamination, "op7_line_dedup": op7_line_dedup, "op8_sharding": op8_sharding, "op9_personal_data": op9_personal_data, "op10_substrings": op10_substrings, "op11_conversation_repair": op11_conversation_repair, "op12_token_alignment": op12_token_alignment, "op13_license_scan": op13_license_scan}
 SQL = {"op5_near_dup": near_dup.SQL, "op6_decontamination": decontam.SQL, "op7_line_dedup": line_dedup.SQL, "op10_substrings": substring_dedup.SQL, "op11_conversation_repair": conversations.SQL}
