@@ -25,6 +25,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ PRODUCT = 1 << 20
 #: Characters of a text that are runs at once.
 STRETCH = 1 << 20
 #: Known runs kept by a worker.
-RUNS = 100_000
+RUNS = 300_000
 BITS = 20
 
 
@@ -74,8 +75,25 @@ class Pair:
             form = json.load(f)
         splits = (form.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and form["pre_tokenizer"].get("use_regex") and not form.get("normalizer")
         self.cut = CUT if splits and not any(re.search("[^▁]▁", p) for p in pieces) else None
-        self.known: dict[str, tuple | None] = {}
-        self.said = [str(i) for i in range(max(len(self.a_bytes), len(pieces)))]
+        # Each id as text, with what may follow it in the listing of groups.
+        self.a_said = [f"{i}{c}" for i in range(len(self.a_bytes)) for c in ",|"]
+        self.b_said = [f"{i}{c}" for i in range(len(pieces)) for c in ",;"]
+        self.a_lengths, self.b_lengths = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        self.forget()
+
+    def forget(self) -> None:
+        #: A run's number; none where its bytes do not come back.
+        self.known: dict[str, int | None] = {}
+        self.said: list[str] = []
+        self.counts: list[np.ndarray] = []
+        self.links: list[np.ndarray] = []
+        self.weights: list[np.ndarray] = []
+
+    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all known runs: token, group and link counts and how many rows of links; the links; their weights."""
+        for held in (self.counts, self.links, self.weights):
+            held[:] = [np.concatenate(held)] if held else []
+        return (self.counts[0], self.links[0], self.weights[0]) if self.said else (np.zeros((0, 5), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def runs(self, text: str) -> Iterator[list[str]]:
         """The runs of space + text, a stretch at a time."""
@@ -86,42 +104,52 @@ class Pair:
         yield self.cut.split(text[begin:]) if self.cut else [text]
 
     def learn(self, runs: list[str]) -> None:
-        """Encodes and aligns runs; None where bytes do not come back."""
+        """Encodes and aligns runs."""
         a_ids = [e.ids for e in self.a.encode_batch_fast(runs, add_special_tokens=False)]
         b_ids = self.b.encode([r[1:] for r in runs], num_threads=1)
-        good = []
-        for r, a, b in zip(runs, a_ids, b_ids):
-            raw = r.encode()
-            if b"".join([self.a_bytes[i] for i in a]) == raw == b"".join([self.b_bytes[i] for i in b]):
-                good.append((r, a, b))
-            else:
-                self.known[r] = None
+        raw = [r.encode() for r in runs]
+        good = range(len(runs))
+        if not (self._come_back(raw, a_ids, self.a_bytes, self.a_lengths) and self._come_back(raw, b_ids, self.b_bytes, self.b_lengths)):
+            good = [k for k in good if b"".join([self.a_bytes[i] for i in a_ids[k]]) == raw[k] == b"".join([self.b_bytes[i] for i in b_ids[k]])]
+            self.known.update(dict.fromkeys(runs))
         if good:
-            self._align(good)
+            self._align([runs[k] for k in good], [a_ids[k] for k in good], [b_ids[k] for k in good])
 
-    def _align(self, good: list[tuple[str, list[int], list[int]]]) -> None:
+    @staticmethod
+    def _come_back(raw: list[bytes], ids: list[list[int]], of: list[bytes], lengths: np.ndarray) -> bool:
+        """Every run's bytes, looked at together: the whole and where each ends."""
+        flat = np.array(list(chain.from_iterable(ids)), np.int64)
+        ends = np.concatenate([[0], np.cumsum(lengths[flat])])[np.cumsum([len(x) for x in ids])]
+        return bool((ends == np.cumsum([len(x) for x in raw])).all()) and b"".join(map(of.__getitem__, flat.tolist())) == b"".join(raw)
+
+    def _align(self, runs: list[str], a_ids: list[list[int]], b_ids: list[list[int]]) -> None:
         """Many runs one after another: a run's end is a shared end."""
-        a = np.concatenate([np.array(x[1], np.int64) for x in good])
-        b = np.concatenate([np.array(x[2], np.int64) for x in good])
-        a_ends = np.cumsum(np.fromiter(map(len, map(self.a_bytes.__getitem__, a.tolist())), np.int64, len(a)))
-        b_ends = np.cumsum(np.fromiter(map(len, map(self.b_bytes.__getitem__, b.tolist())), np.int64, len(b)))
-        groups, links, weights, a_group, b_group = aligned(a, b, a_ends, b_ends)
+        a, b = (np.array(list(chain.from_iterable(x)), np.int64) for x in (a_ids, b_ids))
+        groups, links, weights, a_group, b_group = aligned(a, b, np.cumsum(self.a_lengths[a]), np.cumsum(self.b_lengths[b]))
         n_groups = int(a_group[-1]) + 1
+        n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (a_ids, b_ids))
         # Each run's groups are consecutive.
-        last_a = np.cumsum([len(x[1]) for x in good])
-        ends = a_group[last_a - 1] + 1
+        ends = a_group[np.cumsum(n_a) - 1] + 1
         begins = np.concatenate([[0], ends[:-1]])
         order = np.argsort(groups, kind="stable")
         groups, links, weights = groups[order], links[order], weights[order]
-        from_, to = np.searchsorted(groups, begins), np.searchsorted(groups, ends)
-        a_at, b_at = np.searchsorted(a_group, np.arange(n_groups + 1)), np.searchsorted(b_group, np.arange(n_groups + 1))
-        a_said, b_said = [self.said[i] for i in a.tolist()], [self.said[i] for i in b.tolist()]
-        a_at_list, b_at_list = a_at.tolist(), b_at.tolist()
-        for k, (run, a_ids, b_ids) in enumerate(good):
-            g0, g1 = int(begins[k]), int(ends[k])
-            text = ";".join([",".join(a_said[a_at_list[g] : a_at_list[g + 1]]) + "|" + ",".join(b_said[b_at_list[g] : b_at_list[g + 1]]) for g in range(g0, g1)])
-            pairs, back = np.unique(links[from_[k] : to[k]], return_inverse=True)
-            self.known[run] = len(a_ids), len(b_ids), g1 - g0, text.encode(), pairs, np.bincount(back, weights[from_[k] : to[k]].astype(np.float64)).astype(np.int64) if len(pairs) else weights[:0]
+        edges = np.searchsorted(groups, np.append(begins, n_groups))
+        n_links = np.diff(np.concatenate([[0], np.cumsum(weights)])[edges])
+        # A group's A ids, then its B ids; the last of each side is followed by a bar or a semicolon.
+        a_at, b_at = (np.searchsorted(g, np.arange(n_groups + 1)) for g in (a_group, b_group))
+        said: np.ndarray = np.empty(len(a) + len(b), object)
+        for ids, group, at, place, of in ((a, a_group, a_at, b_at[a_group], self.a_said), (b, b_group, b_at, a_at[b_group + 1], self.b_said)):
+            last = np.zeros(len(ids), np.int64)
+            last[at[1:] - 1] = 1
+            said[np.arange(len(ids)) + place] = list(map(of.__getitem__, (2 * ids + last).tolist()))
+        pieces = said.tolist()
+        whole = "".join(pieces)
+        to = np.concatenate([[0], np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))])[np.cumsum(n_a + n_b)].tolist()
+        self.known.update(zip(runs, range(len(self.said), len(self.said) + len(runs))))
+        self.said += [whole[i : j - 1] for i, j in zip([0, *to], to)]
+        self.counts.append(np.stack([n_a, n_b, ends - begins, n_links, np.diff(edges)], axis=1))
+        self.links.append(links)
+        self.weights.append(weights)
 
 
 def aligned(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -165,6 +193,11 @@ def pair_of(bytes_path: str, pieces_path: str) -> Pair:
     return _pairs[bytes_path, pieces_path]
 
 
+def _spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of ranges one after another."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(begins, sizes)
+
+
 def _lists(flat: np.ndarray, sizes: list[int] | np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, kind))
 
@@ -188,7 +221,7 @@ def encoded(docs: DataFrame, bytes_path: str, pieces_path: str, text_col: str =
 
 def _batch(pair: Pair, row: pa.Array, texts: list[str], number: int, groups: bool) -> Iterator[pa.RecordBatch]:
     if len(pair.known) > RUNS:
-        pair.known.clear()
+        pair.forget()
     numbers: dict[str, int] = {}
 
     def numbered(text: str) -> np.ndarray:
@@ -208,14 +241,15 @@ def _batch(pair: Pair, row: pa.Array, texts: list[str], number: int, groups: boo
             whole = " " + texts[k]
             learn([whole])
             of[k] = np.array([numbers.setdefault(whole, len(numbers))] if pair.known[whole] is not None else [], np.int64)
-    nothing = 0, 0, 0, b"", np.zeros(0, np.int64), np.zeros(0, np.int64)
-    known = [pair.known[r] or nothing for r in numbers]
-    strings_of = [x[3] for x in known]
-    n_a, n_b, n_groups = (np.array([x[k] for x in known], np.int64) for k in range(3))
-    n_links = np.array([int(x[5].sum()) for x in known], np.int64)
-    sizes = np.array([len(x[4]) for x in known], np.int64)
-    flat = np.concatenate([x[4] for x in known]) if known else np.zeros(0, np.int64)
-    weights = np.concatenate([x[5] for x in known]) if known else np.zeros(0, np.int64)
+    # Runs that are used, by their numbers among all that are known.
+    place = np.array([-1 if pair.known[r] is None else pair.known[r] for r in numbers], np.int64)
+    counts, all_links, all_weights = pair.table()
+    begin = np.cumsum(counts[:, 4]) - counts[:, 4]
+    used = place >= 0
+    n_a, n_b, n_groups, n_links, sizes = (np.where(used, counts[place, k], 0) if len(counts) else np.zeros(len(place), np.int64) for k in range(5))
+    at = _spread(begin[place] if len(counts) else sizes, sizes)
+    flat, weights = all_links[at], all_weights[at]
+    strings_of = [pair.said[k] if k >= 0 else "" for k in place.tolist()]
     pairs, links = np.unique(flat, return_inverse=True)
     begins = np.cumsum(sizes) - sizes
     held = np.zeros(len(pairs), np.int64)
@@ -223,11 +257,9 @@ def _batch(pair: Pair, row: pa.Array, texts: list[str], number: int, groups: boo
     for runs in of:
         mine, n = np.unique(runs, return_counts=True)
         if len(mine):
-            part = sizes[mine]
-            within = np.arange(int(part.sum())) - np.repeat(np.cumsum(part) - part, part) + np.repeat(begins[mine], part)
-            held[np.unique(links[within])] += 1
+            held[np.unique(links[_spread(begins[mine], sizes[mine])])] += 1
         sums.append([int((x[mine] * n).sum()) for x in (n_a, n_b, n_groups, n_links)])
-        said = b";".join(map(strings_of.__getitem__, runs.tolist()))
+        said = ";".join(map(strings_of.__getitem__, runs.tolist())).encode()
         hashes.append(hashlib.sha256(said).hexdigest() if len(runs) else "")
         if groups:
             strings.append(said)
