@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import math
-import zlib
-from dataclasses import dataclass
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,62 +12,45 @@ from pyspark.sql import functions as F
 from lexiloom.functions import text as T
 from lexiloom.sources.scratch import written
 
+from .search_index import SearchIndex
+
 K1, B, RRF = 1.2, 0.75, 60
 BOOSTS = {"title": 3.0, "content": 1.0}
 SNIPPET_CHARS = 120
 
 
-#: Directories of an index; a question reads those that its terms are dealt to.
-INDEX_PARTS = 64
-
-
-@dataclass
-class SearchIndex:
-    """An inverted index on disk: postings (part, term, field, key, tf, len), and for each field its texts and their mean length."""
-
-    postings: DataFrame
-    fields: dict[str, tuple[int, float]]
+def analyzed(spark: SparkSession, question: str) -> list[str]:
+    """The words of a question, as its texts' words are taken."""
+    return spark.range(1).select(T.tokens(F.lit(question)).alias("t")).first().t
 
 
-def write_search_index(docs: DataFrame, fields: list[str], path: str, key: str = "doc_id", parts: int = INDEX_PARTS) -> SearchIndex:
-    """Tokenises every text once; postings are dealt by term and sorted."""
-    tokens = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), T.tokens(f).alias("words")) for f in fields])).alias("f")
-    rows = docs.select(F.col(key).alias("key"), tokens).select("key", "f.field", F.coalesce("f.words", F.array().cast("array<string>")).alias("words"))
-    part = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(parts)).cast("int").alias("part")
-    words = rows.select("key", "field", F.size("words").alias("len"), F.explode("words").alias("term")).select(part, "term", "field", "key", "len")
-    # Dealt by part before they are counted: the one exchange serves both.
-    counted = words.repartition("part").groupBy("part", "term", "field", "key", "len").agg(F.count(F.lit(1)).alias("tf"))
-    counted.sortWithinPartitions("part", "term", "field").write.partitionBy("part").parquet(f"{path}/postings")
-    rows.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("words")).alias("mean"), F.sum(F.size("words")).alias("words")).coalesce(1).write.parquet(f"{path}/fields")
-    return open_search_index(docs.sparkSession, path)
+def bm25(index: SearchIndex, terms: list[str], boosts: dict[str, float], within: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """doc_id and score of every text with a query term; the best of the boosted fields counts. Reads the terms' postings and nothing else.
 
-
-def open_search_index(spark: SparkSession, path: str) -> SearchIndex:
-    fields = spark.read.parquet(f"{path}/fields").collect()  # a row a field
-    return SearchIndex(spark.read.parquet(f"{path}/postings"), {r.field: (r.n, r.mean) for r in fields})
-
-
-def bm25(index: SearchIndex, terms: list[str], boosts: dict[str, float], parts: int = INDEX_PARTS) -> DataFrame:
-    """doc_id and score of every text with a query term; the best of the boosted fields counts. Reads the terms' postings and nothing else."""
-    asked = list(dict.fromkeys(terms))
+    ``within`` restricts rows by their ``key``: it is applied to postings before scores are summed. How rare a
+    term is counts all live texts.
+    """
+    asked = list(dict.fromkeys(terms)) or [""]
     weights = F.create_map(*[F.lit(x) for f, w in boosts.items() for x in (f, float(w))])
-    stat = lambda k: F.create_map(*[F.lit(x) for f in boosts for x in (f, float(index.fields.get(f, (0, 1.0))[k] or 1.0))])[F.col("field")]
-    found = index.postings.where(F.col("part").isin([zlib.crc32(t.encode()) % parts for t in asked]) & F.col("term").isin(asked) & F.col("field").isin(list(boosts)))
+    stat = lambda k: F.create_map(*[F.lit(x) for f in boosts for x in (f, float(index.stat(f)[k]))])[F.col("field")]
+    found = index.postings(asked, list(boosts))
     held = found.groupBy("term", "field").agg(F.count(F.lit(1)).alias("df"))  # a row for each term and field
     idf = F.log(1 + (stat(0) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     repeated = F.create_map(*[F.lit(x) for t in asked for x in (t, terms.count(t))])[F.col("term")]
     part = repeated * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / stat(1)))
-    scores = found.join(F.broadcast(held), ["term", "field"]).groupBy("key", "field").agg((F.sum(part) * F.first(weights[F.col("field")])).alias("score"))
+    rows = found if within is None else within(found)
+    scores = rows.join(F.broadcast(held), ["term", "field"]).groupBy("key", "field").agg((F.sum(part) * F.first(weights[F.col("field")])).alias("score"))
     return scores.groupBy(F.col("key").alias("doc_id")).agg(F.max("score").alias("score")).where("score > 0")
 
 
-def cosine(vectors: DataFrame, query_id: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Cosine of every vector with one query vector, given by id."""
+def cosine(vectors: DataFrame, query_id: int | None, id_col: str = "vec_id", vector_col: str = "embedding", within: Callable[[DataFrame], DataFrame] | None = None, query: DataFrame | None = None) -> DataFrame:
+    """Cosine of every vector, of those that ``within`` leaves, with one query vector, given by id or as a table of one row."""
     wide = vectors.select(id_col, F.col(vector_col).cast("array<double>").alias("v"))
-    one = wide.where(F.col(id_col) == query_id).select(F.col("v").alias("q"))
+    one = wide.where(F.col(id_col) == query_id).select(F.col("v").alias("q")) if query is None else query.select(F.col(vector_col).alias("q"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     score = dot("v", "q") / F.sqrt(dot("v", "v") * dot("q", "q"))
-    return wide.crossJoin(F.broadcast(one)).select(F.col(id_col), score.alias("score"))
+    rows = wide if within is None else within(wide)
+    return rows.crossJoin(F.broadcast(one)).select(F.col(id_col), score.alias("score"))
 
 
 def ranked(scored: DataFrame, key: str, k: int) -> DataFrame:
@@ -92,9 +74,10 @@ def hybrid(index: SearchIndex, vectors: DataFrame, terms: list[str], query_id: i
 
 
 def scoped(index: SearchIndex, vectors: DataFrame, terms: list[str], query_id: int, inside: DataFrame, k: int = 6) -> DataFrame:
-    """Document search: hits outside the scope (doc_ids in ``inside``) are dropped after they have taken their ranks."""
-    words = ranked(bm25(index, terms, BOOSTS), "doc_id", 4 * k).join(inside, "doc_id", "left_semi")
-    near = ranked(cosine(vectors, query_id).withColumnRenamed("vec_id", "doc_id"), "doc_id", 4 * k).join(inside, "doc_id", "left_semi")
+    """Document search inside a scope (doc_ids in ``inside``): both searches see nothing else, so a narrow scope is answered in full."""
+    keys = inside.select(F.col("doc_id").alias("key"))
+    words = ranked(bm25(index, terms, BOOSTS, lambda rows: rows.join(keys, "key", "left_semi")), "doc_id", 2 * k)
+    near = ranked(cosine(vectors, query_id, within=lambda rows: rows.join(keys, rows["vec_id"] == keys["key"], "left_semi")).withColumnRenamed("vec_id", "doc_id"), "doc_id", k)
     return fused([words, near], "doc_id", k)
 
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
+from lexiloom.operators import query_tree as Q
 from lexiloom.operators import retrieval as R
+from lexiloom.operators.search_index import SearchIndex, write_index
+from lexiloom.operators.vector_index import VectorIndex
 from lexiloom.sources.scratch import new_path
 from lexiloom.sources.tables import line_blocks, table
 
@@ -13,52 +16,74 @@ from .base import BLOCKS, query
 
 TERMS, VECTOR, QUESTION = ["thanedble", "attion", "eux", "src7"], 7, "the thanedble attion"
 
+# Word-break classes: letters of scripts written with blanks, ideographs and Hiragana, Katakana, digits, connectors, marks.
+_A, _H, _K, _N, _E, _M = r"(?:[^\P{L}\p{Han}\p{Hiragana}\p{Katakana}ーｰ]|\p{Nl})", r"[\p{Han}\p{Hiragana}]", r"[\p{Katakana}ーｰ]", r"\p{Nd}", r"\p{Pc}", r"\p{M}"
+_EITHER = ".''‘’․﹒＇．"
+_LETTERS = rf"{_A}(?:{_A}|{_M})*(?:[{_EITHER}:··՟״‧︓﹕：]{_A}(?:{_A}|{_M})*)*"
+_DIGITS = rf"{_N}(?:{_N}|{_M})*(?:[{_EITHER},;;։،؍٬߸⁄︐︔﹐﹔，；]{_N}(?:{_N}|{_M})*)*"
+_RUN = rf"(?:(?:{_LETTERS}|{_DIGITS})+|(?:{_K}{_M}*)+)"
+_WORD = rf"{_H}{_M}*|(?:{_E}{_M}*)*{_RUN}(?:(?:{_E}{_M}*)+{_RUN})*(?:{_E}{_M}*)*"
+
+
+def words_sql(c: str) -> str:
+    """The words of a text by the rule itself: one pattern for a whole word; over 255 characters it is cut."""
+    return f"flatten(list_transform(regexp_extract_all(lower({c}), '{_WORD}'), lambda w: list_transform(range(0, (length(w) + 254) // 255), lambda i: substring(w, i * 255 + 1, 255))))"
+
+
 _FIELD = """
-f_{f} AS (SELECT doc_id, regexp_extract_all(lower({c}), '[\\p{{L}}\\p{{N}}]+') AS tk FROM documents),
+f_{f} AS (SELECT doc_id, {tk} AS tk FROM {table}),
 c_{f} AS (SELECT doc_id, len(tk) AS dl, t, len(list_filter(tk, lambda x: x = t)) AS tf FROM f_{f}, q),
 d_{f} AS (SELECT t, count(*) FILTER (WHERE tf > 0) AS df FROM c_{f} GROUP BY t),
 a_{f} AS (SELECT count(*) AS n, avg(len(tk)) AS avgdl FROM f_{f}),
 s_{f} AS (SELECT doc_id, sum(CASE WHEN tf > 0 THEN ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) ELSE 0 END) AS s FROM c_{f} JOIN d_{f} USING (t), a_{f} GROUP BY doc_id)"""
-_BM25 = (
-    "q AS (SELECT unnest(['thanedble', 'attion', 'eux', 'src7']) AS t),"
-    + _FIELD.format(f="t", c="source")
-    + ","
-    + _FIELD.format(f="c", c="text")
-    + """,
-bm AS (SELECT doc_id, greatest(3.0 * s_t.s, s_c.s) AS score FROM s_t JOIN s_c USING (doc_id) WHERE greatest(3.0 * s_t.s, s_c.s) > 0)"""
-)
+
+
+def bm25_sql(terms: list[str], title: str = "source", content: str = "text", table: str = "documents") -> str:
+    """``bm``: doc_id and score of every text with one of the terms."""
+    fields = ",".join(_FIELD.format(f=f, tk=words_sql(c), table=table) for f, c in (("t", title), ("c", content)))
+    return f"q AS (SELECT unnest({terms!r}) AS t),{fields},\nbm AS (SELECT doc_id, greatest(3.0 * s_t.s, s_c.s) AS score FROM s_t JOIN s_c USING (doc_id) WHERE greatest(3.0 * s_t.s, s_c.s) > 0)"
+
+
+_BM25 = bm25_sql(TERMS)
 _KNN = "kn AS (SELECT e.vec_id AS doc_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q)"
 
 
-def _rrf(k: int, wide: int, near: int, where: str = "TRUE") -> str:
+def _rrf(k: int, wide: int, near: int, inside: str = "TRUE") -> str:
+    """``inside``: a condition on documents, before anything is ranked."""
     return f"""WITH {_BM25}, {_KNN},
-bl AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS r, 0 AS l FROM bm QUALIFY r < {wide}),
-kl AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS r, 1 AS l FROM kn QUALIFY r < {near}),
-u AS (SELECT x.* FROM (SELECT * FROM bl UNION ALL SELECT * FROM kl) x LEFT JOIN documents d ON d.doc_id = x.doc_id WHERE {where}),
+bl AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS r, 0 AS l FROM bm WHERE {inside} QUALIFY r < {wide}),
+kl AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS r, 1 AS l FROM kn WHERE {inside} QUALIFY r < {near}),
+u AS (SELECT * FROM bl UNION ALL SELECT * FROM kl),
 g AS (SELECT doc_id, sum(1.0::DOUBLE / (61 + r)) AS s, min(l * 1000 + r) AS o FROM u GROUP BY doc_id ORDER BY s DESC, o LIMIT {k})"""
 
 
-_indexes: dict[tuple[str, str], R.SearchIndex] = {}
+_indexes: dict[tuple[str, str], tuple[tuple, SearchIndex]] = {}
 
 
-def search_index(spark, d) -> R.SearchIndex:
-    """The index of a folder's documents, written once in a session and read by every question."""
-    at = (spark.conf.get("spark.app.id", ""), d)
-    if at not in _indexes:
-        docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("content"))
-        _indexes[at] = R.write_search_index(docs, list(R.BOOSTS), new_path(spark, "search"))
-    return _indexes[at]
+def state_of(rows) -> tuple:
+    """What tells whether a table's files have changed: their names, times and sizes."""
+    files = rows.select("_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size").distinct()
+    return tuple(files.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("file_path", "file_modification_time", "file_size"))).first())
 
 
-@query(
-    "snk_index_bulk",
-    r"""WITH t AS (SELECT doc_id, 'title' AS field, regexp_extract_all(lower(source), '[\p{L}\p{N}]+') AS tk FROM documents UNION ALL SELECT doc_id, 'content', regexp_extract_all(lower(text), '[\p{L}\p{N}]+') FROM documents),
-p AS (SELECT doc_id, field, len(tk) AS n, term, count(*) AS tf FROM (SELECT doc_id, field, tk, unnest(tk) AS term FROM t) GROUP BY ALL)
-SELECT field, term, count(*) AS df, sum(tf)::BIGINT AS tf, min(doc_id) AS first_doc, max(n)::BIGINT AS longest FROM p GROUP BY ALL""",
-)
+def search_index(spark, d) -> SearchIndex:
+    """The index of a folder's documents, written once in a session and read by every question; a changed table is indexed again."""
+    rows = table(spark, d, "documents")
+    at, state = (spark.conf.get("spark.app.id", ""), d), state_of(rows)
+    if at not in _indexes or _indexes[at][0] != state:
+        docs = rows.select("doc_id", F.col("source").alias("title"), F.col("text").alias("content"), "lang", "source")
+        _indexes[at] = state, write_index(docs, list(R.BOOSTS), attributes=["lang", "source"])
+    return _indexes[at][1]
+
+
+_POSTINGS = f"""t AS (SELECT doc_id, 'title' AS field, {words_sql("source")} AS tk FROM documents UNION ALL SELECT doc_id, 'content', {words_sql("text")} FROM documents),
+p AS (SELECT doc_id, field, len(tk) AS n, term, count(*) AS tf FROM (SELECT doc_id, field, tk, unnest(tk) AS term FROM t) GROUP BY ALL)"""
+
+
+@query("snk_index_bulk", f"WITH {_POSTINGS} SELECT field, term, count(*) AS df, sum(tf)::BIGINT AS tf, min(doc_id) AS first_doc, max(n)::BIGINT AS longest FROM p GROUP BY ALL")
 def snk_index_bulk(spark, d):
-    rows = search_index(spark, d).postings
-    return rows.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"), F.min("key").alias("first_doc"), F.max("len").cast("long").alias("longest"))
+    rows = search_index(spark, d).postings()
+    return rows.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").cast("long").alias("tf"), F.min("key").alias("first_doc"), F.max("len").cast("long").alias("longest"))
 
 
 @query("topk_bm25", f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, doc_id LIMIT 20")
@@ -90,9 +115,12 @@ def topk_parallel(spark, d):
     return _fused(spark, d, 15)
 
 
-@query("topk_scope", _rrf(6, 24, 24, "d.lang = 'en'") + " SELECT doc_id, round(s, 6) AS score FROM g")
+_NARROW = "lang = 'de' AND source = 'src2'"
+
+
+@query("topk_scope", _rrf(6, 12, 6, f"doc_id IN (SELECT doc_id FROM documents WHERE {_NARROW})") + " SELECT doc_id, round(s, 6) AS score FROM g")
 def topk_scope(spark, d):
-    inside = table(spark, d, "documents").where("lang = 'en'").select("doc_id")
+    inside = table(spark, d, "documents").where(_NARROW).select("doc_id")
     return R.scoped(search_index(spark, d), table(spark, d, "embeddings"), TERMS, VECTOR, inside).select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -124,7 +152,7 @@ def agg_df(spark, d):
 
 @query(
     "agg_bm25_stats",
-    r"SELECT t AS term, count(*)::BIGINT AS tf, count(DISTINCT doc_id)::BIGINT AS df FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS t FROM documents) GROUP BY t",
+    f"SELECT t AS term, count(*)::BIGINT AS tf, count(DISTINCT doc_id)::BIGINT AS df FROM (SELECT doc_id, unnest({words_sql('text')}) AS t FROM documents) GROUP BY t",
 )
 def agg_bm25_stats(spark, d):
     words = table(spark, d, "documents").select("doc_id", F.explode(T.tokens("text")).alias("term"))
