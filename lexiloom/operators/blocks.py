@@ -64,13 +64,18 @@ def content_list_blocks(items: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def merged_tables(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Neighbouring Markdown tables of equal width become one; a repeated header row goes."""
+    """Neighbouring Markdown tables of equal width become one: each later one loses its header, whatever it says, if a separator stands below it. No other row goes."""
     w = Window.partitionBy(key).orderBy("block_index")
-    wide = blocks.withColumn("grid", F.when(F.col("type") == "table", G.markdown_grid("text"))).withColumn("width", F.size(F.get("grid", F.lit(0))))
+    lines = F.split(F.trim("text"), "\n", -1)
+    second = F.trim(F.get(lines, F.lit(1)))
+    wide = (
+        blocks.withColumn("grid", F.when(F.col("type") == "table", G.markdown_grid("text")))
+        .withColumn("width", F.size(F.get("grid", F.lit(0))))
+        .withColumn("headed", F.coalesce(second.startswith("|") & G.is_separator(second), F.lit(False)))
+    )
     same = (F.lag("width").over(w) == F.col("width")) & (F.lag("type").over(w) == "table") & (F.col("type") == "table")
     islands = wide.withColumn("island", F.sum(F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = islands.groupBy(key, "island").agg(F.min("block_index").alias("block_index"), F.first("type").alias("type"), F.array_sort(F.collect_list(F.struct("block_index", "grid", "text"))).alias("p"))
-    head = F.get(F.get("p", F.lit(0))["grid"], F.lit(0))
-    rows = F.filter(F.flatten(F.transform("p", lambda x: x["grid"])), lambda r: r != head)
-    merged = G.grid_markdown(F.concat(F.array(head), rows))
-    return parts.select(key, "block_index", "type", F.size("p").alias("merged"), F.when((F.size("p") > 1) & head.isNotNull(), merged).otherwise(F.get("p", F.lit(0))["text"]).alias("text"))
+    parts = islands.groupBy(key, "island").agg(F.min("block_index").alias("block_index"), F.first("type").alias("type"), F.array_sort(F.collect_list(F.struct("block_index", "grid", "headed", "text"))).alias("p"))
+    rows = F.flatten(F.transform("p", lambda x, i: F.when((i > 0) & x["headed"], F.slice(x["grid"], 2, F.greatest(F.size(x["grid"]), F.lit(1)))).otherwise(x["grid"])))
+    found = F.get(F.get("p", F.lit(0))["grid"], F.lit(0)).isNotNull()
+    return parts.select(key, "block_index", "type", F.size("p").alias("merged"), F.when((F.size("p") > 1) & found, G.grid_markdown(rows)).otherwise(F.get("p", F.lit(0))["text"]).alias("text"))

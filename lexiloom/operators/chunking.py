@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.functions import grids as G
+
 CHUNK, OVERLAP, SHORT = 384, 96, 80
 STRUCTURE_OVERLAP = max(32, int(CHUNK * 0.12))
 # Fixed separators of the recursive splitter, coarsest first.
@@ -26,7 +28,7 @@ def sentence_windows(text: str, most: int, overlap: int) -> list[str]:
         else:
             held += piece
         while len(held) > most:
-            out.append(held[:most])
+            out.append(held[:most].strip())
             held = held[most - overlap :]
     if held.strip():
         out.append(held.strip())
@@ -34,55 +36,65 @@ def sentence_windows(text: str, most: int, overlap: int) -> list[str]:
 
 
 def merged_short(parts: list[str], budget: int, short: int = SHORT) -> list[str]:
-    """Neighbours joined while they fit; a short part joins in any case."""
-    out: list[str] = []
+    """Neighbours joined by a line feed while they fit; a short part joins the one before it in any case. Empty parts at the beginning go."""
+    out: list[list[str]] = []
+    size = 0
     for p in parts:
-        if out and (len(out[-1]) + len(p) <= budget or len(p) < short or len(out[-1]) < short):
-            out[-1] += p
+        if not size:
+            out, size = [[p]], len(p)
+        elif len(p) < short or size + 1 + len(p) <= budget:
+            out[-1].append(p)
+            size += 1 + len(p)
         else:
-            out.append(p)
-    return out
+            out.append([p])
+            size = len(p)
+    return ["\n".join(x) for x in out] if size else []
 
 
 def merged_short_parts(parts: Column, budget: int, short: int = SHORT) -> Column:
-    """The same of an array, without Python."""
+    """The same of an array, in Arrow batches: a fold of arrays would copy them at every part."""
 
-    def step(done: Column, p: Column) -> Column:
-        last = F.element_at(done, F.lit(-1))
-        joins = (F.length(last) + F.length(p) <= budget) | (F.length(p) < short) | (F.length(last) < short)
-        return F.when(F.size(done) == 0, F.array(p)).when(joins, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat(last, p)))).otherwise(F.concat(done, F.array(p)))
+    @F.pandas_udf("array<string>")
+    def merge(lists: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else merged_short(list(x), budget, short) for x in lists], dtype="object")
 
-    return F.aggregate(parts, F.array().cast("array<string>"), step)
+    return merge(parts)
 
 
-def table_windows(table: str, most: int) -> list[str]:
-    """A long table as windows of rows that repeat its two head lines."""
-    lines = table.split("\n")
-    head, out, held = "\n".join(lines[:2]), [], []
+def table_windows(table: str, most: int, header: str = "") -> list[str]:
+    """A long table as windows of rows, each with ``header``, a blank line and the table's two head lines, which count. A table of its head alone is one window."""
+    lines = table.splitlines()
+    before = header + "\n\n" if header else ""
+    if len(lines) <= 2:
+        return [before + table]
+    head, out, held, size = before + "\n".join(lines[:2]), [], [], 0
     for row in lines[2:]:
-        if held and len(head) + sum(len(x) + 1 for x in held) + len(row) + 1 > most:
+        if held and len(head) + size + 1 + len(row) > most:
             out.append("\n".join([head, *held]))
-            held = []
+            held, size = [], 0
         held.append(row)
-    if held:
-        out.append("\n".join([head, *held]))
-    return out or [table]
+        size += 1 + len(row)
+    return [*out, "\n".join([head, *held])]
 
 
 def structure_chunks(title: str, blocks: list[dict], most: int = CHUNK, overlap: int = STRUCTURE_OVERLAP) -> list[str]:
+    """Every chunk begins with the document's title and the block's section; only what is too long is cut: tables by rows, texts at numbered clauses, then at sentence ends."""
     out = []
     for b in blocks:
         text = (b["text"] or "").strip()
         if b["type"] in ("heading", "header", "footer") or not text:
             continue
-        head = f"[文档] {title}\n" + (f"[章节] {b['section']}\n" if b["section"] else "") + "\n"
+        header = f"[文档] {title}" + (f"\n[章节] {b['section']}" if b["section"] else "")
+        whole = f"{header}\n\n{text}"
         if b["type"] == "table":
-            out += [head + text] if len(head) + len(text) <= 2 * most else [head + t for t in table_windows(text, most)]
-        elif len(head) + len(text) <= most:
-            out.append(head + text)
+            out += [whole] if len(whole) <= 2 * most else table_windows(b["text"], most, header)
+        elif len(whole) <= most:
+            out.append(whole)
         else:
-            for part in merged_short([p for p in _CLAUSE.split(text) if p], most - len(head) - 4):
-                out += [head + part] if len(head) + len(part) <= most else sentence_windows(head + part, most, overlap)
+            parts = [p.strip() for p in _CLAUSE.split(text) if p.strip()]
+            for part in merged_short(parts, most - len(header) - 4):
+                full = f"{header}\n\n{part}"
+                out += [full] if len(full) <= most else sentence_windows(full, most, overlap)
     return out
 
 
@@ -125,7 +137,9 @@ def structured(blocks: DataFrame, key: str = "doc_id", title: str = "title") ->
     def cut(titles: pd.Series, parts: pd.Series) -> pd.Series:
         return pd.Series([structure_chunks(t, list(b)) for t, b in zip(titles, parts)], dtype="object")
 
-    whole = blocks.groupBy(key, title).agg(F.array_sort(F.collect_list(F.struct("block_index", "type", "section", "text"))).alias("blocks"))
+    # Tables given as HTML are cut as Markdown.
+    as_markdown = F.when((F.col("type") == "table") & F.coalesce(G.has_html_table("text"), F.lit(False)), F.coalesce(G.grid_markdown(G.html_grid("text")), F.col("text"))).otherwise(F.col("text"))
+    whole = blocks.withColumn("text", as_markdown).groupBy(key, title).agg(F.array_sort(F.collect_list(F.struct("block_index", "type", "section", "text"))).alias("blocks"))
     rows = whole.select(key, F.posexplode(cut(title, "blocks")).alias("n", "chunk"))
     return rows.select(key, (F.col("n") + 1).alias("chunk_id"), "chunk")
 
@@ -150,14 +164,14 @@ def sentence_chunks(text: Column, most: int = CHUNK, overlap: int = STRUCTURE_OV
     return cut(text)
 
 
-def table_chunks(text: Column, most: int = CHUNK) -> Column:
-    """Row windows of each Markdown table, every one with the table's head."""
+def table_chunks(text: Column, header: Column, most: int = CHUNK) -> Column:
+    """Row windows of each Markdown table, every one with its header and the table's head."""
 
     @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: table_windows(t or "", most))
+    def cut(texts: pd.Series, headers: pd.Series) -> pd.Series:
+        return pd.Series([table_windows(t or "", most, h or "") for t, h in zip(texts, headers)], dtype="object")
 
-    return cut(text)
+    return cut(text, header)
 
 
 def clauses(text) -> Column:

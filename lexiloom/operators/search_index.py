@@ -184,27 +184,32 @@ class SearchIndex:
             raise IndexConflict(f"{left} of {total} documents would stay")
         return self._commit(self.segments, dead, self.attributes), {"total": total, "deleted": total - left}
 
-    def backfill(self, name: str, value) -> tuple[SearchIndex, dict[str, int]]:
-        """Gives an attribute where it is missing; what is there stays. Only segments with gaps are written again; a value still missing is an error."""
-        out, updated = [], 0
+    def backfill(self, name: str, value: Column, where: Column | None = None) -> tuple[SearchIndex, dict[str, int]]:
+        """Gives an attribute where it is missing, among the documents that ``where`` names; what is there stays.
+
+        Only segments with gaps are written again; a value still missing there is an error and nothing is committed.
+        Counters: ``total`` documents asked for, ``updated`` of them.
+        """
+        out, total = [], 0
         for s in self.segments:
             docs = self.spark.read.parquet(s.docs)
             given = docs if name in docs.columns else docs.withColumn(name, F.lit(None).cast("string"))
-            missing = given.where(F.col(name).isNull()).count()
+            gap = F.col(name).isNull() & (F.lit(True) if where is None else F.coalesce(where, F.lit(False)))
+            missing = given.where(gap).count()
             if not missing:
                 out.append(s)
                 continue
             path = self._new("docs", s.id)
-            given.withColumn(name, F.coalesce(F.col(name), value)).write.parquet(path)
-            left = self.spark.read.parquet(path).where(F.col(name).isNull()).count()
+            given.withColumn(name, F.when(gap, value).otherwise(F.col(name))).write.parquet(path)
+            left = self.spark.read.parquet(path).where(gap).count()
             if left:
                 raise IndexConflict(f"{left} documents have no {name}")
-            updated += missing
+            total += missing
             out.append(Segment(s.id, path, s.postings, s.parts))
-        if not updated:
-            return self, {"updated": 0}
+        if not total:
+            return self, {"total": 0, "updated": 0}
         dead = self.spark.read.parquet(self.dead) if self.dead else None
-        return self._commit(out, dead, [*self.attributes, *[name] * (name not in self.attributes)]), {"updated": updated}
+        return self._commit(out, dead, [*self.attributes, *[name] * (name not in self.attributes)]), {"total": total, "updated": total}
 
     def compact(self) -> SearchIndex:
         """One segment of what lives, and no tombstones; earlier commits stay readable."""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions import text as T
 from lexiloom.operators import blocks as Bl
 from lexiloom.operators import state as S
+from lexiloom.operators.search_index import write_index
 from lexiloom.sources import files as Fi
 from lexiloom.sources import tables as Src
 from lexiloom.sources.scratch import new_path
@@ -136,9 +137,17 @@ def src_orm(spark, d):
     return Src.table(spark, d, "orders").select("o_orderkey", F.when(newest == 1, "active").otherwise("superseded").alias("state"))
 
 
-@query("snk_delete_by_query", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@query(
+    "snk_delete_by_query",
+    """WITH n AS (SELECT count(*) AS deleted FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)), d AS (SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL))
+SELECT source AS term, count(*) AS docs, min(doc_id) AS first_id, any_value(n.deleted) AS total, any_value(n.deleted) AS deleted FROM d, n GROUP BY source""",
+)
 def snk_delete_by_query(spark, d):
-    return _docs(spark, d, "doc_id").join(Src.table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
+    """What an index holds of each source after the labelled documents have been deleted from it."""
+    index = write_index(_docs(spark, d, "doc_id", "source"), ["source"])
+    index, n = index.delete(Src.table(spark, d, "labels").where("doc_id IS NOT NULL"))
+    rows = index.postings().groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.min("key").alias("first_id"))
+    return rows.select("*", *[F.lit(n[c]).cast("long").alias(c) for c in ("total", "deleted")])
 
 
 @query(

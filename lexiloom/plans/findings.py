@@ -282,16 +282,22 @@ def set_tables_distinct(spark, d):
     return _nations(spark, d, md=F.concat(F.lit("| k | v |\n| --- | --- |\n| "), (F.col("n_nationkey") % 3).cast("string"), F.lit(" | x |"))).select("md").distinct().agg(F.count(F.lit(1)).alias("tables"))
 
 
+# A document's blocks: orders as tables of a row, every sixth as a paragraph, every ninth as a wider table.
 @query(
     "win_merge_tables",
-    """SELECT n_nationkey AS doc_id, 0 AS block_index, 'table' AS type, 2 AS merged, '| k | v |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | a |' || chr(10) || '| 2 | ' || n_name || ' |' AS text FROM nation
-UNION ALL SELECT n_nationkey, 2, 'paragraph', 1, 'x' FROM nation UNION ALL SELECT n_nationkey, 3, 'table', 1, '| k | v | w |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| 1 | 2 | 3 |' FROM nation""",
+    """WITH o AS (SELECT o_custkey AS doc_id, o_orderkey, (row_number() OVER w - 1)::INT AS block_index, CASE WHEN o_orderkey % 6 = 0 THEN 'paragraph' ELSE 'table' END AS type, CASE WHEN o_orderkey % 6 = 0 THEN 0 WHEN o_orderkey % 9 = 1 THEN 3 ELSE 2 END AS width FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+i AS (SELECT *, sum(CASE WHEN width > 0 AND width = prev THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY block_index) AS island FROM (SELECT *, lag(width) OVER (PARTITION BY doc_id ORDER BY block_index) AS prev FROM o))
+SELECT doc_id, min(block_index) AS block_index, any_value(type) AS type, count(*)::INT AS merged,
+CASE any_value(width) WHEN 0 THEN 'x' WHEN 3 THEN '| k' || min(o_orderkey) || ' | v | w |' || chr(10) || '| --- | --- | --- |' ELSE '| k' || min(o_orderkey) || ' | v |' || chr(10) || '| --- | --- |' END
+|| coalesce(string_agg(CASE width WHEN 3 THEN chr(10) || '| ' || o_orderkey || ' | 2 | 3 |' WHEN 2 THEN chr(10) || '| ' || o_orderkey || ' | b |' END, '' ORDER BY o_orderkey), '') AS text FROM i GROUP BY doc_id, island""",
 )
 def win_merge_tables(spark, d):
-    head = "| k | v |\n| --- | --- |\n"
-    parts = [("table", F.lit(head + "| 1 | a |")), ("table", F.concat(F.lit(head + "| 2 | "), "n_name", F.lit(" |"))), ("paragraph", F.lit("x")), ("table", F.lit("| k | v | w |\n| --- | --- | --- |\n| 1 | 2 | 3 |"))]
-    rows = F.posexplode(F.array(*[F.struct(F.lit(k).alias("type"), t.alias("text")) for k, t in parts])).alias("block_index", "b")
-    return Bl.merged_tables(_nations(spark, d).select(F.col("n_nationkey").alias("doc_id"), rows).select("doc_id", "block_index", "b.type", "b.text"))
+    key = F.col("o_orderkey").cast("string")
+    said = lambda end, rest, tail: F.concat(F.lit("| k"), key, F.lit(f" | v |{end}\n| --- | --- |{rest}\n| "), key, F.lit(tail))
+    kind = F.when(F.col("o_orderkey") % 6 == 0, "paragraph").otherwise("table")
+    text = F.when(kind == "paragraph", "x").when(F.col("o_orderkey") % 9 == 1, said(" w |", " --- |", " | 2 | 3 |")).otherwise(said("", "", " | b |"))
+    at = (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).alias("block_index")
+    return Bl.merged_tables(table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), at, kind.alias("type"), text.alias("text")))
 
 
 @query("tbl_adapter_html_md", "SELECT n_nationkey, '| k | name |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || n_nationkey || ' | ' || n_name || ' |' AS markdown FROM nation")
@@ -470,13 +476,17 @@ def scr_sentence_window(spark, d):
     return _docs(spark, d, "doc_id", F.posexplode(C.sentence_chunks(F.col("text"))).alias("chunk_id", "chunk"))
 
 
+# Each customer's orders as one table, in windows that the customer's name and the table's head are counted in.
 @query(
     "tbl_split_rows",
-    """WITH RECURSIVE r(n_nationkey, i, line) AS (SELECT n_nationkey, i, '| ' || i || ' | ' || n_name || ' |' FROM nation, range(1, 61) t(i)),
-w(n_nationkey, i, n, used) AS (SELECT n_nationkey, 1::BIGINT, 0, length(line) + 1 FROM r WHERE i = 1 UNION ALL
-  SELECT w.n_nationkey, w.i + 1, CASE WHEN 23 + used + length(line) + 1 > 384 THEN n + 1 ELSE n END, CASE WHEN 23 + used + length(line) + 1 > 384 THEN length(line) + 1 ELSE used + length(line) + 1 END FROM w JOIN r ON r.n_nationkey = w.n_nationkey AND r.i = w.i + 1)
-SELECT w.n_nationkey, n, '| k | v |' || chr(10) || '| --- | --- |' || chr(10) || string_agg(line, chr(10) ORDER BY w.i) AS part FROM w JOIN r ON r.n_nationkey = w.n_nationkey AND r.i = w.i GROUP BY w.n_nationkey, n""",
+    """WITH RECURSIVE r AS (SELECT o_custkey, '[文档] ' || c_name AS h, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, '| ' || o_orderkey || ' | ' || o_orderstatus || ' |' AS line FROM orders JOIN customer ON c_custkey = o_custkey),
+w AS (SELECT o_custkey, i, 0 AS n, length(line) + 1 AS used FROM r WHERE i = 1 UNION ALL
+  SELECT w.o_custkey, r.i, CASE WHEN length(h) + 25 + used + length(line) + 1 > 120 THEN n + 1 ELSE n END, CASE WHEN length(h) + 25 + used + length(line) + 1 > 120 THEN length(line) + 1 ELSE used + length(line) + 1 END FROM w JOIN r ON r.o_custkey = w.o_custkey AND r.i = w.i + 1)
+SELECT w.o_custkey, n, any_value(h) || chr(10) || chr(10) || '| k | v |' || chr(10) || '| --- | --- |' || chr(10) || string_agg(line, chr(10) ORDER BY w.i) AS part FROM w JOIN r ON r.o_custkey = w.o_custkey AND r.i = w.i GROUP BY w.o_custkey, n""",
 )
 def tbl_split_rows(spark, d):
-    rows = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat(F.lit("| "), i.cast("string"), F.lit(" | "), F.col("n_name"), F.lit(" |"))), "\n")
-    return _nations(spark, d, t=F.concat(F.lit("| k | v |\n| --- | --- |\n"), rows)).select("n_nationkey", F.posexplode(C.table_chunks(F.col("t"))).alias("n", "part"))
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.concat(F.lit("| "), F.col("o_orderkey").cast("string"), F.lit(" | "), "o_orderstatus", F.lit(" |")).alias("line"))
+    lines = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "line"))).alias("l"))  # a customer's orders, one table
+    named = lines.join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.concat(F.lit("[文档] "), "c_name").alias("h")), "o_custkey")
+    text = F.concat(F.lit("| k | v |\n| --- | --- |\n"), F.array_join("l.line", "\n"))
+    return named.select("o_custkey", F.posexplode(C.table_chunks(text, F.col("h"), 120)).alias("n", "part"))

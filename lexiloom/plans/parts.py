@@ -162,13 +162,18 @@ def tbl_grid_to_md(spark, d):
     return _customer_grid(spark, d).select("c_custkey", G.grid_markdown("g").alias("markdown"))
 
 
+# Parts with and without heads of their own, some with other words, some with rows that say what the first head says.
 @query(
     "tbl_merge",
-    """SELECT c_custkey AS doc_id, '| k | v |' || chr(10) || '| --- | --- |' || string_agg(chr(10) || '| ' || i || ' | ' || c_name || ' |', '' ORDER BY i) AS text FROM customer, range(0, 5) r(i) WHERE i <= c_custkey % 4 GROUP BY c_custkey""",
+    """SELECT c_custkey AS doc_id, '| k | v |' || chr(10) || '| --- | --- |' || string_agg(CASE WHEN i = 2 THEN chr(10) || '| q | r |' ELSE '' END || CASE WHEN c_custkey % 3 = i THEN chr(10) || '| k | v |' ELSE '' END || chr(10) || '| ' || i || ' | ' || c_name || ' |', '' ORDER BY i) AS text
+FROM customer, range(0, 5) r(i) WHERE i <= c_custkey % 4 GROUP BY c_custkey""",
 )
 def tbl_merge(spark, d):
+    i = F.col("block_index")
     parts = table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), "c_name", F.explode(F.sequence(F.lit(0), (F.col("c_custkey") % 4).cast("int"))).alias("block_index"))
-    text = F.concat(F.lit("| k | v |\n| --- | --- |\n| "), F.col("block_index").cast("string"), F.lit(" | "), "c_name", F.lit(" |"))
+    head = F.when(i == 1, "| x | y |\n| --- | --- |\n").when(i == 2, "| q | r |\n").otherwise("| k | v |\n| --- | --- |\n")
+    same = F.when(F.col("doc_id") % 3 == i, "| k | v |\n").otherwise("")
+    text = F.concat(head, same, F.lit("| "), i.cast("string"), F.lit(" | "), "c_name", F.lit(" |"))
     return Bl.merged_tables(parts.select("doc_id", "block_index", F.lit("table").alias("type"), text.alias("text"))).select("doc_id", "text")
 
 

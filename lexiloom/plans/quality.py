@@ -179,8 +179,8 @@ def hsh_prompt(spark, d):
 @query(
     "scr_merge_short",
     """WITH p AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: [x]) AS ps FROM documents),
-m AS (SELECT doc_id, list_reduce(ps, lambda acc, x: CASE WHEN length(acc[-1]) + length(x[1]) <= 200 OR length(x[1]) < 80 OR length(acc[-1]) < 80 THEN list_concat(acc[:-2], [acc[-1] || x[1]]) ELSE list_concat(acc, x) END) AS ms FROM p)
-SELECT doc_id, len(ms)::INT AS n, sha256(array_to_string(ms, '|')) AS parts FROM m""",
+m AS (SELECT doc_id, list_reduce(ps, lambda acc, x: CASE WHEN acc[-1] = '' THEN x WHEN length(x[1]) < 80 OR length(acc[-1]) + 1 + length(x[1]) <= 200 THEN list_concat(acc[:-2], [acc[-1] || chr(10) || x[1]]) ELSE list_concat(acc, x) END) AS ms FROM p)
+SELECT doc_id, CASE WHEN ms = [''] THEN 0 ELSE len(ms) END::INT AS n, sha256(array_to_string(ms, '|')) AS parts FROM m""",
 )
 def scr_merge_short(spark, d):
     merged = C.merged_short_parts(F.split("text", "\n", -1), 200)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
@@ -57,7 +59,7 @@ u AS (SELECT * FROM bl UNION ALL SELECT * FROM kl),
 g AS (SELECT doc_id, sum(1.0::DOUBLE / (61 + r)) AS s, min(l * 1000 + r) AS o FROM u GROUP BY doc_id ORDER BY s DESC, o LIMIT {k})"""
 
 
-_indexes: dict[tuple[str, str], tuple[tuple, SearchIndex]] = {}
+_indexes: dict[tuple, tuple[tuple, object]] = {}
 
 
 def state_of(rows) -> tuple:
@@ -66,16 +68,24 @@ def state_of(rows) -> tuple:
     return tuple(files.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("file_path", "file_modification_time", "file_size"))).first())
 
 
-def search_index(spark, d) -> SearchIndex:
-    """The index of a folder's documents, written once in a session and read by every question; a changed table is indexed again."""
-    rows = table(spark, d, "documents")
-    at, state = (spark.conf.get("spark.app.id", ""), d), state_of(rows)
+def kept_for(spark, d, name: str, source: str, build):
+    """What ``build`` writes from a folder's table: once in a session, and again when the table has changed."""
+    rows = table(spark, d, source)
+    at, state = (spark.conf.get("spark.app.id", ""), d, name), state_of(rows)
     if at not in _indexes or _indexes[at][0] != state:
-        docs = rows.select("doc_id", F.col("source").alias("title"), F.col("text").alias("content"), "lang", "source")
-        _indexes[at] = state, write_index(docs, list(R.BOOSTS), attributes=["lang", "source"])
+        _indexes[at] = state, build(rows)
     return _indexes[at][1]
 
 
+def _searched(docs):
+    return docs.select("doc_id", F.col("source").alias("title"), F.col("text").alias("content"), "lang", "source")
+
+
+def search_index(spark, d) -> SearchIndex:
+    """The index of a folder's documents that every question reads."""
+    return kept_for(spark, d, "documents", "documents", lambda rows: write_index(_searched(rows), list(R.BOOSTS), attributes=["lang", "source"]))
+
+
 _POSTINGS = f"""t AS (SELECT doc_id, 'title' AS field, {words_sql("source")} AS tk FROM documents UNION ALL SELECT doc_id, 'content', {words_sql("text")} FROM documents),
 p AS (SELECT doc_id, field, len(tk) AS n, term, count(*) AS tf FROM (SELECT doc_id, field, tk, unnest(tk) AS term FROM t) GROUP BY ALL)"""
 
@@ -124,6 +134,119 @@ def topk_scope(spark, d):
     return R.scoped(search_index(spark, d), table(spark, d, "embeddings"), TERMS, VECTOR, inside).select("doc_id", F.round("score", 6).alias("score"))
 
 
+# Documents with ideographs: vowels stand as such, so a text mixes both kinds of words.
+_FROM, _TO, _ASKED = "aeiou", "合同条款章", "合同 th 条款 nd"
+
+
+@query("topk_ideographs", f"WITH {bm25_sql(['合', '同', 'th', '条', '款', 'nd'], table=f'(SELECT doc_id, source, translate(text, {_FROM!r}, {_TO!r}) AS text FROM documents)')} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, doc_id LIMIT 20")
+def topk_ideographs(spark, d):
+    index = kept_for(spark, d, "ideographs", "documents", lambda rows: write_index(_searched(rows.withColumn("text", F.translate("text", _FROM, _TO))), list(R.BOOSTS)))
+    return R.ranked(R.bm25(index, R.analyzed(spark, _ASKED), R.BOOSTS), "doc_id", 20).select("doc_id", F.round("score", 6).alias("score"))
+
+
+_BOTH = tuple(R.BOOSTS.items())
+TREES = {
+    "filtered": Q.Bool(must=(Q.Match(("attion", "eux"), _BOTH),), filter=(Q.Term("lang", "en"),), must_not=(Q.Terms("source", ("src1", "src2")),)),
+    "rare value": Q.Bool(must=(Q.Term("lang", "de"), Q.Match(("src7", "der"), _BOTH))),
+    "two of three": Q.Bool(should=(Q.Match(("attion",), _BOTH), Q.Match(("the",), _BOTH), Q.Terms("source", ("src3", "src4"))), minimum_should_match=2),
+    "all but a third": Q.Bool(should=(Q.Match(("eux",), _BOTH), Q.Terms("lang", ("fr",)), Q.Exists("source")), minimum_should_match="-34%"),
+    "none": Q.Bool(must=(Q.MatchNone(),), should=(Q.Match(("the",), _BOTH),)),
+    "nested": Q.Bool(filter=(Q.Bool(should=(Q.Term("lang", "fr"), Q.Bool(must=(Q.Term("lang", "es"), Q.Term("source", "src5"))))),), should=(Q.Match(("eux", "los"), _BOTH),)),
+    "every word": Q.Bool(must=(Q.Match(("is", "the"), (("content", 1.0),), True),), must_not=(Q.Match(("thanedble",), _BOTH),)),
+    "outside": Q.Bool(must_not=(Q.Exists("lang"), Q.Terms("source", ("src0", "src1", "src2", "src3")))),
+}
+
+
+def _hits_sql(words: list[str], name: str) -> str:
+    """Like ``bm25_sql`` on tokens taken once: ``name`` (doc_id, score)."""
+    part = lambda f: f"SELECT doc_id, sum(CASE WHEN tf > 0 THEN ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean)) ELSE 0 END) AS s FROM (SELECT doc_id, len({f}) AS dl, t, len(list_filter({f}, lambda x: x = t)) AS tf, count(*) FILTER (WHERE list_contains({f}, t)) OVER (PARTITION BY t) AS df FROM tk, (SELECT unnest({words!r}) AS t)), (SELECT count(*) AS n, avg(len({f})) AS mean FROM tk) GROUP BY doc_id"
+    return f"{name} AS (SELECT doc_id, greatest(3.0 * a.s, b.s) AS score FROM ({part('title')}) a JOIN ({part('content')}) b USING (doc_id) WHERE greatest(3.0 * a.s, b.s) > 0)"
+
+
+_WEIGHT = "SELECT ln(1 + (count({a}) - count(*) FILTER ({a} = '{v}') + 0.5) / (count(*) FILTER ({a} = '{v}') + 0.5)) FROM documents"
+_de, _fr, _es = (_WEIGHT.format(a="lang", v=v) for v in ("de", "fr", "es"))
+
+
+@query(
+    "qry_bool",
+    f"""WITH tk AS (SELECT doc_id, {words_sql("source")} AS title, {words_sql("text")} AS content FROM documents),
+{_hits_sql(["attion", "eux"], "m1")}, {_hits_sql(["src7", "der"], "m2")}, {_hits_sql(["attion"], "m3")}, {_hits_sql(["the"], "m4")}, {_hits_sql(["eux"], "m5")}, {_hits_sql(["eux", "los"], "m6")}, {_hits_sql(["thanedble"], "m8")},
+m7 AS (SELECT doc_id, sum(CASE WHEN tf > 0 THEN ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean)) ELSE 0 END) AS score, bool_and(tf > 0) AS every FROM (SELECT doc_id, len(content) AS dl, len(list_filter(content, lambda x: x = t)) AS tf, count(*) FILTER (WHERE list_contains(content, t)) OVER (PARTITION BY t) AS df FROM tk, (SELECT unnest(['is', 'the']) AS t)), (SELECT count(*) AS n, avg(len(content)) AS mean FROM tk) GROUP BY doc_id),
+r AS (
+SELECT 'filtered' AS tree, doc_id, score FROM m1 JOIN documents USING (doc_id) WHERE lang = 'en' AND source NOT IN ('src1', 'src2')
+UNION ALL SELECT 'rare value', doc_id, score + ({_de}) FROM m2 JOIN documents USING (doc_id) WHERE lang = 'de'
+UNION ALL SELECT 'two of three', doc_id, coalesce(m3.score, 0) + coalesce(m4.score, 0) + (source IN ('src3', 'src4'))::INT FROM documents LEFT JOIN m3 USING (doc_id) LEFT JOIN m4 USING (doc_id) WHERE (m3.score IS NOT NULL)::INT + (m4.score IS NOT NULL)::INT + (source IN ('src3', 'src4'))::INT >= 2
+UNION ALL SELECT 'all but a third', doc_id, coalesce(m5.score, 0) + (lang = 'fr')::INT + 1 FROM documents LEFT JOIN m5 USING (doc_id) WHERE (m5.score IS NOT NULL)::INT + (lang = 'fr')::INT + (source IS NOT NULL)::INT >= 2
+UNION ALL SELECT 'nested', doc_id, coalesce(m6.score, 0) FROM documents LEFT JOIN m6 USING (doc_id) WHERE lang = 'fr' OR (lang = 'es' AND source = 'src5')
+UNION ALL SELECT 'every word', doc_id, score FROM m7 WHERE every AND doc_id NOT IN (SELECT doc_id FROM m8)
+UNION ALL SELECT 'outside', doc_id, 0 FROM documents WHERE lang IS NULL AND (source IS NULL OR source NOT IN ('src0', 'src1', 'src2', 'src3')))
+SELECT tree, doc_id, round(score, 5) AS score FROM r""",
+)
+def qry_bool(spark, d):
+    index = search_index(spark, d)
+    found = [Q.hits(index, tree).select(F.lit(name).alias("tree"), F.col("key").alias("doc_id"), F.round("score", 5).alias("score")) for name, tree in TREES.items()]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+# Documents in three writes: two thirds, the rest with every fifth again and changed, every seventh deleted.
+_LIVE = "(SELECT doc_id, source, CASE WHEN doc_id % 5 = 0 THEN text || ' thanedble ' || lang ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0)"
+
+
+@query(
+    "snk_index_rewrite",
+    f"""WITH {bm25_sql(TERMS, table=_LIVE)}, n AS (SELECT count(*) FILTER (doc_id % 3 = 0 OR doc_id % 5 = 0) AS written, count(*) FILTER (doc_id % 3 <> 0 AND doc_id % 5 = 0) AS replaced, count(*) FILTER (doc_id % 7 = 0) AS deleted, count(*) FILTER (doc_id % 7 <> 0) AS live FROM documents)
+SELECT doc_id, round(score, 6) AS score, written, replaced, deleted, live FROM bm, n""",
+)
+def snk_index_rewrite(spark, d):
+    docs, i = table(spark, d, "documents"), F.col("doc_id")
+
+    def build(_):
+        index = write_index(_searched(docs.where(i % 3 != 0)), list(R.BOOSTS))
+        changed = F.when(i % 5 == 0, F.concat("text", F.lit(" thanedble "), "lang")).otherwise(F.col("text"))
+        index, n = index.add(_searched(docs.where((i % 3 == 0) | (i % 5 == 0)).withColumn("text", changed)), list(R.BOOSTS))
+        index, gone = index.delete(docs.where(i % 7 == 0))
+        return index, n | gone
+
+    index, n = kept_for(spark, d, "rewritten", "documents", build)
+    scores = R.bm25(index, TERMS, R.BOOSTS).select("doc_id", F.round("score", 6).alias("score"))
+    return scores.select("*", *[F.lit(n[c]).cast("long").alias(c) for c in ("written", "replaced", "deleted")], F.lit(index.docs().count()).cast("long").alias("live"))
+
+
+_QUERY_VECTORS = (7, 77, 177)
+
+
+@query(
+    "topk_knn_scope",
+    f"""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id IN {_QUERY_VECTORS}),
+s AS (SELECT query_id, vec_id, list_cosine_similarity(embedding::DOUBLE[], q) AS score FROM embeddings, q WHERE vec_id % 11 = 3 AND vec_id < 1000)
+SELECT query_id, vec_id, (row_number() OVER (PARTITION BY query_id ORDER BY s.score DESC, vec_id) - 1)::INT AS rank, round(s.score, 5) AS score FROM s QUALIFY rank < 10""",
+)
+def topk_knn_scope(spark, d):
+    """Neighbours among few vectors, by the index: the filter leaves fewer than are verified, so the answer is exact."""
+    index, vectors = _vector_index(spark, d), table(spark, d, "embeddings")
+    inside = vectors.where("vec_id % 11 = 3 AND vec_id < 1000").select(F.col("vec_id").alias("id"))
+    asked = vectors.where(F.col("vec_id").isin(*_QUERY_VECTORS)).select("vec_id", "embedding").collect()  # three rows
+    found = [index.nearest(r.embedding, 10, inside=inside).select(F.lit(r.vec_id).cast("long").alias("query_id"), "vec_id", "rank", F.round("score", 5).alias("score")) for r in asked]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+def _vector_index(spark, d) -> VectorIndex:
+    def build(rows):
+        size = rows.select(F.size("embedding").alias("n")).where("n > 0").groupBy("n").count().orderBy(F.desc("count"), "n").first()
+        return VectorIndex.write(rows, new_path(spark, "vectors"), size.n if size else 1)
+
+    return kept_for(spark, d, "vectors", "embeddings", build)
+
+
+@query("topk_knn_index")
+def topk_knn_index(spark, d):
+    """Neighbours by the index among all vectors; recall is measured in the tests."""
+    index = _vector_index(spark, d)
+    asked = table(spark, d, "embeddings").where(F.col("vec_id").isin(*_QUERY_VECTORS)).select("vec_id", "embedding").collect()
+    found = [index.nearest(r.embedding, 10).select(F.lit(r.vec_id).cast("long").alias("query_id"), "vec_id", "rank", "score") for r in asked]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
 _GRAMS = sorted({QUESTION[i : i + n] for n in (2, 3, 4) for i in range(len(QUESTION) - n + 1) if QUESTION[i : i + n].strip()})
 _IDF = f"""WITH {BLOCKS}, g AS (SELECT unnest({_GRAMS!r}) AS g), n AS (SELECT count(*) AS n FROM blocks),
 df AS (SELECT g, count(*) AS df FROM g, blocks WHERE contains(lower(text), g) GROUP BY g),

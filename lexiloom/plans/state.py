@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexiloom.operators import state as S
+from lexiloom.operators.search_index import write_index
 from lexiloom.sources.tables import table
 
 from .base import query
@@ -202,9 +203,17 @@ def prj_visibility_snapshot(spark, d):
     return alive.groupBy(F.when(F.col("version").isNull(), "legacy").otherwise("versioned").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
 
 
-@query("snk_update_by_query", f"WITH {_CHUNKS} SELECT doc_id, CASE WHEN version IS NOT NULL THEN doc_id || ':' || version END AS visibility_key FROM c")
+@query(
+    "snk_update_by_query",
+    f"""WITH {_CHUNKS} SELECT doc_id, version, CASE WHEN doc_id % 6 = 0 THEN 'held:' || doc_id WHEN version IS NOT NULL THEN doc_id || ':' || version END AS visibility_key,
+(SELECT count(*) FROM c WHERE version IS NOT NULL AND doc_id % 6 <> 0) AS updated FROM c""",
+)
 def snk_update_by_query(spark, d):
-    return _chunks(spark, d).select("doc_id", F.when(F.col("version").isNotNull(), F.concat_ws(":", F.col("doc_id").cast("string"), "version")).alias("visibility_key"))
+    """Keys given in an index to the documents that have a version and no key yet; the counter tells how many."""
+    chunks = _chunks(spark, d).select("doc_id", "version", F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("held:"), F.col("doc_id").cast("string"))).alias("visibility_key"), F.lit("x").alias("title"))
+    index = write_index(chunks, ["title"], attributes=["version", "visibility_key"])
+    index, n = index.backfill("visibility_key", F.concat_ws(":", F.col("key").cast("string"), "version"), F.col("version").isNotNull())
+    return index.docs().select(F.col("key").alias("doc_id"), "version", "visibility_key", F.lit(n["updated"]).cast("long").alias("updated"))
 
 
 @query(

@@ -71,6 +71,10 @@ def test_merged_tables(spark):
     got = Bl.merged_tables(spark.createDataFrame(rows, "doc_id long, block_index int, type string, text string")).orderBy("block_index").collect()
     assert [(r.block_index, r.merged) for r in got] == [(0, 2), (2, 1), (3, 1)]
     assert got[0].text == "| a | b |\n| --- | --- |\n| 1 | 2 |\n| 3 | 2 |"
+    # A row that says what the head says stays; a later head goes, whatever it says, and only above a separator.
+    rows = [(1, 0, "table", "| k | v |\n| --- | --- |\n| k | v |"), (1, 1, "table", "| x | y |\n|---|---|\n| 1 | 2 |"), (1, 2, "table", "| 3 | 4 |\n| 5 | 6 |")]
+    got = Bl.merged_tables(spark.createDataFrame(rows, "doc_id long, block_index int, type string, text string")).collect()
+    assert [(r.merged, r.text) for r in got] == [(3, "| k | v |\n| --- | --- |\n| k | v |\n| 1 | 2 |\n| 3 | 4 |\n| 5 | 6 |")]
 
 
 def test_raw_blocks(spark):
@@ -84,7 +88,15 @@ def test_chunks(spark):
     assert windows[1].startswith(windows[0][-46:])
     table = "| a |\n| - |\n" + "\n".join(f"| {i} |" for i in range(300))
     parts = C.structure_chunks("t", [{"type": "table", "text": table, "section": ""}])
-    assert len(parts) > 1 and all("| a |\n| - |" in p for p in parts)
+    assert len(parts) > 1 and all(p.startswith("[文档] t\n\n| a |\n| - |\n") and len(p) <= 384 for p in parts)
+    assert "\n".join(r for p in parts for r in p.split("\n")[4:]) == table.split("\n", 2)[2]
+    a, b, c = "a" * 100, "b" * 100, "c" * 90
+    assert C.merged_short([a, b, c], 200) == [a, f"{b}\n{c}"]  # 100 and 191 characters
+    assert C.merged_short(["", "", a, "x", b], 201) == [f"{a}\nx", b] and C.merged_short(["", ""], 9) == [] and C.merged_short(["x", a], 50) == ["x", a]
+    merged = C.structure_chunks("t", [{"type": "paragraph", "section": "s", "text": "第一条" + "甲" * 300 + "第二条" + "乙" * 150 + "第三条 丙"}])
+    assert [m.split("\n\n")[1][:3] for m in merged] == ["第一条", "第二条"] and merged[1].endswith("乙\n第三条 丙") and all(m.startswith("[文档] t\n[章节] s\n\n") for m in merged)
+    html = spark.createDataFrame([(1, "t", 0, "table", "", "<table><tr><td>k</td><td>v</td></tr><tr><td>1</td><td>2</td></tr></table>")], "doc_id long, title string, block_index int, type string, section string, text string")
+    assert [r.chunk for r in C.structured(html).collect()] == ["[文档] t\n\n| k | v |\n| --- | --- |\n| 1 | 2 |"]
     assert all(len(c) <= 384 for c in C.recursive_chunks("word " * 1000)) and "".join(C.recursive_chunks("x" * 500, 384, 0)) == "x" * 500
     assert one(spark, T.truncated_for_embedding("t"), "[文档] a\n" + "句。" * 400).endswith("。")
 
