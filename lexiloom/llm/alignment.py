@@ -25,7 +25,6 @@ import json
 import os
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +40,10 @@ CUT = re.compile(r"(?<=[!-~])(?= [!-~])")
 PRODUCT = 1 << 20
 #: Characters of a text that are runs at once.
 STRETCH = 1 << 20
+#: Runs encoded at once.
+TOGETHER = 4000
 #: Known runs kept by a worker.
-RUNS = 300_000
+RUNS = 150_000
 BITS = 20
 
 
@@ -88,6 +89,27 @@ class Pair:
         self.counts: list[np.ndarray] = []
         self.links: list[np.ndarray] = []
         self.weights: list[np.ndarray] = []
+        #: How often each known run has been met; halved whenever runs are forgotten.
+        self.met = np.zeros(0, np.int64)
+
+    def trim(self) -> None:
+        """Forgets all but the runs met most often."""
+        counts, links, weights = self.table()
+        met = np.concatenate([self.met, np.zeros(len(self.said) - len(self.met), np.int64)])
+        keep = np.sort(np.argsort(-met, kind="stable")[: RUNS // 2])
+        at = _spread((np.cumsum(counts[:, 4]) - counts[:, 4])[keep], counts[keep, 4])
+        new = np.full(len(self.said), -1)
+        new[keep] = np.arange(len(keep))
+        numbers = new.tolist()
+        known = {r: numbers[k] for r, k in self.known.items() if k is not None and numbers[k] >= 0}
+        said = [self.said[k] for k in keep.tolist()]
+        self.known, self.said, self.met = known, said, met[keep] // 2
+        self.counts, self.links, self.weights = [counts[keep]], [links[at]], [weights[at]]
+
+    def meet(self, place: np.ndarray, times: np.ndarray) -> None:
+        if len(self.met) < len(self.said):
+            self.met = np.concatenate([self.met, np.zeros(len(self.said) - len(self.met), np.int64)])
+        self.met[place[place >= 0]] += times[place >= 0]
 
     def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of all known runs: token, group and link counts and how many rows of links; the links; their weights."""
@@ -104,30 +126,38 @@ class Pair:
         yield self.cut.split(text[begin:]) if self.cut else [text]
 
     def learn(self, runs: list[str]) -> None:
-        """Encodes and aligns runs."""
-        a_ids = [e.ids for e in self.a.encode_batch_fast(runs, add_special_tokens=False)]
-        b_ids = self.b.encode([r[1:] for r in runs], num_threads=1)
+        """Encodes and aligns runs. Those that end in a visible ASCII character can stand before any other, so they go to the libraries many at once."""
         raw = [r.encode() for r in runs]
-        good = range(len(runs))
-        if not (self._come_back(raw, a_ids, self.a_bytes, self.a_lengths) and self._come_back(raw, b_ids, self.b_bytes, self.b_lengths)):
-            good = [k for k in good if b"".join([self.a_bytes[i] for i in a_ids[k]]) == raw[k] == b"".join([self.b_bytes[i] for i in b_ids[k]])]
-            self.known.update(dict.fromkeys(runs))
-        if good:
-            self._align([runs[k] for k in good], [a_ids[k] for k in good], [b_ids[k] for k in good])
-
-    @staticmethod
-    def _come_back(raw: list[bytes], ids: list[list[int]], of: list[bytes], lengths: np.ndarray) -> bool:
-        """Every run's bytes, looked at together: the whole and where each ends."""
-        flat = np.array(list(chain.from_iterable(ids)), np.int64)
-        ends = np.concatenate([[0], np.cumsum(lengths[flat])])[np.cumsum([len(x) for x in ids])]
-        return bool((ends == np.cumsum([len(x) for x in raw])).all()) and b"".join(map(of.__getitem__, flat.tolist())) == b"".join(raw)
-
-    def _align(self, runs: list[str], a_ids: list[list[int]], b_ids: list[list[int]]) -> None:
-        """Many runs one after another: a run's end is a shared end."""
-        a, b = (np.array(list(chain.from_iterable(x)), np.int64) for x in (a_ids, b_ids))
+        plain = [k for k, r in enumerate(raw) if 33 <= r[-1] <= 126] if self.cut else []
+        for k in range(0, len(plain), TOGETHER):
+            some = plain[k : k + TOGETHER]
+            self._learn([runs[i] for i in some], [raw[i] for i in some])
+        held = set(plain)
+        for k in range(len(runs)):
+            if k not in held:
+                self._learn([runs[k]], [raw[k]])
+
+    def _learn(self, runs: list[str], raw: list[bytes]) -> None:
+        text, joined = "".join(runs), b"".join(raw)
+        a = np.array(self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+        b = np.array(self.b.encode(text[1:]), np.int64)
+        ends = np.cumsum([len(r) for r in raw])
+        if all(b"".join(map(of.__getitem__, ids.tolist())) == joined for ids, of in ((a, self.a_bytes), (b, self.b_bytes))):
+            to = [np.cumsum(lengths[ids]) for ids, lengths in ((a, self.a_lengths), (b, self.b_lengths))]
+            at = [np.searchsorted(t, ends) for t in to]
+            if all((t[i] == ends).all() for t, i in zip(to, at)):
+                self._align(runs, a, b, *(np.diff(i + 1, prepend=0) for i in at))
+                return
+        if len(runs) == 1:
+            self.known[runs[0]] = None
+        else:  # some run's bytes do not come back
+            for r, x in zip(runs, raw):
+                self._learn([r], [x])
+
+    def _align(self, runs: list[str], a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> None:
+        """Many runs one after another: a run's end is a shared end. ``n_a`` and ``n_b``: tokens of each."""
         groups, links, weights, a_group, b_group = aligned(a, b, np.cumsum(self.a_lengths[a]), np.cumsum(self.b_lengths[b]))
         n_groups = int(a_group[-1]) + 1
-        n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (a_ids, b_ids))
         # Each run's groups are consecutive.
         ends = a_group[np.cumsum(n_a) - 1] + 1
         begins = np.concatenate([[0], ends[:-1]])
@@ -219,19 +249,26 @@ def encoded(docs: DataFrame, bytes_path: str, pieces_path: str, text_col: str =
     return rows.mapInArrow(encode, f"batch bigint, _row {row_kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string{extra}, runs array<int>, times array<int>, pairs array<bigint>, docs array<int>, ends array<int>, links array<int>, weights array<bigint>")
 
 
+class _Numbers(dict):
+    """Numbers from 0, in the order of asking."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 def _batch(pair: Pair, row: pa.Array, texts: list[str], number: int, groups: bool) -> Iterator[pa.RecordBatch]:
     if len(pair.known) > RUNS:
-        pair.forget()
-    numbers: dict[str, int] = {}
+        pair.trim()
+    numbers = _Numbers()
 
     def numbered(text: str) -> np.ndarray:
-        parts = [np.fromiter((numbers.setdefault(r, len(numbers)) for r in s), np.int64, len(s)) for s in pair.runs(text)] if text else []
+        parts = [np.array(list(map(numbers.__getitem__, s)), np.int64) for s in pair.runs(text)] if text else []
         return np.concatenate(parts or [np.zeros(0, np.int64)])
 
     def learn(runs: list[str]) -> None:
         new = [r for r in runs if r not in pair.known]
-        for k in range(0, len(new), 20_000):
-            pair.learn(new[k : k + 20_000])
+        pair.learn(new)
 
     of = [numbered(t) for t in texts]
     learn(list(numbers))
@@ -240,10 +277,11 @@ def _batch(pair: Pair, row: pa.Array, texts: list[str], number: int, groups: boo
         if lost[s].any():  # zeros, unless the whole text comes back
             whole = " " + texts[k]
             learn([whole])
-            of[k] = np.array([numbers.setdefault(whole, len(numbers))] if pair.known[whole] is not None else [], np.int64)
+            of[k] = np.array([numbers[whole]] if pair.known[whole] is not None else [], np.int64)
     # Runs that are used, by their numbers among all that are known.
     place = np.array([-1 if pair.known[r] is None else pair.known[r] for r in numbers], np.int64)
     counts, all_links, all_weights = pair.table()
+    pair.meet(place, np.bincount(np.concatenate(of or [place]), minlength=len(place)))
     begin = np.cumsum(counts[:, 4]) - counts[:, 4]
     used = place >= 0
     n_a, n_b, n_groups, n_links, sizes = (np.where(used, counts[place, k], 0) if len(counts) else np.zeros(len(place), np.int64) for k in range(5))
@@ -257,7 +295,8 @@ def _batch(pair: Pair, row: pa.Array, texts: list[str], number: int, groups: boo
     for runs in of:
         mine, n = np.unique(runs, return_counts=True)
         if len(mine):
-            held[np.unique(links[_spread(begins[mine], sizes[mine])])] += 1
+            its = np.sort(links[_spread(begins[mine], sizes[mine])])
+            held[its[np.append(True, its[1:] != its[:-1])]] += 1
         sums.append([int((x[mine] * n).sum()) for x in (n_a, n_b, n_groups, n_links)])
         said = ";".join(map(strings_of.__getitem__, runs.tolist())).encode()
         hashes.append(hashlib.sha256(said).hexdigest() if len(runs) else "")

@@ -59,6 +59,7 @@ def texts():
 
 @pytest.mark.parametrize("stretch", [1 << 20, 20])
 def test_operator(spark, monkeypatch, stretch):
+    """Whatever is cut and forgotten."""
     monkeypatch.setattr(alignment, "STRETCH", stretch)
     rows = [(i, t, 7) for i, t in enumerate(texts())] + [(None, "It's a test.", 8), (3, "It's a test.", 8)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_a int").repartition(3)
@@ -88,3 +89,15 @@ def test_large_groups_by_their_ids(monkeypatch):
     for bound in (1, 3):
         monkeypatch.setattr(alignment, "PRODUCT", bound)
         assert links() == want
+
+
+def test_forgotten_runs_change_nothing(monkeypatch):
+    import pyarrow as pa
+
+    some = [t or "" for t in texts()] * 2
+    pair = alignment.Pair(A_PATH, B_PATH)
+    want = [b.to_pylist() for k in range(0, len(some), 7) for b in alignment._batch(pair, pa.array(range(len(some[k : k + 7]))), some[k : k + 7], k, True)]
+    monkeypatch.setattr(alignment, "RUNS", 30)
+    small = alignment.Pair(A_PATH, B_PATH)
+    assert [b.to_pylist() for k in range(0, len(some), 7) for b in alignment._batch(small, pa.array(range(len(some[k : k + 7]))), some[k : k + 7], k, True)] == want
+    assert len(small.said) < len(pair.said)
