@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import geometry as Geo
 from lexiloom.functions import grids as G
+from lexiloom.functions import table_functions as TF
 from lexiloom.functions import text as T
 from lexiloom.operators import blocks as Bl
 from lexiloom.operators import chunking as C
 from lexiloom.operators import findings as Fd
 from lexiloom.operators import retrieval as Re
+from lexiloom.operators import rule_sets as RS
 from lexiloom.operators import rules as R
 from lexiloom.operators import state as S
 from lexiloom.operators.evaluate import text_score
@@ -66,11 +68,52 @@ def win_dedupe_hits(spark, d):
     return rows.dropDuplicates(["doc_id", "block_index", "matcher", "start", "end", "quote"]).select("doc_id", "block_index", "matcher", "start")
 
 
-@query("join_rule_block", f"WITH {_HITS} SELECT rule_id, count(*) AS blocks FROM parts GROUP BY rule_id")
+# A rule for every long word of the benchmark's items, a table of bounded size, beside the named ones.
+@query(
+    "join_rule_block",
+    f"""WITH {BLOCKS}, k AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{{6,}}')) AS keyword FROM benchmark UNION SELECT unnest(['stupid', 'eux', 'the and'])), low AS (SELECT lower(text) AS text FROM blocks)
+SELECT keyword AS rule_id, count(*) AS blocks FROM k JOIN low ON contains(low.text, keyword) GROUP BY keyword""",
+)
 def join_rule_block(spark, d):
-    rules = spark.createDataFrame([(r["rule_id"], r["keyword"]) for r in RULES], "rule_id string, keyword string")  # rules are few by nature
-    pairs = _blocks(spark, d).join(F.broadcast(rules), F.contains(F.lower("text"), F.col("keyword")))
-    return pairs.groupBy("rule_id").agg(F.count(F.lit(1)).alias("blocks"))
+    words = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{6,})"), 1)).alias("w")).distinct().limit(RS.MAX_RULES + 1).collect()
+    keywords = sorted({r.w for r in words} | {r["keyword"] for r in RULES})
+    hits = RS.rule_hits(_blocks(spark, d), RS.RuleSet([{"rule_id": k, "text_pattern": [k]} for k in keywords]))
+    return hits.groupBy("doc_id", "block_index", "rule_id").agg(F.lit(1)).groupBy("rule_id").agg(F.count(F.lit(1)).alias("blocks"))
+
+
+_SAID = lambda kw: f"((length(low) - length(replace(low, '{kw}', ''))) / {len(kw)})::BIGINT"
+RULE_DOCUMENTS = [
+    {"rule_id": "words", "text_pattern": ["eux", {"pattern": "attion", "kind": "phrase"}, "the and"]},
+    {"rule_id": "below", "section_match": "the|der", "window_blocks": 2, "text_pattern": ["en"]},
+    {"rule_id": "form", "text_pattern": [{"kind": "regex", "pattern": r"token\s*="}], "section_match": "."},
+    {"rule_id": "open", "section_match": "^E"},
+]
+
+
+@query(
+    "scr_match_rule",
+    f"""WITH {BLOCKS}, h AS (SELECT *, lower(text) AS low, block_index - last_value(CASE WHEN type = 'heading' THEN block_index END IGNORE NULLS) OVER w AS far, coalesce(last_value(CASE WHEN type = 'heading' THEN text END IGNORE NULLS) OVER w, '') AS head FROM blocks WINDOW w AS (PARTITION BY doc_id ORDER BY block_index)),
+f AS (SELECT doc_id, 'words' AS rule_id, {_SAID('eux')} + {_SAID('attion')} + {_SAID('the and')} AS n FROM h UNION ALL
+SELECT doc_id, 'below', {_SAID('en')} FROM h WHERE far <= 2 AND regexp_matches(head, '(?i)the|der') UNION ALL
+SELECT doc_id, 'form', len(regexp_extract_all(text, '(?i)token\s*='))::BIGINT FROM h WHERE far = 0 AND head <> '' UNION ALL
+SELECT doc_id, 'open', 0 FROM h WHERE far = 0 AND regexp_matches(head, '(?i)^e'))
+SELECT doc_id, rule_id, CASE WHEN rule_id = 'open' THEN 'indeterminate' ELSE 'matched' END AS status, sum(n)::BIGINT AS hits FROM f GROUP BY ALL HAVING sum(n) > 0 OR rule_id = 'open'""",
+)
+def scr_match_rule(spark, d):
+    return RS.rule_statuses(RS.rule_hits(_blocks(spark, d), RS.RuleSet(RULE_DOCUMENTS))).drop("first")
+
+
+@query(
+    "sql_rule_hits",
+    f"""WITH {BLOCKS}, low AS (SELECT doc_id, block_index, lower(text) AS low FROM blocks)
+SELECT doc_id, count(*) FILTER (n > 0) AS blocks, sum(n)::BIGINT AS hits FROM (SELECT doc_id, {_SAID('eux')} + {_SAID('attion')} AS n FROM low) GROUP BY doc_id HAVING sum(n) > 0""",
+)
+def sql_rule_hits(spark, d):
+    """The rules as a table function of SQL."""
+    TF.register(spark)
+    _blocks(spark, d).select("doc_id", "block_index", "type", "text").createOrReplaceTempView("lexiloom_blocks")
+    rules = """[{"rule_id": "r", "text_pattern": ["eux", "attion"]}]"""
+    return spark.sql(f"SELECT doc_id, count(DISTINCT block_index) AS blocks, count(*) AS hits FROM rule_hits(TABLE(lexiloom_blocks) PARTITION BY doc_id ORDER BY block_index, '{rules}') GROUP BY doc_id")
 
 
 @query("snk_report_md", f"""WITH {_HITS}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block_index, rule_id) AS n FROM capped)

@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexiloom.operators import state as S
+from lexiloom.operators.asof import asof
 from lexiloom.operators.search_index import write_index
 from lexiloom.sources.tables import table
+from lexiloom.streaming import jobs as J
 
 from .base import query
 
@@ -16,15 +18,35 @@ def _events(spark, d):
     return table(spark, d, "events")
 
 
+# Each user's events as a job's log; in every fourth the state says how the job ended, whether its log does or not.
+_LOG = """e AS (SELECT user_id AS job_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, CASE WHEN event_id % 40 = 0 THEN 'error' WHEN event_id % 50 = 1 THEN 'complete' ELSE event_type END AS event FROM events),
+t AS (SELECT *, min(seq) FILTER (event IN ('complete', 'error')) OVER (PARTITION BY job_id) AS stop FROM e)"""
+
+
 @query(
     "stm_job_events",
-    """WITH e AS (SELECT *, coalesce(max((event_type = (SELECT min(event_type) FROM events))::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS t FROM events)
-SELECT event_id, user_id, event_type FROM e WHERE t = 0""",
+    f"""WITH {_LOG} SELECT job_id, seq, event, FALSE AS synthetic FROM t WHERE stop IS NULL OR seq <= stop
+UNION ALL SELECT job_id, max(seq) + 1, CASE WHEN job_id % 8 = 0 THEN 'error' ELSE 'complete' END, TRUE FROM t WHERE stop IS NULL AND job_id % 4 = 0 GROUP BY job_id""",
 )
 def stm_job_events(spark, d):
     ev = _events(spark, d)
-    ev = ev.crossJoin(F.broadcast(ev.agg(F.min("event_type").alias("last_type"))))
-    return S.until_terminal(ev, "user_id", ["ts", "event_id"], F.col("event_type") == F.col("last_type")).select("event_id", "user_id", "event_type")
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
+    event = F.when(F.col("event_id") % 40 == 0, "error").when(F.col("event_id") % 50 == 1, "complete").otherwise(F.col("event_type"))
+    log = ev.select(F.col("user_id").alias("job_id"), seq.alias("seq"), event.alias("event"), F.col("props").cast("string").alias("data"), F.lit(None).cast("string").alias("status"), F.col("ts").cast("timestamp").alias("at"))
+    state = F.when(F.col("job_id") % 8 == 0, "failed").when(F.col("job_id") % 4 == 0, "complete_degraded").otherwise("running")
+    ended = log.groupBy("job_id").agg(F.max("at").alias("at")).select("job_id", F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("event"), F.lit(None).cast("string").alias("data"), state.alias("status"), "at")
+    return J.tail(log.unionByName(ended)).select("job_id", "seq", "event", "synthetic")
+
+
+@query(
+    "join_asof",
+    """WITH m AS (SELECT user_id, ts, max(event_id) AS mark_id FROM events WHERE event_type = 'purchase' GROUP BY ALL)
+SELECT e.event_id, m.mark_id FROM (SELECT * FROM events WHERE event_type <> 'purchase') e ASOF LEFT JOIN m ON e.user_id = m.user_id AND e.ts >= m.ts""",
+)
+def join_asof(spark, d):
+    ev = _events(spark, d).select("event_id", "user_id", "ts", "event_type")
+    marks = ev.where("event_type = 'purchase'").select("user_id", "ts", "event_id")
+    return asof(ev.where("event_type <> 'purchase'"), marks, "user_id", "ts").select("event_id", F.col("mark.event_id").alias("mark_id"))
 
 
 @query(
