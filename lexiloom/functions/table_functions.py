@@ -3,7 +3,7 @@
 ``register(spark)`` makes them known::
 
     SELECT d.doc_id, c.* FROM docs d, LATERAL chunk_text(d.text, 384, 46) c
-    SELECT * FROM rule_hits(TABLE(blocks) PARTITION BY doc_id ORDER BY block_index, '[{"rule_id": "r", "text_pattern": ["x"]}]')
+    SELECT * FROM rule_hits(TABLE(blocks), '[{"rule_id": "r", "text_pattern": ["x"]}]')
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ class ChunkText:
 class RuleHits:
     """Hits of JSON rules over a table of doc_id, block_index, type, text and, if there, section_path.
 
-    It asks for its own partitioning and order where the query gives none, and keeps a document's nearest heading alone.
+    It asks for its own partitioning and order, so the query gives none, and keeps a document's nearest heading alone.
     """
 
     def __init__(self):

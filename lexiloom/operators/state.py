@@ -177,11 +177,18 @@ def merged_maps(base, over) -> Column:
 
 
 def decoded_events(streams: DataFrame, key: str, text_col: str) -> DataFrame:
-    """Events of a server-sent text: blocks between blank lines, the incomplete last one left out, nothing after a terminal event."""
-    blocks = F.split(text_col, "\n\n", -1)
+    """Events of a server-sent text: blocks between blank lines, the incomplete last one left out, nothing after a terminal event.
+
+    ``data`` is JSON: a block's data lines, joined by line feeds, where they parse, else ``{"message": ...}`` of them. Blocks without data tell nothing.
+    """
+    blocks = F.split(F.regexp_replace(text_col, "\r\n?", "\n"), "\n\n", -1)
     rows = streams.select(key, F.posexplode(F.slice(blocks, 1, F.size(blocks) - 1)).alias("n", "block"))
-    event = F.coalesce(F.nullif(F.trim(F.regexp_extract("block", r"(?m)^event:(.*)$", 1)), F.lit("")), F.lit("message"))
-    rows = rows.select(key, "n", event.alias("event"), F.trim(F.regexp_extract("block", r"(?m)^data:(.*)$", 1)).alias("data"))
+    lines = F.split("block", "\n", -1)
+    field = lambda name: F.transform(F.filter(lines, lambda x: x.startswith(f"{name}:")), lambda x: F.trim(F.substring(x, len(name) + 2, F.length(x))))
+    event = F.coalesce(F.nullif(F.try_element_at(field("event"), F.lit(-1)), F.lit("")), F.lit("message"))
+    said = F.array_join(field("data"), "\n")
+    parsed = F.try_parse_json(said).isNotNull() & (F.trim(said) != "")
+    rows = rows.where(F.size(field("data")) > 0).select(key, "n", event.alias("event"), F.when(parsed, said).otherwise(F.to_json(F.struct(said.alias("message")))).alias("data"))
     return until_terminal(rows, key, ["n"], F.col("event").isin("done", "error"))
 
 

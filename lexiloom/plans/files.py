@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.functions import text as T
 from lexiloom.operators import blocks as Bl
+from lexiloom.operators import lifecycles as L
 from lexiloom.operators import state as S
 from lexiloom.operators.search_index import write_index
 from lexiloom.sources import files as Fi
@@ -131,10 +132,21 @@ def src_json_migrate(spark, d):
     return added.groupBy("collection").agg(F.count(F.lit(1)).alias("importable"))
 
 
-@query("src_orm", "SELECT o_orderkey, CASE WHEN row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1 THEN 'active' ELSE 'superseded' END AS state FROM orders")
+# Customers hold their orders, orders their items: records written once by request, lists that replace each other, parents that take their children along.
+@query(
+    "src_orm",
+    """WITH m AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus END AS request, o_orderdate FROM orders),
+i AS (SELECT o_orderkey, CASE WHEN request IS NULL THEN o_orderkey ELSE first_value(o_orderkey) OVER w END AS stored_id, request IS NULL OR row_number() OVER w = 1 AS inserted FROM m WINDOW w AS (PARTITION BY o_custkey, request ORDER BY o_orderdate, o_orderkey)),
+s AS (SELECT o_orderkey, CASE WHEN o_orderdate = max(o_orderdate) OVER (PARTITION BY o_custkey) THEN 'active' ELSE 'superseded' END AS status FROM orders)
+SELECT o_orderkey, stored_id, inserted, status, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS items FROM i JOIN s USING (o_orderkey) WHERE o_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey % 7 <> 0)""",
+)
 def src_orm(spark, d):
-    newest = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")))
-    return Src.table(spark, d, "orders").select("o_orderkey", F.when(newest == 1, "active").otherwise("superseded").alias("state"))
+    orders = Src.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderstatus")).alias("request"))
+    kept = L.superseded(L.inserted_once(orders, ["o_custkey", "request"], ["o_orderdate", "o_orderkey"], "o_orderkey"), "o_custkey", "o_orderdate")
+    gone = Src.table(spark, d, "customer").where("c_custkey % 7 = 0").select("c_custkey")
+    left = L.cascaded(gone, {"orders": (kept, "o_custkey", "o_orderkey"), "items": (Src.table(spark, d, "lineitem").select("l_orderkey"), "l_orderkey", None)})
+    items = left["items"].groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("items"))
+    return left["orders"].join(items, "o_orderkey", "left").select("o_orderkey", "stored_id", "inserted", "status", F.coalesce("items", F.lit(0)).cast("long").alias("items"))
 
 
 @query(

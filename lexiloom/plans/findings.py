@@ -13,6 +13,7 @@ from lexiloom.functions import text as T
 from lexiloom.operators import blocks as Bl
 from lexiloom.operators import chunking as C
 from lexiloom.operators import findings as Fd
+from lexiloom.operators import lifecycles as Li
 from lexiloom.operators import retrieval as Re
 from lexiloom.operators import rule_sets as RS
 from lexiloom.operators import rules as R
@@ -95,7 +96,7 @@ RULE_DOCUMENTS = [
     f"""WITH {BLOCKS}, h AS (SELECT *, lower(text) AS low, block_index - last_value(CASE WHEN type = 'heading' THEN block_index END IGNORE NULLS) OVER w AS far, coalesce(last_value(CASE WHEN type = 'heading' THEN text END IGNORE NULLS) OVER w, '') AS head FROM blocks WINDOW w AS (PARTITION BY doc_id ORDER BY block_index)),
 f AS (SELECT doc_id, 'words' AS rule_id, {_SAID('eux')} + {_SAID('attion')} + {_SAID('the and')} AS n FROM h UNION ALL
 SELECT doc_id, 'below', {_SAID('en')} FROM h WHERE far <= 2 AND regexp_matches(head, '(?i)the|der') UNION ALL
-SELECT doc_id, 'form', len(regexp_extract_all(text, '(?i)token\s*='))::BIGINT FROM h WHERE far = 0 AND head <> '' UNION ALL
+SELECT doc_id, 'form', len(regexp_extract_all(text, '(?i)token[[:space:]]*='))::BIGINT FROM h WHERE far = 0 AND head <> '' UNION ALL
 SELECT doc_id, 'open', 0 FROM h WHERE far = 0 AND regexp_matches(head, '(?i)^e'))
 SELECT doc_id, rule_id, CASE WHEN rule_id = 'open' THEN 'indeterminate' ELSE 'matched' END AS status, sum(n)::BIGINT AS hits FROM f GROUP BY ALL HAVING sum(n) > 0 OR rule_id = 'open'""",
 )
@@ -113,7 +114,7 @@ def sql_rule_hits(spark, d):
     TF.register(spark)
     _blocks(spark, d).select("doc_id", "block_index", "type", "text").createOrReplaceTempView("lexiloom_blocks")
     rules = """[{"rule_id": "r", "text_pattern": ["eux", "attion"]}]"""
-    return spark.sql(f"SELECT doc_id, count(DISTINCT block_index) AS blocks, count(*) AS hits FROM rule_hits(TABLE(lexiloom_blocks) PARTITION BY doc_id ORDER BY block_index, '{rules}') GROUP BY doc_id")
+    return spark.sql(f"SELECT doc_id, count(DISTINCT block_index) AS blocks, count(*) AS hits FROM rule_hits(TABLE(lexiloom_blocks), '{rules}') GROUP BY doc_id")
 
 
 @query("snk_report_md", f"""WITH {_HITS}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block_index, rule_id) AS n FROM capped)
@@ -456,20 +457,34 @@ def geo_ui_rects(spark, d):
     return rows.select("n_nationkey", F.size("r").alias("rects"), F.get("r", F.lit(0))["x0"].alias("x0"), F.get("r", F.lit(0))["page"].alias("page"))
 
 
+# A user's events as requests for answers, three ids by turns: some are streamed, some whole, some cut off, some fail.
 @query(
     "stm_qa_tokens",
-    """WITH o AS (SELECT user_id, list(event_type ORDER BY ts, event_id) AS e FROM events GROUP BY user_id)
-SELECT user_id, len(list_filter(e, lambda x: x IN ('purchase', 'error')))::INT AS terminals, len(list_filter(e, lambda x: x IN ('purchase', 'error'))) = 1 AND e[-1] IN ('purchase', 'error') AS valid FROM o""",
+    """WITH r AS (SELECT user_id, event_id, event_id % 3 AS request, CASE event_type WHEN 'click' THEN 'error' WHEN 'signup' THEN NULL ELSE 'done' END AS outcome, CASE WHEN event_type IN ('view', 'signup') THEN ['a', 'b' || event_id] ELSE [] END AS tokens, 'x' || event_id AS answer FROM events),
+w AS (SELECT *, min(event_id) FILTER (WHERE outcome IS NOT NULL) OVER (PARTITION BY user_id, request ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r),
+e AS (SELECT w.user_id, w.request, w.event_id, before IS NOT NULL AS replayed, CASE WHEN before IS NOT NULL THEN [{'e': 'meta', 'd': NULL}, {'e': f.outcome, 'd': CASE WHEN f.outcome = 'done' THEN f.answer END}]
+  ELSE [{'e': 'meta', 'd': NULL}, {'e': 'status', 'd': 'retrieving'}] || CASE WHEN w.outcome = 'error' THEN [] ELSE [{'e': 'status', 'd': 'generating'}] END || CASE WHEN len(w.tokens) > 0 THEN list_transform(w.tokens, lambda t: {'e': 'token', 'd': t}) WHEN w.outcome = 'done' THEN [{'e': 'token', 'd': w.answer}] ELSE [] END
+    || CASE WHEN w.outcome IS NULL THEN [] ELSE [{'e': w.outcome, 'd': CASE WHEN w.outcome = 'done' THEN w.answer END}] END END AS es FROM w LEFT JOIN r f ON f.event_id = w.before)
+SELECT user_id, request, event_id, replayed, (i - 1)::INT AS n, es[i].e AS event, es[i].d AS data FROM (SELECT *, unnest(range(1, len(es) + 1)) AS i FROM e)""",
 )
 def stm_qa_tokens(spark, d):
-    rows = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type")))["event_type"].alias("e"))
-    ends = F.size(F.filter("e", lambda x: x.isin("purchase", "error")))
-    return rows.select("user_id", ends.alias("terminals"), ((ends == 1) & F.element_at("e", -1).isin("purchase", "error")).alias("valid"))
+    kind, i = F.col("event_type"), F.col("event_id").cast("string")
+    outcome = F.when(kind == "click", "error").when(kind != "signup", "done")
+    tokens = F.when(kind.isin("view", "signup"), F.array(F.lit("a"), F.lit(""), F.concat(F.lit("b"), i))).otherwise(F.array().cast("array<string>"))
+    asked = table(spark, d, "events").select("user_id", (F.col("event_id") % 3).alias("request"), "event_id", outcome.alias("outcome"), tokens.alias("tokens"), F.concat(F.lit("x"), i).alias("answer"))
+    return Li.answer_events(asked, "user_id", "request", ["event_id"])
 
 
-@query("stm_status_ticker", "SELECT event_id, least(79, 70 + floor(value / 10))::INT AS progress FROM events")
+# What runs from one event of a user to the next ticks.
+@query(
+    "stm_status_ticker",
+    """WITH s AS (SELECT event_id, epoch(ts)::BIGINT AS a, lead(epoch(ts)::BIGINT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events)
+SELECT event_id, t::INT AS tick, (70 + t)::INT AS progress FROM s, range(1, 10) r(t) WHERE t <= floor((b - a) / 10.0)""",
+)
 def stm_status_ticker(spark, d):
-    return table(spark, d, "events").select("event_id", F.least(F.lit(79), 70 + F.floor(F.col("value") / 10)).cast("int").alias("progress"))
+    second = F.round(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000.0).cast("long")
+    rows = table(spark, d, "events").select("event_id", second.alias("a"), F.lead(second).over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("b"))
+    return Li.ticks(rows, F.col("a"), F.col("b")).select("event_id", "tick", "progress")
 
 
 @query("stm_retry_child", "SELECT user_id || '-retry' AS job_id, count(*) AS documents FROM events WHERE event_type = 'error' GROUP BY user_id")
@@ -478,19 +493,31 @@ def stm_retry_child(spark, d):
     return failed.groupBy(F.concat(F.col("user_id").cast("string"), F.lit("-retry")).alias("job_id")).agg(F.count(F.lit(1)).alias("documents"))
 
 
-@query("stm_hitl_fsm", "SELECT user_id, CASE max_by(event_type, (ts, event_id)) WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'cancelled' ELSE 'waiting_confirmation' END AS state FROM events GROUP BY user_id")
+@query(
+    "stm_hitl_fsm",
+    """WITH a AS (SELECT user_id, event_id, CASE event_type WHEN 'view' THEN 'start' WHEN 'purchase' THEN 'confirm' WHEN 'error' THEN 'reject' WHEN 'click' THEN 'skip' END AS a FROM events WHERE event_type <> 'signup'),
+n AS (SELECT *, count(*) FILTER (WHERE a = 'start') OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS decision FROM a),
+s AS (SELECT *, CASE WHEN a = 'start' THEN 'waiting_confirmation' WHEN decision = 0 THEN 'unknown' WHEN a = 'confirm' THEN 'completed' ELSE 'cancelled' END AS status FROM n)
+SELECT user_id, event_id, decision, CASE WHEN a = 'start' THEN 'decision.started' WHEN decision = 0 THEN 'error' ELSE 'decision.resumed' END AS audit, status, CASE WHEN decision > 0 THEN last_value(status) OVER (PARTITION BY user_id, decision ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END AS final FROM s""",
+)
 def stm_hitl_fsm(spark, d):
-    last = table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("e"))
-    return last.select("user_id", F.when(F.col("e") == "purchase", "completed").when(F.col("e") == "error", "cancelled").otherwise("waiting_confirmation").alias("state"))
+    """Audit rows of decisions, each with the state that its decision came to."""
+    action = F.create_map(*[F.lit(x) for pair in (("view", "start"), ("purchase", "confirm"), ("error", "reject"), ("click", "skip")) for x in pair])[F.col("event_type")]
+    states, audit = Li.decisions(table(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", ["event_id"], action)
+    return audit.join(states.withColumnRenamed("status", "final"), ["user_id", "decision"], "left")
 
 
+# A stream for each event: JSON or not, several data lines, none, carriage returns, a terminal event or an open end.
 @query(
     "stm_sse_decode",
-    """SELECT n_nationkey, 0 AS n, 'token' AS event, '{"t": "' || n_name || '"}' AS data FROM nation UNION ALL SELECT n_nationkey, 1, 'message', 'plain' FROM nation UNION ALL SELECT n_nationkey, 2, 'done', '{}' FROM nation""",
+    """WITH b AS (SELECT event_id, 0 AS n, 'token' AS event, '{"t": ' || event_id || '}' AS data FROM events UNION ALL SELECT event_id, 1, 'message', '{"message":"' || event_type || '"}' FROM events
+UNION ALL SELECT event_id, 2, 'token', '{"message":"two\\nlines"}' FROM events UNION ALL SELECT event_id, 4, 'status', '[1,' || chr(10) || '2]' FROM events UNION ALL SELECT event_id, 5, CASE WHEN event_id % 2 = 0 THEN 'done' ELSE 'token' END, '{}' FROM events UNION ALL SELECT event_id, 6, 'token', '{"message":"late"}' FROM events WHERE event_id % 2 <> 0)
+SELECT * FROM b""",
 )
 def stm_sse_decode(spark, d):
-    text = F.concat(F.lit('event: token\ndata: {"t": "'), "n_name", F.lit('"}\n\ndata: plain\n\nevent: done\ndata: {}\n\nevent: token\ndata: late\n\nevent: tok'))
-    return S.decoded_events(_nations(spark, d, t=text), "n_nationkey", "t")
+    i, kind = F.col("event_id"), F.when(F.col("event_id") % 2 == 0, "done").otherwise("token")
+    text = F.concat(F.lit('event: token\r\ndata: {"t": '), i.cast("string"), F.lit("}\r\n\r\ndata: "), "event_type", F.lit("\n\nevent:token\ndata: two\ndata: lines\n\nevent: ping\n\nevent: status\ndata: [1,\ndata: 2]\n\nevent: "), kind, F.lit("\ndata: {}\n\nevent: token\ndata: late\n\nevent: tok"))
+    return S.decoded_events(table(spark, d, "events").select("event_id", text.alias("t")), "event_id", "t")
 
 
 @query("flt_audit", "SELECT event_id FROM events WHERE user_id = 3 OR props->>'$.k' = '3' ORDER BY ts, event_id LIMIT 20 OFFSET 20")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lexiloom.operators import lifecycles as L
 from lexiloom.operators import state as S
 from lexiloom.operators.asof import asof
 from lexiloom.operators.search_index import write_index
@@ -158,10 +159,15 @@ def stm_progress(spark, d):
     return rows.select("event_id", S.progress_of(kind, F.col("n") - 4, F.col("c") - 4).alias("progress"))
 
 
-@query("stm_drift_scan", "SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN 'queued' ELSE event_type END AS state, event_type IN ('view', 'click') AS drifted FROM events")
+@query(
+    "stm_drift_scan",
+    """SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN 'queued' ELSE event_type END AS state, event_type IN ('view', 'click') AS requeued,
+array_to_string(CASE WHEN event_id % 3 = 0 THEN ['{"code":"old"}'] ELSE [] END || CASE WHEN event_type IN ('view', 'click') THEN ['{"code":"startup_recovered","message":"running job recovered to queued","retryable":true}'] ELSE [] END, ',') AS errors FROM events""",
+)
 def stm_drift_scan(spark, d):
-    drifted = F.col("event_type").isin("view", "click")
-    return _events(spark, d).select("event_id", F.when(drifted, "queued").otherwise(F.col("event_type")).alias("state"), drifted.alias("drifted"))
+    running = F.when(F.col("event_type") == "view", "parsing").when(F.col("event_type") == "click", "running").otherwise(F.col("event_type"))
+    jobs = _events(spark, d).select("event_id", running.alias("state"), F.when(F.col("event_id") % 3 == 0, F.array(F.lit('{"code":"old"}'))).alias("errors"))
+    return L.recovered(jobs, "state", "errors").select("event_id", "state", "requeued", F.coalesce(F.array_join("errors", ","), F.lit("")).alias("errors"))
 
 
 @query(
@@ -264,13 +270,15 @@ def win_journal_merge(spark, d):
 
 @query(
     "stm_deletion_fsm",
-    """WITH p AS (SELECT user_id AS doc_id, max_by(CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 2 END, (ts, event_id)) AS phase FROM events WHERE user_id % 3 = 0 GROUP BY user_id)
-SELECT doc_id, ['pending_filesystem', 'pending_index', 'complete'][phase + 1] AS phase, phase < 2 AS pending FROM p""",
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, CASE WHEN event_type = 'view' THEN 0 WHEN event_type = 'click' THEN 1 WHEN event_type = 'error' THEN 2 WHEN event_type = 'purchase' THEN 3 ELSE 9 END AS place FROM events),
+r AS (SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, -1 AS made, '' AS verdict FROM e GROUP BY user_id UNION ALL
+  SELECT e.user_id, e.n, e.event_id, CASE WHEN place = made + 1 THEN place ELSE made END, CASE WHEN place = 9 THEN 'unknown' WHEN made < 0 AND place > 0 THEN 'missing' WHEN place <= made THEN 'again' WHEN place > made + 1 THEN 'refused' ELSE 'moved' END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+SELECT event_id, verdict, ['pending_filesystem', 'pending_index', 'pending_es', 'complete'][made + 1] AS phase FROM r WHERE n > 0""",
 )
 def stm_deletion_fsm(spark, d):
-    phase = F.when(F.col("event_type") == "view", "pending_filesystem").when(F.col("event_type") == "click", "pending_index").otherwise("complete")
-    rows = _events(spark, d).where("user_id % 3 = 0").select(F.col("user_id").alias("doc_id"), phase.alias("phase"), "ts", "event_id")
-    return S.latest(rows, ["doc_id"], "ts", "event_id").select("doc_id", "phase", (F.col("phase") != "complete").alias("pending"))
+    step = F.coalesce(F.create_map(*[F.lit(x) for pair in (("view", "requested"), ("click", "directory_removed"), ("error", "row_removed"), ("purchase", "index_removed")) for x in pair])[F.col("event_type")], F.lit("other"))
+    out = L.deletions(_events(spark, d).select("user_id", "event_id", step.alias("step")), "user_id", "event_id", "step")
+    return out.select(F.col("seq").alias("event_id"), "verdict", "phase")
 
 
 @query("flt_docs_list", "SELECT doc_id, source, count(*) OVER () AS total FROM documents WHERE lang IN ('en', 'de') AND contains(lower(source), 'src1') ORDER BY doc_id LIMIT 50 OFFSET 50")
