@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexiloom.functions import geometry as G
 from lexiloom.functions import text as T
 from lexiloom.operators import anchors as A
-from lexiloom.sources.tables import line_blocks, table
+from lexiloom.sources.tables import line_blocks, named, table
 
 from .base import BLOCKS, query
 
@@ -136,9 +136,9 @@ def geo_norm_anchor(spark, d):
     return table(spark, d, "documents").select("doc_id", a.alias("a")).select("doc_id", "a.kind", "a.precision", "a.status", "a.page", "a.start", "a.end")
 
 
-@query("geo_block_choice", "SELECT n_nationkey, [2, 1, 2, 0][n_nationkey % 4 + 1]::BIGINT AS block FROM nation")
+@query("geo_block_choice", "SELECT n_nationkey, [2, 1, 2, 0][n_nationkey % 4 + 1]::BIGINT AS block FROM named")
 def geo_block_choice(spark, d):
     k = F.col("n_nationkey") % 4
     blocks = F.array(*[F.struct(F.lit(b).alias("block_id"), t.alias("text")) for b, t in (("a", F.lit("one")), ("b", F.lit("two")), ("c", F.concat(F.lit("on "), "n_name")))])
     quote, index, block_id = F.when(k == 3, "absent").otherwise(F.col("n_name")), F.when(k == 0, 2).otherwise(-1), F.when(k == 1, "b").otherwise("")
-    return table(spark, d, "nation").select("n_nationkey", A.chosen_block(blocks, quote, index, block_id).alias("block"))
+    return named(spark, d).select("n_nationkey", A.chosen_block(blocks, quote, index, block_id).alias("block"))

@@ -12,11 +12,15 @@ BLOCKS = """blocks AS (
 )"""
 
 
+#: ``named``: documents under short names, their first words (columns n_nationkey, n_regionkey, n_name), for the SQL twins.
+NAMED = "(SELECT doc_id AS n_nationkey, doc_id % 40 AS n_regionkey, regexp_extract(text, '[A-Za-z]+') AS n_name FROM documents) named"
+
+
 def query(name: str, sql: str | None = None):
     def keep(f):
         QUERIES[name] = f
         if sql:
-            SQL[name] = sql
+            SQL[name] = sql.replace("FROM named", f"FROM {NAMED}")
         return f
 
     return keep

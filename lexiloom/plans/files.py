@@ -74,13 +74,13 @@ def src_mineru_payload(spark, d):
 
 @query(
     "src_md_blocks_strict",
-    """WITH m AS (SELECT n_nationkey AS doc_id, n_name FROM nation)
+    """WITH m AS (SELECT n_nationkey AS doc_id, n_name FROM named)
 SELECT doc_id, 0 AS line, 'heading' AS type, 1 AS level, n_name AS text FROM m UNION ALL SELECT doc_id, 1, 'paragraph', NULL, 'one two' FROM m UNION ALL
 SELECT doc_id, 4, 'table', NULL, '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || 'end | x' FROM m UNION ALL SELECT doc_id, 8, 'paragraph', NULL, '| not | table |' FROM m""",
 )
 def src_md_blocks_strict(spark, d):
     text = F.concat(F.lit("# "), "n_name", F.lit("\none\ntwo\n\n| a | b |\n| --- | --- |\nend | x\n\n| not | table |"))
-    return Bl.strict_markdown_blocks(Src.table(spark, d, "nation").select(F.col("n_nationkey").alias("doc_id"), text.alias("text")))
+    return Bl.strict_markdown_blocks(Src.named(spark, d).select(F.col("n_nationkey").alias("doc_id"), text.alias("text")))
 
 
 @query(

@@ -19,7 +19,7 @@ from lexiloom.operators import rule_sets as RS
 from lexiloom.operators import rules as R
 from lexiloom.operators import state as S
 from lexiloom.operators.evaluate import text_score
-from lexiloom.sources.tables import line_blocks, table
+from lexiloom.sources.tables import line_blocks, named, table
 
 from .base import BLOCKS, query
 from .retrieval import _BM25, _KNN, TERMS, VECTOR, search_index
@@ -39,7 +39,7 @@ def _found(spark, d):
 
 
 def _nations(spark, d, **columns):
-    return table(spark, d, "nation").withColumns(columns)
+    return named(spark, d).withColumns(columns)
 
 
 def _pick(values, by="n_nationkey"):
@@ -302,7 +302,7 @@ def set_rules_intersect(spark, d):
     return enabled.intersect(executed).withColumn("kind", F.lit("executed")).unionByName(enabled.subtract(executed).withColumn("kind", F.lit("missing")))
 
 
-@query("set_overrides_union", "SELECT n_nationkey, 'a=' || n_name || ',b=' || n_nationkey || ',c=z' AS merged FROM nation")
+@query("set_overrides_union", "SELECT n_nationkey, 'a=' || n_name || ',b=' || n_nationkey || ',c=z' AS merged FROM named")
 def set_overrides_union(spark, d):
     base = F.create_map(F.lit("a"), F.col("n_name"), F.lit("b"), F.lit("x"))
     over = F.create_map(F.lit("b"), F.col("n_nationkey").cast("string"), F.lit("c"), F.lit("z"))
@@ -310,7 +310,7 @@ def set_overrides_union(spark, d):
     return _nations(spark, d).select("n_nationkey", F.array_join(F.transform(pairs, lambda p: F.concat(p["key"], F.lit("="), p["value"])), ",").alias("merged"))
 
 
-_TABLES = "m AS (SELECT n_nationkey, n_regionkey, '| k | v |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || (n_nationkey % 3) || ' | x |' AS md FROM nation)"
+_TABLES = "m AS (SELECT n_nationkey, n_regionkey, '| k | v |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || (n_nationkey % 3) || ' | x |' AS md FROM named)"
 
 
 @query("lim_tables", f"WITH {_TABLES}, f AS (SELECT n_regionkey, md, min(n_nationkey) AS f FROM m GROUP BY ALL) SELECT n_regionkey, md AS markdown FROM f QUALIFY row_number() OVER (PARTITION BY n_regionkey ORDER BY f) <= 2")
@@ -344,37 +344,37 @@ def win_merge_tables(spark, d):
     return Bl.merged_tables(table(spark, d, "orders").select(F.col("o_custkey").alias("doc_id"), at, kind.alias("type"), text.alias("text")))
 
 
-@query("tbl_adapter_html_md", "SELECT n_nationkey, '| k | name |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || n_nationkey || ' | ' || n_name || ' |' AS markdown FROM nation")
+@query("tbl_adapter_html_md", "SELECT n_nationkey, '| k | name |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || n_nationkey || ' | ' || n_name || ' |' AS markdown FROM named")
 def tbl_adapter_html_md(spark, d):
     raw = F.concat(F.lit("<table><TR><th>k</th><th> name </th></TR><tr><td>"), F.col("n_nationkey").cast("string"), F.lit("</td><td><b>"), "n_name", F.lit("</b></td></tr></table>"))
     return _nations(spark, d).select("n_nationkey", G.plain_html_markdown(raw).alias("markdown"))
 
 
-@query("tbl_promote", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'table' ELSE 'paragraph' END AS type FROM nation")
+@query("tbl_promote", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'table' ELSE 'paragraph' END AS type FROM named")
 def tbl_promote(spark, d):
     text = F.when(F.col("n_nationkey") % 2 == 0, F.lit("| a | b |\n| --- | --- |\n| 1 | 2 |")).otherwise(F.lit("| a |\n| --- |\n| 1 |"))
     return _nations(spark, d, t=text).select("n_nationkey", F.when(G.has_markdown_table("t") & G.is_grid(G.markdown_grid("t")), "table").otherwise("paragraph").alias("type"))
 
 
-@query("tbl_appendix", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## 原文表格' || chr(10) || chr(10) || '> 来源：' || n_name || ' · s' || chr(10) || chr(10) || 'md' || chr(10) ELSE '' END AS appendix FROM nation")
+@query("tbl_appendix", "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## 原文表格' || chr(10) || chr(10) || '> 来源：' || n_name || ' · s' || chr(10) || chr(10) || 'md' || chr(10) ELSE '' END AS appendix FROM named")
 def tbl_appendix(spark, d):
     one = F.array(F.struct(F.col("n_name").alias("filename"), F.lit("s").alias("section"), F.lit(" md ").alias("markdown")))
     return _nations(spark, d, t=F.when(F.col("n_nationkey") % 2 == 0, one).otherwise(F.slice(one, 1, 0))).select("n_nationkey", G.appendix("t").alias("appendix"))
 
 
-@query("scr_unit_canonical", "SELECT n_nationkey, ['cny', 'usd', 'day', 'percent', 'widget', 'usd', 'percent', 'month', 'year'][n_nationkey % 9 + 1] AS unit, n_nationkey % 9 = 2 AS is_days FROM nation")
+@query("scr_unit_canonical", "SELECT n_nationkey, ['cny', 'usd', 'day', 'percent', 'widget', 'usd', 'percent', 'month', 'year'][n_nationkey % 9 + 1] AS unit, n_nationkey % 9 = 2 AS is_days FROM named")
 def scr_unit_canonical(spark, d):
     return _nations(spark, d, unit=R.canonical_unit(_pick(["元", "USD", "Days", "%", "Widget", "US$", "百分比", " 个月 ", "years"]))).select("n_nationkey", "unit", R.unit_fits("days", F.col("unit")).alias("is_days"))
 
 
-@query("scr_field_near", "SELECT n_nationkey, 4 * n_nationkey + 11 <= 48 AS near, 4 * n_nationkey + 11 <= 48 AS near_words, true AS elsewhere FROM nation")
+@query("scr_field_near", "SELECT n_nationkey, 4 * (n_nationkey % 25) + 11 <= 48 AS near, 4 * (n_nationkey % 25) + 11 <= 48 AS near_words, true AS elsewhere FROM named")
 def scr_field_near(spark, d):
-    rows = _nations(spark, d, t=F.concat(F.lit("Penalty_sum"), F.expr("repeat('y', 4 * n_nationkey)"), F.lit("500"))).withColumn("w", F.regexp_replace("t", "_", " "))
+    rows = _nations(spark, d, t=F.concat(F.lit("Penalty_sum"), F.expr("repeat('y', CAST(4 * (n_nationkey % 25) AS INT))"), F.lit("500"))).withColumn("w", F.regexp_replace("t", "_", " "))
     near = lambda c, field: R.field_near(F.col(c), F.length(c) - 3, F.length(c), field)
     return rows.select("n_nationkey", near("t", "penalty_SUM").alias("near"), near("w", "penalty_sum").alias("near_words"), near("t", "deposit").alias("elsewhere"))
 
 
-@query("scr_threshold", "SELECT n_nationkey, try_cast(replace(['1,234.5', 'abc', NULL][n_nationkey % 3 + 1], ',', '') AS DECIMAL(38,6))::VARCHAR AS value FROM nation")
+@query("scr_threshold", "SELECT n_nationkey, try_cast(replace(['1,234.5', 'abc', NULL][n_nationkey % 3 + 1], ',', '') AS DECIMAL(38,6))::VARCHAR AS value FROM named")
 def scr_threshold(spark, d):
     return _nations(spark, d).select("n_nationkey", T.threshold(_pick(["1,234.5", "abc", None])).cast("string").alias("value"))
 
@@ -408,13 +408,13 @@ def prj_block_text(spark, d):
     return table(spark, d, "documents").select("doc_id", T.first_present(a, b, F.col("n_chars").cast("string")).alias("text"))
 
 
-@query("scr_heading_detect", "SELECT n_nationkey, n_nationkey % 5 < 4 AS heading, [1, 2, 3, 2, 2][n_nationkey % 5 + 1] AS level FROM nation")
+@query("scr_heading_detect", "SELECT n_nationkey, n_nationkey % 5 < 4 AS heading, [1, 2, 3, 2, 2][n_nationkey % 5 + 1] AS level FROM named")
 def scr_heading_detect(spark, d):
     rows = _nations(spark, d, t=_pick(["第一章 总则", "第2节 付款", "第三条 期限", "1. Scope", "plain words"]))
     return rows.select("n_nationkey", T.is_heading("t").alias("heading"), T.heading_level("t").alias("level"))
 
 
-@query("scr_flatten_text", "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 1 THEN n_name || 'x' ELSE n_name END AS text FROM nation")
+@query("scr_flatten_text", "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 1 THEN n_name || 'x' ELSE n_name END AS text FROM named")
 def scr_flatten_text(spark, d):
     part = lambda c: F.struct(c.alias("text"))
     many, one = F.to_json(F.array(part(F.col("n_name")), part(F.lit("x")))), F.to_json(part(F.col("n_name")))
@@ -422,10 +422,10 @@ def scr_flatten_text(spark, d):
     return _nations(spark, d, t=said).select("n_nationkey", T.flattened("t").alias("text"))
 
 
-@query("scr_partial_json", "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN n_name || chr(10) || '\"q\"' WHEN 1 THEN nullif(left(n_name, n_nationkey), '') END AS answer FROM nation")
+@query("scr_partial_json", "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN n_name || chr(10) || '\"q\"' WHEN 1 THEN nullif(left(n_name, (n_nationkey % 30)::INT), '') END AS answer FROM named")
 def scr_partial_json(spark, d):
     whole = F.concat(F.lit('{"answer": "'), "n_name", F.lit('\\n\\"q\\"", "refs": []}'))
-    part = F.concat(F.lit('{"answer" : "'), F.expr("left(n_name, n_nationkey)"), F.lit("\\"))
+    part = F.concat(F.lit('{"answer" : "'), F.expr("left(n_name, CAST(n_nationkey % 30 AS INT))"), F.lit("\\"))
     said = F.when(F.col("n_nationkey") % 3 == 0, whole).when(F.col("n_nationkey") % 3 == 1, part).otherwise(F.lit('{"ans'))
     return _nations(spark, d, t=said).select("n_nationkey", T.partial_answer("t").alias("answer"))
 
@@ -435,12 +435,12 @@ def scr_lcp(spark, d):
     return table(spark, d, "customer").select("c_custkey", T.common_prefix("c_mktsegment", F.lit("BUILDERS")).alias("lcp"))
 
 
-@query("scr_route_label", "SELECT n_nationkey, ['local', 'web', 'local'][n_nationkey % 3 + 1] AS label FROM nation")
+@query("scr_route_label", "SELECT n_nationkey, ['local', 'web', 'local'][n_nationkey % 3 + 1] AS label FROM named")
 def scr_route_label(spark, d):
     return _nations(spark, d).select("n_nationkey", T.route_label(_pick(["use LOCAL", "search", None])).alias("label"))
 
 
-@query("geo_sub_rect", "SELECT n_nationkey, round(100 + 200.0 * 2 / (length(n_name) + 4), 6) AS x0, round(100 + 200.0 * (2 + length(n_name)) / (length(n_name) + 4), 6) AS x1, ['exact', 'span', 'block', 'unlocated'][n_nationkey % 4 + 1] AS precision FROM nation")
+@query("geo_sub_rect", "SELECT n_nationkey, round(100 + 200.0 * 2 / (length(n_name) + 4), 6) AS x0, round(100 + 200.0 * (2 + length(n_name)) / (length(n_name) + 4), 6) AS x1, ['exact', 'span', 'block', 'unlocated'][n_nationkey % 4 + 1] AS precision FROM named")
 def geo_sub_rect(spark, d):
     box = F.struct(F.lit(100.0).alias("x0"), F.lit(10.0).alias("y0"), F.lit(300.0).alias("x1"), F.lit(20.0).alias("y1"))
     n, text = F.col("n_nationkey") % 4, F.concat(F.lit("xx"), "n_name", F.lit("yy"))
@@ -449,7 +449,7 @@ def geo_sub_rect(spark, d):
     return _nations(spark, d).select("n_nationkey", F.round(exact["rect"]["x0"], 6).alias("x0"), F.round(exact["rect"]["x1"], 6).alias("x1"), best["precision"].alias("precision"))
 
 
-@query("geo_ui_rects", "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 1 ELSE 2 END AS rects, CASE WHEN n_nationkey % 3 = 0 THEN 0.0 ELSE 5.0 END AS x0, CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE n_nationkey END AS page FROM nation")
+@query("geo_ui_rects", "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 1 ELSE 2 END AS rects, (CASE WHEN n_nationkey % 3 = 0 THEN 0 ELSE 5 END)::DOUBLE AS x0, CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE n_nationkey END AS page FROM named")
 def geo_ui_rects(spark, d):
     box = F.struct(F.lit(5.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(9.0).alias("x1"), F.lit(9.0).alias("y1"))
     rects = F.when(F.col("n_nationkey") % 3 == 0, F.slice(F.array(box), 1, 0)).otherwise(F.array(box, box))

@@ -18,7 +18,7 @@ from lexiloom.operators import retrieval as Re
 from lexiloom.operators import rules as R
 from lexiloom.operators import state as S
 from lexiloom.sources import files as Fi
-from lexiloom.sources.tables import line_blocks, table
+from lexiloom.sources.tables import line_blocks, named, table
 
 from .base import BLOCKS, query
 from .evaluate import _OUT, _SCORED, _outcomes
@@ -82,11 +82,11 @@ def agg_deletion_pending(spark, d):
 
 @query(
     "win_audit_append",
-    """WITH a AS (SELECT n_nationkey, sha256('{"action":"' || n_name || '","previous_hash":"","seq":1}') AS h, n_name FROM nation)
+    """WITH a AS (SELECT n_nationkey, sha256('{"action":"' || n_name || '","previous_hash":"","seq":1}') AS h, n_name FROM named)
 SELECT n_nationkey, h AS previous_hash, sha256('{"action":"' || n_name || '","previous_hash":"' || h || '","seq":2}') AS hash FROM a""",
 )
 def win_audit_append(spark, d):
-    rows = table(spark, d, "nation").select("n_nationkey", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("seq"), F.col("n_name").alias("action"))
+    rows = named(spark, d).select("n_nationkey", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("seq"), F.col("n_name").alias("action"))
     return S.audit_chain(rows, "n_nationkey").where("seq = 2").select("n_nationkey", "previous_hash", "hash")
 
 
@@ -130,10 +130,10 @@ def scr_find_quote_block(spark, d):
     return Fd.resolved_quotes(issues, blocks).select("doc_id", "block_index", "start")
 
 
-@query("scr_heading_level", "SELECT n_nationkey, [1, 2, 3, 2][n_nationkey % 4 + 1] AS level FROM nation")
+@query("scr_heading_level", "SELECT n_nationkey, [1, 2, 3, 2][n_nationkey % 4 + 1] AS level FROM named")
 def scr_heading_level(spark, d):
     said = F.get(F.array(*[F.concat(F.lit(x), "n_name") for x in ("第一章", "第12节", "第三十条", "一、")]), (F.col("n_nationkey") % 4).cast("int"))
-    return table(spark, d, "nation").select("n_nationkey", T.heading_level(said).alias("level"))
+    return named(spark, d).select("n_nationkey", T.heading_level(said).alias("level"))
 
 
 @query("scr_redact", "SELECT c_custkey, ['Bearer [REDACTED] x', 'api_key: [REDACTED]', 'password=[REDACTED], y', c_name][c_custkey % 4 + 1] AS text FROM customer")
@@ -223,10 +223,10 @@ def hsh_stable(spark, d):
     return table(spark, d, "orders").select("o_orderkey", said.alias("id"))
 
 
-@query("hsh_combined", "SELECT n_regionkey, sha256(string_agg(sha256(n_name), ',' ORDER BY n_nationkey)) AS combined FROM nation GROUP BY n_regionkey")
+@query("hsh_combined", "SELECT n_regionkey, sha256(string_agg(sha256(n_name), ',' ORDER BY n_nationkey)) AS combined FROM named GROUP BY n_regionkey")
 def hsh_combined(spark, d):
     parts = F.array_sort(F.collect_list(F.struct("n_nationkey", F.sha2("n_name", 256).alias("h"))))
-    return table(spark, d, "nation").groupBy("n_regionkey").agg(parts.alias("p")).select("n_regionkey", F.sha2(F.array_join("p.h", ","), 256).alias("combined"))
+    return named(spark, d).groupBy("n_regionkey").agg(parts.alias("p")).select("n_regionkey", F.sha2(F.array_join("p.h", ","), 256).alias("combined"))
 
 
 def _docx(name: str) -> bytes:

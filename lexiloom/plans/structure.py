@@ -8,7 +8,7 @@ from lexiloom.functions import geometry as Geo
 from lexiloom.functions import grids as G
 from lexiloom.operators import blocks as Bl
 from lexiloom.operators import chunking as C
-from lexiloom.sources.tables import line_blocks, table
+from lexiloom.sources.tables import line_blocks, named, table
 from lexiloom.streaming import events as Ev
 
 from .base import query
@@ -19,29 +19,29 @@ def tbl_is_html(spark, d):
     return table(spark, d, "pages").select("page_id", G.has_html_table("html").alias("has_table"))
 
 
-_MD = "m AS (SELECT n_nationkey, '| key | name |' || chr(10) || '| --- | :---: |' || chr(10) || '| ' || n_nationkey || ' | ' || n_name || ' |' || chr(10) || '|  | |' || chr(10) || '| x |' AS md FROM nation)"
+_MD = "m AS (SELECT n_nationkey, '| key | name |' || chr(10) || '| --- | :---: |' || chr(10) || '| ' || n_nationkey || ' | ' || n_name || ' |' || chr(10) || '|  | |' || chr(10) || '| x |' AS md FROM named)"
 
 
 def _markdown(spark, d):
     md = F.concat(F.lit("| key | name |\n| --- | :---: |\n| "), F.col("n_nationkey").cast("string"), F.lit(" | "), "n_name", F.lit(" |\n|  | |\n| x |"))
-    return table(spark, d, "nation").select("n_nationkey", "n_name", md.alias("md"))
+    return named(spark, d).select("n_nationkey", "n_name", md.alias("md"))
 
 
-@query("tbl_md_to_grid", "SELECT n_nationkey, 'key,name;' || n_nationkey || ',' || n_name || ';x,' AS grid, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || n_nationkey || ' | ' || n_name || ' |' || chr(10) || '| x |  |' AS markdown FROM nation")
+@query("tbl_md_to_grid", "SELECT n_nationkey, 'key,name;' || n_nationkey || ',' || n_name || ';x,' AS grid, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || n_nationkey || ' | ' || n_name || ' |' || chr(10) || '| x |  |' AS markdown FROM named")
 def tbl_md_to_grid(spark, d):
     rows = _markdown(spark, d).withColumn("g", G.markdown_grid("md"))
     return rows.select("n_nationkey", F.array_join(F.transform("g", lambda r: F.array_join(r, ",")), ";").alias("grid"), G.grid_markdown("g").alias("markdown"))
 
 
-@query("tbl_is_md", "SELECT n_nationkey, true AS table_like, NOT true AS plain_like FROM nation")
+@query("tbl_is_md", "SELECT n_nationkey, true AS table_like, NOT true AS plain_like FROM named")
 def tbl_is_md(spark, d):
     return _markdown(spark, d).select("n_nationkey", G.has_markdown_table("md").alias("table_like"), G.has_markdown_table("n_name").alias("plain_like"))
 
 
-@query("tbl_html_to_grid", "SELECT n_nationkey, 'key,name;' || n_nationkey || ',' || n_name AS grid, '<table><thead><tr><th>key</th><th>name</th></tr></thead><tbody><tr><td>' || n_nationkey || '</td><td>' || n_name || '</td></tr></tbody></table>' AS html FROM nation")
+@query("tbl_html_to_grid", "SELECT n_nationkey, 'key,name;' || n_nationkey || ',' || n_name AS grid, '<table><thead><tr><th>key</th><th>name</th></tr></thead><tbody><tr><td>' || n_nationkey || '</td><td>' || n_name || '</td></tr></tbody></table>' AS html FROM named")
 def tbl_html_to_grid(spark, d):
     raw = F.concat(F.lit("<p>x</p><TABLE><tr><th>key</th><th> name</th></tr><tr><td>"), F.col("n_nationkey").cast("string"), F.lit("</td><td><b>"), "n_name", F.lit("</b></td></tr></TABLE>"))
-    rows = table(spark, d, "nation").select("n_nationkey", G.html_grid(raw).alias("g"))
+    rows = named(spark, d).select("n_nationkey", G.html_grid(raw).alias("g"))
     return rows.select("n_nationkey", F.array_join(F.transform("g", lambda r: F.array_join(r, ",")), ";").alias("grid"), G.grid_html("g").alias("html"))
 
 
@@ -95,21 +95,21 @@ def scr_recursive_split(spark, d):
     return docs.select("doc_id", F.posexplode(C.recursive(F.col("text"))).alias("chunk_id", "chunk"))
 
 
-@query("scr_split_clauses", "SELECT n_nationkey, 'head|第一条' || n_name || '|第2条end' AS parts FROM nation")
+@query("scr_split_clauses", "SELECT n_nationkey, 'head|第一条' || n_name || '|第2条end' AS parts FROM named")
 def scr_split_clauses(spark, d):
     text = F.concat(F.lit("head第一条"), "n_name", F.lit("第2条end"))
-    return table(spark, d, "nation").select("n_nationkey", F.array_join(C.clauses(text), "|").alias("parts"))
+    return named(spark, d).select("n_nationkey", F.array_join(C.clauses(text), "|").alias("parts"))
 
 
 @query(
     "src_md_blocks",
-    """WITH m AS (SELECT n_nationkey AS doc_id, n_name FROM nation)
+    """WITH m AS (SELECT n_nationkey AS doc_id, n_name FROM named)
 SELECT doc_id, 0 AS line, 'heading' AS type, 2 AS level, n_name AS text FROM m UNION ALL
 SELECT doc_id, 1, 'paragraph', NULL, 'one' || chr(10) || 'two' FROM m UNION ALL SELECT doc_id, 4, 'table', NULL, '| a | b |' || chr(10) || '| --- | --- |' FROM m""",
 )
 def src_md_blocks(spark, d):
     text = F.concat(F.lit("## "), "n_name", F.lit("\none\ntwo\n\n| a | b |\n| --- | --- |"))
-    return Bl.markdown_blocks(table(spark, d, "nation").select(F.col("n_nationkey").alias("doc_id"), text.alias("text")))
+    return Bl.markdown_blocks(named(spark, d).select(F.col("n_nationkey").alias("doc_id"), text.alias("text")))
 
 
 @query("evt_tumbling", "SELECT epoch(date_trunc('hour', ts))::BIGINT AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

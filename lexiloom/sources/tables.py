@@ -54,3 +54,9 @@ def upload_verdict(name: str, size: str, limit: int = 50 * 1024 * 1024):
 
 def safe_name(name: str):
     return F.left(F.regexp_replace(name, r"(?U)[^\w一-鿿.\-()（）\[\] ]", "_"), F.lit(180))
+
+
+def named(spark: SparkSession, d: str) -> DataFrame:
+    """Documents under short names, their first words, as rows of key, group and name."""
+    key = F.col("doc_id")
+    return table(spark, d, "documents").select(key.alias("n_nationkey"), (key % 40).alias("n_regionkey"), F.regexp_extract("text", "[A-Za-z]+", 0).alias("n_name"))
