@@ -234,6 +234,25 @@ def _spread(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(begins, sizes)
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted values without repeats, and how often each stands there."""
+    values = np.sort(values)
+    begin = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+    return values[begin], np.diff(np.append(begin, len(values)))
+
+
+def _packed(values: np.ndarray, edges: np.ndarray) -> tuple[pa.Array, int]:
+    """Numbers from 0 as bytes, a value for each range, and the bytes that each number takes."""
+    most = int(values.max()) if len(values) else 0
+    width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
+    data = values.astype(f"<u{width}").tobytes()
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer((edges * width).astype(np.int32).tobytes()), pa.py_buffer(data)]), width
+
+
+def _unpacked(data: bytes, width: str) -> np.ndarray:
+    return np.frombuffer(data, f"<u{width}").astype(np.int64)
+
+
 def _lists(flat: np.ndarray, sizes: list[int] | np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, kind))
 
@@ -252,7 +271,7 @@ def encoded(docs: DataFrame, bytes_path: str, pieces_path: str, text_col: str =
             yield from _batch(pair, b.column("_row"), b.column("_text").to_pylist(), number, groups)
 
     extra = ", groups binary" if groups else ""
-    return rows.mapInArrow(encode, f"batch bigint, _row {row_kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string{extra}, runs array<int>, times array<int>, pairs array<bigint>, docs array<int>, ends array<int>, links array<int>, weights array<bigint>")
+    return rows.mapInArrow(encode, f"batch bigint, _row {row_kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string{extra}, runs binary, times binary, pairs array<bigint>, docs array<int>, ends binary, links binary, weights binary, widths string")
 
 
 class _Numbers(dict):
@@ -295,33 +314,38 @@ def _batch(pair: Pair, row: pa.Array, texts: list[str], number: int, groups: boo
     flat, weights = all_links[at], all_weights[at]
     strings_of = [pair.said[k] if k >= 0 else "" for k in place.tolist()]
     pairs, links = np.unique(flat, return_inverse=True)
-    begins = np.cumsum(sizes) - sizes
-    held = np.zeros(len(pairs), np.int64)
-    sums, hashes, strings, gaps, times, lengths = [], [], [], [], [], []
+    # Every document's distinct runs, one after another: document and run in one number, sorted once for the batch.
+    lengths = np.array([len(x) for x in of], np.int64)
+    n_runs = max(1, len(place))
+    own, n = _distinct(np.repeat(np.arange(len(of)), lengths) * n_runs + np.concatenate(of or [place]))
+    doc, mine = own // n_runs, own % n_runs
+    edges = np.searchsorted(doc, np.arange(len(of) + 1))
+    sums = [np.diff(np.concatenate([[0], np.cumsum(x[mine] * n)])[edges]) for x in (n_a, n_b, n_groups, n_links)]
+    n_pairs = max(1, len(pairs))
+    met, _ = _distinct(np.repeat(doc, sizes[mine]) * n_pairs + links[_spread((np.cumsum(sizes) - sizes)[mine], sizes[mine])])
+    held = np.bincount(met % n_pairs, minlength=len(pairs))
+    gaps = np.diff(mine, prepend=0)
+    first = edges[:-1][np.diff(edges) > 0]
+    gaps[first] = mine[first]
+    hashes, strings = [], []
     for runs in of:
-        mine, n = np.unique(runs, return_counts=True)
-        if len(mine):
-            its = np.sort(links[_spread(begins[mine], sizes[mine])])
-            held[its[np.append(True, its[1:] != its[:-1])]] += 1
-        sums.append([int((x[mine] * n).sum()) for x in (n_a, n_b, n_groups, n_links)])
         said = ";".join(map(strings_of.__getitem__, runs.tolist())).encode()
         hashes.append(hashlib.sha256(said).hexdigest() if len(runs) else "")
         if groups:
             strings.append(said)
-        gaps.append(np.diff(mine, prepend=0))
-        times.append(n)
-        lengths.append(len(mine))
     kinds = {"batch": pa.int64(), "_row": row.type, "n_a": pa.int64(), "n_b": pa.int64(), "n_groups": pa.int64(), "n_links": pa.int64(), "groups_sha256": pa.string()} | ({"groups": pa.binary()} if groups else {})
-    lists = {"runs": pa.int32(), "times": pa.int32(), "pairs": pa.int64(), "docs": pa.int32(), "ends": pa.int32(), "links": pa.int32(), "weights": pa.int64()}
-    kinds |= {k: pa.list_(t) for k, t in lists.items()}
-    one = {"batch": pa.array([number], pa.int64())}
-    for name, values in (("pairs", pairs), ("docs", held), ("ends", np.cumsum(sizes)), ("links", links), ("weights", weights)):
-        one[name] = _lists(values, [len(values)], lists[name])
+    kinds |= {"runs": pa.binary(), "times": pa.binary(), "pairs": pa.list_(pa.int64()), "docs": pa.list_(pa.int32()), "ends": pa.binary(), "links": pa.binary(), "weights": pa.binary(), "widths": pa.string()}
+    one = {"batch": pa.array([number], pa.int64()), "pairs": _lists(pairs, [len(pairs)], pa.int64()), "docs": _lists(held, [len(pairs)], pa.int32())}
+    widths = []
+    for name, values in (("ends", np.cumsum(sizes)), ("links", links), ("weights", weights)):
+        one[name], width = _packed(values, np.array([0, len(values)]))
+        widths.append(width)
+    one["widths"] = pa.array([",".join(map(str, widths))])
     yield pa.RecordBatch.from_arrays([one.get(k, pa.nulls(1, t)) for k, t in kinds.items()], names=list(kinds))
     many = {"batch": pa.array([number] * len(texts), pa.int64()), "_row": row, "groups_sha256": pa.array(hashes, pa.string())} | ({"groups": pa.array(strings, pa.binary())} if groups else {})
-    many |= {name: pa.array([s[k] for s in sums], pa.int64()) for k, name in enumerate(("n_a", "n_b", "n_groups", "n_links"))}
-    empty = np.zeros(0, np.int64)
-    many |= {"runs": _lists(np.concatenate(gaps or [empty]), lengths, pa.int32()), "times": _lists(np.concatenate(times or [empty]), lengths, pa.int32())}
+    many |= {name: pa.array(sums[k], pa.int64()) for k, name in enumerate(("n_a", "n_b", "n_groups", "n_links"))}
+    (many["runs"], run_width), (many["times"], time_width) = _packed(gaps, edges), _packed(n, edges)
+    many["widths"] = pa.array([f"{run_width},{time_width}"] * len(texts), pa.string())
     yield pa.RecordBatch.from_arrays([many.get(k, pa.nulls(len(texts), t)) for k, t in kinds.items()], names=list(kinds))
 
 
@@ -341,8 +365,8 @@ def align(docs: DataFrame, bytes_path: str, pieces_path: str, text_col: str = "t
     row = batches.schema["_row"].dataType
     out = ["n_a", "n_b", "n_groups", "n_links", "groups_sha256"] + ["groups"] * groups
     nothing = lambda c: F.lit(None).cast(batches.schema[c].dataType).alias(c)
-    told = answers.select("batch", F.lit(0).alias("kind"), "n", "is_best", *[nothing(c) for c in ["_row", *out, "runs", "times", "ends", "links", "weights"]])
-    tables = batches.select("batch", F.when(F.col("pairs").isNotNull(), 1).otherwise(2).alias("kind"), F.lit(None).cast("array<bigint>").alias("n"), F.lit(None).cast("array<boolean>").alias("is_best"), "_row", *out, "runs", "times", "ends", "links", "weights")
+    told = answers.select("batch", F.lit(0).alias("kind"), "n", "is_best", *[nothing(c) for c in ["_row", *out, "runs", "times", "ends", "links", "weights", "widths"]])
+    tables = batches.select("batch", F.when(F.col("pairs").isNotNull(), 1).otherwise(2).alias("kind"), F.lit(None).cast("array<bigint>").alias("n"), F.lit(None).cast("array<boolean>").alias("is_best"), "_row", *out, "runs", "times", "ends", "links", "weights", "widths")
 
     def totals(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A batch's answers, then its runs, then its documents."""
@@ -351,16 +375,17 @@ def align(docs: DataFrame, bytes_path: str, pieces_path: str, text_col: str = "t
             kinds = b.column("kind").to_numpy()
             held = np.flatnonzero(kinds == 2)
             sums, bests = [], []
+            widths, runs_of, times_of = (b.column(c).to_pylist() for c in ("widths", "runs", "times"))
             for k, kind in enumerate(kinds.tolist()):
-                cell = lambda c: b.column(c)[k].values.to_numpy(zero_copy_only=False)  # noqa: B023, E731
                 if kind == 0:
-                    n, is_best = cell("n"), cell("is_best").astype(np.int64)
+                    n, is_best = (b.column(c)[k].values.to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n", "is_best"))
                 elif kind == 1:
-                    ends, links, weights = cell("ends"), cell("links"), cell("weights")
+                    ends, links, weights = (_unpacked(b.column(c)[k].as_py(), w) for c, w in zip(("ends", "links", "weights"), widths[k].split(",")))
                     edges = np.concatenate([[0], ends])
                     run_count, run_best = (np.diff(np.concatenate([[0], np.cumsum(x[links] * weights)])[edges]) if len(links) else np.zeros(len(ends), np.int64) for x in (n, is_best))
                 else:
-                    runs, times = np.cumsum(cell("runs")), cell("times")
+                    run_width, time_width = widths[k].split(",")
+                    runs, times = np.cumsum(_unpacked(runs_of[k], run_width)), _unpacked(times_of[k], time_width)
                     sums.append(int((run_count[runs] * times).sum()) if len(runs) else 0)
                     bests.append(int((run_best[runs] * times).sum()) if len(runs) else 0)
             if len(held):
