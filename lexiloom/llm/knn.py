@@ -14,8 +14,9 @@ tree. Each query is searched in its home leaf first; its d_k then rules out the
 stopping test excludes, and the rest are searched. Queries go in blocks too.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor
-do vectors whose length is not the most frequent one; rows that repeat an id are one vector (the
-smallest); a null id takes no part; ties go to the smaller id; fewer candidates than k give them all.
+do vectors whose length is not the most frequent one (no distance to them is defined); a null id takes no part. Every
+row is a candidate of its own, so rows that repeat an id are all found and each asks for itself; repeated rows of
+one id and vector are neighbours of each other. Ties go to the smaller id; fewer candidates than k give them all. Other columns are not carried.
 """
 
 from __future__ import annotations
@@ -95,7 +96,9 @@ def leaves_within(point: np.ndarray, radius2: float, dims: np.ndarray, values: n
 class Block:
     """A kd-tree over one block: rows in the order of its buckets, and the buckets' boxes."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, points: np.ndarray):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, points: np.ndarray, names: np.ndarray | None = None):
+        """``ids`` tell rows apart, ``names`` (the ids themselves, if not given) settle ties and are found."""
+        names = ids if names is None else names
         parts, todo = [], [np.arange(len(ids))]
         while todo:
             own = todo.pop()
@@ -106,7 +109,7 @@ class Block:
             else:
                 parts.append(own)
         order = np.concatenate(parts)
-        self.ids, self.vectors, self.points = ids[order], vectors[order], points[order]
+        self.ids, self.names, self.vectors, self.points = ids[order], names[order], vectors[order], points[order]
         self.bucket = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
         self.low, self.high = (np.array([f(points[x], 0) for x in parts]) for f in (np.min, np.max))
 
@@ -125,7 +128,7 @@ class Block:
             rows = np.flatnonzero(chosen[self.bucket])
             rows = rows[(((self.points[rows] - point) ** 2).sum(1) <= LIMIT * kth * kth) & (self.ids[rows] != query_id)]
             exact = np.sqrt(((self.vectors[rows] - vector) ** 2).sum(1))
-            best, found = np.concatenate([best, exact]), np.concatenate([found, self.ids[rows]])
+            best, found = np.concatenate([best, exact]), np.concatenate([found, self.names[rows]])
             if len(best) > k:
                 kth = min(kth, np.partition(best, k - 1)[k - 1])
             stay = best <= kth
@@ -151,8 +154,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
     schema = "query_id long, rank int, vec_id long, score double"
     if usual is None:
         return spark.createDataFrame([], schema)
-    rows = finite.where(F.size("v") == usual.size).groupBy("id").agg(F.min(F.struct("v", "asks")).alias("r")).select("id", "r.asks", "r.v")
-    base = written(rows)
+    base = written(finite.where(F.size("v") == usual.size).select("id", F.monotonically_increasing_id().alias("row"), "asks", "v"))
     n, to_low = base.count(), projection(usual.size)
     leaves = 1 << max(0, min(int(math.log2(MAX_LEAVES)), math.ceil(math.log2(max(1, n / BLOCK)))))
 
@@ -161,46 +163,46 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
             if len(b):
                 yield pa.RecordBatch.from_arrays([pa.array(list(_matrix(b.column("v")) @ to_low), pa.list_(pa.float64()))], names=["p"])
 
-    picked = _matrix(base.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").mapInArrow(low, "p array<double>").toArrow().column("p")).reshape(-1, DIMS)
+    picked = _matrix(base.orderBy(F.xxhash64("id", "row"), "id", "row").limit(SAMPLE).select("v").mapInArrow(low, "p array<double>").toArrow().column("p")).reshape(-1, DIMS)
     dims, values = top_tree(picked, leaves)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf_of(_matrix(b.column("v")) @ to_low, dims, values))], names=["id", "asks", "v", "leaf"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf_of(_matrix(b.column("v")) @ to_low, dims, values))], names=["id", "row", "asks", "v", "leaf"])
 
-    placed = written(base.mapInArrow(place, "id long, asks boolean, v array<double>, leaf long"))
+    placed = written(base.mapInArrow(place, "id long, row long, asks boolean, v array<double>, leaf long"))
     # A row a leaf, MAX_LEAVES at most.
     sizes = written(placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("salts")))
-    hashed = lambda parts: F.pmod(F.xxhash64("id", F.lit(7)), F.col(parts)).cast("int")
-    blocks = placed.join(F.broadcast(sizes), "leaf").select("id", "v", "leaf", hashed("salts").alias("salt"))
+    hashed = lambda parts: F.pmod(F.xxhash64("row", F.lit(7)), F.col(parts)).cast("int")
+    blocks = placed.join(F.broadcast(sizes), "leaf").select("id", "row", "v", "leaf", hashed("salts").alias("salt"))
 
     def search(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vec_id": [], "score": []}
+        out = {"query_id": [], "query_row": [], "vec_id": [], "score": []}
         if left.num_rows and right.num_rows:
             own = _matrix(left.column("v"))
-            block = Block(left.column("id").to_numpy(), own, own @ to_low)
+            block = Block(left.column("row").to_numpy(), own, own @ to_low, left.column("id").to_numpy())
             asked = _matrix(right.column("v"))
-            for q, x, p, bound in zip(right.column("id").to_pylist(), asked, asked @ to_low, right.column("bound").to_pylist()):
-                for score, i in block.search(q, x, p, k, math.inf if bound is None else bound):
-                    out["query_id"].append(q), out["vec_id"].append(i), out["score"].append(score)
-        return pa.table(out, schema=pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
+            for q, row, x, p, bound in zip(right.column("id").to_pylist(), right.column("row").to_pylist(), asked, asked @ to_low, right.column("bound").to_pylist()):
+                for score, i in block.search(row, x, p, k, math.inf if bound is None else bound):
+                    out["query_id"].append(q), out["query_row"].append(row), out["vec_id"].append(i), out["score"].append(score)
+        return pa.table(out, schema=pa.schema([("query_id", pa.int64()), ("query_row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
 
     def asked_in_blocks(asking: DataFrame) -> DataFrame:
-        """``asking`` has id, v, bound and leaf: every query in every block of its leaves, both sides in blocks."""
+        """``asking`` has id, row, v, bound and leaf: every query in every block of its leaves, both sides in blocks."""
         asking = written(asking)
         groups = written(asking.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("parts")))
         each = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-        mine = blocks.join(F.broadcast(groups), "leaf").select("id", "v", "leaf", "salt", each("parts").alias("part"))
-        theirs = asking.join(F.broadcast(groups.join(sizes, "leaf")), "leaf").select("id", "v", "bound", "leaf", hashed("parts").alias("part"), each("salts").alias("salt"))
+        mine = blocks.join(F.broadcast(groups), "leaf").select("id", "row", "v", "leaf", "salt", each("parts").alias("part"))
+        theirs = asking.join(F.broadcast(groups.join(sizes, "leaf")), "leaf").select("id", "row", "v", "bound", "leaf", hashed("parts").alias("part"), each("salts").alias("salt"))
         cell = ["leaf", "salt", "part"]
-        return mine.groupBy(cell).cogroup(theirs.groupBy(cell)).applyInArrow(search, "query_id long, vec_id long, score double")
+        return mine.groupBy(cell).cogroup(theirs.groupBy(cell)).applyInArrow(search, "query_id long, query_row long, vec_id long, score double")
 
-    rank = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    rank = Window.partitionBy("query_row").orderBy("score", "vec_id")
     best = lambda df: df.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
-    queries = placed.where("asks").select("id", "v", "leaf")
+    queries = placed.where("asks").select("id", "row", "v", "leaf")
     near = written(best(asked_in_blocks(queries.withColumn("bound", F.lit(None).cast("double")))).drop("rank"))
-    bounds = near.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count(F.lit(1)) >= k, F.max("score")).alias("bound"))
+    bounds = near.groupBy(F.col("query_row").alias("row")).agg(F.when(F.count(F.lit(1)) >= k, F.max("score")).alias("bound"))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -210,7 +212,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "ve
                 to += (own := [x for x in found if x != home])
                 at += [r] * len(own)
             take = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in ("id", "v", "bound")), pa.array(to, pa.int64())], names=["id", "v", "bound", "leaf"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(take) for c in ("id", "row", "v", "bound")), pa.array(to, pa.int64())], names=["id", "row", "v", "bound", "leaf"])
 
-    further = asked_in_blocks(queries.join(bounds, "id", "left").mapInArrow(route, "id long, v array<double>, bound double, leaf long"))
+    further = asked_in_blocks(queries.join(bounds, "row", "left").mapInArrow(route, "id long, row long, v array<double>, bound double, leaf long"))
     return best(near.unionByName(further)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
