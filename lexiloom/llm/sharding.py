@@ -6,7 +6,8 @@ is cut at equal targets: a row belongs to the shard that its midpoint falls into
 its target by half a row at each end at most.
 
 Rows that are equal in (doc_id, size, checksum) are counted first and expanded after their start is
-known, so a repeated row that holds a third of the table is one row for the sort and the windows.
+known, so a repeated row that holds a third of the table is one row for the sort and the windows; its copies are
+expanded in runs of ``COPIES`` that are dealt over tasks.
 
 Defined results for odd rows: a null text has no bytes (size 8, checksum 0); a null doc_id sorts
 first; equal rows take neighbouring slots; an empty table gives no rows; other columns are not read.
@@ -21,6 +22,8 @@ from .common import written
 
 SHARDS = 24
 ROW_BYTES = 8
+#: Copies of one row that a task expands at once.
+COPIES = 100_000
 
 
 def byte_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", row_bytes: int = ROW_BYTES) -> DataFrame:
@@ -52,7 +55,12 @@ def byte_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", t
             "row_start": F.coalesce(F.sum("copies").over(inside), F.lit(0)),
         }
     ).join(F.broadcast(offsets), "part")
-    rows = starts.select(*order, "byte_start", "byte_offset", "row_start", "row_offset", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+    kept = [*order, "copies", "byte_start", "byte_offset", "row_start", "row_offset", "total"]
+    # Copies of one row in runs of COPIES, dealt out before they are expanded: no task holds them all.
+    runs_of = starts.select(*kept, F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {COPIES}"))).alias("run"))
+    many = runs_of.where(f"copies > {COPIES}").repartition(*order, "run")
+    spread = runs_of.where(f"copies <= {COPIES}").unionByName(many)
+    rows = spread.select(*kept, F.explode(F.sequence(F.col("run") * COPIES, F.least(F.col("copies") - 1, F.col("run") * COPIES + COPIES - 1))).alias("copy")).drop("copies")
     start = F.col("byte_offset") + F.col("byte_start") + F.col("copy") * F.col("size")
     # Midpoint over total, doubled to stay in whole numbers; decimals hold it beyond 2^63.
     middle = (F.lit(2) * start + F.col("size")).cast("decimal(28,0)") * F.lit(shards).cast("decimal(5,0)")
