@@ -45,8 +45,8 @@ def bounded_batches(spark: SparkSession, size: int = BATCH_BYTES) -> None:
 
 
 def crc_of_id(column: str | Column) -> Column:
-    """CRC-32 of an id written as text, the value that folds are dealt by."""
-    return F.crc32(F.col(column).cast("string").cast("binary") if isinstance(column, str) else column.cast("string").cast("binary"))
+    """CRC-32 of an id written as text, the value that folds are dealt by; a null id is an empty text, so it is 0 and held out."""
+    return F.crc32(F.coalesce((F.col(column) if isinstance(column, str) else column).cast("string"), F.lit("")).cast("binary"))
 
 
 def packed(df: DataFrame, name: str = "_row", keep: list[str] | None = None) -> Column:
