@@ -11,7 +11,8 @@ layout) and everything else covers all rows. Half of the sample trains the dicti
   reason it stands before the ordinary dictionary's content, so that this cancels out and the two lengths
   differ by toxic segments alone.
 
-A text is cut into windows of ``WINDOW_WORDS`` lower-cased words. For each, the bytes that the toxic
+A text is cut into windows of ``WINDOW_WORDS`` lower-cased words, or of ``WINDOW_BYTES`` where words are long or
+not parted at all. For each, the bytes that the toxic
 dictionary saves against the ordinary one are compared with thresholds that the other half of the
 sample calibrates: the counts of windows beyond each threshold go into a logistic score.
 
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, packed
 
 MAX_TOXIC_ROWS, MAX_ORDINARY_ROWS, MAX_SAMPLE_BYTES = 2000, 3000, 32_000_000
-WINDOW_WORDS = 8
+WINDOW_WORDS, WINDOW_BYTES, WINDOW_OVERLAP = 8, 256, 32
 GRAM, MIN_TEXTS, TRIM = 6, 4, 3
 ORDINARY_DICT, TOXIC_DICT = 8192, 2048
 ORDINARY_SEGMENT, TOXIC_SEGMENT = 64, 12
@@ -50,10 +51,13 @@ class Model:
     weights: np.ndarray
 
 
-def windows(text: str | None, n: int = WINDOW_WORDS) -> list[bytes]:
-    """The whole text as consecutive windows of n words, lower-cased; words of any length count."""
+def windows(text: str | None, n: int = WINDOW_WORDS, most: int = WINDOW_BYTES, overlap: int = WINDOW_OVERLAP) -> list[bytes]:
+    """The whole text as consecutive windows of n words, lower-cased; one of more than ``most`` bytes, as texts without blanks are, is cut into windows of that size that overlap."""
     words = (text or "").lower().encode("utf-8", "replace").split()
-    return [b" " + b" ".join(words[i : i + n]) + b" " for i in range(0, len(words), n)]
+    out = [b" " + b" ".join(words[i : i + n]) + b" " for i in range(0, len(words), n)]
+    if any(len(w) > most for w in out):
+        out = [w[i : i + most] for w in out for i in range(0, max(1, len(w) - overlap), most - overlap)]
+    return out
 
 
 def _compressor(content: bytes):
@@ -149,14 +153,14 @@ def scores(texts: list[str | None], model: Model, tools) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(features(saved) @ model.weights, -30, 30)))
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict[int, list[str]]:
-    """Distinct whole texts of each class: at most MAX_*_ROWS, smallest id hashes first, up to half of MAX_SAMPLE_BYTES.
+def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_rows: int = MAX_TOXIC_ROWS, ordinary_rows: int = MAX_ORDINARY_ROWS, sample_bytes: int = MAX_SAMPLE_BYTES) -> dict[int, list[str]]:
+    """Distinct whole texts of each class: at most so many rows, smallest id hashes first, up to half of ``sample_bytes`` each; a text that would pass that is left out.
 
     Labels are cut to the row bound before any text is read, then the rows that they meet, then their
     bytes: what is broadcast and what comes to the driver stay bounded however often an id repeats.
     """
     ids = labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").alias("_label"), F.xxhash64(f"`{id_col}`").alias("_order")).where(F.col("_id").isNotNull())
-    bounds = {1: MAX_TOXIC_ROWS, 0: MAX_ORDINARY_ROWS}
+    bounds = {1: toxic_rows, 0: ordinary_rows}
     first = lambda c: ids.where(F.col("_label") == c).orderBy("_order", "_id").limit(bounds[c])
     picked = [tuple(r) for c in bounds for r in first(c).collect()]
     out: dict[int, list] = {0: [], 1: []}
@@ -170,7 +174,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for c in bounds:
         total = 0
         for r in met.where(F.col("_label") == c).orderBy("_order", "_id", "_digest").limit(bounds[c]).collect():
-            if total + r._size <= MAX_SAMPLE_BYTES // 2:
+            if total + r._size <= sample_bytes // 2:
                 total += r._size
                 keep.append((r._id, r._label, r._order, r._digest))
     if keep:
@@ -180,8 +184,9 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return {c: [t for _, _, t in sorted(out[c])] for c in out}
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    found = sample(docs, labels, id_col, text_col, label_col)
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **bounds: int) -> Model:
+    """``bounds``: toxic_rows, ordinary_rows and sample_bytes of the sample."""
+    found = sample(docs, labels, id_col, text_col, label_col, **bounds)
     return fit(found[1], found[0])
 
 

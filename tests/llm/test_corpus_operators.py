@@ -7,6 +7,7 @@ from math import log10
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexiloom.llm import ctw, decontam, line_dedup, near_dup, sharding, toxicity
 from lexiloom.llm.shingles import shingle_set, words
@@ -54,6 +55,17 @@ def test_sharding(spark):
     assert sharding.byte_shards(table(spark, [])).count() == 0
 
 
+def test_copies_of_a_row_are_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 1000)
+    got = sharding.byte_shards(spark.range(20_500).select(F.lit(1).alias("doc_id"), F.lit("same").alias("text")))
+    slots = {}
+    for r in got.select("shard", "slot").collect():
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and sum(map(len, slots.values())) == 20_500 and len(slots) == 24
+    expand = [x for x in got._jdf.queryExecution().toString().split("== Physical Plan ==")[0].split("\n") if "RepartitionByExpression" in x and "run#" in x]
+    assert expand
+
+
 def brute_components(rows):
     sets = {}
     for i, t in rows:
@@ -259,6 +271,13 @@ def test_toxicity(spark):
     fresh = [r for r in got if r._row.doc_id is not None and r._row.doc_id % 3 == 0 and r._row.doc_id > 10]
     assert np.mean([r.predicted == int(r._row.doc_id % 5 == 0) for r in fresh]) > 0.97
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    # Texts without blanks, at any place in them.
+    joined = ["".join(rng.choice(plain) for _ in range(20_000)) for _ in range(2)]
+    for at in (0, 5_000, 40_000, 80_000):
+        spoiled = [t[:at] + "".join(rng.choice(bad) + rng.choice(plain) for _ in range(30)) + t[at:] for t in joined]
+        scored = toxicity.toxicity(table(spark, list(enumerate(joined + spoiled))), model, keep=["doc_id"]).collect()
+        assert [r.predicted for r in sorted(scored, key=lambda r: r._row.doc_id)] == [0, 0, 1, 1], at
+    assert b"".join(w[: 224 if len(w) > 224 else None] for w in toxicity.windows("x" * 5_000))[:4_000].strip() == b"x" * 3_999
     none = toxicity.train(df, known.limit(0))
     assert {r.score for r in toxicity.toxicity(df, none).collect()} == {0.5}
     assert toxicity.toxicity(df.limit(0), model).count() == 0
