@@ -70,17 +70,27 @@ def span_of_quote(spans: Column, quote: Column, page: Column) -> Column:
 
 
 def block_pages(blocks: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Each block's page: that of the span with the longest common prefix, at least BLOCK_PREFIX, or SHORT_PREFIX where one holds the other.
+    """Each block's page: that of the span with the longest common prefix, at least BLOCK_PREFIX, or SHORT_PREFIX where one holds the other; the first on ties.
 
-    Either way the first SHORT_PREFIX characters are equal, so only such pairs are made.
+    Texts are compared once however often a document repeats them (of equal spans the first counts). Those that share BLOCK_PREFIX characters meet by
+    these, and only blocks that find nothing there are sought by SHORT_PREFIX ones, among texts of which one begins with the other.
     """
-    side = lambda df, *c: df.withColumn("said", T.normalized("text")).where("said <> ''").select(key, F.left("said", F.lit(SHORT_PREFIX)).alias("begins"), *c, "said")
-    both = side(blocks, "block_index").join(side(spans, "n", "page").withColumnRenamed("said", "span_said"), [key, "begins"])
+    said = T.normalized("text")
+    asked = blocks.select(key, "block_index", said.alias("said")).where("said <> ''")
+    texts = asked.select(key, "said").distinct()
+    known = spans.select(key, said.alias("span_said"), "n", "page").where("span_said <> ''").groupBy(key, "span_said").agg(F.min(F.struct("n", "page")).alias("at"))
+
+    def met(some: DataFrame, size: int) -> DataFrame:
+        left = some.withColumn("begins", F.left("said", F.lit(size))).where(F.length("said") >= size)
+        right = known.withColumn("begins", F.left("span_said", F.lit(size))).where(F.length("span_said") >= size)
+        return left.join(right, [key, "begins"])
+
     shared = T.common_prefix("said", "span_said")
-    holds = F.contains("said", "span_said") | F.contains("span_said", "said")
-    near = both.withColumn("shared", shared).where((F.col("shared") >= BLOCK_PREFIX) | (holds & (F.col("shared") >= SHORT_PREFIX)))
-    best = Window.partitionBy(key, "block_index").orderBy(F.desc("shared"), "n")
-    return near.withColumn("_k", F.row_number().over(best)).where("_k = 1").select(key, "block_index", "page", "shared")
+    best = lambda rows: rows.groupBy(key, "said").agg(F.min(F.struct((-F.col("shared")).alias("less"), "at")).alias("best")).select(key, "said", (-F.col("best.less")).alias("shared"), F.col("best.at.page").alias("page"))
+    long = best(met(texts, BLOCK_PREFIX).withColumn("shared", shared))
+    held = F.contains("said", "span_said") | F.contains("span_said", "said")
+    short = best(met(texts.join(long, [key, "said"], "left_anti"), SHORT_PREFIX).where(held).withColumn("shared", shared))
+    return asked.join(long.unionByName(short), [key, "said"]).select(key, "block_index", "page", "shared")
 
 
 def enriched(precision: Column, quote: Column, span: Column, chars: Column, width: Column, height: Column) -> Column:

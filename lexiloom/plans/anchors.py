@@ -15,11 +15,13 @@ from .base import BLOCKS, query
 PAGE_LINES = 20
 _FLAT = "regexp_replace({}, '\\s+', '', 'g')"
 _SPANS = f"""{BLOCKS}, sp AS (SELECT doc_id, block_index AS n, text, {_FLAT.format("text")} AS flat, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS norm, block_index // {PAGE_LINES} + 1 AS page FROM blocks WHERE {_FLAT.format("text")} <> ''),
-qu AS (SELECT doc_id, n AS own, text AS block, flat AS b, substring(text, 9, 10) AS quote, {_FLAT.format("substring(text, 9, 10)")} AS q FROM sp WHERE length(text) >= 30 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n) = 1),
+lg AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS k FROM (SELECT *, lead(text) OVER (PARTITION BY doc_id ORDER BY n) AS after FROM sp) WHERE length(text) >= 30 QUALIFY k <= 3 AND (k < 3 OR after IS NOT NULL)),
+qt AS (SELECT *, CASE k WHEN 3 THEN text || chr(10) || after ELSE text END AS block, CASE k WHEN 1 THEN substring(text, 9, 10) WHEN 2 THEN replace(substring(text, 5, 14), ' ', '  ') ELSE right(text, 8) || ' ' || left(after, 8) END AS quote FROM lg),
+qu AS (SELECT doc_id, n AS own, k, block, {_FLAT.format("block")} AS b, quote, {_FLAT.format("quote")} AS q FROM qt),
 ls AS (SELECT doc_id, list(flat ORDER BY n) AS fl, list(n ORDER BY n) AS ns FROM sp GROUP BY doc_id),
 st AS (SELECT *, position(q IN b) - 1 AS qp, list_filter(range(1, len(fl) + 1), lambda i: starts_with(array_to_string(fl[i:i + 14], ''), b))[1] AS s FROM qu JOIN ls USING (doc_id) WHERE q <> ''),
 ac AS (SELECT *, list_transform(range(s, len(fl) + 1), lambda i: {{'i': i, 'seen': coalesce(list_sum(list_transform(fl[s:i - 1], lambda x: length(x)))::BIGINT, 0), 'size': length(fl[i])}}) AS w FROM st),
-lo AS (SELECT doc_id, own, quote, q, ns[coalesce(list_filter(w, lambda x: x.seen <= qp AND qp + length(q) <= x.seen + x.size)[1].i, list_filter(w, lambda x: x.seen <= qp AND qp < x.seen + x.size)[1].i)] AS n FROM ac)"""
+lo AS (SELECT doc_id, own, k, quote, q, ns[coalesce(list_filter(w, lambda x: x.seen <= qp AND qp + length(q) <= x.seen + x.size)[1].i, list_filter(w, lambda x: x.seen <= qp AND qp < x.seen + x.size)[1].i)] AS n FROM ac)"""
 
 
 def _spans(spark, d):
@@ -30,9 +32,13 @@ def _spans(spark, d):
 
 
 def _quotes(spark, d):
+    """The first three long lines of a document, each quoted in its own way: as it stands, with other white space, and over its end into the next line."""
     first = Window.partitionBy("doc_id").orderBy("n")
-    rows = _spans(spark, d).where(F.length("text") >= 30).withColumn("k", F.row_number().over(first)).where("k = 1")
-    return rows.select("doc_id", F.col("n").alias("own"), F.col("text").alias("block"), F.substring("text", 9, 10).alias("quote")).where(T.useful("quote") != "")
+    rows = _spans(spark, d).withColumn("after", F.lead("text").over(first)).where(F.length("text") >= 30).withColumn("k", F.row_number().over(first)).where("k < 3 OR k = 3 AND after IS NOT NULL")
+    block = F.when(F.col("k") == 3, F.concat("text", F.lit("\n"), "after")).otherwise(F.col("text"))
+    across = F.concat(F.right("text", F.lit(8)), F.lit(" "), F.left("after", F.lit(8)))
+    quote = F.when(F.col("k") == 1, F.substring("text", 9, 10)).when(F.col("k") == 2, F.replace(F.substring("text", 5, 14), F.lit(" "), F.lit("  "))).otherwise(across)
+    return rows.select("doc_id", F.col("n").alias("own"), "k", block.alias("block"), quote.alias("quote")).where(T.useful("quote") != "")
 
 
 def _line_chars(text, top):
@@ -40,24 +46,24 @@ def _line_chars(text, top):
     return F.transform(F.split(text, ""), lambda c, i: F.struct(c.alias("text"), (i * 8.0).alias("x0"), (i * 8.0 + 7).alias("x1"), top.alias("top"), (top + 12).alias("bottom")))
 
 
-@query("geo_locate_in_block", f"WITH {_SPANS} SELECT doc_id, quote, n FROM lo")
+@query("geo_locate_in_block", f"WITH {_SPANS} SELECT doc_id, own, quote, n FROM lo")
 def geo_locate_in_block(spark, d):
     rows = A.with_spans(_quotes(spark, d), _spans(spark, d))
-    return rows.select("doc_id", "quote", A.located_in_block(F.col("spans"), F.col("block"), F.col("quote"))["n"].alias("n"))
+    return rows.select("doc_id", "own", "quote", A.located_in_block(F.col("spans"), F.col("block"), F.col("quote"))["n"].alias("n"))
 
 
 @query(
     "join_quote_span",
-    f"""WITH {_SPANS}, c AS (SELECT qu.doc_id, trim(regexp_replace(quote, '\\s+', ' ', 'g')) AS qn, q, sp.n, sp.page, sp.page = qu.doc_id % 3 + 1 AS here, norm, flat FROM qu JOIN sp USING (doc_id) WHERE q <> ''),
+    f"""WITH {_SPANS}, c AS (SELECT qu.doc_id, own, trim(regexp_replace(quote, '\\s+', ' ', 'g')) AS qn, q, sp.n, sp.page, sp.page = qu.doc_id % 3 + 1 AS here, norm, flat FROM qu JOIN sp USING (doc_id) WHERE q <> ''),
 r AS (SELECT *, CASE WHEN contains(norm, qn) THEN length(qn) / length(norm) WHEN length(q) >= 2 AND contains(flat, q) THEN 0.5 * (length(q) / length(flat)) END AS ratio FROM c)
-SELECT doc_id, n, page, round(ratio, 9) AS ratio FROM r WHERE ratio > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY here DESC, ratio DESC, n) = 1""",
+SELECT doc_id, own, n, page, round(ratio, 9) AS ratio FROM r WHERE ratio > 0 QUALIFY row_number() OVER (PARTITION BY doc_id, own ORDER BY here DESC, ratio DESC, n) = 1""",
 )
 def join_quote_span(spark, d):
     rows = A.with_spans(_quotes(spark, d), _spans(spark, d))
-    found = rows.select("doc_id", "quote", A.span_of_quote(F.col("spans"), F.col("quote"), (F.col("doc_id") % 3 + 1).cast("int")).alias("s")).where("s IS NOT NULL")
+    found = rows.select("doc_id", "own", "quote", A.span_of_quote(F.col("spans"), F.col("quote"), (F.col("doc_id") % 3 + 1).cast("int")).alias("s")).where("s IS NOT NULL")
     q, text = T.normalized("quote"), T.normalized("s.text")
     ratio = F.when(F.contains(text, q), F.length(q) / F.length(text)).otherwise(0.5 * (F.length(T.useful(q)) / F.length(T.useful(text))))
-    return found.select("doc_id", "s.n", "s.page", F.round(ratio, 9).alias("ratio"))
+    return found.select("doc_id", "own", "s.n", "s.page", F.round(ratio, 9).alias("ratio"))
 
 
 @query(
@@ -72,7 +78,7 @@ def join_span_block_page(spark, d):
     return A.block_pages(spans.where("n % 3 <> 1").select("doc_id", F.col("n").alias("block_index"), cut.alias("text")), spans)
 
 
-_PLACES = f"""ch AS (SELECT doc_id, own, quote, q, block, list_filter(range(1, length(block) + 1), lambda i: {_FLAT.format("substring(block, i::INT, 1)")} <> '') AS idx, b, 8.0 * length(block) AS wide FROM qu WHERE q <> ''),
+_PLACES = f"""ch AS (SELECT doc_id, own, k, quote, q, block, list_filter(range(1, length(block) + 1), lambda i: {_FLAT.format("substring(block, i::INT, 1)")} <> '') AS idx, b, 8.0 * length(block) AS wide FROM qu WHERE q <> ''),
 oc AS (SELECT *, unnest(list_filter(range(1, length(b) - length(q) + 2), lambda j: substring(b, j::INT, length(q)::INT) = q)) AS j FROM ch),
 bx AS (SELECT *, (idx[j] - 1) * 8.0 / wide * 1000 AS x0, ((idx[j + length(q) - 1] - 1) * 8.0 + 7) / wide * 1000 AS x1 FROM oc)"""
 
@@ -80,37 +86,37 @@ bx AS (SELECT *, (idx[j] - 1) * 8.0 / wide * 1000 AS x0, ((idx[j + length(q) - 1
 @query(
     "geo_refine",
     f"""WITH {_SPANS}, {_PLACES},
-fr AS (SELECT doc_id, x0, x1 FROM bx QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY (x1 - x0) * (112.0 / 792 * 1000 - 100.0 / 792 * 1000), j) = 1),
-le AS (SELECT doc_id, x0, x1 FROM bx WHERE greatest(0, x1 - 500) <= (x1 - x0) * 0.5 AND greatest(0, x1 - 500) / (x1 - x0) <= 0.2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY (x1 - x0) * (112.0 / 792 * 1000 - 100.0 / 792 * 1000), j) = 1)
-SELECT doc_id, round(fr.x0, 6) AS x0, round(fr.x1, 6) AS x1, round(le.x0, 6) AS left_x0 FROM fr LEFT JOIN le USING (doc_id)""",
+fr AS (SELECT doc_id, own, x0, x1 FROM bx QUALIFY row_number() OVER (PARTITION BY doc_id, own ORDER BY (x1 - x0) * (112.0 / 792 * 1000 - 100.0 / 792 * 1000), j) = 1),
+le AS (SELECT doc_id, own, x0, x1 FROM bx WHERE greatest(0, x1 - 500) <= (x1 - x0) * 0.5 AND greatest(0, x1 - 500) / (x1 - x0) <= 0.2 QUALIFY row_number() OVER (PARTITION BY doc_id, own ORDER BY (x1 - x0) * (112.0 / 792 * 1000 - 100.0 / 792 * 1000), j) = 1)
+SELECT doc_id, own, round(fr.x0, 6) AS x0, round(fr.x1, 6) AS x1, round(le.x0, 6) AS left_x0 FROM fr LEFT JOIN le USING (doc_id, own)""",
 )
 def geo_refine(spark, d):
     rows = _quotes(spark, d)
     boxes = G.quote_boxes(_line_chars(F.col("block"), F.lit(100.0)), F.col("quote"), F.length("block") * 8.0, F.lit(792.0))
     half = F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(500.0).alias("x1"), F.lit(1000.0).alias("y1"))
-    rows = rows.select("doc_id", boxes.alias("b")).select("doc_id", G.refined(F.col("b")).alias("r"), G.refined(F.col("b"), half).alias("l"))
-    return rows.select("doc_id", F.round("r.x0", 6).alias("x0"), F.round("r.x1", 6).alias("x1"), F.round("l.x0", 6).alias("left_x0"))
+    rows = rows.select("doc_id", "own", boxes.alias("b")).select("doc_id", "own", G.refined(F.col("b")).alias("r"), G.refined(F.col("b"), half).alias("l"))
+    return rows.select("doc_id", "own", F.round("r.x0", 6).alias("x0"), F.round("r.x1", 6).alias("x1"), F.round("l.x0", 6).alias("left_x0"))
 
 
 @query(
     "geo_enrich",
-    f"""WITH {_SPANS}, {_PLACES}, sm AS (SELECT doc_id, x0 FROM bx QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY (x1 - x0), j) = 1)
-SELECT lo.doc_id, CASE WHEN lo.doc_id % 5 = 0 THEN NULL WHEN lo.doc_id % 7 = 1 THEN 'page' ELSE 'rect' END AS precision, CASE WHEN lo.doc_id % 5 = 0 THEN NULL WHEN lo.doc_id % 7 = 1 THEN 'degraded' ELSE 'exact' END AS status,
-CASE WHEN lo.doc_id % 5 <> 0 THEN n // {PAGE_LINES} + 1 END AS page, CASE WHEN lo.doc_id % 5 <> 0 AND lo.doc_id % 7 <> 1 THEN round(sm.x0, 3) END AS x0 FROM lo JOIN sm USING (doc_id) WHERE lo.n = lo.own""",
+    f"""WITH {_SPANS}, {_PLACES}, sm AS (SELECT doc_id, own, x0 FROM bx QUALIFY row_number() OVER (PARTITION BY doc_id, own ORDER BY (x1 - x0), j) = 1)
+SELECT lo.doc_id, lo.own, CASE WHEN lo.doc_id % 5 = 0 THEN NULL WHEN lo.doc_id % 7 = 1 THEN 'page' ELSE 'rect' END AS precision, CASE WHEN lo.doc_id % 5 = 0 THEN NULL WHEN lo.doc_id % 7 = 1 THEN 'degraded' ELSE 'exact' END AS status,
+CASE WHEN lo.doc_id % 5 <> 0 THEN n // {PAGE_LINES} + 1 END AS page, CASE WHEN lo.doc_id % 5 <> 0 AND lo.doc_id % 7 <> 1 THEN round(sm.x0, 3) END AS x0 FROM lo JOIN sm ON sm.doc_id = lo.doc_id AND sm.own = lo.own WHERE lo.n = lo.own AND k < 3""",
 )
 def geo_enrich(spark, d):
-    rows = A.with_spans(_quotes(spark, d), _spans(spark, d)).withColumn("s", A.located_in_block(F.col("spans"), F.col("block"), F.col("quote"))).where("s.n = own")
+    rows = A.with_spans(_quotes(spark, d).where("k < 3"), _spans(spark, d)).withColumn("s", A.located_in_block(F.col("spans"), F.col("block"), F.col("quote"))).where("s.n = own")
     top = (F.col("s.box.y0") + 5) / 1000 * 792
     other = F.transform(F.split(F.repeat(F.lit("#"), 40), ""), lambda c, i: F.struct(c.alias("text"), (i * 8.0).alias("x0"), (i * 8.0 + 7).alias("x1"), top.alias("top"), (top + 12).alias("bottom")))
     chars = F.when(F.col("doc_id") % 7 == 1, other).otherwise(_line_chars(F.col("s.text"), top))
     anchor = A.enriched(F.when(F.col("doc_id") % 5 == 0, "rect").otherwise("block"), F.col("quote"), F.col("s"), chars, F.length("s.text") * 8.0, F.lit(792.0))
-    return rows.select("doc_id", anchor.alias("a")).select("doc_id", "a.precision", "a.status", "a.page", F.round("a.rect.x0", 3).alias("x0"))
+    return rows.select("doc_id", "own", anchor.alias("a")).select("doc_id", "own", "a.precision", "a.status", "a.page", F.round("a.rect.x0", 3).alias("x0"))
 
 
 @query(
     "geo_anchor",
     f"""WITH {_SPANS} SELECT doc_id, ['pdf_text_layer', 'mineru_layout_span', 'paragraph_bbox', 'unlocated'][doc_id % 4 + 1] AS level, ['exact', 'exact', 'degraded', 'unlocated'][doc_id % 4 + 1] AS precision,
-[7, 3, 3, 3][doc_id % 4 + 1] AS page, round([0.0, 1000.0 * (position(quote IN block) - 1) / length(block), 0.0, NULL][doc_id % 4 + 1], 6) AS x0, (position(quote IN block) - 1)::INT AS start, (position(quote IN block) - 1 + length(quote))::INT AS "end" FROM qu WHERE q <> ''""",
+[7, 3, 3, 3][doc_id % 4 + 1] AS page, round([0.0, 1000.0 * (position(quote IN block) - 1) / length(block), 0.0, NULL][doc_id % 4 + 1], 6) AS x0, (position(quote IN block) - 1)::INT AS start, (position(quote IN block) - 1 + length(quote))::INT AS "end" FROM qu WHERE q <> '' AND k = 1""",
 )
 def geo_anchor(spark, d):
     k = F.col("doc_id") % 4
@@ -119,7 +125,7 @@ def geo_anchor(spark, d):
     none = F.array(record(F.lit("nothing of it"), 9))
     layer, spans = F.when(k == 0, F.array(record(F.col("block"), 7))).otherwise(none), F.when(k <= 1, F.array(record(F.lit("~"), 2), record(F.col("block"), None))).otherwise(none)
     rects = F.when(k == 3, F.slice(F.array(box), 1, 0)).otherwise(F.array(box))
-    rows = _quotes(spark, d).select("doc_id", A.pdf_anchor(F.col("quote"), layer, spans, rects, F.lit(3)).alias("a"), A.docx_range(F.col("block"), F.col("quote")).alias("r"))
+    rows = _quotes(spark, d).where("k = 1").select("doc_id", A.pdf_anchor(F.col("quote"), layer, spans, rects, F.lit(3)).alias("a"), A.docx_range(F.col("block"), F.col("quote")).alias("r"))
     return rows.select("doc_id", "a.level", "a.precision", "a.page", F.round(F.get("a.rects", F.lit(0))["x0"], 6).alias("x0"), "r.start", "r.end")
 
 
