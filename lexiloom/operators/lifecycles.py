@@ -67,7 +67,7 @@ def recovered(jobs: DataFrame, status: str, errors: str) -> DataFrame:
 
 
 def answer_events(requests: DataFrame, conversation: str, request: str, order: list[str]) -> DataFrame:
-    """Events of every request for an answer, in order (``n`` from 0).
+    """Events of every request for an answer, in order (``part`` from 0).
 
     Rows have ``tokens`` (array), ``answer`` and ``outcome`` (done, error, or null if it was cut off). A request
     whose id has ended before gets the stored end alone, whatever it would have brought; others get meta, states, tokens (the
@@ -87,7 +87,7 @@ def answer_events(requests: DataFrame, conversation: str, request: str, order: l
     fresh = F.concat(F.array(event("meta", none), event("status", F.lit("retrieving"))), generating, streamed, end)
     replay = F.array(event("meta", none), event(F.col("_ended.outcome"), F.when(F.col("_ended.outcome") == "done", F.col("_ended.answer"))))
     told = rows.withColumn("_e", F.when(F.col("_ended").isNotNull(), replay).otherwise(fresh))
-    return told.select(conversation, request, *order, F.col("_ended").isNotNull().alias("replayed"), F.posexplode("_e").alias("n", "_x")).select(conversation, request, *order, "replayed", "n", "_x.event", "_x.data")
+    return told.select(conversation, request, *order, F.col("_ended").isNotNull().alias("replayed"), F.posexplode("_e").alias("part", "_x")).select(conversation, request, *order, "replayed", "part", "_x.event", "_x.data")
 
 
 def inserted_once(messages: DataFrame, keys: list[str], order: list[str], id_col: str) -> DataFrame:

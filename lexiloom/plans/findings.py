@@ -472,7 +472,7 @@ def stm_qa_tokens(spark, d):
     outcome = F.when(kind == "click", "error").when(kind != "signup", "done")
     tokens = F.when(kind.isin("view", "signup"), F.array(F.lit("a"), F.lit(""), F.concat(F.lit("b"), i))).otherwise(F.array().cast("array<string>"))
     asked = table(spark, d, "events").select("user_id", (F.col("event_id") % 3).alias("request"), "event_id", outcome.alias("outcome"), tokens.alias("tokens"), F.concat(F.lit("x"), i).alias("answer"))
-    return Li.answer_events(asked, "user_id", "request", ["event_id"])
+    return Li.answer_events(asked, "user_id", "request", ["event_id"]).withColumnRenamed("part", "n")
 
 
 # What runs from one event of a user to the next ticks.
