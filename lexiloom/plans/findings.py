@@ -56,10 +56,15 @@ def flt_findings(spark, d):
     return Fd.stored(_found(spark, d), "high_only").where("NOT suppressed").groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("set_union_hits", f"WITH {_HITS} SELECT rule_id, count(*) AS n FROM hits GROUP BY rule_id")
+# One rule of several words, of which one holds another: the union of their hits, a place named twice once.
+@query(
+    "set_union_hits",
+    f"""WITH {BLOCKS}, k AS (SELECT unnest(['eux', 'EUX', 'ux', 'the and']) AS kw), p AS (SELECT doc_id, block_index, text, kw, regexp_split_to_array(text, '(?i)' || kw) AS p FROM blocks, k WHERE regexp_matches(text, '(?i)' || kw)),
+h AS (SELECT *, unnest(list_transform(range(1, len(p)), lambda i: list_sum(list_transform(p[1:i], lambda x: length(x)))::BIGINT + (i - 1) * length(kw))) AS s FROM p)
+SELECT DISTINCT doc_id, block_index, s::INT AS start, (s + length(kw))::INT AS "end", substring(text, (s + 1)::INT, length(kw)::INT) AS quote FROM h""",
+)
 def set_union_hits(spark, d):
-    parts = [_blocks(spark, d).select(F.lit(r["rule_id"]).alias("rule_id"), F.explode(R.keyword_hits("text", r["keyword"])).alias("h")) for r in RULES]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+    return RS.rule_hits(_blocks(spark, d), RS.RuleSet([{"rule_id": "r", "text_pattern": ["eux", "EUX", "ux", "the and"]}])).select("doc_id", "block_index", "start", "end", "quote")
 
 
 @query("win_dedupe_hits", f"WITH {_HITS}, m AS (SELECT DISTINCT doc_id, block_index, s, k FROM hits, (VALUES ('keyword'), ('regex')) v(k) WHERE rule_id = 'r2') SELECT doc_id, block_index, k AS matcher, s AS start FROM m")

@@ -9,6 +9,7 @@ from lexiloom.operators import lifecycles as L
 from lexiloom.operators import state as S
 from lexiloom.operators.asof import asof
 from lexiloom.operators.search_index import write_index
+from lexiloom.sources.scratch import new_path
 from lexiloom.sources.tables import table
 from lexiloom.streaming import jobs as J
 
@@ -24,19 +25,54 @@ _LOG = """e AS (SELECT user_id AS job_id, row_number() OVER (PARTITION BY user_i
 t AS (SELECT *, min(seq) FILTER (event IN ('complete', 'error')) OVER (PARTITION BY job_id) AS stop FROM e)"""
 
 
-@query(
-    "stm_job_events",
-    f"""WITH {_LOG} SELECT job_id, seq, event, FALSE AS synthetic FROM t WHERE stop IS NULL OR seq <= stop
-UNION ALL SELECT job_id, max(seq) + 1, CASE WHEN job_id % 8 = 0 THEN 'error' ELSE 'complete' END, TRUE FROM t WHERE stop IS NULL AND job_id % 4 = 0 GROUP BY job_id""",
-)
-def stm_job_events(spark, d):
+_TAIL = f"""WITH {_LOG} SELECT job_id, seq, event, FALSE AS synthetic FROM t WHERE stop IS NULL OR seq <= stop
+UNION ALL SELECT job_id, max(seq) + 1, CASE WHEN job_id % 8 = 0 THEN 'error' ELSE 'complete' END, TRUE FROM t WHERE stop IS NULL AND job_id % 4 = 0 GROUP BY job_id"""
+
+
+def _job_log(spark, d):
     ev = _events(spark, d)
     seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
     event = F.when(F.col("event_id") % 40 == 0, "error").when(F.col("event_id") % 50 == 1, "complete").otherwise(F.col("event_type"))
-    log = ev.select(F.col("user_id").alias("job_id"), seq.alias("seq"), event.alias("event"), F.col("props").cast("string").alias("data"), F.lit(None).cast("string").alias("status"), F.col("ts").cast("timestamp").alias("at"))
-    state = F.when(F.col("job_id") % 8 == 0, "failed").when(F.col("job_id") % 4 == 0, "complete_degraded").otherwise("running")
+    log = ev.select(F.col("user_id").cast("string").alias("job_id"), seq.alias("seq"), event.alias("event"), F.col("props").cast("string").alias("data"), F.lit(None).cast("string").alias("status"), F.col("ts").cast("timestamp").alias("at"))
+    job = F.col("job_id").cast("long")
+    state = F.when(job % 8 == 0, "failed").when(job % 4 == 0, "complete_degraded").otherwise("running")
     ended = log.groupBy("job_id").agg(F.max("at").alias("at")).select("job_id", F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("event"), F.lit(None).cast("string").alias("data"), state.alias("status"), "at")
-    return J.tail(log.unionByName(ended)).select("job_id", "seq", "event", "synthetic")
+    return log.unionByName(ended)
+
+
+@query("stm_job_events", _TAIL)
+def stm_job_events(spark, d):
+    return J.tail(_job_log(spark, d)).select(F.col("job_id").cast("long").alias("job_id"), "seq", "event", "synthetic")
+
+
+@query("stm_live_tail", _TAIL)
+def stm_live_tail(spark, d):
+    """The same by a stream with timers; two ticks of a clock at the end let the last of them run out."""
+    J.with_state(spark)
+    log, source = _job_log(spark, d), new_path(spark, "log")
+    log.write.parquet(source)
+    last = log.agg(F.max("at").alias("at"))
+    for days in (30, 60):
+        last.select(F.lit("clock").alias("job_id"), F.lit(days).cast("long").alias("seq"), F.lit("tick").alias("event"), F.lit(None).cast("string").alias("data"), F.lit(None).cast("string").alias("status"), F.timestamp_add("DAY", F.lit(days), "at").alias("at")).write.mode("append").parquet(source)
+    # All files of the log in one batch: it has been written at once, whatever the times in it.
+    told = J.into_table(J.live_tail(spark.readStream.schema(log.schema).parquet(source)), "tail")
+    return told.where("job_id <> 'clock'").select(F.col("job_id").cast("long").alias("job_id"), "seq", "event", "synthetic")
+
+
+@query("stm_live_capacity")
+def stm_live_capacity(spark, d):
+    """The governor of stm_capacity as a stream, with the events of each third of all time as a batch of their own."""
+    J.with_state(spark)
+    kind = F.when(F.col("event_type") == "click", "complete").otherwise("admit")
+    rows = _events(spark, d).select(F.col("user_id").cast("string").alias("governor"), F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), kind.alias("kind"), (F.col("event_id") % 7).cast("string").alias("job"))
+    low, high = rows.agg(F.min("at"), F.max("at")).first()
+    source, table_ = new_path(spark, "log"), new_path(spark, "governed")
+    for k in range(3):
+        part = rows.where((F.floor((F.col("at") - F.lit(low or 0.0)) / F.lit(max(1e-9, ((high or 0.0) - (low or 0.0)) / 3))).cast("int") == k) | (F.lit(k == 2) & (F.col("at") == F.lit(high))))
+        part.write.mode("append").parquet(source)
+        stream = J.live_governed(spark.readStream.schema(rows.schema).parquet(source), 2, 2, 4, 86_400.0)
+        stream.writeStream.format("parquet").option("path", f"{table_}/rows").option("checkpointLocation", f"{table_}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{table_}/rows").select("id", "outcome", "promoted")
 
 
 @query(

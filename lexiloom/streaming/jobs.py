@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from lexiloom.sources.scratch import new_path
+
 # Events and states that end a job, and the event that a state without one stands for.
 TERMINAL_EVENTS = ("complete", "error")
 ENDED = {"complete": ("complete", None), "complete_degraded": ("complete", None), "failed": ("error", "analysis failed"), "cancelled": ("error", "cancelled")}
@@ -118,6 +120,13 @@ def _events(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["job_id", "seq", "event", "data", "synthetic"]).astype({"seq": "int64", "synthetic": "bool"})
 
 
+def into_table(stream: DataFrame, name: str) -> DataFrame:
+    """Runs a stream over all that is there into a table of the shared folder."""
+    spark, path = stream.sparkSession, new_path(stream.sparkSession, name)
+    stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
 def live_tail(rows: DataFrame, late: str = "10 seconds", grace_ms: int = 500) -> DataFrame:
     """The same of a stream: once the watermark has passed a job's end by the grace, its terminal event is there."""
     return rows.withWatermark("at", late).groupBy("job_id").transformWithStateInPandas(_Tail(grace_ms), EVENT, "append", "eventTime")

@@ -93,3 +93,8 @@ def test_structure_chunks_carry_their_title(spark):
         for line in t.split("\n"):
             if 40 < len(line.strip()) <= 200:
                 assert line.strip() in bodies[i]
+
+
+def test_live_governor_is_the_batch_one(spark):
+    told = lambda name: sorted((r.id, r.outcome, r.promoted or "") for r in QUERIES[name](spark, FOLDER).select("id", "outcome", "promoted").collect())
+    assert told("stm_live_capacity") == told("stm_capacity")
