@@ -8,6 +8,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,6 +94,21 @@ def carried(rows: DataFrame, key: str, order: list[str], start, step, added: str
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, f"{_ddl(rows)}, {added}")
 
 
+def streamed_hash(rows: DataFrame, order: list[str], text: str, begin: str, between: str, end: str) -> DataFrame:
+    """One SHA-256 over all rows' texts in order. The hash goes from row to row, so one task makes it; the rows are sorted on disk and stream past it, none is kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sha, any_ = hashlib.sha256(begin.encode()), False
+        for b in batches:
+            for t in b.column("t").to_pylist():
+                sha.update(((between if any_ else "") + (t or "")).encode())
+                any_ = True
+        sha.update(end.encode())
+        yield pa.RecordBatch.from_arrays([pa.array([sha.hexdigest()])], names=["sha256"])
+
+    return rows.select(*order, F.col(text).alias("t")).repartition(1).sortWithinPartitions(*order).select("t").mapInArrow(run, "sha256 string")
+
+
 def audit_chain(rows: DataFrame, scope: str) -> DataFrame:
     """Adds previous_hash and hash: each row's hash covers the one before."""
 

@@ -365,5 +365,4 @@ def set_manifest_diff(spark, d):
 @query("agg_dataset_hash", """SELECT sha256('[' || string_agg('{"path":"' || doc_id || '","sha256":"' || sha256(text) || '"}', ',' ORDER BY doc_id) || ']') AS dataset_hash FROM documents""")
 def agg_dataset_hash(spark, d):
     entries = table(spark, d, "documents").select("doc_id", F.to_json(F.struct(F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("sha256"))).alias("e"))
-    # A manifest is small by nature: one hash of all entries needs them in one place.
-    return entries.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "e"))), lambda x: x["e"]), ",").alias("all")).select(F.sha2(F.concat(F.lit("["), "all", F.lit("]")), 256).alias("dataset_hash"))
+    return S.streamed_hash(entries, ["doc_id", "e"], "e", "[", ",", "]").select(F.col("sha256").alias("dataset_hash"))
