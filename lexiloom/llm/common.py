@@ -30,9 +30,23 @@ class Scratch:
         self.paths.clear()
 
 
+#: Tables that ``written`` has made, in order; whoever knows that nothing reads them any more empties them.
+TABLES: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
-    """One such table that stays."""
-    return Scratch(df.sparkSession).written(df)
+    """One such table that stays until ``emptied``."""
+    one = Scratch(df.sparkSession)
+    out = one.written(df)
+    TABLES.extend(one.paths)
+    return out
+
+
+def emptied(spark: SparkSession, paths: list[str]) -> None:
+    """Empties tables of ``written``."""
+    for path in paths:
+        spark.range(0).write.mode("overwrite").parquet(path)
+        TABLES.remove(path)
 
 
 #: Bytes of an Arrow batch.

@@ -82,3 +82,14 @@ def test_odd_rows(spark):
     clean = kept["decontamination"]
     assert (6, "other text of six") in clean and not [1 for _, t in clean if t == item] and len(clean) >= len(near) - 2
     assert docs.count() == len(clean)
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_tables_between_stages_are_emptied(spark):
+    """What the last stage reads stays, nothing else."""
+    from lexiloom.llm import common
+
+    before = list(common.TABLES)
+    out = corpus_pipeline.run(spark, FOLDER)
+    left = common.TABLES[len(before) :]
+    assert out.count() > 0 and len(left) == 1 and spark.read.parquet(left[0]).count() == out.count()
