@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm import bpe, decontam, line_dedup, near_dup, toxicity
-from lexiloom.llm.common import packed, sized, table, written
+from lexiloom.llm.common import TABLES, emptied, packed, sized, table, written
 from lexiloom.llm.queries import word_vocabulary
 
 
@@ -63,9 +63,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents. What a stage wrote for itself, and what it read, is emptied once its result is written."""
+    docs, before = table(spark, sf_dir, "documents"), len(TABLES)
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = written(docs)
+            emptied(spark, TABLES[before:-1])
     return docs
