@@ -48,7 +48,9 @@ def located_in_block(spans: Column, block: Column, quote: Column) -> Column:
         return F.when((w["q"] != "") & (at >= 0) & (w["most"] >= LEAST_PREFIX), w["first"] - 1 + place)
 
     def begin(w: Column) -> Column:
-        shared = F.transform(w["flats"], lambda x, i: T.common_prefix(w["b"], F.array_join(F.slice(w["flats"], i + 1, REACH), "")))
+        # Texts are put together only where the first span may begin the block: any other prefix is too short to count.
+        head = lambda x: F.left(x, F.lit(LEAST_PREFIX))
+        shared = F.transform(w["flats"], lambda x, i: F.when(w["b"].startswith(head(x)) | head(x).startswith(w["b"]), T.common_prefix(w["b"], F.array_join(F.slice(w["flats"], i + 1, REACH), ""))).otherwise(F.lit(0)))
         return T.let(shared, lambda s: T.let(F.struct(w["flats"].alias("flats"), w["b"].alias("b"), w["q"].alias("q"), F.array_max(s).alias("most"), F.array_position(s, F.array_max(s)).cast("int").alias("first")), walk))
 
     given = F.struct(F.transform(spans, lambda s: T.useful(s["text"])).alias("flats"), T.useful(block).alias("b"), T.useful(quote).alias("q"))
