@@ -23,7 +23,7 @@ from .retrieval import cosine, ranked
 
 BITS, BUCKET_BITS = 256, 6
 #: Candidates that are verified; recall grows with them.
-CANDIDATES = 100
+CANDIDATES = 200
 
 
 @dataclass
