@@ -153,14 +153,14 @@ def scores(texts: list[str | None], model: Model, tools) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(features(saved) @ model.weights, -30, 30)))
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_rows: int = MAX_TOXIC_ROWS, ordinary_rows: int = MAX_ORDINARY_ROWS, sample_bytes: int = MAX_SAMPLE_BYTES) -> dict[int, list[str]]:
-    """Distinct whole texts of each class: at most so many rows, smallest id hashes first, up to half of ``sample_bytes`` each; a text that would pass that is left out.
+def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_rows: int | None = None, ordinary_rows: int | None = None, sample_bytes: int | None = None) -> dict[int, list[str]]:
+    """Distinct whole texts of each class: at most so many rows, smallest id hashes first, up to half of ``sample_bytes`` each; a text that would pass that is left out. Without numbers MAX_TOXIC_ROWS, MAX_ORDINARY_ROWS and MAX_SAMPLE_BYTES hold.
 
     Labels are cut to the row bound before any text is read, then the rows that they meet, then their
     bytes: what is broadcast and what comes to the driver stay bounded however often an id repeats.
     """
     ids = labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label_col}`").alias("_label"), F.xxhash64(f"`{id_col}`").alias("_order")).where(F.col("_id").isNotNull())
-    bounds = {1: toxic_rows, 0: ordinary_rows}
+    bounds = {1: toxic_rows or MAX_TOXIC_ROWS, 0: ordinary_rows or MAX_ORDINARY_ROWS}
     first = lambda c: ids.where(F.col("_label") == c).orderBy("_order", "_id").limit(bounds[c])
     picked = [tuple(r) for c in bounds for r in first(c).collect()]
     out: dict[int, list] = {0: [], 1: []}
@@ -174,7 +174,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for c in bounds:
         total = 0
         for r in met.where(F.col("_label") == c).orderBy("_order", "_id", "_digest").limit(bounds[c]).collect():
-            if total + r._size <= sample_bytes // 2:
+            if total + r._size <= (sample_bytes or MAX_SAMPLE_BYTES) // 2:
                 total += r._size
                 keep.append((r._id, r._label, r._order, r._digest))
     if keep:
