@@ -39,6 +39,15 @@ def test_words(spark):
     assert spark.range(1).select(T.tokens(F.lit(None).cast("string"))).first()[0] is None
 
 
+def test_words_never_begin_with_what_joins_others(spark):
+    """A mark with nothing before it is no word's beginning, nor what stands behind it."""
+    cases = {"\u0301'1é": ["1é"], "\u0301.\uff12": ["\uff12"], "漢\u0301.a": ["漢\u0301", "a"], "a\u0301.b _\u0301 _": ["a\u0301.b"]}
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", T.tokens("t").alias("w")).collect()
+    assert {r.t: r.w for r in rows} == cases
+    deep = spark.createDataFrame([("1,1" * 30_000,), ("_" * 40_000 + "a",), ("\u0301" * 40_000 + "a",)], "t string").select(F.size(T.tokens("t"))).collect()
+    assert [r[0] for r in deep] == [math.ceil(90_000 / 255), math.ceil(40_001 / 255), 1]
+
+
 def collection(seed=1, n=40):
     rng = random.Random(seed)
     words = ["甲", "乙", "合同", "red", "fox", "hen", "blue"]
