@@ -87,11 +87,18 @@ def src_gold(spark, d):
     return part("issues", "issue", "issue_id", F.col("doc_type")).unionByName(part("questions", "question", "question_id", F.col("doc_type"))).unionByName(part("rules", "rule", "rule_id", F.lit(None).cast("string")))
 
 
+#: Jobs whose keys lie so near each other share a file.
+JOBS_PER_FILE = 30_000
+
+
 @query("src_json_jobs_dir", "SELECT c_custkey AS job, c_name AS name, c_custkey % 5 AS findings FROM customer")
 def src_json_jobs_dir(spark, d):
     path = new_path(spark, "jobs")
-    jobs = table(spark, d, "customer").select(F.col("c_custkey").alias("job"), F.col("c_name").alias("name"), F.array_repeat(F.struct(F.lit("r").alias("rule_id")), (F.col("c_custkey") % 5).cast("int")).alias("findings"), (F.col("c_custkey") % 3).alias("part"))
-    jobs.write.partitionBy("part").option("maxRecordsPerFile", 1).json(path)
+    job = F.to_json(F.struct(F.col("c_custkey").alias("job"), F.col("c_name").alias("name"), F.array_repeat(F.struct(F.lit("r").alias("rule_id")), (F.col("c_custkey") % 5).cast("int")).alias("findings")))
+    # A file holds a list of jobs: a file a job would take longer to list and open than to read.
+    jobs = table(spark, d, "customer").select((F.col("c_custkey") % 3).alias("part"), F.floor(F.col("c_custkey") / JOBS_PER_FILE).alias("batch"), job.alias("job"))
+    lists = jobs.groupBy("part", "batch").agg(F.concat(F.lit("["), F.array_join(F.collect_list("job"), ","), F.lit("]")).alias("value"))
+    lists.select("part", "value").write.partitionBy("part").option("maxRecordsPerFile", 1).text(path)
     return json_folder(spark, path, "job long, name string, findings array<struct<rule_id: string>>").select("job", "name", F.size("findings").cast("long").alias("findings"))
 
 
