@@ -4,7 +4,7 @@ A byte goes if a LENGTH-byte string that covers it also starts in a document wit
 every suffix of a corpus would move it many times over, so the sort takes only what plainer facts leave
 open, and every step before it is exact (up to 112-bit hashes of equal position):
 
-1. Copies of a whole text, but the first, go by the text's digest; a task's own copies take no further part.
+1. Copies of a whole text, but the first, go by the text's digest and take no further part.
 2. Every LENGTH-byte string holds anchors: positions whose GRAM-byte hash is the least among those inside
    it. Equal strings hold equal anchors, so only anchors found in two documents can matter (one exchange
    of packed arrays; about one position in sixteen). Of a gram with more than HOT surroundings in one task
@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,15 +40,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_batches, packed, sized, written
+from .common import BROADCAST_IDS, Scratch, bounded_batches, packed, written
 from .shingles import mixed
 
 LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM  # a string that holds an anchor starts up to so many bytes before it
 HALF = (REACH + 1) // 2  # and holds so many bytes before it or as many behind it
-SLICE_BYTES, DEAL_BYTES, BUCKET_BYTES = 1_000_000, 12_000_000, 8_000_000
+SLICE_BYTES, PIECE_BYTES, DEAL_BYTES, BUCKET_BYTES = 1_000_000, 200_000, 12_000_000, 16_000_000
 HOT, HOT_CELLS = 128, 1 << 20
-RUN_ENTRIES, PART_ENTRIES, LEAST_ENTRIES = 150_000, 40_000, 2000
+# A run is cut into a piece for every part, so pieces number the square of all entries over the product of both.
+RUN_ENTRIES, PART_ENTRIES, LEAST_ENTRIES = 300_000, 200_000, 2000
 SPLIT_DOCS, SPLIT_STRINGS, SPLIT_SEED, SPLITS = 2000, 32, 7, 4096
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -64,15 +66,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _tables[size]
 
 
-def _slide(x: np.ndarray, width: int, f, fill) -> np.ndarray:
-    """f over x[i : i + width] for every i, in doubling steps."""
+def _slide(x: np.ndarray, width: int, f) -> np.ndarray:
+    """f (np.minimum or np.maximum) over x[i : i + width] for every i, in doubling steps; what lies beyond the end plays no part."""
     have, out = 1, x
-    while have * 2 <= width:
-        out = f(out, np.concatenate([out[have:], np.full(have, fill, x.dtype)]))
-        have *= 2
-    if have < width:
-        k = width - have
-        out = f(out, np.concatenate([out[k:], np.full(k, fill, x.dtype)]))
+    while have < width:
+        k = min(have, width - have)
+        wider = out.copy()
+        f(out[:-k], out[k:], out=wider[:-k])
+        out, have = wider, have + k
     return out
 
 
@@ -94,10 +95,10 @@ def anchors(bodies: list[bytes]) -> tuple[np.ndarray, ...]:
     m = n - GRAM + 1
     gram[:m] = mixed(mixed((sums[GRAM:] - sums[:m]) * inverse[:m])) >> np.uint64(1)
     gram[~fits] = none
-    least = _slide(gram, REACH + 1, np.minimum, none)
+    least = _slide(gram, REACH + 1, np.minimum)
     least[at + LENGTH > ends] = 0
     # The largest of the minima of all strings that hold a position: equal to its own hash only at anchors.
-    held = _slide(least[::-1], REACH + 1, np.maximum, np.uint64(0))[::-1]
+    held = _slide(least[::-1], REACH + 1, np.maximum)[::-1]
     found = np.flatnonzero((gram == held) & fits)
     lo, hi = np.maximum(begins[found], found - REACH), np.minimum(ends[found], found + LENGTH)
     around = mixed((sums[hi] - sums[lo]) * inverse[lo] + (found - lo).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + (hi - found).astype(np.uint64) * np.uint64(0x165667B19E3779F9))
@@ -137,6 +138,17 @@ def _slices(ids: pa.Array, texts: pa.Array) -> Iterator[tuple[list, list[bytes]]
         yield own, bodies
 
 
+def _pieces(bodies: list[bytes]) -> list[int]:
+    """Ends of runs of texts of about PIECE_BYTES, whose arrays stay in a core's cache."""
+    ends, size = [], 0
+    for k, body in enumerate(bodies):
+        size += len(body)
+        if size >= PIECE_BYTES or k + 1 == len(bodies):
+            ends.append(k + 1)
+            size = 0
+    return ends
+
+
 def _marks(ids, crcs, codes, kinds) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(crcs, pa.int64()), pa.array(codes, pa.int64()), pa.array(kinds, pa.int32())], names=["id", "crc", "code", "kind"])
 
@@ -199,9 +211,12 @@ def packed_anchors(buckets: int):
         for b in batches:
             for own, bodies in _slices(b.column("id"), b.column("text")):
                 own, bodies = apart(own, bodies)
-                text, *rest = anchors(bodies)
-                if len(text):
-                    held.append((text + len(ids), *rest))
+                begin = 0
+                for end in _pieces(bodies):
+                    text, *rest = anchors(bodies[begin:end])
+                    if len(text):
+                        held.append((text + len(ids) + begin, *rest))
+                    begin = end
                 ids += own
                 crcs += [zlib.crc32(x) for x in bodies]
                 size += sum(map(len, bodies))
@@ -387,7 +402,7 @@ def judge_runs(table: pa.Table) -> pa.Table:
             out.append(_marks(ids, crcs.astype(np.int64), places * 128 + LENGTH, np.zeros(len(ids))))
         else:
             runs.append(Run(blob.as_py()))
-    given = np.array(list(merged(runs)), np.int64).reshape(-1, 3)
+    given = np.fromiter(chain.from_iterable(merged(runs)), np.int64).reshape(-1, 3)
     if len(given):
         at = np.cumsum([0, *(len(run.ids) for run in runs)])[given[:, 0]] + given[:, 1]
         ids, crcs, places, sizes, befores, before = (np.concatenate([getattr(run, c) for run in runs])[at] for c in ("ids", "crcs", "places", "sizes", "befores", "before"))
@@ -423,7 +438,9 @@ def sorted_runs(splitters: list[bytes], parts: int):
     def parts_of(e: dict[str, np.ndarray]) -> np.ndarray:
         key = e["suffix"].copy()
         key[~e["single"], GRAM:] = 0
-        sums = (key.astype(np.uint64) * _powers(LENGTH)[0][:LENGTH]).sum(1)
+        sums = np.zeros(len(key), np.uint64)
+        for k, power in enumerate(_powers(LENGTH)[0][:LENGTH]):
+            sums += key[:, k] * power
         return np.searchsorted(edges, np.ascontiguousarray(key).view(f"S{LENGTH}").ravel(), "right") * deep + (mixed(mixed(sums)) % np.uint64(deep)).astype(np.int64)
 
     def row(part: int, blob: bytes, known: bool) -> pa.RecordBatch:
@@ -498,11 +515,14 @@ def substring_dedup(docs: DataFrame, keep: list[str] | None = None, id_col: str
     digested = plain.select("id", F.md5(F.col("text").cast("binary")).alias("digest"), F.crc32(F.col("text").cast("binary")).alias("crc"))
     # Written, so that the join has plain exchanges on both sides and Spark can split a hot text.
     firsts = scratch.written(digested.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("digest", "first"))
-    copies = digested.join(sized(firsts), "digest").where("id > first").select("id", "crc").distinct()
+    many = firsts.count() > BROADCAST_IDS
+    copies = digested.join(firsts if many else F.broadcast(firsts), "digest").where("id > first").select("id", "crc").distinct()
+    # All of a later copy goes, and what it says stands in the first, so it takes no further part; with too many digests to broadcast it does, as telling it apart would move every text.
+    own = plain if many else plain.join(F.broadcast(firsts), F.md5(F.col("text").cast("binary")) == F.col("digest"), "left").where("first IS NULL OR id = first").select("id", "text")
     keyed = plain.withColumn("crc", F.crc32(F.col("text").cast("binary")))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(tasks, -(-(plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES))
-    dealt = plain.select("id", "text").mapInArrow(packed_anchors(buckets), "bucket int, blob binary")
+    dealt = own.mapInArrow(packed_anchors(buckets), "bucket int, blob binary")
     marks = scratch.written(dealt.groupBy("bucket").applyInArrow(judge_anchors, MARKS))
     by_doc = lambda df, c: df.groupBy("id", "crc").agg(F.collect_set(c).alias("codes"))
     opened = scratch.written(by_doc(marks.where(F.col("kind") > COVERED), F.col("code") * 8 + F.col("kind")))

@@ -73,3 +73,30 @@ def test_merge_gives_every_suffix_in_order_with_common_prefixes():
         assert strings == sorted(want)
         for a, b, (_, _, shared) in zip(strings, strings[1:], got[1:]):
             assert shared == next((i for i in range(S.LENGTH) if a[i] != b[i]), S.LENGTH)
+
+
+def test_copies_in_other_tasks_take_no_part_in_anchors(spark, monkeypatch, tmp_path):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(200)) for _ in range(4)]
+    rows = [(i, texts[i % 4] if i < 80 else texts[0][:120] + "zz" + texts[1][40:]) for i in range(90)]
+    plain = S.packed_anchors
+
+    def told(buckets):
+        run = plain(buckets)
+
+        def noted(batches):
+            def passed():
+                for b in batches:
+                    for i in b.column("id").to_pylist():
+                        (tmp_path / f"seen{i}").touch()
+                    yield b
+
+            yield from run(passed())
+
+        return noted
+
+    monkeypatch.setattr(S, "packed_anchors", told)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = [(r._row.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in S.substring_dedup(df, keep=["doc_id"]).collect()]
+    assert sorted(got) == sorted(brute(rows))
+    assert sorted(p.name for p in tmp_path.iterdir()) == sorted(f"seen{i}" for i in [0, 1, 2, 3, 80])
