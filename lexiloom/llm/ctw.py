@@ -41,6 +41,7 @@ DEPTH, CUT = 5, 3
 SPREAD = 0x9E3779B1
 WORD_SHARE = 2.0**-20
 SLICE_BYTES = 8_000_000
+PIECE = 1 << 15
 HELD_GRAMS, HELD_WORDS = 3_000_000, 1_000_000
 END = b"\n"
 
@@ -79,14 +80,22 @@ def positions(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = np.ones(len(a), bool)
     for k in range(1, DEPTH + 1):
         inside[starts - k] = False
-    rows, low = rows[inside[DEPTH:]], _bits()[1]
-    code = (rows & ((1 << 8 * DEPTH) - 1)) << 8 | rows >> (8 * DEPTH) & 255
-    return _spread(code >> low) << low | code & ((1 << low) - 1), np.cumsum(sizes) - sizes, sizes
+    inside, low = inside[DEPTH:], _bits()[1]
+    out, have = np.empty(int(sizes.sum()), np.int64), 0
+    for k in range(0, len(rows), PIECE):  # a piece's arrays stay in a core's cache, and beside the grams nothing of their size is held
+        at = rows[k : k + PIECE][inside[k : k + PIECE]]
+        code = (at & ((1 << 8 * DEPTH) - 1)) << 8 | at >> (8 * DEPTH) & 255
+        out[have : have + len(code)] = _spread(code >> low) << low | code & ((1 << low) - 1)
+        have += len(code)
+    return out, np.cumsum(sizes) - sizes, sizes
 
 
 def gram_counts(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct grams and their counts."""
-    return np.unique(positions(bodies)[0], return_counts=True)
+    gram = positions(bodies)[0]
+    gram.sort()
+    starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(gram) else np.zeros(0, np.int64)
+    return gram[starts], np.diff(starts, append=len(gram))
 
 
 def _distinct(gram: np.ndarray) -> np.ndarray:
@@ -239,20 +248,19 @@ def _mixed(depth: int, entry: np.ndarray, zeros: np.ndarray, ones: np.ndarray, b
     return mixed, np.exp(estimate - np.log(2) - mixed)
 
 
-def subtrees(code: np.ndarray, n: np.ndarray) -> tuple[dict, list]:
-    """From whole subtrees' grams: (depth, level) -> (entries, zeros, ones, weights) from CUT down, and what each level hands to the depth above (entries, zeros, ones, log probabilities below)."""
-    held, above = {}, []
+def subtrees(code: np.ndarray, n: np.ndarray) -> Iterator[tuple[dict, tuple]]:
+    """From whole subtrees' grams, level by level: depth -> (entries, zeros, ones, weights) from CUT down, and what the level hands to the depth above (entries, zeros, ones, log probabilities below)."""
     cut = min(CUT, DEPTH)
     for level in range(8):
+        held = {}
         bit = (code >> (7 - level)) & 1
         entry, zeros, ones = _summed(_entry(code, DEPTH, level), n * (1 - bit), n * bit)
         below = np.zeros(len(entry))
         for depth in range(DEPTH, cut - 1, -1):
             mixed, weight = _mixed(depth, entry, zeros, ones, below)
-            held[depth, level] = entry, zeros, ones, weight
+            held[depth] = entry, zeros, ones, weight
             entry, zeros, ones, below = _summed(_parent(entry, depth, level), zeros, ones, mixed)
-        above.append((entry, zeros, ones, below))
-    return held, above
+        yield held, (entry, zeros, ones, below)
 
 
 def _downward(depth: int, level: int, entry, zeros, ones, weight, before) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -274,7 +282,7 @@ def top_depths(grams: DataFrame) -> list:
     """The depths above CUT of the whole tree."""
 
     def run(part: pa.Table) -> pa.Table:
-        _, above = subtrees(*_ordered(part))
+        above = (a for _, a in subtrees(*_ordered(part)))
         columns = [np.concatenate(x) for x in zip(*((np.full(len(a[0]), level), *a) for level, a in enumerate(above)))]
         return pa.table(dict(zip(("level", "entry", "zeros", "ones", "below"), columns)))
 
@@ -300,15 +308,14 @@ def top_depths(grams: DataFrame) -> list:
 
 def answers(code: np.ndarray, n: np.ndarray, asked: np.ndarray, top: list) -> np.ndarray:
     """log10 probabilities of the asked grams, whose subtrees' grams are all given; both in order."""
-    held, _ = subtrees(code, n)
     low = _bits()[1]
     plain = _gathered(asked >> low) << low | asked & ((1 << low) - 1)
     out = np.zeros(len(asked))
-    for level in range(8):
+    for level, (held, _) in enumerate(subtrees(code, n)):
         gathered, left, alive = np.zeros(len(asked)), np.ones(len(asked)), np.ones(len(asked), bool)
         before = None
         for depth in range(DEPTH + 1):
-            before = top[depth][level] if depth < len(top) else _downward(depth, level, *held[depth, level], before)
+            before = top[depth][level] if depth < len(top) else _downward(depth, level, *held[depth], before)
             if not len(before[0]):
                 break
             entry = _entry(plain if depth < len(top) else asked, depth, level)
@@ -406,10 +413,12 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, id_col:
         texts = [raw[e - x : e] for x, e in zip(sizes, ends)]
         by = np.argsort(found.column("bucket").to_numpy())
         logp = np.frombuffer(b"".join(found.column("logp").take(pa.array(by)).to_pylist()), np.float32)  # of the distinct grams, in order
+        del raw
         code, starts, own = positions(texts)
         p = _values(code, _distinct(code), logp)
-        sums = np.concatenate([[0.0], np.cumsum(p)])
-        return pa.table({"_slice": pa.array(np.full(count, key[0].as_py())), "_at": pa.array(np.arange(count)), "score": pa.array(sums[starts + own] - sums[starts])})
+        del code, texts
+        # Every text has its end byte, so no sum is of nothing.
+        return pa.table({"_slice": pa.array(np.full(count, key[0].as_py())), "_at": pa.array(np.arange(count)), "score": pa.array(np.add.reduceat(p, starts))})
 
     schema = f"_row {framed.schema['_row'].dataType.simpleString()}, _id long, _crc long, n_tokens long, _hits long, _base double, _bytes long, _slice long, _at long, _body binary, _asks array<struct<bucket: int, codes: binary>>, _light array<struct<word: binary, n: long>>"
     framed = written(framed.mapInArrow(run, schema))

@@ -1,6 +1,7 @@
 """Odd rows and brute force for the operators that have no file of their own."""
 
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 from math import log10
@@ -316,3 +317,21 @@ def test_sample_keeps_its_bounds(spark, monkeypatch):
     labels = spark.createDataFrame([(k, int(k == 1)) for k in range(90)], "doc_id long, toxic int")
     found = toxicity.sample(df, labels)
     assert all(0 < sum(map(len, found[c])) <= 1000 for c in (0, 1)) and found[0].count("x" * 90) <= 1
+
+
+def test_grams_of_a_slice_take_little_memory():
+    """Nothing but the grams themselves is held at eight bytes a byte: two workers share an executor."""
+    rng = np.random.default_rng(3)
+    bodies = [rng.integers(97, 123, 50_000).astype(np.uint8).tobytes() + b"\n" for _ in range(40)]
+    code = ctw.positions(bodies)[0]
+    tracemalloc.start()
+    try:
+        ctw.positions(bodies)
+        assert tracemalloc.get_traced_memory()[1] < 16 * len(code)
+        tracemalloc.reset_peak()
+        grams, n = ctw.gram_counts(bodies)
+        assert tracemalloc.get_traced_memory()[1] < 40 * len(code)
+    finally:
+        tracemalloc.stop()
+    want, times = np.unique(code, return_counts=True)
+    assert (grams == want).all() and (n == times).all()
