@@ -95,27 +95,38 @@ def _grams(text: bytes) -> np.ndarray:
 def stretches(toxic: list[str], ordinary: list[str]) -> list[bytes]:
     """What toxic texts say and ordinary ones do not: runs of telling grams, without TRIM bytes at either end, which belong to the words beside them."""
     plain = lambda t: b" " + b" ".join(t.lower().encode("utf-8", "replace").split()) + b" "
-    said = [(t := plain(x), _grams(t)) for x in toxic]
-    gram, texts = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.unique(g) for _, g in said)]), return_counts=True)
-    telling = np.setdiff1d(gram[texts >= MIN_TEXTS], np.concatenate([np.zeros(0, np.int64), *(np.unique(_grams(plain(t))) for t in ordinary)]))
+    gram, texts = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.unique(_grams(plain(t))) for t in toxic)]), return_counts=True)
+    telling = gram[texts >= MIN_TEXTS]
+    del gram, texts
+    stays = np.ones(len(telling), bool)
+    for t in ordinary if len(telling) else []:  # one by one: all their grams would take many times what they say
+        grams = _grams(plain(t))
+        at = np.minimum(np.searchsorted(telling, grams), len(telling) - 1)
+        stays[at[telling[at] == grams]] = False
+    telling = telling[stays]
     out = []
-    for text, grams in said:
-        runs = np.flatnonzero(np.diff(np.isin(grams, telling).astype(np.int8), prepend=0, append=0))
+    for text in map(plain, toxic):
+        runs = np.flatnonzero(np.diff(np.isin(_grams(text), telling).astype(np.int8), prepend=0, append=0))
         out += [x for i, j in zip(runs[::2], runs[1::2]) if len(x := text[i + TRIM : j + GRAM - 1 - TRIM]) >= GRAM]
     return out
 
 
 def _apart(texts: list[str]) -> list[str]:
     """Without texts that share over a tenth of their five-word shingles with earlier ones: copies are no new evidence."""
-    seen: set[int] = set()
-    out = []
+    held = []
     for t in texts:
         words = t.lower().split()
-        own = {hash(tuple(words[i : i + 5])) for i in range(max(1, len(words) - 4))}
-        if len(own & seen) * 10 <= len(own):
-            out.append(t)
-        seen |= own
-    return out
+        held.append(np.unique(np.fromiter((hash(tuple(words[i : i + 5])) for i in range(max(1, len(words) - 4))), np.int64)))
+    if not held:
+        return []
+    # As arrays: a set of all shingles takes some 100 bytes for each in the driver.
+    sizes = np.array([len(x) for x in held])
+    owner, shingle = np.repeat(np.arange(len(held), dtype=np.int32), sizes), np.concatenate(held)
+    del held
+    order = np.argsort(shingle, kind="stable").astype(np.int32)
+    shingle = shingle[order]
+    first = np.bincount(owner[order[np.concatenate([[True], shingle[1:] != shingle[:-1]])]], minlength=len(sizes))
+    return [t for t, n, new in zip(texts, sizes, first) if (n - new) * 10 <= n]
 
 
 def _trained(samples: list[bytes], size: int, segment: int) -> bytes:

@@ -335,3 +335,22 @@ def test_grams_of_a_slice_take_little_memory():
         tracemalloc.stop()
     want, times = np.unique(code, return_counts=True)
     assert (grams == want).all() and (n == times).all()
+
+
+def test_telling_stretches_of_a_sample_take_little_memory():
+    """Copies and telling grams are found without a Python object for every shingle or all ordinary grams at once."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    ordinary = [" ".join(word() for _ in range(400)) for _ in range(150)]
+    toxic = [o + " vile zyxwvut slur " for o in ordinary[:20]]
+    size = sum(map(len, ordinary))
+    tracemalloc.start()
+    try:
+        kept = toxicity._apart(ordinary + ordinary[:30] + toxic)
+        assert kept == ordinary and tracemalloc.get_traced_memory()[1] < 10 * size
+        tracemalloc.reset_peak()
+        assert all(b"zyxwvut" in x for x in toxicity.stretches(toxic, ordinary))
+        assert tracemalloc.get_traced_memory()[1] < 10 * size
+    finally:
+        tracemalloc.stop()
+    assert toxicity._apart([]) == [] and toxicity._apart(["", "", "a"]) == ["", "a"]
