@@ -66,50 +66,66 @@ class _Tail(StatefulProcessor):
         self.early = handle.getMapState("early", "seq long", "event string, data string")
         self.status = handle.getValueState("status", "status string, at long")
 
-    def _leave(self, key, gaps: bool) -> list[tuple]:
-        seq, ended = self.next.get() if self.next.exists() else (1, False)
-        out = []
-        if gaps:
-            for n in sorted(k[0] for k in self.early.keys()):
-                if not ended:
-                    event, data = self.early.getValue((n,))
-                    out.append((key[0], n, event, data, False))
-                    ended, seq = event in TERMINAL_EVENTS, n + 1
-                self.early.removeKey((n,))
-        while not ended and self.early.containsKey((seq,)):
-            event, data = self.early.getValue((seq,))
-            self.early.removeKey((seq,))
-            out.append((key[0], seq, event, data, False))
-            ended, seq = event in TERMINAL_EVENTS, seq + 1
-        self.next.update((seq, ended))
-        return out
-
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        """State is asked and told as little as may be, as every call is an exchange with the JVM: what can leave at once never enters it."""
+        held = self.next.get()
+        seq, ended = held or (1, False)
+        come, status, before = {}, None, None
         for part in rows:
-            seq, ended = self.next.get() if self.next.exists() else (1, False)
             if ended:
                 continue
-            for r in part.sort_values(["at", "seq"]).itertuples(index=False):
-                if r.status is None or r.status != r.status:
-                    if int(r.seq) >= seq:
-                        self.early.updateValue((int(r.seq),), (r.event, r.data))
+            columns = [part[c].tolist() for c in ("at", "seq", "event", "data", "status")]
+            for at, n, event, data, said in sorted(zip(*columns), key=lambda r: (r[0] is pd.NaT, r[0] if r[0] is not pd.NaT else 0, r[1] is None or r[1] != r[1], r[1] or 0)):
+                if said is None or said != said:
+                    if int(n) >= seq:
+                        come[int(n)] = event, data
                     continue
-                at = int(pd.Timestamp(r.at).value // 1_000_000)
-                if not self.status.exists() or self.status.get()[1] <= at:
+                at = int(pd.Timestamp(at).value // 1_000_000)
+                if status is None:
+                    before = status = self.status.get() or ()
+                if not status or status[1] <= at:
+                    status = (said, at)
+        out, first = [], seq
+        while not ended:
+            early = held is not None and self.early.containsKey((seq,))
+            if seq not in come and not early:
+                break
+            event, data = come.pop(seq) if seq in come else self.early.getValue((seq,))
+            if early:
+                self.early.removeKey((seq,))
+            out.append((key[0], seq, event, data, False))
+            ended, seq = event in TERMINAL_EVENTS, seq + 1
+        if not ended:
+            for n, told in come.items():
+                self.early.updateValue((n,), told)
+            if status != before:
+                if before and before[0] in ENDED:
                     for timer in list(self.handle.listTimers()):
                         self.handle.deleteTimer(timer)
-                    self.status.update((r.status, at))
-                    if r.status in ENDED:
-                        self.handle.registerTimer(at + self.grace)
-        yield _events(self._leave(key, False))
+                self.status.update(status)
+                if status[0] in ENDED:
+                    self.handle.registerTimer(status[1] + self.grace)
+        if held is None or seq > first:
+            self.next.update((seq, ended))
+        if out:
+            yield _events(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = self._leave(key, True)
-        seq, ended = self.next.get()
+        seq, ended = self.next.get() or (1, False)
+        if ended:
+            return
+        out = []
+        for (n,), (event, data) in sorted(self.early.iterator()):
+            if not ended:
+                out.append((key[0], n, event, data, False))
+                ended, seq = event in TERMINAL_EVENTS, n + 1
+        if out:
+            self.early.clear()
         if not ended:
             status = self.status.get()[0]
             out.append((key[0], seq, ENDED[status][0], synthetic_data(status), True))
-            self.next.update((seq + 1, True))
+            seq += 1
+        self.next.update((seq, True))
         yield _events(out)
 
     def close(self) -> None:

@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 
 from lexiloom.operators import state as S
@@ -100,3 +101,40 @@ def test_ledger(spark, tmp_path):
         q.awaitTermination()
         b.coalesce(1).write.mode("append").parquet(source)
     assert sorted(r.id for r in live.results("id long, twice long").collect()) == list(range(9)) and live.entered().count() == 2
+
+
+class Told:
+    """A state that counts its calls."""
+
+    def __init__(self, calls):
+        self.calls, self.value = calls, None
+
+    def __getattr__(self, name):
+        def call(*given):
+            self.calls.append(name)
+            if name == "update":
+                self.value = given[0]
+            return {"get": self.value, "exists": self.value is not None, "containsKey": False, "keys": [], "iterator": [], "listTimers": []}.get(name)
+
+        return call
+
+
+class Handle:
+    def __init__(self):
+        self.calls = []
+
+    def state(self, *given):
+        return Told(self.calls)
+
+    getValueState = getMapState = getListState = state
+
+    def __getattr__(self, name):
+        return getattr(Told(self.calls), name)
+
+
+def test_events_that_leave_at_once_never_enter_the_state():
+    rows = [("j", k + 1, "e", "{}", None, START + timedelta(seconds=k)) for k in range(500)] + [("j", None, None, None, "failed", START + timedelta(seconds=900))]
+    one, handle = J._Tail(500), Handle()
+    one.init(handle)
+    out = pd.concat(list(one.handleInputRows(("j",), iter([pd.DataFrame(rows, columns=["job_id", "seq", "event", "data", "status", "at"])]), None)))
+    assert out.seq.tolist() == list(range(1, 501)) and len(handle.calls) <= 6
