@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -148,33 +149,31 @@ def live_tail(rows: DataFrame, late: str = "10 seconds", grace_ms: int = 500) ->
     return rows.withWatermark("at", late).groupBy("job_id").transformWithStateInPandas(_Tail(grace_ms), EVENT, "append", "eventTime")
 
 
+class _Event(NamedTuple):
+    at: float
+    id: int
+    kind: str
+    job: str
+
+
 class _Governor(StatefulProcessor):
-    """A governor's runs (a map), queue and admissions (lists) between batches."""
+    """A governor's runs, queue and admissions between batches, as one value: every call of a state is an exchange with the JVM."""
 
     def __init__(self, running: int, queued: int, limit: int, seconds: float):
         self.running, self.queued, self.limit, self.seconds = running, queued, limit, seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.runs = handle.getMapState("runs", "job string", "since double")
-        self.waits = handle.getListState("waits", "job string")
-        self.admitted = handle.getListState("admitted", "at double")
+        self.held = handle.getValueState("held", "held string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        runs = {k[0]: v[0] for k, v in self.runs.iterator()}
-        waits = [x[0] for x in self.waits.get()] if self.waits.exists() else []
-        admitted = [x[0] for x in self.admitted.get()] if self.admitted.exists() else []
-        held, out = set(runs), []
-        for r in pd.concat(list(rows)).sort_values(["at", "id"]).itertuples(index=False):
+        held = self.held.get()
+        runs, waits, admitted = json.loads(held[0]) if held else ([], [], [])
+        runs, out = dict(map(tuple, runs)), []
+        events = [_Event(*r) for part in rows for r in zip(*(part[c].tolist() for c in _Event._fields))]
+        for r in sorted(events, key=lambda r: (r.at != r.at, r.at, r.id)):
             outcome, promoted = self._step(r, runs, waits, admitted)
             out.append((key[0], r.id, outcome, promoted))
-        for job in held - set(runs):
-            self.runs.removeKey((job,))
-        for job, since in runs.items():
-            self.runs.updateValue((job,), (since,))
-        for state, values in ((self.waits, waits), (self.admitted, admitted)):
-            state.clear()
-            if values:
-                state.put([(v,) for v in values])
+        self.held.update((json.dumps([list(runs.items()), waits, admitted]),))
         yield pd.DataFrame(out, columns=["governor", "id", "outcome", "promoted"])
 
     def _step(self, r, runs: dict, waits: list, admitted: list) -> tuple[str, str | None]:

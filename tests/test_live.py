@@ -138,3 +138,15 @@ def test_events_that_leave_at_once_never_enter_the_state():
     one.init(handle)
     out = pd.concat(list(one.handleInputRows(("j",), iter([pd.DataFrame(rows, columns=["job_id", "seq", "event", "data", "status", "at"])]), None)))
     assert out.seq.tolist() == list(range(1, 501)) and len(handle.calls) <= 6
+
+
+def test_a_governor_asks_and_tells_its_state_once_a_batch():
+    rows = pd.DataFrame([(float(k), k, "complete" if k % 3 == 2 else "admit", f"job{k % 5}") for k in range(300)], columns=["at", "id", "kind", "job"])
+    one, handle = J._Governor(2, 2, 4, 20.0), Handle()
+    one.init(handle)
+    whole = pd.concat(list(one.handleInputRows(("x",), iter([rows]), None)))
+    assert len(handle.calls) <= 2
+    again, handle = J._Governor(2, 2, 4, 20.0), Handle()
+    again.init(handle)
+    parts = pd.concat([x for k in range(0, 300, 50) for x in again.handleInputRows(("x",), iter([rows[k : k + 50]]), None)])
+    assert parts.values.tolist() == whole.values.tolist() and len(handle.calls) <= 12
