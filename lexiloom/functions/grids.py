@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .text import col, stripped
+from .text import col, let, stripped
 
 GRID = "array<array<string>>"
 
@@ -32,8 +32,7 @@ def is_separator(line: Column) -> Column:
 
 def has_markdown_table(c) -> Column:
     """At least three lines, a piped header and a separator below it."""
-    lines = _lines(c)
-    return (F.size(lines) >= 3) & F.contains(F.get(lines, F.lit(0)), F.lit("|")) & F.coalesce(is_separator(F.get(lines, F.lit(1))), F.lit(False))
+    return let(_lines(c), lambda lines: (F.size(lines) >= 3) & F.contains(F.get(lines, F.lit(0)), F.lit("|")) & F.coalesce(is_separator(F.get(lines, F.lit(1))), F.lit(False)))
 
 
 def markdown_grid(c) -> Column:
@@ -41,9 +40,8 @@ def markdown_grid(c) -> Column:
     rule = lambda x: F.forall(_cells(x), lambda c: c.rlike(r"^:?-{3,}:?$") | (c == ""))
     rows = F.transform(F.filter(_lines(c), lambda x: F.contains(x, F.lit("|")) & ~rule(x)), _cells)
     rows = F.filter(rows, lambda r: F.exists(r, lambda x: x != ""))
-    width = F.array_max(F.transform(rows, lambda r: F.size(r)))
-    padded = F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
-    return F.when(F.size(rows) >= 2, padded)
+    padded = lambda rows: let(F.array_max(F.transform(rows, lambda r: F.size(r))), lambda width: F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r)))))
+    return let(rows, lambda rows: F.when(F.size(rows) >= 2, padded(rows)))
 
 
 def grid_markdown(g) -> Column:
@@ -98,8 +96,10 @@ class _Table(HTMLParser):
 
 
 def _read_grid(text: str | None):
+    if not text:
+        return None
     p = _Table()
-    p.feed(text or "")
+    p.feed(text)
     rows = [r for r in p.rows if r]
     width = max(map(len, rows), default=0)
     return [r + [""] * (width - len(r)) for r in rows] if len(rows) >= 2 else None
@@ -139,7 +139,8 @@ def tables_of_hits(hits: DataFrame, query: str, rank: str, most: int) -> DataFra
     """For each query the first ``most`` distinct tables of its hits (kind, content, markdown), with the rank of the hit that has each first.
 
     A table hit gives its Markdown, any other what its content holds, as Markdown or HTML, without header
-    lines; what is no grid of two by two is none.
+    lines; what is no grid of two by two is none. A hit's table is worked out once: a filter on it would be moved
+    below and take the whole expression along, wherever it uses the table, so hits without one are left out at the end.
     """
     content, markdown = F.coalesce("content", F.lit("")), F.nullif("markdown", F.lit(""))
     bare = F.trim(F.regexp_replace(content, r"(?m)^\s*\[(文档|章节)\][^\n]*\n?", ""))
@@ -148,6 +149,7 @@ def tables_of_hits(hits: DataFrame, query: str, rank: str, most: int) -> DataFra
     of_table = F.when(has_markdown_table("given") | ~has_markdown_table("bare"), F.col("given")).otherwise(F.col("bare"))
     of_html = F.coalesce(*[F.when(F.col(c).isNotNull(), grid_markdown(c)) for c in ("html", "bare_html")])
     of_text = F.when(has_markdown_table("content"), F.col("content")).when(has_markdown_table("bare"), F.col("bare")).otherwise(of_html)
-    found = read.select(query, rank, stripped(F.when(F.lower("kind") == "table", of_table).otherwise(of_text)).alias("markdown")).where(is_grid(markdown_grid("markdown")))
+    said = stripped(F.when(F.lower("kind") == "table", of_table).otherwise(of_text))
+    found = read.select(query, rank, let(said, lambda m: F.when(let(markdown_grid(m), is_grid), m)).alias("markdown"))
     first = found.groupBy(query, "markdown").agg(F.min(rank).alias(rank))
-    return first.withColumn("_n", F.row_number().over(Window.partitionBy(query).orderBy(rank))).where(F.col("_n") <= most).drop("_n")
+    return first.withColumn("_n", F.row_number().over(Window.partitionBy(query).orderBy(F.col("markdown").isNull(), rank))).where((F.col("_n") <= most) & F.col("markdown").isNotNull()).drop("_n")

@@ -5,6 +5,7 @@ import glob
 import duckdb
 from pyspark.sql import functions as F
 
+from lexiloom.functions import grids
 from lexiloom.plans import quality, registry, state
 
 
@@ -26,3 +27,13 @@ def test_parse_window_of_many_jobs_that_begin_together(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     assert sorted(tuple(r) for r in found.collect()) == sorted(con.execute(registry.oracle_sql()["join_parse_window"]).fetchall())
+
+
+def test_tables_of_hits_are_worked_out_once(spark):
+    md, web = "| a | b |\n| --- | --- |\n| {} | x |", "[文档] t\n<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>x</td></tr></table>"
+    rows = [(1, 5, "text", md.format(1), None), (1, 2, "text", web, None), (1, 1, "text", "plain", None), (1, 3, "text", md.format(2) + "\n", ""), (1, 4, "Table", "nothing", md.format(3)), (2, 1, "text", "plain", None), (2, 2, "text", "| a |\n| --- |\n| 1 |", None), (3, 1, None, None, None), (3, 9, "TABLE", md.format(4), None)]
+    hits = spark.createDataFrame(rows, "q int, rank int, kind string, content string, markdown string")
+    found = grids.tables_of_hits(hits, "q", "rank", 2)
+    assert sorted((r.q, r.rank, r.markdown) for r in found.collect()) == [(1, 2, md.format(1)), (1, 3, md.format(2)), (3, 9, md.format(4))]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?U)^") == 1 and plan.count("ArrowEvalPython") + plan.count("PythonUDF") > 0
