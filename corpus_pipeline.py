@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.llm import bpe, decontam, line_dedup, near_dup, toxicity
-from lexiloom.llm.common import TABLES, emptied, packed, sized, table, written
+from lexiloom.llm.common import TABLES, counted, emptied, packed, sized, table, written
 from lexiloom.llm.queries import word_vocabulary
 
 
@@ -34,15 +34,16 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays."""
     found = near_dup.near_duplicates(docs.select("doc_id", "text"))
-    return docs.join(sized(written(found.where("NOT kept").select(F.col("id").alias("doc_id")).distinct())), "doc_id", "left_anti")
+    gone, n = counted(found.where("NOT kept").select(F.col("id").alias("doc_id")).distinct())
+    return docs.join(sized(gone, n), "doc_id", "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select("item_id", *decontam.question_answer())
     found = decontam.decontaminate(docs.select("doc_id", "text"), items)
-    gone = written(found.select(F.col("_row.doc_id").alias("_gone_id"), F.md5(F.col("_row.text").cast("binary")).alias("_gone_text")).distinct())
+    gone, n = counted(found.select(F.col("_row.doc_id").alias("_gone_id"), F.md5(F.col("_row.text").cast("binary")).alias("_gone_text")).distinct())
     held = docs.select(packed(docs))  # as one column, so that no other name can clash
-    return held.join(sized(gone), F.col("_row.doc_id").eqNullSafe(F.col("_gone_id")) & (F.md5(F.col("_row.text").cast("binary")) == F.col("_gone_text")), "left_anti").select("_row.*")
+    return held.join(sized(gone, n), F.col("_row.doc_id").eqNullSafe(F.col("_gone_id")) & (F.md5(F.col("_row.text").cast("binary")) == F.col("_gone_text")), "left_anti").select("_row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lexiloom.sources.scratch import new_path
@@ -24,12 +24,26 @@ class Scratch:
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def counted(self, df: DataFrame, what: str = "true") -> tuple[DataFrame, int]:
+        """Such a table and for how many of its rows ``what`` is true: counted as it is written, at least so many if a task ran twice."""
+        rows = Observation()
+        out = self.written(df.observe(rows, F.count(F.when(F.expr(what), 1)).alias("n")))
+        return out, rows.get["n"]
+
+    def kept(self) -> None:
+        """The table written last stays until ``emptied``."""
+        TABLES.append(self.paths.pop())
+
     def clear(self) -> None:
         for path in self.paths:
-            self.spark.range(0).write.mode("overwrite").parquet(path)
+            _empty(self.spark, path)
         self.paths.clear()
 
 
+def _empty(spark: SparkSession, path: str) -> None:
+    spark.range(0, 0, 1, 1).write.mode("overwrite").parquet(path)
+
+
 #: Tables that ``written`` has made, in order; whoever knows that nothing reads them any more empties them.
 TABLES: list[str] = []
 
@@ -42,10 +56,18 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """One such table and its number of rows, which takes no job of its own."""
+    one = Scratch(df.sparkSession)
+    out = one.counted(df)
+    TABLES.extend(one.paths)
+    return out
+
+
 def emptied(spark: SparkSession, paths: list[str]) -> None:
     """Empties tables of ``written``."""
     for path in paths:
-        spark.range(0).write.mode("overwrite").parquet(path)
+        _empty(spark, path)
         TABLES.remove(path)
 
 
@@ -72,6 +94,6 @@ def packed(df: DataFrame, name: str = "_row", keep: list[str] | None = None) ->
 BROADCAST_IDS = 500_000
 
 
-def sized(rows: DataFrame) -> DataFrame:
-    """A table already written, of fixed-size columns, hinted for broadcast if its counted rows allow."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+def sized(rows: DataFrame, n: int | None = None) -> DataFrame:
+    """A table already written, of fixed-size columns, hinted for broadcast if its rows allow: n, if they are counted already."""
+    return F.broadcast(rows) if (rows.count() if n is None else n) <= BROADCAST_IDS else rows

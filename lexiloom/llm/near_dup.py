@@ -30,8 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .common import bounded_batches, sized, written
-from .graph import components
+from .common import bounded_batches, counted, sized, written
+from .graph import components, components_with
 from .shingles import mixed, shingle_set
 
 BANDS, ROWS = 40, 5
@@ -102,8 +102,8 @@ def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return framed.mapInArrow(run, "id long, n long, digest binary, bands array<long>, sketch array<long>, parity array<long>")
 
 
-def sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The full shingle sets of the documents in ``ids``."""
+def sets(docs: DataFrame, ids: DataFrame, n_ids: int, id_col: str, text_col: str) -> DataFrame:
+    """The full shingle sets of the documents in ``ids``, which has ``n_ids`` rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -112,7 +112,7 @@ def sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFra
             yield pa.RecordBatch.from_arrays([b.column("id"), digest, pa.array(found, pa.list_(pa.int64()))], names=["id", "digest", "set"])
 
     framed = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return framed.join(sized(ids), "id", "left_semi").mapInArrow(run, "id long, digest binary, set array<long>")
+    return framed.join(sized(ids, n_ids), "id", "left_semi").mapInArrow(run, "id long, digest binary, set array<long>")
 
 
 def differing(x: Column, y: Column) -> Column:
@@ -131,21 +131,23 @@ def sketch_similarity(x: Column, y: Column) -> Column:
     return F.when(differ * 2 >= SKETCH_BITS, 0.0).otherwise(1 + SKETCH_BITS / (4.0 * BANDS * ROWS) * F.log(1 - 2.0 * differ / SKETCH_BITS))
 
 
-def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose sketches are near and whose full sets are similar enough."""
+def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """The pairs (a, b) whose sketches are near and whose full sets are similar enough, and their number."""
     side = lambda x: reps.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "sketch", "parity")])
-    near = written(
+    near, n = counted(
         pairs.join(side("a"), "a")
         .join(side("b"), "b")
         .where(possible("_a", "_b") & (sketch_similarity(F.col("sketch_a"), F.col("sketch_b")) >= SKETCH_FLOOR))
         .select("a", "b")
         .distinct()
     )
-    ids = written(near.select(F.col("a").alias("id")).union(near.select("b")).distinct())
-    full = written(sets(docs, ids, id_col, text_col).dropDuplicates(["id", "digest"]).drop("digest"))  # an id has a set for each of its texts
+    if not n:
+        return near, 0
+    ids, n = counted(near.select(F.col("a").alias("id")).union(near.select("b")).distinct())
+    full = written(sets(docs, ids, n, id_col, text_col).dropDuplicates(["id", "digest"]).drop("digest"))  # an id has a set for each of its texts
     both = near.join(full.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(full.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
     shared = F.size(F.array_intersect("set_a", "set_b")).cast("long")
-    return written(both.where(shared * OF >= (F.size("set_a") + F.size("set_b") - shared) * SHARE).select("a", "b").distinct())
+    return counted(both.where(shared * OF >= (F.size("set_a") + F.size("set_b") - shared) * SHARE).select("a", "b").distinct())
 
 
 def _across(placed: DataFrame, reps: DataFrame, least: float) -> DataFrame:
@@ -189,22 +191,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = written(banded.join(shared, "key"))
     # doc_ids with several texts, of which one may be empty.
     texts = found.where("id IS NOT NULL").groupBy("id").agg(F.min("digest").alias("least"), F.max("digest").alias("most"), F.max(F.col("digest").isNull()).alias("blank"))
-    several = written(texts.where("least < most OR (least IS NOT NULL AND blank)"))
-    same = usable.join(sized(several.where("least < most").select("id")), "id").join(classes, "digest").where("rep < id").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
-    near = confirmed(members.where("id > pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), reps, docs, id_col, text_col)
-    links = written(near.unionByName(same))
-    joined = components(links)
+    several, n = counted(texts.where("least < most OR (least IS NOT NULL AND blank)"))
+    same = usable.join(sized(several.where("least < most").select("id"), n), "id").join(classes, "digest").where("rep < id").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
+    near, _ = confirmed(members.where("id > pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), reps, docs, id_col, text_col)
+    joined = components(near.unionByName(same))
     for least in STEPS:
         # The most similar first: what they join needs no further comparison.
-        more = confirmed(_across(_placed(members, joined), reps, least), reps, docs, id_col, text_col)
-        if more.limit(1).count():
-            links = written(links.unionByName(more))
-            joined = components(links)
+        more, n = confirmed(_across(_placed(members, joined), reps, least), reps, docs, id_col, text_col)
+        if n:
+            joined = components_with(joined, more)
     # Written, so that the join on the digest has plain exchanges on both sides and Spark can split a hot text; rows without a set stay out of it.
+    # No broadcast either: digests of all texts would take many times their bytes in the driver's heap, while ids and digests are little to exchange.
     by_class = written(classes.join(joined.withColumnsRenamed({"node": "rep"}), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")))
-    by_text = found.where("digest IS NOT NULL").select("id", "n", "digest").join(sized(by_class), "digest", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
-    beside = written(several.where("blank").select("id", F.col("least").alias("digest")).join(by_class, "digest").select("id", "component"))
-    blank = found.where("digest IS NULL").select("id", "n").join(sized(beside), "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    by_text = found.where("digest IS NOT NULL").select("id", "n", "digest").join(by_class, "digest", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
+    beside, n = counted(several.where("blank").select("id", F.col("least").alias("digest")).join(by_class, "digest").select("id", "component"))
+    blank = found.where("digest IS NULL").select("id", "n").join(sized(beside, n), "id", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
     placed = by_text.unionByName(blank)
     return placed.select(F.col("id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexiloom.llm import ctw, decontam, line_dedup, near_dup, sharding, toxicity
+from lexiloom.llm import common, ctw, decontam, graph, line_dedup, near_dup, sharding, toxicity
 from lexiloom.llm.shingles import shingle_set, words
 
 DDL = "doc_id long, text string, n_lines string, score string, _key int, id string"
@@ -354,3 +354,19 @@ def test_telling_stretches_of_a_sample_take_little_memory():
     finally:
         tracemalloc.stop()
     assert toxicity._apart([]) == [] and toxicity._apart(["", "", "a"]) == ["", "a"]
+
+
+def test_further_links_join_components(spark):
+    links = lambda *pairs: spark.createDataFrame(list(pairs), "a long, b long")
+    at = lambda df: {r.node: r.component for r in df.collect()}
+    first = [(5, 6), (6, 7), (1, 2), (20, 21), (30, 31)]
+    found = graph.components(links(*first))
+    assert at(graph.components_with(found, links((7, 21), (40, 41), (40, 31), (2, 1)))) == {1: 1, 2: 1} | dict.fromkeys([5, 6, 7, 20, 21], 5) | dict.fromkeys([30, 31, 40, 41], 30)
+    assert at(graph.components_with(graph.components(links()), links((3, 9)))) == {3: 3, 9: 3}
+
+
+def test_rows_are_counted_as_they_are_written(spark):
+    began = spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+    table, n = common.counted(spark.range(0, 1000, 1, 3))
+    assert n == 1000 and spark.sparkContext._jsc.sc().dagScheduler().nextJobId() - began == 1
+    assert table.count() == 1000 and common.counted(spark.range(0))[1] == 0
