@@ -6,6 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from lexiloom.functions import grids
+from lexiloom.operators import anchors
 from lexiloom.plans import quality, registry, state
 
 
@@ -37,3 +38,11 @@ def test_tables_of_hits_are_worked_out_once(spark):
     assert sorted((r.q, r.rank, r.markdown) for r in found.collect()) == [(1, 2, md.format(1)), (1, 3, md.format(2)), (3, 9, md.format(4))]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("(?U)^") == 1 and plan.count("ArrowEvalPython") + plan.count("PythonUDF") > 0
+
+
+def test_lines_are_normalized_once_for_both_ways_of_meeting(spark):
+    spans = spark.createDataFrame([(1, 0, "a  line of text", 1), (1, 1, "a line of words", 2), (1, 2, "abcd", 3), (2, 0, "é1é2é3é4é5", 4)], "doc_id long, n int, text string, page int")
+    blocks = spark.createDataFrame([(1, 0, "a line of wood"), (1, 1, "abcdX"), (1, 2, "abcdX"), (1, 3, "nothing at all"), (2, 0, "é1é2é3é4é6")], "doc_id long, block_index int, text string")
+    found = anchors.block_pages(blocks, spans)
+    assert sorted(map(tuple, found.collect())) == [(1, 0, 2, 12), (1, 1, 3, 4), (1, 2, 3, 4), (2, 0, 4, 9)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(text") <= 2  # a projection and the filter on it
